@@ -7,21 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import decontam, langid, mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.train(docs.where(~held_out))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.report(_documents(spark, sf_dir, "doc_id", "text"), items)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_documents(spark, sf_dir, "doc_id", "source", "text").withColumn("text", F.col("text")))
+    mixed = mixing.mix(_documents(spark, sf_dir, "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+QUERIES = [op1_language_id, op6_mix_sources, op7_decontaminate]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_mix_sources": op6_mix_sources}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.ORACLE}
+    return {"op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE}
