@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing
+from . import decontam, langid, mixing, ngram_join, pii, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -32,7 +32,19 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = [op1_language_id, op6_mix_sources, op7_decontaminate]
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir, "doc_id", "text")).drop("terms")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_documents(spark, sf_dir, "doc_id", "text"), n=4, percent=85)
+
+
+QUERIES = [op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -40,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE}
+    return {"op2_ngram_join": ngram_join.ORACLE, "op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE}
