@@ -122,3 +122,31 @@ def gram_hashes(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
             factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
             out += hashes[k : len(hashes) - n + 1 + k] * _U(factor)
         return mix(out)
+
+
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums like those of bytes, over 64-bit values such as word hashes."""
+    sums = np.zeros(len(values) + 1, _U)
+    with np.errstate(over="ignore"):
+        np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Whether each value is the least of some ``width`` consecutive ones (winnowing; every tie is chosen)."""
+    if len(values) < width:
+        return np.zeros(len(values), bool)
+    low = _sliding(values, width, np.minimum)
+    top = np.zeros(len(low) + 2 * (width - 1), values.dtype)
+    top[width - 1 : width - 1 + len(low)] = low
+    return _sliding(top, width, np.maximum) == values
+
+
+def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
+    """The least (or most) of every ``width`` consecutive values, in steps of doubled width."""
+    done, out = 1, values
+    while done * 2 <= width:
+        out = least(out[: len(out) - done], out[done:])
+        done *= 2
+    rest = width - done
+    return least(out[: len(out) - rest], out[rest:]) if rest else out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngram_join, pii, secrets
+from . import decontam, langid, mixing, ngram_join, pii, secrets, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -44,7 +44,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_documents(spark, sf_dir, "doc_id", "text"), n=4, percent=85)
 
 
-QUERIES = [op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate]
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate(_documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = [op3_substring_dedup, op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -52,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE, "op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE}
+    return {"op3_substring_dedup": substring.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE}
