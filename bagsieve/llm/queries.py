@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngram_join, pii, secrets, substring, suffix_dedup
+from . import decontam, iblt, langid, mixing, ngram_join, pii, secrets, substring, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = [op8_suffix_dedup, op3_substring_dedup, op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate]
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES = [op5_fingerprints, op8_suffix_dedup, op3_substring_dedup, op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
