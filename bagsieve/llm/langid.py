@@ -150,8 +150,14 @@ class Model:
 def training_sample(labelled: DataFrame, per_language: int, max_chars: int) -> dict[str, list[str]]:
     """A bounded sample of texts by language; ``labelled`` has doc_id, text and lang."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").where(F.length("text") <= max_chars)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language)
+    place = F.xxhash64(F.col("doc_id").cast("string"))
+    ids = rows.select("doc_id", "lang", place.alias("_place"))
+    # Ranking sees about four times the sample for each language: the hash is even, so a threshold leaves that much.
+    part = F.lit(float(4 * per_language)) / F.col("_n")
+    counts = F.broadcast(rows.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")))
+    ids = ids.join(counts, F.col("lang") == F.col("_l")).where((F.col("_place") / F.lit(2.0**64) + 0.5) <= part)
+    order = Window.partitionBy("lang").orderBy("_place", "doc_id")
+    ids = ids.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language)
     ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
     found: dict[str, list[str]] = {}
     for lang, text in rows.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text").collect():
@@ -200,3 +206,23 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             )
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs``, all columns, without texts that are no language: null, without a letter, or below ``least``.
+
+    Rows are judged where they lie; nothing is joined or moved.  Without a model nothing is kept.
+    """
+    if model is None:
+        return docs.limit(0)
+    ship(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            bits = shipped.value.lengths(*flat(batch.column(text)))
+            score = 1.0 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000.0)).sum(1)
+            yield batch.filter(pa.array(score >= least))
+
+    return rows.mapInArrow(run, docs.schema)

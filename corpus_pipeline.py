@@ -1,10 +1,62 @@
-"""A corpus pipeline of the training-data operators; its stages are written and reread by their caller."""
+"""A corpus pipeline of training-data operators: identify, deduplicate, decontaminate, redact, mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+The caller writes what a stage returns and rereads it as the next one's ``docs``; ``run`` does so in the shared folder.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bagsieve.llm import decontam, langid, mixing, ngram_join, secrets
+from bagsieve.llm.scratch import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language: null texts, texts without letters, and texts that no language explains best."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each group linked by five-word shingles at 0.8 or more."""
+    return ngram_join.keep_one(docs, n=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain ten consecutive words of a benchmark item (or a whole shorter item)."""
+    return decontam.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows."""
+    clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as the mix takes it, with its copy's number."""
+    return mixing.emit(mixing.mix(docs))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
+    ("decontaminate", decontaminate),
+    ("secrets", redact_secrets),
+    ("mix", mix_sources),
+]
+
+#: SQL can't express the language model.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{name}")
+    return docs
