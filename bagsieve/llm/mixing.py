@@ -2,11 +2,12 @@
 
 Every document of a source expects ``target / source_size`` copies.  The expectations are summed along the
 source, one offset drawn per source is added, and a document is emitted once for every integer that its step of
-the sum crosses.  The order within a source is (power of two of the size, a hash of the id, size, id): large and
-small documents then take turns evenly, so that the words taken come near the target, not only the documents.
+the sum crosses.  The order within a source is (size class, a hash of the id, size, id), which is nearly that of the size:
+documents of every size then get their share evenly, so that the words taken come near the target, not only
+the documents.
 
 The running sum needs no single task per source.  A row's place is its place within its (source, size class,
-hash class) plus the rows of the classes before it, and those classes are at most 64 * 256 for each source.
+hash class) plus the rows of the classes before it, and those classes are at most 1024 * 16 for each source.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def size_class() -> Column:
+    """Sixteen classes for each power of two, ascending with the size."""
+    bits = F.length(F.bin("size"))
+    return (bits * 16 + F.when(bits > 5, F.expr("cast(shiftright(size, length(bin(size)) - 5) & 15 AS int)")).otherwise(0)).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Water-filled targets for a table (source, source_size), one row per source.
 
@@ -58,8 +65,10 @@ def mix(docs: DataFrame, text: str = "text", seed: str = "mix", **shares) -> Dat
     own = ["size", "source_size", "target", "copies", "taken"]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.drop(*own).withColumn("size", word_count(F.col(text)))
-    rows = rows.withColumn("_class", F.length(F.bin("size"))).withColumn("_hash", F.substring(F.md5(key), 1, 2))
-    classes = rows.groupBy("source", "_class", "_hash").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
+    rows = rows.withColumn("_class", size_class()).withColumn("_hash", F.substring(F.md5(key), 1, 1))
+    # A key without nulls lets the join below use the partitioning of the window: rows move once.
+    rows = rows.withColumn("_key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+    classes = rows.groupBy("source", "_key", "_class", "_hash").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
     earlier = Window.partitionBy("source").orderBy("_class", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     targets = source_targets(classes.groupBy("source").agg(F.sum("_words").alias("source_size")), **shares)
@@ -67,11 +76,11 @@ def mix(docs: DataFrame, text: str = "text", seed: str = "mix", **shares) -> Dat
     plan = (
         classes.alias("c")
         .join(targets.alias("t"), F.expr("c.source <=> t.source"))
-        .select(F.col("c.source").alias("_s"), F.col("c._class").alias("_c"), F.col("c._hash").alias("_h"), "_before", "t.source_size", "t.target")
+        .select(F.col("c._key").alias("_k"), F.col("c._class").alias("_c"), F.col("c._hash").alias("_h"), "_before", "t.source_size", "t.target")
     )
-    within = Window.partitionBy("source", "_class", "_hash").orderBy("size", "doc_id")
+    within = Window.partitionBy("_key", "_class", "_hash").orderBy("size", "doc_id")
     placed = rows.withColumn("_place", F.row_number().over(within))
-    placed = placed.join(plan, F.expr("source <=> _s AND _class = _c AND _hash = _h"))
+    placed = placed.join(plan, F.expr("_key = _k AND _class = _c AND _hash = _h"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("_place") + F.col("_before")
     copies = (F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)).cast("long")
@@ -87,8 +96,8 @@ def emit(mixed: DataFrame) -> DataFrame:
 #: DuckDB's form of the query.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  substr(md5(doc_id::VARCHAR), 1, 2) AS h FROM documents),
-k AS (SELECT *, CASE WHEN size = 0 THEN 1 ELSE length(bin(size)) END AS c FROM d),
+                  substr(md5(doc_id::VARCHAR), 1, 1) AS h FROM documents),
+k AS (SELECT *, b * 16 + CASE WHEN b > 5 THEN (size >> (b - 5)) & 15 ELSE 0 END AS c FROM (SELECT *, (CASE WHEN size = 0 THEN 1 ELSE length(bin(size)) END)::INT AS b FROM d)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
