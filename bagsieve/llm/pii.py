@@ -167,15 +167,22 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
 def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.9, removal: float = 0.99, support: int = 2, text: str = "text") -> DataFrame:
     """(entity, term, level) for the terms that disclose an entity; level is ``remove`` or ``generalise``."""
     near = scanned.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    pairs = near.groupBy("entity", "term", "slot").agg(F.countDistinct("place").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = written(pairs, "pii-pairs")
     entities = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     total = F.lit(float(max(1, docs.count())))
-    pairs = pairs.join(entities, "entity").join(term_counts(docs, pairs, text), "term")
-    pmi = F.log2(F.col("n_et") * total / (F.col("n_e") * F.greatest("n_docs", "n_et")))
     content = F.log2(total / F.col("n_e"))
-    pairs = pairs.where((content > 0) & (pmi >= alpha * content))
-    return pairs.select("entity", "term", F.when(pmi >= removal * content, "remove").otherwise("generalise").alias("level"))
+
+    def pmi(n_t: str):
+        return F.log2(F.col("n_et") * total / (F.col("n_e") * F.greatest(n_t, "n_et")))
+
+    # A term is in as many documents as it is near any entity in, at least.  Terms that fail on that number already,
+    # such as the common words, fail on the true one, and needn't be counted.
+    least = near.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = near.groupBy("entity", "term", "slot").agg(F.countDistinct("place").alias("n_et")).where(F.col("n_et") >= support)
+    pairs = pairs.join(entities, "entity").join(least, "term").where((content > 0) & (pmi("n_near") >= alpha * content))
+    pairs = written(pairs.select("entity", "term", "slot", "n_et", "n_e"), "pii-pairs")
+    pairs = pairs.join(term_counts(docs, pairs, text), "term")
+    pairs = pairs.where(pmi("n_docs") >= alpha * content)
+    return pairs.select("entity", "term", F.when(pmi("n_docs") >= removal * content, "remove").otherwise("generalise").alias("level"))
 
 
 def report(docs: DataFrame, text: str = "text", **how) -> DataFrame:
