@@ -110,7 +110,11 @@ def smoothed(rows: DataFrame, order: str, value: str, count: str, window: int =
     by = Window.partitionBy("series").orderBy(order)
     run = by.rowsBetween(Window.unboundedPreceding, 0)
     last = by.rowsBetween(-(window - 1), 0)
-    return rows.withColumn("average", F.sum(F.col(value) * F.col(count)).over(run) / F.sum(count).over(run)).withColumn("median", F.median(value).over(last))
+    rows = rows.withColumn("average", F.sum(F.col(value) * F.col(count)).over(run) / F.sum(count).over(run))
+    rows = rows.withColumn("_last", F.array_sort(F.collect_list(value).over(last)))
+    half = F.size("_last") / 2
+    middle = (F.get("_last", F.ceil(half).cast("int") - 1) + F.get("_last", F.floor(half).cast("int"))) / 2
+    return rows.withColumn("median", middle).drop("_last")
 
 
 def best_epoch(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,6 +188,8 @@ def half_cosine(epoch, rate: float, least: float, warm: float, total: float):
     return F.when(epoch < warm, rate * epoch / warm).otherwise(least + (rate - least) * 0.5 * (1.0 + F.cos(F.lit(3.141592653589793) * (epoch - warm) / (total - warm))))
 
 
-def cosine_schedule(step, base: float, final: float, warm: int, total: int):
-    """Value at a step: linear from 0 over ``warm`` steps, then a cosine from base to final."""
-    return F.when(step < warm, F.lit(base) * step / max(warm - 1, 1)).otherwise(final + 0.5 * (base - final) * (1.0 + F.cos(F.lit(3.141592653589793) * (step - warm) / (total - warm))))
+def cosine_schedule(step, total: int, warm: int, least: float):
+    """Factor at a step: linear from 0 over ``warm`` steps, then half a cosine, not below ``least``."""
+    progress = F.least(F.greatest((step - warm) / float(max(total - warm, 1)), F.lit(0.0)), F.lit(1.0))
+    after = F.lit(1.0) if warm >= total else F.greatest(F.lit(least), 0.5 * (1.0 + F.cos(F.lit(3.141592653589793) * progress)))
+    return F.when(step < warm, step / float(max(warm, 1))).otherwise(after)
