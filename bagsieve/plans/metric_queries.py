@@ -136,11 +136,11 @@ def pivot_metrics(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT event_type AS series, event_id AS step, value, 1 + user_id % 3 AS n FROM events) SELECT series, step,
-round(sum(value * n) OVER w / sum(n) OVER w, 6) AS average, round(median(value) OVER (PARTITION BY series ORDER BY step ROWS 19 PRECEDING), 6) AS median FROM e WINDOW w AS (PARTITION BY series ORDER BY step ROWS UNBOUNDED PRECEDING)"""
+round(sum(value * n) OVER w / sum(n) OVER w, 9) AS average, round(median(value) OVER (PARTITION BY series ORDER BY step ROWS 19 PRECEDING), 6) AS median FROM e WINDOW w AS (PARTITION BY series ORDER BY step ROWS UNBOUNDED PRECEDING)"""
 )
 def smoothed_value(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("step"), "value", (1 + F.col("user_id") % 3).alias("n"))
-    return metrics.smoothed(rows, "step", "value", "n").select("series", "step", _r("average"), _r("median"))
+    return metrics.smoothed(rows, "step", "value", "n").select("series", "step", _r("average", 9), _r("median"))
 
 
 @query("WITH e AS (SELECT event_type AS arch, event_id AS epoch, round(value + user_id % 10, 9) AS score FROM events) SELECT arch, arg_max(epoch, (score, -epoch)) AS epoch, round(max(score), 6) AS score FROM e GROUP BY 1")
