@@ -134,13 +134,13 @@ def remove_documents(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` with the hit words, and the gap before each, cut out of the text."""
-    found = hits(docs, items, text=text, **how).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad"), "hits")
+    found = hits(docs, items, text=text, **how).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad"), F.col("hits").alias("_hits"))
     rows = docs.join(found, F.col("doc_id") == F.col("_bad"), "left").drop("_bad")
     word = _GAP[:-1].replace("[", "[^", 1) + "+"
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?:{_GAP[:-1]}*{word}|{_GAP}$)"), F.lit(0))
-    rows = rows.withColumn("_pieces", F.when(F.size("hits") > 0, pieces))
-    clean = F.array_join(F.filter("_pieces", lambda p, i: ~F.exists("hits", lambda h: (i + 1 >= h["at"]) & (i + 1 < h["at"] + h["len"]))), "")
-    return rows.withColumn(text, F.when(F.size("_pieces") > 0, clean).otherwise(F.col(text))).drop("_pieces", "hits")
+    rows = rows.withColumn("_pieces", F.when(F.size("_hits") > 0, pieces))
+    clean = F.array_join(F.filter("_pieces", lambda p, i: ~F.exists("_hits", lambda h: (i + 1 >= h["at"]) & (i + 1 < h["at"] + h["len"]))), "")
+    return rows.withColumn(text, F.when(F.size("_pieces") > 0, clean).otherwise(F.col(text))).drop("_pieces", "_hits")
 
 
 #: DuckDB's form of the query.

@@ -91,8 +91,13 @@ class Model:
         return out
 
     def _tries(self) -> None:
-        """Dense tries: two bytes give a pair, a third a triple, a fourth the row of the table; 0 is unseen."""
-        pairs, triples, quads = self.codes[1], self.codes[2], self.codes[3]
+        """Dense tries: two bytes give a pair, a third a triple, a fourth the row of the table; 0 is unseen.
+
+        Pairs and triples are what was seen and, as texts start after zeros, the contexts.
+        """
+        quads = self.codes[3]
+        triples = np.union1d(self.codes[2], quads >> np.uint32(8))
+        pairs = np.union1d(self.codes[1], triples >> np.uint32(8))
         self.pair = np.zeros(1 << 16, np.int32)
         self.pair[pairs] = np.arange(1, len(pairs) + 1)
         self.triple = np.zeros((len(pairs) + 1) << 8, np.int32)
@@ -104,18 +109,19 @@ class Model:
         third = self._triple(quads >> np.uint32(24), (quads >> np.uint32(16)) & np.uint32(255), (quads >> np.uint32(8)) & np.uint32(255))
         self.quad = np.zeros((len(triples) + 1) * self.width, np.int32)
         self.quad[third.astype(np.int64) * self.width + self.symbol[quads & np.uint32(255)]] = np.arange(1, len(quads) + 1)
-        pad = lambda rows: np.concatenate([np.zeros((1, rows.shape[1]), np.float32), rows])
+        n = len(self.languages)
+        self.cost4 = np.concatenate([np.zeros((1, n), np.float32), self.length[3]])
+        self.cost3, self.known3 = np.zeros((len(triples) + 1, n), np.float32), np.zeros(len(triples) + 1, bool)
+        at = 1 + np.searchsorted(triples, self.codes[2])
+        self.cost3[at], self.known3[at] = self.length[2], True
         # Escapes lie by context; a context of two bytes is a pair and one of three bytes a triple.
-        esc2, esc3 = np.zeros((len(pairs) + 1, len(self.languages)), np.float32), np.zeros((len(triples) + 1, len(self.languages)), np.float32)
-        c2, c3 = np.unique(triples >> np.uint32(8)), np.unique(quads >> np.uint32(8))
-        esc2[self.pair[c2]] = self.escape[2]
-        esc3[self._triple(c3 >> np.uint32(16), (c3 >> np.uint32(8)) & np.uint32(255), c3 & np.uint32(255))] = self.escape[3]
-        self.esc2, self.esc3 = esc2, esc3
-        self.cost4, self.cost3 = pad(self.length[3]), pad(self.length[2])
+        self.esc2, self.esc3 = np.zeros((len(pairs) + 1, n), np.float32), np.zeros((len(triples) + 1, n), np.float32)
+        self.esc2[1 + np.searchsorted(pairs, np.unique(self.codes[2] >> np.uint32(8)))] = self.escape[2]
+        self.esc3[1 + np.searchsorted(triples, np.unique(quads >> np.uint32(8)))] = self.escape[3]
         dense = np.tile(self.zero, (256, 1))  # by (context byte, byte): code lengths at order 1
-        ctx = np.unique(pairs >> np.uint32(8))
+        ctx = np.unique(self.codes[1] >> np.uint32(8))
         dense.reshape(256, 256, -1)[ctx] += self.escape[1][:, None, :]
-        dense[pairs] = self.length[1]
+        dense[self.codes[1]] = self.length[1]
         self.cost2 = dense
         del self.codes, self.length, self.escape
 
@@ -135,7 +141,7 @@ class Model:
         if len(miss):
             third = self._triple(b2[miss], b1[miss], data[miss])
             rest = self.cost3[third]
-            (more,) = np.nonzero(third == 0)
+            (more,) = np.nonzero(~self.known3[third])
             if len(more):
                 at = miss[more]
                 pair = (b2[at].astype(np.int32) << 8) + b1[at]

@@ -206,6 +206,7 @@ def sanitise(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` with entities replaced by their kind and disclosing terms generalised to [TERM] or removed."""
     found = report(docs, text, **how).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.transform("terms", lambda t: F.concat(t["start"], F.lit(":"), t["level"])).alias("_levels")).dropDuplicates(["_id"])
     rows = docs.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -219,6 +220,6 @@ def sanitise(docs: DataFrame, text: str = "text", **how) -> DataFrame:
                         out += [t[end : int(a)], "" if a in gone else f"[{kind.upper()}]"]
                         end = int(b)
                 clean.append(t if t is None else "".join(out) + t[end:])
-            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type)).select(docs.columns)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type)).select(columns)
 
     return rows.mapInArrow(run, docs.schema)
