@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; temporaries are a small multiple of this (or of one longer document).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64

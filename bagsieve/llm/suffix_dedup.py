@@ -7,8 +7,10 @@ copies (the least hash of 32 bytes in 369 places), and only suffixes that start
 1. Samples are joined by the hash of their 32 bytes; one that stands alone repeats nothing.
 2. With each sample goes a digest of all text that strings over it can reach.  Where it is equal for two samples, all
    strings over both are repeats; one of them stands for the rest below.
-3. Where samples agree in their 32 bytes but not in that text, the texts to the right and to the left are
-   sorted by deep-shallow sorting (suffix_sort) and the order tells which strings are repeats.
+3. Where samples agree in their 32 bytes but not in that text, a string over both has more than half of its
+   bytes on one side: the samples then agree in the 216 bytes to the right or in the 184 to the left, and those
+   that do form a group for that side.  In each group the texts to the right and to the left are sorted by
+   deep-shallow sorting (suffix_sort), and the order tells which strings are repeats.
    Groups of more than ``GROUP`` different texts don't go to one task: their strings meet by hash instead.
 
 Documents' texts are shuffled once: both joins use the same exchange.
@@ -35,9 +37,14 @@ GROUP = 20_000
 
 
 def samples(docs: DataFrame, length: int) -> DataFrame:
-    """(seed, around, doc_id, at): sampled byte positions, their hash and the digest of the text around."""
+    """(seed, around, right, left, doc_id, at): sampled byte positions and hashes of what is around them.
+
+    seed is that of the sample, around that of all text in reach, right and left those of the near text to one
+    side, or null where the text ends before.
+    """
     ship(docs.sparkSession)
     places = length - SAMPLE + 1
+    near_left, near_right = _near(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -59,30 +66,55 @@ def samples(docs: DataFrame, length: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 around = mix(around + (chosen - low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
             ids = batch.column("doc_id").to_numpy()
+            right = span_hashes(sums, chosen, np.minimum(chosen + near_right, high))
+            left = span_hashes(sums, np.maximum(chosen - near_left, low), chosen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[chosen].view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[own]), pa.array((chosen - off[own]).astype(np.int32))],
-                names=["seed", "around", "doc_id", "at"],
+                [
+                    pa.array(hashes[chosen].view(np.int64)),
+                    pa.array(around.view(np.int64)),
+                    pa.array(right.view(np.int64), mask=chosen + near_right > high),
+                    pa.array(left.view(np.int64), mask=chosen - near_left < low),
+                    pa.array(ids[own]),
+                    pa.array((chosen - off[own]).astype(np.int32)),
+                ],
+                names=["seed", "around", "right", "left", "doc_id", "at"],
             )
 
-    return docs.mapInArrow(run, "seed long, around long, doc_id long, at int")
+    return docs.mapInArrow(run, "seed long, around long, right long, left long, doc_id long, at int")
+
+
+def _near(length: int) -> tuple[int, int]:
+    """Bytes to the left and to the right of a sample of which strings over it have all of one or the other."""
+    left = (length - SAMPLE) // 2
+    return left, length - left
 
 
 def joined(found: DataFrame, group: int) -> DataFrame:
     """(doc_id, settled, open): by document, positions of samples that are repeats as far as strings reach, and
-    (at, seed, wide) of those to be compared."""
+    (at, key, side, wide) of those to be compared, once for each side on which others agree."""
     rows = found.repartition("seed")
-    same, all_ = Window.partitionBy("seed", "around"), Window.partitionBy("seed")
-    rows = rows.withColumn("equal", F.count(F.lit(1)).over(same)).withColumn("k", F.row_number().over(same.orderBy("doc_id", "at")))
-    rows = rows.withColumn("texts", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(all_))
-    rows = rows.where("equal > 1 OR texts > 1")
-    settled = F.when(F.col("equal") > 1, F.col("at"))
-    open_ = F.when((F.col("texts") > 1) & (F.col("k") == 1), F.struct("at", "seed", (F.col("texts") > group).alias("wide")))
-    return rows.groupBy("doc_id").agg(F.collect_list(settled).alias("settled"), F.collect_list(open_).alias("open"))
+    same = Window.partitionBy("seed", "around")
+    rows = rows.withColumn("equal", F.count(F.lit(1)).over(same)).withColumn("one", (F.row_number().over(same.orderBy("doc_id", "at")) == 1).cast("int"))
+    for side in ("right", "left"):
+        rows = rows.withColumn("n_" + side, F.when(F.col(side).isNotNull(), F.sum("one").over(Window.partitionBy("seed", side))).otherwise(0))
+    rows = rows.where("equal > 1 OR n_right > 1 OR n_left > 1")
+
+    def entry(side: str):
+        n = F.col("n_" + side)
+        return F.when((F.col("one") == 1) & (n > 1), F.struct("at", F.xxhash64("seed", side).alias("key"), F.lit(side).alias("side"), (n > group).alias("wide")))
+
+    rows = rows.select("doc_id", F.when(F.col("equal") > 1, F.col("at")).alias("at"), F.filter(F.array(entry("right"), entry("left")), lambda x: x.isNotNull()).alias("open"))
+    return rows.groupBy("doc_id").agg(F.collect_list("at").alias("settled"), F.flatten(F.collect_list("open")).alias("open"))
 
 
 def snippets(rows: DataFrame, length: int) -> DataFrame:
-    """(seed, wide, doc_id, at, left, right): the text around open samples, left reversed, for (doc_id, text, open)."""
+    """(key, wide, doc_id, at, left, right): the text around open samples, left reversed, for (doc_id, text, open).
+
+    A group of the right side is for strings with the near text to the right, one of the left for all others.
+    """
     ship(rows.sparkSession)
+    near_left, near_right = _near(length)
+    reach = {"right": (near_left, length), "left": (length - SAMPLE, near_right - 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -90,15 +122,15 @@ def snippets(rows: DataFrame, length: int) -> DataFrame:
             for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("open").to_pylist()):
                 raw = (text or "").encode()
                 for x in found:
-                    at = x["at"]
-                    for to, v in zip(out, (x["seed"], x["wide"], doc, at, raw[max(0, at - (length - SAMPLE)) : at][::-1], raw[at : at + length])):
+                    at, (back, ahead) = x["at"], reach[x["side"]]
+                    for to, v in zip(out, (x["key"], x["wide"], doc, at, raw[max(0, at - back) : at][::-1], raw[at : at + ahead])):
                         to.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())],
-                names=["seed", "wide", "doc_id", "at", "left", "right"],
+                names=["key", "wide", "doc_id", "at", "left", "right"],
             )
 
-    return rows.mapInArrow(run, "seed long, wide boolean, doc_id long, at int, left binary, right binary")
+    return rows.mapInArrow(run, "key long, wide boolean, doc_id long, at int, left binary, right binary")
 
 
 _STARTS = "doc_id long, low int, high int"
@@ -121,10 +153,10 @@ def sorted_starts(found: DataFrame, length: int) -> DataFrame:
                     out.extend((doc, at - high, at - low) for low, high in starts)
 
         for batch in batches:
-            for seed, *row in zip(*(batch.column(c).to_pylist() for c in ("seed", "doc_id", "at", "left", "right"))):
-                if seed != now:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "at", "left", "right"))):
+                if key != now:
                     close()
-                    now, group = seed, []
+                    now, group = key, []
                 group.append(row)
             if len(out) > 10_000:
                 yield _batch(out)
@@ -133,7 +165,7 @@ def sorted_starts(found: DataFrame, length: int) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return found.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, _STARTS)
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, _STARTS)
 
 
 def hashed_starts(found: DataFrame, length: int) -> DataFrame:
@@ -141,18 +173,18 @@ def hashed_starts(found: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seed, doc, at, left, right in zip(*(batch.column(c).to_pylist() for c in ("seed", "doc_id", "at", "left", "right"))):
+            for key, doc, at, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "at", "left", "right"))):
                 data = np.frombuffer(left[::-1] + right, np.uint8)
                 starts = np.arange(len(data) - length + 1)
                 if len(starts):
                     hashes = mix(span_hashes(prefix_sums(data), starts, starts + length) ^ mix((len(left) - starts).astype(np.uint64)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(starts), seed)), pa.array(hashes.view(np.int64)), pa.array(np.full(len(starts), doc)), pa.array((starts + at - len(left)).astype(np.int32))],
-                        names=["seed", "string", "doc_id", "start"],
+                        [pa.array(np.full(len(starts), key)), pa.array(hashes.view(np.int64)), pa.array(np.full(len(starts), doc)), pa.array((starts + at - len(left)).astype(np.int32))],
+                        names=["key", "string", "doc_id", "start"],
                     )
 
-    rows = found.mapInArrow(run, "seed long, string long, doc_id long, start int")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seed", "string"))).where("n > 1")
+    rows = found.mapInArrow(run, "key long, string long, doc_id long, start int")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "string"))).where("n > 1")
     return rows.select("doc_id", F.col("start").alias("low"), F.col("start").alias("high"))
 
 

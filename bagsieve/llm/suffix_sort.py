@@ -7,6 +7,8 @@ compares each string once in full.
 
 from __future__ import annotations
 
+import numpy as np
+
 SHALLOW = 48
 _STEP = 8
 
@@ -145,15 +147,37 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], length: int) -> lis
         keep = fit
         by_right, by_left = [k for k in by_right if most[k] >= length], [k for k in by_left if most[k] >= length]
         lcp = [common(rights[a], rights[b]) for a, b in zip(by_right, by_right[1:])]
-    rank = {k: j for j, k in enumerate(by_left)}
-    for depth, low, high in _nodes(lcp, len(by_right)):
+    # Nodes come deepest first.  A place whose whole left side has matched can gain nothing from a shallower node.
+    order = np.array(by_right)
+    rank = np.zeros(len(lefts), np.int64)
+    rank[by_left] = np.arange(len(by_left))
+    ranks, todo, reached = rank[order], np.ones(len(order), bool), {}
+    for depth, low, high in _nodes(lcp, len(order)):
+        open_ = np.flatnonzero(todo[low : high + 1])
+        if not len(open_):
+            continue
         need = length - depth
-        members = sorted(by_right[low : high + 1], key=rank.__getitem__)
-        before = 0
-        for j, k in enumerate(members):
-            after = common(lefts[k], lefts[members[j + 1]]) if j + 1 < len(members) else 0
-            best = max(before, after)
-            if best >= need and len(members) > 1:
+        sort = np.argsort(ranks[low : high + 1])
+        members = order[low : high + 1][sort]
+        place = np.empty(len(sort), np.int64)
+        place[sort] = np.arange(len(sort))
+        for j in open_.tolist():
+            at, k = int(place[j]), int(order[low + j])
+            left = lefts[k]
+            best = max(common(left, lefts[members[at - 1]]) if at else 0, common(left, lefts[members[at + 1]]) if at + 1 < len(members) else 0)
+            if best >= need and best > reached.get(k, -1):
+                reached[k] = best
                 out[k].append((max(0, need), best))
-            before = after
-    return out
+                todo[low + j] = best < len(left)
+    return [_merged(x) for x in out]
+
+
+def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals that overlap or touch as one."""
+    done: list[tuple[int, int]] = []
+    for low, high in sorted(intervals):
+        if done and low <= done[-1][1] + 1:
+            done[-1] = (done[-1][0], max(done[-1][1], high))
+        else:
+            done.append((low, high))
+    return done
