@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .flattext import flat, gram_hashes, mix, prefix_sums, slices, span_hashes, value_sums, window_minima, words
+from .scratch import written
 
 WINDOW = 13
 SEED = 5
@@ -111,7 +112,7 @@ def open_windows(rows: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with settled (seed positions) and starts (of repeated windows); null if none."""
-    shared = joined(seeds(docs))
+    shared = written(joined(seeds(docs)), "substring-seeds")
     opened = open_windows(docs.join(shared.where(F.size("open") > 0).select("doc_id", "open"), "doc_id").select("doc_id", "text", "open"))
     opened = opened.withColumn("first", F.min("doc_id").over(Window.partitionBy("window"))).where("first < doc_id")
     starts = opened.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
