@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import budget, cluster, fill, refine
+from ..session import keep
 
 
 @dataclass(frozen=True)
@@ -54,16 +55,12 @@ class SamplerSpec:
         """A tenth of the rows, without swaps."""
         return cls(ratio=0.1, cluster_ratio=0.005, rounds=10, shortlist="knn_mean_margin", shortlist_size=16, swaps=0, residual=0.0)
 
-    def _keep(self, rows: DataFrame) -> DataFrame:
-        """Cuts lineage: a checkpoint where the session has a folder for them, else the cache."""
-        return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.cache()
-
     def run(self, rows: DataFrame) -> DataFrame:
         """(vec_id, role) of the selected rows: core for medoids that stayed, extra for the rest."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        rows = self._keep(rows.select("vec_id", "x"))
+        rows = keep(rows.select("vec_id", "x"))
         n = rows.count()
         spark = rows.sparkSession
         goal, k = spark.range(1).select(budget.target(self.ratio, F.lit(n)).alias("t"), budget.cluster_count(self.cluster_ratio, F.lit(n), budget.target(self.ratio, F.lit(n)), self.least_clusters).alias("k")).first()
@@ -74,9 +71,9 @@ class SamplerSpec:
             centres = [(0, [float(v) for v in rows.withColumn("cluster", F.lit(0)).transform(cluster.centroids).first()["centre"]])]
         centres = spark.createDataFrame(centres, "cluster int, centre array<double>")
         start = cluster.representatives(cluster.assign(rows, centres), centres).select("cluster", "vec_id").dropDuplicates(["vec_id"])
-        medoids = cluster.kmedoid(rows, self._keep(start), self.rounds, self.shortlist_size, self.shortlist, self.separation, keep=self._keep)
+        medoids = cluster.kmedoid(rows, keep(start), self.rounds, self.shortlist_size, self.shortlist, self.separation, keep=keep)
         medoid_rows = rows.join(F.broadcast(medoids), "vec_id").select("cluster", F.col("x").alias("centre"))
-        labelled = self._keep(cluster.assign(rows, medoid_rows).join(medoids.select("vec_id").withColumn("is_seed", F.lit(True)), "vec_id", "left").select(F.lit(1).alias("bag"), "vec_id", "cluster", "x", F.coalesce("is_seed", F.lit(False)).alias("is_seed"), "d2"))
+        labelled = keep(cluster.assign(rows, medoid_rows).join(medoids.select("vec_id").withColumn("is_seed", F.lit(True)), "vec_id", "left").select(F.lit(1).alias("bag"), "vec_id", "cluster", "x", F.coalesce("is_seed", F.lit(False)).alias("is_seed"), "d2"))
         sizes = labelled.groupBy("bag", "cluster").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("is_seed")).cast("long")).alias("available"), F.avg(F.sqrt("d2")).alias("density"))
         sizes = sizes.join(cluster.within_variance(labelled.select("cluster", "vec_id", "x")).select("cluster", "variance"), "cluster")
         taken = labelled.where("is_seed").count()
@@ -85,15 +82,15 @@ class SamplerSpec:
         filled = fill.fill_clusters(ready, "random", seed=self.seed) if self.fill == "random" else fill.fill_bag(ready, self.fill)
         chosen = filled.select("vec_id").withColumn("_extra", F.lit(True))
         state = labelled.join(chosen, "vec_id", "left").withColumn("selected", F.col("is_seed") | F.coalesce("_extra", F.lit(False)))
-        state = self._keep(state.select("bag", "vec_id", "cluster", "x", "is_seed", "selected"))
+        state = keep(state.select("bag", "vec_id", "cluster", "x", "is_seed", "selected"))
         if self.swaps:
             moved = []
             for _ in range(self.swaps):
-                found = self._keep(refine.swaps(state, self.sign))
+                found = keep(refine.swaps(state, self.sign))
                 if found.isEmpty():
                     break
                 moved.append(found)
-                state = self._keep(refine.apply_swaps(state, found))
+                state = keep(refine.apply_swaps(state, found))
             if moved and self.residual > 0:
                 deltas = moved[0]
                 for more in moved[1:]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector, squared_l2
 from ..operators import budget, cluster, fill, refine, sample
+from ..session import keep
 from .registry import C, V, bags, query, sq, table, vectors
 
 RATIO = 0.25
@@ -200,7 +201,7 @@ def swap_step_weighted(spark, sf_dir):
 @query()
 def swap_refine(spark, sf_dir):
     """(vec_id): the selection after two parallel passes."""
-    return refine.parallel_refine(bags(spark, sf_dir), 2, keep=lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.cache()).where("selected").select("vec_id")
+    return refine.parallel_refine(bags(spark, sf_dir), 2, keep=keep).where("selected").select("vec_id")
 
 
 @query()

@@ -63,9 +63,9 @@ def label_encode(spark, sf_dir):
     return catalogue.dense_labels(table(spark, sf_dir, "documents").select("doc_id", "source"), "source").select("doc_id", "source", F.col("label").cast("int").alias("label"))
 
 
-@query("SELECT c_custkey, array_to_string(string_split('TCGA-' || c_nationkey || '-' || c_custkey || '-01-DX', '-')[1:3], '-') AS patient FROM customer")
+@query("SELECT c_custkey, array_to_string(string_split('SITE-' || c_nationkey || '-' || c_custkey || '-01-DX', '-')[1:3], '-') AS patient FROM customer")
 def patient_id(spark, sf_dir):
-    name = F.concat(F.lit("TCGA-"), "c_nationkey", F.lit("-"), "c_custkey", F.lit("-01-DX"))
+    name = F.concat(F.lit("SITE-"), "c_nationkey", F.lit("-"), "c_custkey", F.lit("-01-DX"))
     return table(spark, sf_dir, "customer").select("c_custkey", catalogue.patient(name).alias("patient"))
 
 

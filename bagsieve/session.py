@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -23,3 +23,9 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(PACKAGE.parent))
     context.addPyFile(archive)
     context._bagsieve_shipped = True
+
+
+def keep(rows: DataFrame) -> DataFrame:
+    """Cuts lineage: a checkpoint where the context has a folder for them, else the cache."""
+    context = rows.sparkSession.sparkContext
+    return rows.checkpoint() if context._jsc.sc().getCheckpointDir().isDefined() else rows.cache()
