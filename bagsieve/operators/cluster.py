@@ -148,29 +148,29 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("d2").alias("inertia"))
 
 
-def kmedoid(rows: DataFrame, start: DataFrame, rounds: int = 50, size: int = 8, strategy: str = "margin_max", push: float = 0.22, keep=lambda df: df) -> DataFrame:
+def kmedoid(rows: DataFrame, start: DataFrame, rounds: int = 50, size: int = 8, strategy: str = "margin_max", push: float = 0.22) -> DataFrame:
     """(cluster, vec_id): medoids by assigning, refining and refilling until they repeat.
 
-    ``start`` has (cluster, vec_id); ``keep`` materialises each round's medoids, whose ids, a row for each cluster,
-    are compared on the driver.  Their number is held to CENTRE_BOUND.
+    ``start`` has (cluster, vec_id).  The ids of a round's medoids, one for each cluster, pass through the driver
+    (CENTRE_BOUND at most), so that no round builds on the plan of the last.
     """
-    medoids, before = start, None
+    spark, kind = rows.sparkSession, "cluster int, vec_id long"
+    now = sorted((int(c), int(v)) for c, v in start.select("cluster", "vec_id").limit(CENTRE_BOUND + 1).collect())
+    if len(now) > CENTRE_BOUND:
+        raise ValueError(f"more than {CENTRE_BOUND} medoids")
     for _ in range(rounds):
-        now = sorted(map(tuple, medoids.select("cluster", "vec_id").collect()))
+        medoids = spark.createDataFrame(now, kind)
+        centres = rows.select("vec_id", F.col("x").alias("centre")).join(F.broadcast(medoids), "vec_id").select("cluster", "centre")
+        assigned = assign(rows, centres)
+        found = {int(c): int(v) for c, v in bounded_medoids(assigned, shortlist(margins(assigned, centres), strategy, size), push=push).select("cluster", "vec_id").collect()}
+        lost = [c for c, _ in now if c not in found]
+        if lost:
+            taken = spark.createDataFrame(sorted(found.items()), kind)
+            found.update(zip(lost, (int(r["vec_id"]) for r in refill_empty(assigned, taken, len(lost)).collect())))
+        before, now = now, sorted(found.items())
         if now == before:
             break
-        before = now
-        centres = rows.select("vec_id", F.col("x").alias("centre")).join(F.broadcast(medoids.select("cluster", "vec_id")), "vec_id").select("cluster", "centre")
-        assigned = assign(rows, centres)
-        found = bounded_medoids(assigned, shortlist(margins(assigned, centres), strategy, size), push=push).select("cluster", "vec_id")
-        lost = medoids.select("cluster").join(found.select("cluster"), "cluster", "left_anti")
-        count = lost.count()
-        if count:
-            spare = refill_empty(assigned, found, count).withColumn("k", F.row_number().over(Window.orderBy(F.desc("d2"), "vec_id")))
-            lost = lost.withColumn("k", F.row_number().over(Window.orderBy("cluster")))
-            found = found.unionByName(lost.join(spare, "k").select("cluster", "vec_id"))
-        medoids = keep(found)
-    return medoids
+    return spark.createDataFrame(now, kind)
 
 
 def unit_rows(rows: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Refining a selection by swaps; the number of selected rows never changes.
 
 The parallel step needs, for every row of a bag, its mean distance to the selected rows of its own cluster and of
-the others.  The selected rows of a bag are few (a share of it) and travel as blocks, so that the sums are made inside
-each row's own record: a row meets each block once, and partial sums are added by row.
+the others.  Rows and selected rows of a bag are dealt into blocks by a hash of their ids; every block of rows meets
+every block of selected rows of its bag once, a numpy kernel makes the sums for that pair of blocks, and partial
+sums are added by row.  No pair of rows is ever a record.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +19,64 @@ from ..session import ship
 from . import kernels
 from .fill import _matrix, checked
 
-#: Selected rows in a block.
+#: Rows in a block, about.
 BLOCK = 256
 
 
-def selected_blocks(rows: DataFrame) -> DataFrame:
-    """(bag, block, members): the selected rows of each bag in blocks."""
-    place = F.row_number().over(Window.partitionBy("bag").orderBy("vec_id"))
-    chosen = rows.where("selected").select("bag", "vec_id", "cluster", "x", F.floor((place - 1) / BLOCK).alias("block"))
-    return chosen.groupBy("bag", "block").agg(F.collect_list(F.struct("vec_id", "cluster", "x")).alias("members"))
+def _blocks(rows: DataFrame, prefix: str, *columns: str) -> DataFrame:
+    """(bag, <prefix>): lists of about BLOCK rows of each bag."""
+    sizes = rows.groupBy("bag").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    dealt = rows.join(sizes, "bag").withColumn("_block", F.pmod(F.xxhash64("vec_id"), "_blocks"))
+    return dealt.groupBy("bag", "_block").agg(F.collect_list(F.struct("vec_id", "cluster", "x", *columns)).alias(prefix)).drop("_block")
+
+
+def selected_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    """(bag, members): the selected rows of each bag in blocks."""
+    return _blocks(rows.where("selected"), "members", *columns)
+
+
+def _parts(lists: pa.ListArray, k: int) -> tuple:
+    """Ids, clusters, vectors and weights of the k-th list."""
+    a, b = lists.offsets[k].as_py(), lists.offsets[k + 1].as_py()
+    rows = lists.values.slice(a, b - a)
+    x = rows.field("x").slice(a, b - a) if len(rows.field("x")) != b - a else rows.field("x")
+    matrix = x.flatten().to_numpy().reshape(b - a, -1)
+    names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
+    pick = lambda c: pa.compute.struct_field(rows, c).to_numpy(zero_copy_only=False)
+    return pick("vec_id"), pick("cluster"), matrix, pick("w") if "w" in names else np.ones(b - a)
+
+
+def distance_sums(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(bag, vec_id, os, ow, ss, sw, near) for rows (bag, vec_id, cluster, x, selected).
+
+    Sums of weighted distances and of weights over the selected rows of other clusters (os, ow) and of the own one
+    (ss, sw), the row itself left out, and the distance to the nearest one of another cluster.
+    """
+    ship(rows.sparkSession)
+    base = rows.select("bag", "vec_id", "cluster", "x", "selected")
+    if weights is None:
+        members = selected_blocks(base)
+    else:
+        members = selected_blocks(base.join(weights.select("bag", "vec_id", "w"), ["bag", "vec_id"]), "w")
+    met = _blocks(base, "rows").join(members, "bag").select("bag", "rows", "members")
+    kind = rows.schema["bag"].dataType.simpleString()
+    names = ["vec_id", "os", "ow", "ss", "sw", "near"]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, clusters, x, _ = _parts(batch.column("rows"), k)
+                others, labels, y, w = _parts(batch.column("members"), k)
+                d = kernels.pairwise(x, y)
+                same = clusters[:, None] == labels[None]
+                own, far = same & (ids[:, None] != others[None]), ~same
+                near = np.where(far, d, np.inf).min(1)
+                out = [ids, (d * w * far).sum(1), (w * far).sum(1), (d * w * own).sum(1), (w * own).sum(1)]
+                bag = pa.array([batch.column("bag")[k].as_py()] * len(ids), batch.column("bag").type)
+                yield pa.RecordBatch.from_arrays([bag, pa.array(ids, pa.int64()), *[pa.array(v, pa.float64()) for v in out[1:]], pa.array(near, mask=np.isinf(near))], names=["bag", *names])
+
+    sums = met.mapInArrow(run, f"bag {kind}, vec_id long, os double, ow double, ss double, sw double, near double")
+    return sums.groupBy("bag", "vec_id").agg(*[(F.min if c == "near" else F.sum)(c).alias(c) for c in names[1:]])
 
 
 def margins(rows: DataFrame, spread: float = 0.0, weights: DataFrame | None = None) -> DataFrame:
@@ -35,30 +86,12 @@ def margins(rows: DataFrame, spread: float = 0.0, weights: DataFrame | None = No
     ``weights`` has (bag, vec_id, w) for the selected rows; ``spread`` rewards the distance to the nearest one of
     another cluster.
     """
-    blocks = selected_blocks(rows)
-    if weights is not None:
-        blocks = blocks.select("bag", "block", F.explode("members").alias("m")).select("bag", "block", "m.*").join(weights.select("bag", "vec_id", "w"), ["bag", "vec_id"])
-        blocks = blocks.groupBy("bag", "block").agg(F.collect_list(F.struct("vec_id", "cluster", "x", "w")).alias("members"))
-    met = rows.join(blocks, "bag")
-
-    def part(same: bool, value: str):
-        keep = lambda m: ((m["cluster"] == F.col("cluster")) & (m["vec_id"] != F.col("vec_id"))) if same else m["cluster"] != F.col("cluster")
-        weight = lambda m: F.lit(1.0) if weights is None else m["w"]
-        if value == "least":
-            return F.array_min(F.transform(F.filter("members", keep), lambda m: l2(F.col("x"), m["x"])))
-        add = (lambda s, m: s + weight(m)) if value == "weight" else (lambda s, m: s + weight(m) * l2(F.col("x"), m["x"]))
-        return F.aggregate(F.filter("members", keep), F.lit(0.0), add)
-
-    parts = {"_os": part(False, "sum"), "_ow": part(False, "weight"), "_ss": part(True, "sum"), "_sw": part(True, "weight")}
-    if spread > 0:
-        parts["_near"] = part(False, "least")
-    met = met.select("bag", "vec_id", *[v.alias(k) for k, v in parts.items()])
-    sums = met.groupBy("bag", "vec_id").agg(*[(F.min(k) if k == "_near" else F.sum(k)).alias(k) for k in parts])
-    margin = F.col("_os") / F.greatest("_ow", F.lit(1e-8)) - F.col("_ss") / F.greatest("_sw", F.lit(1e-8))
+    sums = distance_sums(rows, weights)
+    margin = F.col("os") / F.greatest("ow", F.lit(1e-8)) - F.col("ss") / F.greatest("sw", F.lit(1e-8))
     out = rows.join(sums, ["bag", "vec_id"]).withColumn("margin", margin)
     if spread > 0:
-        out = out.withColumn("reward", F.lit(spread) * F.coalesce("_near", F.lit(0.0)))
-    return out.drop(*parts)
+        out = out.withColumn("reward", F.lit(spread) * F.coalesce("near", F.lit(0.0)))
+    return out.drop("os", "ow", "ss", "sw", "near")
 
 
 def swap_weights(rows: DataFrame, kind: str) -> DataFrame | None:
@@ -139,9 +172,8 @@ def polish_extras(rows: DataFrame) -> DataFrame:
 
 def mean_to_selected(rows: DataFrame) -> DataFrame:
     """(bag, vec_id, cluster, selected, mean): mean distance to the bag's selected rows, itself left out."""
-    met = rows.join(selected_blocks(rows), "bag").select("bag", "vec_id", "cluster", "selected", F.size("members").alias("k"), F.aggregate("members", F.lit(0.0), lambda s, m: s + l2(F.col("x"), m["x"])).alias("d"))
-    sums = met.groupBy("bag", "vec_id", "cluster", "selected").agg(F.sum("d").alias("d"), F.sum("k").alias("k"))
-    return sums.select("bag", "vec_id", "cluster", "selected", (F.col("d") / F.greatest(F.col("k") - F.col("selected").cast("int"), F.lit(1))).alias("mean"))
+    sums = distance_sums(rows).select("bag", "vec_id", ((F.col("os") + F.col("ss")) / F.greatest(F.col("ow") + F.col("sw"), F.lit(1.0))).alias("mean"))
+    return rows.select("bag", "vec_id", "cluster", "selected").join(sums, ["bag", "vec_id"])
 
 
 def spread_swaps(rows: DataFrame, least: int = 2) -> DataFrame:
@@ -156,14 +188,37 @@ def spread_swaps(rows: DataFrame, least: int = 2) -> DataFrame:
     return by.select("bag", "cluster", F.col("near.vec_id").alias("out_id"), (-F.col("far.minus")).alias("in_id"))
 
 
+def nearest_free(rows: DataFrame, k: int) -> DataFrame:
+    """(bag, out_id, in_id, d): for each selected row its ``k`` nearest unselected ones, ties by id.
+
+    Each pair of blocks gives ``k`` for a row at most, and the best of those are taken by row.
+    """
+    ship(rows.sparkSession)
+    base = rows.select("bag", "vec_id", "cluster", "x", "selected")
+    met = _blocks(base.where("selected"), "rows").join(_blocks(base.where("NOT selected"), "members"), "bag").select("bag", "rows", "members")
+    kind = rows.schema["bag"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for j in range(batch.num_rows):
+                ids, _, x, _ = _parts(batch.column("rows"), j)
+                others, _, y, _ = _parts(batch.column("members"), j)
+                by_id = np.argsort(others, kind="stable")
+                d = kernels.pairwise(x, y)[:, by_id]
+                first = np.argsort(d, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(d, first, 1).ravel()
+                bag = pa.array([batch.column("bag")[j].as_py()] * len(found), batch.column("bag").type)
+                yield pa.RecordBatch.from_arrays([bag, pa.array(np.repeat(ids, first.shape[1]), pa.int64()), pa.array(others[by_id][first].ravel(), pa.int64()), pa.array(found)], names=["bag", "out_id", "in_id", "d"])
+
+    near = met.mapInArrow(run, f"bag {kind}, out_id long, in_id long, d double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("bag", "out_id").orderBy("d", "in_id"))).where(F.col("rank") <= k).drop("rank")
+
+
 def knn_swap(rows: DataFrame, k: int = 5, sign: int = -1) -> DataFrame:
     """(bag, out_id, in_id, delta): the best swap of a selected row with one of its ``k`` nearest unselected ones."""
     means = mean_to_selected(rows).select("bag", "vec_id", "mean")
     count = rows.where("selected").groupBy("bag").agg(F.count(F.lit(1)).alias("s"))
-    free = rows.where("NOT selected").select("bag", F.col("vec_id").alias("in_id"), F.col("x").alias("xu"))
-    blocks = selected_blocks(rows)
-    near = free.join(blocks, "bag").select("bag", "in_id", F.explode(F.transform("members", lambda m: F.struct(m["vec_id"].alias("out_id"), l2(F.col("xu"), m["x"]).alias("d")))).alias("m")).select("bag", "in_id", "m.*")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("bag", "out_id").orderBy("d", "in_id"))).where(F.col("rank") <= k)
+    near = nearest_free(rows, k)
     near = near.join(count, "bag").join(means.select("bag", F.col("vec_id").alias("out_id"), F.col("mean").alias("now")), ["bag", "out_id"])
     near = near.join(means.select("bag", F.col("vec_id").alias("in_id"), F.col("mean").alias("then")), ["bag", "in_id"])
     delta = 2.0 * ((F.col("then") * F.col("s") - F.col("d")) / (F.col("s") - 1) - F.col("now"))

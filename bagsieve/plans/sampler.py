@@ -71,7 +71,7 @@ class SamplerSpec:
             centres = [(0, [float(v) for v in rows.withColumn("cluster", F.lit(0)).transform(cluster.centroids).first()["centre"]])]
         centres = spark.createDataFrame(centres, "cluster int, centre array<double>")
         start = cluster.representatives(cluster.assign(rows, centres), centres).select("cluster", "vec_id").dropDuplicates(["vec_id"])
-        medoids = cluster.kmedoid(rows, keep(start), self.rounds, self.shortlist_size, self.shortlist, self.separation, keep=keep)
+        medoids = cluster.kmedoid(rows, keep(start), self.rounds, self.shortlist_size, self.shortlist, self.separation)
         medoid_rows = rows.join(F.broadcast(medoids), "vec_id").select("cluster", F.col("x").alias("centre"))
         labelled = keep(cluster.assign(rows, medoid_rows).join(medoids.select("vec_id").withColumn("is_seed", F.lit(True)), "vec_id", "left").select(F.lit(1).alias("bag"), "vec_id", "cluster", "x", F.coalesce("is_seed", F.lit(False)).alias("is_seed"), "d2"))
         sizes = labelled.groupBy("bag", "cluster").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("is_seed")).cast("long")).alias("available"), F.avg(F.sqrt("d2")).alias("density"))

@@ -199,7 +199,7 @@ def kmedoid(spark, sf_dir):
     """(cluster, vec_id): medoids from the representatives of the labels."""
     rows = vectors(spark, sf_dir)
     start = cluster.representatives(rows, cluster.centroids(rows)).select("cluster", "vec_id")
-    return cluster.kmedoid(rows, start, rounds=6, keep=lambda df: spark.createDataFrame(df.collect(), df.schema))
+    return cluster.kmedoid(rows, start, rounds=6)
 
 
 @query()

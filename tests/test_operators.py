@@ -125,7 +125,7 @@ def test_representatives_and_empty_cluster(spark):
 
 def test_kmedoid_settles(spark):
     start = spark.createDataFrame([(0, 0), (1, 3)], "cluster int, vec_id long")
-    got = cluster.kmedoid(_line(spark), start, push=0.0, keep=lambda d: d.cache())
+    got = cluster.kmedoid(_line(spark), start, push=0.0)
     assert sorted(r.vec_id for r in got.collect()) == [1, 4]
 
 
