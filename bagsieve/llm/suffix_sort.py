@@ -130,48 +130,61 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], length: int) -> lis
         if left + right >= length:
             out[0] = out[1] = [(max(0, length - right), left)]
         return out
-    keep = list(range(len(lefts)))
-    for _ in range(2):  # places that can't reach ``length`` with any other go before the tree is walked
-        by_right = [keep[k] for k in deep_shallow([rights[k] for k in keep])]
-        by_left = [keep[k] for k in deep_shallow([lefts[k] for k in keep])]
-        lcp = [common(rights[a], rights[b]) for a, b in zip(by_right, by_right[1:])]
-        side = [common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])]
-        most = {k: max(lcp[j - 1] if j else 0, lcp[j] if j < len(lcp) else 0) for j, k in enumerate(by_right)}
-        for j, k in enumerate(by_left):
-            most[k] += max(side[j - 1] if j else 0, side[j] if j < len(side) else 0)
-        fit = [k for k in keep if most[k] >= length]
-        if len(fit) < 2:
-            return out
-        if len(fit) == len(keep):
-            break
-        keep = fit
+    by_right, by_left = deep_shallow(rights), deep_shallow(lefts)
+    lcp = [common(rights[a], rights[b]) for a, b in zip(by_right, by_right[1:])]
+    side = [common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])]
+    most = [0] * len(lefts)
+    for order, near in ((by_right, lcp), (by_left, side)):
+        for k, a, b in zip(order, [0, *near], [*near, 0]):
+            most[k] += a if a > b else b
+    # Places that can't reach ``length`` with any other go before the tree is walked; the orders stay.
+    if min(most) < length:
         by_right, by_left = [k for k in by_right if most[k] >= length], [k for k in by_left if most[k] >= length]
+        if len(by_right) < 2:
+            return out
         lcp = [common(rights[a], rights[b]) for a, b in zip(by_right, by_right[1:])]
     # Nodes come deepest first.  A place whose whole left side has matched can gain nothing from a shallower node.
     order = np.array(by_right)
     rank = np.zeros(len(lefts), np.int64)
     rank[by_left] = np.arange(len(by_left))
-    ranks, todo, reached = rank[order], np.ones(len(order), bool), {}
+    ranks, full = rank[order], np.array([len(lefts[k]) for k in by_right])
+    side = [common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])]
+    least, reached, todo = _Least(side), np.full(len(order), -1), np.ones(len(order), bool)
     for depth, low, high in _nodes(lcp, len(order)):
-        open_ = np.flatnonzero(todo[low : high + 1])
-        if not len(open_):
+        if not todo[low : high + 1].any():
             continue
         need = length - depth
-        sort = np.argsort(ranks[low : high + 1])
-        members = order[low : high + 1][sort]
-        place = np.empty(len(sort), np.int64)
-        place[sort] = np.arange(len(sort))
-        for j in open_.tolist():
-            at, k = int(place[j]), int(order[low + j])
-            left = lefts[k]
-            best = max(common(left, lefts[members[at - 1]]) if at else 0, common(left, lefts[members[at + 1]]) if at + 1 < len(members) else 0)
-            if best >= need and best > reached.get(k, -1):
-                reached[k] = best
-                out[k].append((max(0, need), best))
-                todo[low + j] = best < len(left)
+        sort = np.argsort(ranks[low : high + 1]) + low  # the node's places by their left sides
+        near = least(ranks[sort[:-1]], ranks[sort[1:]])
+        best = np.zeros(len(sort), np.int64)
+        best[1:] = near
+        best[:-1] = np.maximum(best[:-1], near)
+        better = (best >= need) & (best > reached[sort])
+        for j, x in zip(sort[better].tolist(), best[better].tolist()):
+            out[by_right[j]].append((max(0, need), x))
+        reached[sort[better]] = best[better]
+        todo[sort[better]] = best[better] < full[sort[better]]
     return [_merged(x) for x in out]
 
 
+class _Least:
+    """The least of ``values[a:b]`` for many ranges at once."""
+
+    def __init__(self, values: list[int]) -> None:
+        self.levels = [np.array(values, np.int64)]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[:-step], last[step:]))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, span = np.empty(len(a), np.int64), b - a
+        level = np.frexp(span)[1] - 1
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(self.levels[k][a[at]], self.levels[k][b[at] - (1 << k)])
+        return out
+
+
 def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Intervals that overlap or touch as one."""
     done: list[tuple[int, int]] = []
