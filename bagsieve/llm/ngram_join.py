@@ -10,34 +10,44 @@ How work stays small:
 * Candidates come from prefixes: two sets that are similar enough share one of the first
   ``n - ceil(t * n) + 1`` n-grams of both in the global order.  As rare n-grams come first, passages that many
   documents share don't make candidates.
-* Documents that share a prefix n-gram aren't compared all with all.  Each such bucket has a centre, the member
-  whose n-grams are the most common; the others are compared with it, links give components, and only members of
-  different components go on, with the next centre.  A bucket is done when one component is left or every member
-  was centre.  After ``ROUNDS`` rounds the remaining pairs of different components are compared outright.  So
-  every link between different components is found, and links inside one aren't needed: components are exact.
-
-The order needs no exact counts, only the same order for everyone.  Counts are kept by hash in ``2**22`` counters
-of 16 bits (8 MB whatever the input), summed block by block, and ties go by hash.
+* Documents that share a prefix n-gram, and are in neighbouring classes of size, form a bucket, but aren't compared
+  all with all, if it has more than ``FEW`` members.  Each bucket has a centre P, the member whose n-grams are the most common, and the others
+  are compared with P only.  Links give components.  Take two members X and Y that aren't in one component then.
+  Their overlap is at most min(|X & P|, |Y & P|) plus what they share outside P.  So either that minimum alone is
+  enough, which the numbers tell and which is rare (then the two are compared); or they share an n-gram outside P,
+  and one among the first ``n - ceil(t * n) + 1`` of X - P and of Y - P.  Those make the buckets of the next round.
+  A passage, or the original of many near copies, is inside P and thus makes no candidates any more.
+  What is open after ``ROUNDS`` rounds is compared outright.  Every link between different components is found, and
+  links inside one aren't needed: components are exact.
+
+The order needs no exact counts, only the same order for everyone.  Counts are kept by hash in ``2**24`` counters
+of 8 bits (16 MB whatever the input), summed block by block, and ties go by hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .components import components
 from .flattext import LOWER, flat, gram_hashes, prefix_sums, slices, span_hashes, words
-from .scratch import written
+from .scratch import discard, written
 
-COUNTERS = 1 << 22
+COUNTERS = 1 << 24
 BLOCK = 1 << 16
+TOP = 255
 FRAGMENTS = 4
-ROUNDS = 4
+ROUNDS = 2
+#: Members of a bucket that are compared all with all.
+FEW = 4
+#: Pairs that are broadcast at most to the scan of their documents (about 64 MB); more are joined by shuffle.
+ROLE_BOUND = 1_000_000
 
 
 def _grams(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,41 +74,41 @@ def _grams(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def gram_counters(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all n-grams of the corpus by hash, 65535 at most each."""
+    """Counts of all n-grams of the corpus by hash, TOP at most each.
+
+    A task sends each block as a bitmap of the counters in use and a list of those over 1.
+    """
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
+        total = np.zeros(COUNTERS, np.uint8)
         for batch in slices(batches):
             grams, lo, hi = _grams(batch, n)
             inside = np.zeros(len(grams) + 1, np.int32)
             np.add.at(inside, lo, 1)
             np.add.at(inside, hi, -1)
-            total += np.bincount((grams[np.cumsum(inside[:-1]) > 0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        small = np.minimum(total, 65535).astype(np.uint16).reshape(-1, BLOCK)
-        for k, block in enumerate(small):
-            (at,) = np.nonzero(block)
-            if len(at):
-                sparse = len(at) * 2 < BLOCK
-                body = np.concatenate([at.astype(np.uint16), block[at]]) if sparse else block
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sparse]), pa.array([body.tobytes()], pa.binary())], names=["block", "sparse", "body"])
+            at, times = np.unique((grams[np.cumsum(inside[:-1]) > 0] % np.uint64(COUNTERS)).astype(np.int64), return_counts=True)
+            total[at] = np.minimum(total[at] + times, TOP)
+        for k, block in enumerate(total.reshape(-1, BLOCK)):
+            (more,) = np.nonzero(block > 1)
+            if block.any():
+                body = [np.packbits(block > 0).tobytes(), more.astype(np.uint16).tobytes(), block[more].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in body]], names=["block", "used", "more", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, sparse, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                into, got = sums.setdefault(k, np.zeros(BLOCK, np.uint32)), np.frombuffer(body, np.uint16)
-                if sparse:
-                    into[got[: len(got) // 2]] += got[len(got) // 2 :]
-                else:
-                    into += got
+            for k, used, more, counts in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                into = sums.setdefault(k, np.zeros(BLOCK, np.uint32))
+                into += np.unpackbits(np.frombuffer(used, np.uint8))
+                into[np.frombuffer(more, np.uint16)] += np.frombuffer(counts, np.uint8) - np.uint32(1)
         for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["block", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, TOP).astype(np.uint8).tobytes()], pa.binary())], names=["block", "body"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, sparse boolean, body binary")
-    out = np.zeros(COUNTERS, np.uint16)
+    parts = docs.select("text").mapInArrow(count, "block int, used binary, more binary, counts binary")
+    out = np.zeros(COUNTERS, np.uint8)
     for k, body in parts.repartition(16, "block").mapInArrow(merge, "block int, body binary").collect():
-        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(body, np.uint16)
+        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(body, np.uint8)
     return out
 
 
@@ -147,54 +157,89 @@ def sets(docs: DataFrame, n: int, percent: int, counters) -> DataFrame:
 
 
 def segments(docs: DataFrame, n: int, counters) -> DataFrame:
-    """(doc_id, fragment, segment): the set of every document cut at fixed places of the global order."""
+    """``docs`` (doc_id, text, ...) with segments instead of text: the set cut at fixed places of the global order."""
     ship(docs.sparkSession)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cumulated = np.cumsum(np.sort(counters.value), dtype=np.int64)
-        # Fragments hold equal shares of what the counters count; a count belongs to one fragment as a whole, and
-        # n-grams of one count are told apart by hash.
-        cuts = np.sort(counters.value)[np.searchsorted(cumulated, cumulated[-1] * np.arange(1, FRAGMENTS) // FRAGMENTS)]
+        # Fragments hold equal shares of what the counters count; n-grams of one count are in one fragment.
+        sizes = np.bincount(counters.value, minlength=TOP + 1) * np.arange(TOP + 1)
+        cuts = np.searchsorted(np.cumsum(sizes), sizes.sum() * np.arange(1, FRAGMENTS) // FRAGMENTS)
         for batch in slices(batches):
             grams, lo, hi = _grams(batch, n)
-            ids, frags, parts, lengths = [], [], [], [0]
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), lo.tolist(), hi.tolist()):
+            parts, ends = [np.zeros(0, np.uint64)], [0]
+            for a, b in zip(lo.tolist(), hi.tolist()):
                 own, counts = _ordered(grams[a:b], counters.value)
-                where = np.searchsorted(counts, cuts, "right")
-                for k, part in enumerate(np.split(own, where)):
-                    if len(part):
-                        ids.append(doc)
-                        frags.append(k)
-                        parts.append(part)
-                        lengths.append(lengths[-1] + len(part))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))],
-                    names=["doc_id", "fragment", "segment"],
-                )
+                parts.append(own)
+                before = ends[-1]
+                ends += [before + int(k) for k in (*np.searchsorted(counts, cuts, "right"), len(own))]
+            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * FRAGMENTS, pa.int32()), inner)
+            at = batch.schema.get_field_index("text")
+            rest = [batch.column(k) for k in range(batch.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*rest, outer], names=[*[x for x in batch.schema.names if x != "text"], "segments"])
 
-    return docs.mapInArrow(run, "doc_id long, fragment int, segment array<long>")
+    columns = [f.name for f in docs.schema if f.name != "text"]
+    return docs.select(*columns, "text").mapInArrow(run, ", ".join([*kinds, "segments array<array<bigint>>"]))
 
 
-def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """(a, b, size_a, size_b, common) for pairs (a, b, size_a, size_b): overlaps by fragment, summed by pair."""
-    left = cut.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("segment_a"))
-    right = cut.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("segment_b"))
-    part = pairs.join(left, "a").join(right, ["b", "fragment"])
-    part = part.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("segment_a", "segment_b")).cast("long").alias("part"))
-    return part.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("common"))
+def compare(pairs: DataFrame, docs: DataFrame, n: int, percent: int, counters) -> DataFrame:
+    """(a, b, size_a, size_b, weight, common, rest) for pairs (a, b, size_a, size_b, weight).
+
+    Overlaps are counted fragment by fragment and summed by pair; rest is the prefix of what b has outside a.  A
+    document leaves the scan with its segments once for each pair that it is b of, and once more if it is a of any.
+    """
+    roles = pairs.select(F.col("b").alias("doc_id"), F.struct("a", "size_a", "size_b", "weight").alias("role"))
+    roles = roles.unionByName(pairs.select(F.col("a").alias("doc_id"), F.lit(None).cast(roles.schema["role"].dataType).alias("role")).distinct())
+    roles = written(roles.groupBy("doc_id").agg(F.collect_list("role").alias("roles"), F.max(F.col("role").isNull()).alias("is_a")), "gram-roles")
+    few = roles.agg(F.sum(F.size("roles") + 1)).first()[0] <= ROLE_BOUND
+    cut = written(segments(docs.join(F.broadcast(roles) if few else roles, "doc_id").select("doc_id", "text", "roles", "is_a"), n, counters), "gram-segments")
+    left = cut.where("is_a").select(F.col("doc_id").alias("a"), F.col("segments").alias("sa"))
+    right = cut.select(F.col("doc_id").alias("b"), F.explode("roles").alias("r"), F.col("segments").alias("sb")).select("b", "r.*", "sb")
+    keep = (F.col("size_b") - F.floor((percent * F.col("size_b") + 99) / 100) + 1).cast("int")
+    common = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.size(F.array_intersect(x, y))), F.lit(0).cast("long"), lambda s, x: s + x)
+    rest = F.slice(F.flatten(F.zip_with("sb", "sa", lambda y, x: F.array_except(y, x))), F.lit(1), keep)
+    done = written(right.join(left, "a").select("a", "b", "size_a", "size_b", "weight", common.alias("common"), rest.alias("rest")), "gram-compared")
+    discard(cut)
+    discard(roles)
+    return done
+
+
+def _crowded(buckets: DataFrame) -> DataFrame:
+    """(key, doc_id, ...) of the keys that more than one row has, with ``k``, their number."""
+    return buckets.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("k > 1")
+
+
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, size_a, size_b, weight) of all pairs of (key, doc_id, size, doc_id_c) by key that sizes and components allow."""
+    members = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size", "doc_id_c"))).alias("m"))
+
+    def pairs(x, i):
+        others = F.filter("m", lambda y, j: (j > i) & (y["doc_id"] > x["doc_id"]) & (y["doc_id_c"] != x["doc_id_c"]) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])))
+        return F.transform(others, lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b"), x["size"].alias("size_a"), y["size"].alias("size_b"), F.lit(None).cast("double").alias("weight")))
+
+    return members.select(F.explode(F.flatten(F.transform("m", pairs))).alias("p")).select("p.*")
+
+
+def _with_components(rows: DataFrame, found: DataFrame | None, *ids: str) -> DataFrame:
+    """``rows`` with ``<id>_c``, the component that each id is in so far."""
+    for name in ids:
+        if found is None:
+            rows = rows.withColumn(name + "_c", F.col(name))
+        else:
+            rows = rows.join(found.select(F.col("node").alias(name), F.col("component").alias(name + "_c")), name, "left").withColumn(name + "_c", F.coalesce(name + "_c", name))
+    return rows
 
 
-def _close_sizes(x: str, y: str, percent: int):
-    return (100 * F.least(x, y)) >= percent * F.greatest(x, y)
+def _linked(percent: int):
+    return 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of links of Jaccard similarity >= percent / 100.
 
     Null texts and texts without words have empty sets and link with nothing.  A null doc_id is left out, as a
-    component couldn't name it; rows that repeat a doc_id with other texts make it one node with all their links,
-    and give a row for each.
+    component couldn't name it.  Rows that repeat a doc_id repeat its text; they are one node and give a row each.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
@@ -202,44 +247,70 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     table = written(sets(rows, n, percent, counters), "gram-sets")
     digest = ["size", "low", "high"]
     first = table.where("size > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    of = table.where("size > 0").select("doc_id", *digest).join(first, digest).select("doc_id", "rep").distinct()
-    of = written(of, "gram-equal")
-    links = of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    equal = written(table.select("doc_id", *digest).join(first, digest, "left").select("doc_id", "size", "rep"), "gram-equal")
+    links = equal.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    # One of each set of equal ones goes on. Most prefix n-grams are in one set only and end here; sizes join after.
+    alone = equal.where("doc_id = rep").select("doc_id").distinct()
+    reps = table.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    buckets = _crowded(reps.select(F.explode("prefix").alias("key"), "doc_id")).drop("k").join(table.select("doc_id", "size", "weight").dropDuplicates(["doc_id"]), "doc_id")
+    # Sizes in a ratio of t at least are in one class or in neighbouring ones; a key holds a class and the one below.
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.001 * math.log(100.0 / percent)))
+    buckets = buckets.select("key", F.explode(F.array(size_class, size_class + 1)).alias("class"), "doc_id", "size", "weight")
+    buckets = buckets.select(F.xxhash64("key", "class").alias("key"), "doc_id", "size", "weight")
+    buckets = written(_crowded(buckets), "gram-buckets")
+    discard(table)
+    found = None
+    typical = F.struct("weight", (-F.col("doc_id")).alias("minus"), "size")
 
-    reps = table.join(first.select(*digest, "rep"), digest).where("doc_id = rep").dropDuplicates(["doc_id", *digest])
-    buckets = reps.select(F.explode("prefix").alias("gram"), "doc_id", "size", "weight")
-    shared = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    buckets = written(buckets.join(shared, "gram"), "gram-buckets")
-    cut = written(segments(rows.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), n, counters), "gram-segments")
+    def learn(new: DataFrame) -> None:
+        nonlocal links, found
+        new = _with_components(new.select("a", "b"), found, "a", "b").where("a_c <> b_c")  # others tell nothing
+        new = written(new.select("a", "b"), "gram-links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = written(components(links), "gram-components")
 
-    found = None
-    own = F.struct("weight", (-F.col("doc_id")).alias("minus"), "size")
     for k in range(rounds + 1):
-        state = buckets.withColumn("component", F.col("doc_id")) if found is None else buckets.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-        open_ = state.groupBy("gram").agg(F.max(own).alias("c"), F.max_by("component", own).alias("c_component"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        if k < rounds:
-            centre = open_.select("gram", (-F.col("c.minus")).alias("centre"), F.col("c.size").alias("c_size"), "c_component")
-            state = written(state.join(centre, "gram"), "gram-open")
-            pairs = state.where("component <> c_component").where(_close_sizes("size", "c_size", percent))
-            pairs = pairs.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("c_size").alias("size_a"), F.col("size").alias("size_b"))
-            buckets = state.where("doc_id <> centre").select("gram", "doc_id", "size", "weight")
-        else:
-            left = state.join(open_.select("gram"), "gram")
-            right = left.select("gram", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-            pairs = left.join(right, "gram").where("doc_id < b AND component <> component_b").where(_close_sizes("size", "size_b", percent))
-            pairs = pairs.select(F.col("doc_id").alias("a"), "b", F.col("size").alias("size_a"), "size_b")
-        pairs = written(pairs.distinct(), "gram-pairs")
-        if not pairs.isEmpty():
-            new = overlaps(pairs, cut).where(100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))).select("a", "b")
-            new = written(new, "gram-links")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                found = written(components(links), "gram-components")
-        if k < rounds and buckets.isEmpty():
+        if buckets.isEmpty():
+            break
+        state = _with_components(buckets, found, "doc_id")
+        open_ = state.groupBy("key").agg(F.max(typical).alias("c"), F.min("doc_id_c").alias("lo"), F.max("doc_id_c").alias("hi")).where("lo < hi")
+        if k == rounds:
+            left = state.join(open_.select("key"), "key").select("key", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), "doc_id_c")
+            right = left.select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("doc_id_c").alias("other_c"))
+            near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+            pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("doc_id_c") != F.col("other_c")) & near)
+            pairs = written(pairs.select("a", "b", "size_a", "size_b", F.lit(0.0).alias("weight")).distinct(), "gram-pairs")
+            if not pairs.isEmpty():
+                learn(compare(pairs, rows, n, percent, counters).where(_linked(percent)))
+            break
+        centre = open_.select("key", (-F.col("c.minus")).alias("a"), F.col("c.size").alias("size_a"))
+        pairs = state.where(F.col("k") > FEW).join(centre, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "size_a", F.col("size").alias("size_b"), "weight").distinct()
+        pairs = written(pairs.unionByName(_all_pairs(state.where(F.col("k") <= FEW), percent).distinct()), "gram-pairs")
+        if pairs.isEmpty():
             break
+        compared = compare(pairs, rows, n, percent, counters)
+        learn(compared.where(_linked(percent)))
+        told = compared.where("weight IS NOT NULL")  # those with a centre
+        # Pairs for which the overlaps with the centre alone could do.
+        inner = _with_components(told.where(100 * F.col("common") >= percent * F.col("size_b")).select("a", "b", "size_b", "common"), found, "b")
+        other = inner.select("a", F.col("b").alias("d"), F.col("size_b").alias("size_d"), F.col("common").alias("common_d"), F.col("b_c").alias("d_c"))
+        enough = (100 + percent) * F.least("common", "common_d") >= percent * (F.col("size_b") + F.col("size_d"))
+        direct = inner.join(other, "a").where((F.col("b") < F.col("d")) & (F.col("b_c") != F.col("d_c")) & enough)
+        direct = written(direct.select(F.col("b").alias("a"), F.col("d").alias("b"), F.col("size_b").alias("size_a"), F.col("size_d").alias("size_b"), F.lit(0.0).alias("weight")).distinct(), "gram-direct")
+        if not direct.isEmpty():
+            learn(compare(direct, rows, n, percent, counters).where(_linked(percent)))
+        # Around a centre whose members are in one component, or that has one member, nothing is open.
+        apart = _with_components(told.select("a", "b"), found, "b").groupBy("a").agg(F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi")
+        rest = told.join(apart.select("a"), "a", "left_semi").select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "weight", F.explode("rest").alias("gram"))
+        following = written(_crowded(rest.select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size", "weight")), "gram-buckets")
+        for done in (buckets, compared, pairs):
+            discard(done)
+        buckets = following
     if found is None:
         found = written(components(links), "gram-components")
-    return table.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return equal.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:

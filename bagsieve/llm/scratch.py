@@ -38,4 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` made, when nothing that is still to run reads it."""
+    _delete(table.sparkSession, table._written_to)

@@ -107,9 +107,9 @@ def _sets(rows, n):
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 4])
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (2, 50)])
-def test_ngram_join(spark, docs, rows, n, percent, rounds):
+@pytest.mark.parametrize("n,percent,rounds,few", [(4, 85, 2, 4), (5, 80, 2, 1), (2, 50, 2, 1), (2, 50, 1, 1), (2, 50, 0, 1), (2, 60, 2, 3)])
+def test_ngram_join(spark, docs, rows, n, percent, rounds, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
     sets = _sets(rows, n)
     up = {i: i for i in sets}
 
