@@ -86,7 +86,9 @@ def decode(pairs: DataFrame, seed: int, grow: int, rounds: int) -> DataFrame:
     key = ["doc_id", "pair", "per"]
     per = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(16.0), (F.size("a") + F.size("b")) * 0.75)))).cast("int") * grow
     both = F.concat(F.transform("a", lambda d: F.struct(d.alias("k"), F.lit(1).alias("n"))), F.transform("b", lambda d: F.struct(d.alias("k"), F.lit(-1).alias("n"))))
-    rows = pairs.repartition("doc_id").select("doc_id", "pair", per.alias("per"), F.explode(both).alias("x")).select(*key, "x.k", F.col("x.n").cast("long").alias("n"))
+    # A fixed number of partitions: the rows are small but grow some hundred times when they are expanded.
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 20_000)
+    rows = pairs.repartition(parts, "doc_id").select("doc_id", "pair", per.alias("per"), F.explode(both).alias("x")).select(*key, "x.k", F.col("x.n").cast("long").alias("n"))
 
     def cell(r: int) -> str:
         return f"cast({r} * per + pmod(xxhash64(k, {seed + r}), per) AS int)"
