@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, iblt, langid, mixing, ngram_join, pii, secrets, substring, suffix_dedup
+from . import decontam, iblt, langid, mixing, ngram_join, pii, secrets, substring, suffix_dedup, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -58,7 +58,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(_documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = [op5_fingerprints, op8_suffix_dedup, op3_substring_dedup, op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate]
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    found = urlfilter.judge(spark.sql(urlfilter.CAPTURES, pages=pages), spark.sql(urlfilter.LOG, pages=pages))
+    return found.select("page_id", F.col("captured").cast("string").alias("captured"), "n_lists", "lists", "entry", "blocked")
+
+
+QUERIES = [op5_fingerprints, op8_suffix_dedup, op3_substring_dedup, op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate, op4_url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -66,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE}
+    return {"op3_substring_dedup": substring.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op4_url_filter": urlfilter.ORACLE}

@@ -1,5 +1,6 @@
 """The document operators against brute force, with nulls, empty and long texts, ties, repeats and extra columns."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bagsieve.llm import components, decontam, iblt, langid, mixing, ngram_join, pii, secrets, substring, suffix_dedup
+from bagsieve.llm import components, decontam, iblt, langid, mixing, ngram_join, pii, queries, secrets, substring, suffix_dedup, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -395,3 +396,60 @@ def test_secret_clean(text):
 def test_redact_keeps_columns(spark, docs):
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns and clean.where("text IS NULL").count() == 1
+
+
+LOG = [
+    ("spam", "Bad.Example.com", 10, "add"), ("spam", "bad.example.com/", 20, "remove"), ("spam", "bad.example.com", 30, "add"),
+    ("spam", "example.org/a/b", 5, "add"), ("adult", "example.org", 0, "add"), ("adult", "example.org", 15, "remove"), ("adult", "example.org", 15, "add"),
+    ("adult", "http://user@bad.example.com:80/x%61/?q#f", 12, "add"), ("scam", "1.2.3.4", 3, "add"), ("scam", None, 3, "add"), ("scam", "example.com", None, "add"), ("scam", "com/deep", 8, "remove"),
+]
+URLS = [
+    "https://bad.example.com/", "http://www.BAD.example.com:8080/xa/y?z", "//notbad.example.com/", "bad.example.com./x/../xa", "http://example.org/a/bc", "http://example.org//a/./b/c#d",
+    "http://q.example.org/a", "http://1.2.3.4/a", "http://9.1.2.3.4/", "http://x@1.2.3.4:1/", "http://", "", None, "mailto:a@example.org", "http://com/deep",
+]
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_url_filter(spark, bound):
+    day = lambda d: None if d is None else datetime.date(2024, 1, 1) + datetime.timedelta(d)
+    log = spark.createDataFrame([(a, b, day(c), d) for a, b, c, d in LOG], "list string, entry string, at date, action string")
+    cases = [(None if k % 9 == 4 else k // 2, u, day(d)) for k, (u, d) in enumerate((u, d) for u in URLS for d in (None, *range(40)))]
+    got = urlfilter.judge(spark.createDataFrame(cases, "page_id long, url string, captured date"), log, bound).collect()
+    states = {}
+    for name, entry, at, action in sorted((x for x in LOG if x[1] and x[2] is not None), key=lambda x: (x[2], x[3])):
+        states.setdefault((name, urlfilter.key(*urlfilter.parts(entry))), []).append((day(at), action))
+
+    def want(url, at):
+        labels, segments = urlfilter.parts(url) or ([], [])
+        found = []
+        for (name, entry), changes in states.items():
+            host, *path = entry.split("/")
+            own = [host] if host == "1.2.3.4" else host.split(".")
+            now = [action for d, action in changes if at and d <= at]
+            if now and now[-1] == "add" and labels[-len(own) :] == own and segments[: len(path)] == path:
+                found.append((-len(path), -len(own), entry, name))
+        names = sorted({x[3] for x in found})
+        return len(names), ",".join(names), min(found)[2] if found else None, bool(names)
+
+    key = lambda x: tuple(map(str, x))
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((*c, *want(*c[1:])) for c in cases), key=key)
+    assert {r.url for r in got if r.blocked} == {URLS[k] for k in (0, 1, 3, 4, 5, 6, 7, 9)}
+
+
+def test_url_filter_empty(spark):
+    none = spark.createDataFrame([], "list string, entry string, at date, action string")
+    pages = spark.createDataFrame([(1, "http://a.b/", datetime.date(2024, 1, 1))], "page_id long, url string, captured date")
+    assert [r.blocked for r in urlfilter.judge(pages, none).collect()] == [False]
+    assert urlfilter.judge(pages.where("false"), none).count() == 0
+
+
+def test_url_filter_equals_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    path = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{path}/pages.parquet'")
+    got = queries.queries()["op4_url_filter"](spark, path)
+    want = duckdb.sql(urlfilter.ORACLE)
+    assert got.columns == want.columns
+    got, key = [tuple(r) for r in got.collect()], lambda x: tuple(map(str, x))
+    assert sorted(got, key=key) == sorted(want.fetchall(), key=key)
+    assert len(got) == 250 and 0 < sum(r[-1] for r in got) < 250
