@@ -8,6 +8,9 @@ have cancels.  Cells with one digest left are peeled, which frees others, until
 that differ are then known, and with them their lengths.  Likeness is the share of the two texts' (distinct)
 pieces, by length, that doesn't differ.
 
+``bounded_digests`` cuts on where no sentence ends for long, by the hash of words (of characters in scripts without
+spaces), so that no piece is longer than the weight can tell, and counts each occurrence of a repeated piece.
+
 The fingerprint is the sketch of ``3 * CELLS`` cells.  Pairs that it can't peel are retried with sketches that grow
 with the number of pieces, then four times as large under other hashes; those few that still fail are compared by
 their digests.  The first try is made inside the row (higher-order functions over at most 24 cells), retries by
@@ -33,6 +36,12 @@ RANGES = 4096
 RANGE_ROWS = 1000
 _WEIGHT = 4095  # low bits of a digest: the length of its piece
 _PATTERN = r"[^\n]{%d,}?[.!?](?=[ \n]|$)|[^\n]+" % PIECE
+#: Longer pieces are cut at words (in words beyond WORD, at characters) whose hash is 0 modulo so many, about.
+#: Where that leaves more (one word again and again), by length.  The bound is below ``_WEIGHT``: lengths are true.
+BOUND, WORD, WORDS, CHARS = 256, 64, 16, 128
+#: Sentence ends of other scripts stand without a space after them.
+_SIGNS = "\u3002\uff01\uff1f\uff61\u0964\u0965\u061f\u06d4\u1362\u104b\u17d4"
+_ANY_SENTENCE = rf"[^\n]{{{PIECE},}}?(?:[.!?\u2026](?=[ \n]|$)|[{_SIGNS}])|[^\n]+"
 _CHECK = "xxhash64({k}, 99)"
 _CELL = "struct<n:int,k:bigint,c:bigint>"
 
@@ -43,6 +52,53 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p).bitwiseAND(~_WEIGHT).bitwiseOR(F.least(F.length(p), F.lit(_WEIGHT)).cast("long"))))
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def bounded_pieces(text: Column) -> Column:
+    """The pieces of a text in order, none longer than ``BOUND``; what ends a piece depends on the text nearby.
+
+    A line feed, which no piece holds, marks a cut inside what has no sentence end for ``BOUND`` characters.
+    """
+
+    def cut(unit: Column, at: Column) -> Column:
+        return F.when(at, F.concat(unit, F.lit("\n"))).otherwise(unit)
+
+    def by_chars(word: Column) -> Column:
+        near = lambda cs, i: F.pmod(F.xxhash64(*(F.get(cs, i - k) for k in range(4))), F.lit(CHARS)) == 0
+        return _with(F.split(word, ""), lambda cs: F.array_join(F.transform(cs, lambda c, i: cut(c, near(cs, i))), ""))
+
+    def by_words(piece: Column) -> Column:
+        units = F.regexp_extract_all(piece, F.lit(r"[^ \t]+[ \t]*|[ \t]+"), F.lit(0))
+        marked = F.transform(units, lambda w: F.when(F.length(w) > WORD, by_chars(w)).otherwise(cut(w, F.pmod(F.xxhash64(w), F.lit(WORDS)) == 0)))
+        return F.regexp_extract_all(F.array_join(marked, ""), F.lit(rf"[^\n]{{1,{BOUND}}}"), F.lit(0))
+
+    pieces = F.regexp_extract_all(text, F.lit(_ANY_SENTENCE), F.lit(0))
+    return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > BOUND, by_words(p)).otherwise(F.array(p))))
+
+
+def bounded_digests(text: Column) -> Column:
+    """Digests of ``bounded_pieces``: a piece that comes again has another digest each time, of its number."""
+
+    def digest(h: Column, length: Column) -> Column:
+        return h.bitwiseAND(~_WEIGHT).bitwiseOR(length.cast("long"))
+
+    def numbered(ds: Column) -> Column:
+        def runs(at: Column) -> Column:
+            def run(p: Column, r: Column) -> Column:
+                end = F.coalesce(F.get(at, r + 1), F.size(ds)) - 1
+                return F.transform(F.sequence(p, end), lambda i: F.when(i == p, F.get(ds, p)).otherwise(digest(F.xxhash64(F.get(ds, p), i - p), F.get(ds, p).bitwiseAND(_WEIGHT))))
+
+            return F.flatten(F.transform(at, run))
+
+        return _with(F.filter(F.transform(ds, lambda d, i: F.when((i == 0) | (F.get(ds, i - 1) != d), i)), lambda i: i.isNotNull()), runs)
+
+    found = F.transform(bounded_pieces(text), lambda p: digest(F.xxhash64(p), F.length(p)))
+    return _with(found, lambda ds: F.when(F.size(F.array_distinct(ds)) == F.size(ds), ds).otherwise(_with(F.array_sort(ds), numbered)))
+
+
 def _place(digest: str, table: str) -> str:
     return f"cast(shiftright(xxhash64({digest}), {table} * 8) & {CELLS - 1} AS int)"
 
@@ -138,17 +194,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("_next", "_head").alias("next"))
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", digest=digests) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter replaced by the start of the next document.  Null text is empty; two empty
     texts are alike (1).  A single document is its own next.  Rows with a null doc_id are left out, as they have no
     next.  Rows that repeat a doc_id stand in the order of their texts and share the likeness of the least alike.
+    ``digest`` makes the digests: ``digests`` of whole distinct pieces, or ``bounded_digests``, which op5 uses.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     quarter = F.floor(F.length("text") / 4).cast("int")
     rows = with_next(rows).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next", F.lit(1), quarter)))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("x"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("text")).alias("a"), digest(F.col("edited")).alias("e"), digest(F.col("next")).alias("x"))
     rows = rows.withColumns({f"s{c}": sketch(c) for c in "aex"})
     rows = rows.withColumn("pe", peeled("sa", "se")).withColumn("px", peeled("sa", "sx"))
     clear = lambda c: F.when(F.forall(c + ".cells", lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)), F.col(c + ".w"))

@@ -55,7 +55,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.fingerprints(_documents(spark, sf_dir, "doc_id", "text"))
+    return iblt.fingerprints(_documents(spark, sf_dir, "doc_id", "text"), digest=iblt.bounded_digests)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,27 @@ def test_fingerprints(spark, docs, rows):
     assert one.near_next == 1.0
 
 
+def test_fingerprints_of_unpunctuated_and_repeated_texts(spark, docs):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(1000)), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4000)), "a" * 5000]
+    texts += ["同じ文です。" * 300, "one and the same line\n" * 100, "word " * 30_000 + "end", "", "\n\n"]
+    more = spark.createDataFrame(list(enumerate(texts, 1000)), "doc_id long, text string")
+    own = docs.select("doc_id", "text").unionByName(more)
+    found = own.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", iblt.bounded_pieces(F.col("text")).alias("p"), iblt.bounded_digests(F.col("text")).alias("d")).orderBy("doc_id").collect()
+    for r in found:
+        assert "".join(r.p) == r.text.replace("\n", "") and max(map(len, r.p), default=0) <= iblt.BOUND < 4096
+        assert len(set(r.d)) == len(r.d) and sum(x & 4095 for x in r.d) == sum(map(len, r.p))
+    got = _by_id(iblt.fingerprints(own, digest=iblt.bounded_digests))
+    edits = [(r.doc_id, r.text[: len(r.text) - len(r.text) // 4] + n.text[: len(r.text) // 4]) for r, n in zip(found, found[1:] + found[:1])]
+    edits = {r.doc_id: Counter(r.p) for r in spark.createDataFrame(edits, "doc_id long, text string").select("doc_id", iblt.bounded_pieces(F.col("text")).alias("p")).collect()}
+    weight = lambda c: sum(len(p) * n for p, n in c.items())
+    for r, n in zip(found, found[1:] + found[:1]):
+        a = Counter(r.p)
+        for b, near in ((edits[r.doc_id], got[r.doc_id].near_edited), (Counter(n.p), got[r.doc_id].near_next)):
+            assert near == pytest.approx(1 - weight((a - b) + (b - a)) / (weight(a) + weight(b)) if a or b else 1.0)
+    assert all(got[1000 + k].near_edited > 0.6 for k in range(6))
+
+
 def test_iblt_retries(spark):
     rng = random.Random(3)
     pairs = [(k, 0, [rng.getrandbits(62) for _ in range(n)], [rng.getrandbits(62) for _ in range(m)]) for k, (n, m) in enumerate([(0, 1), (1, 0), (40, 3), (500, 700), (3000, 10)])]
