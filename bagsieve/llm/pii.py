@@ -5,9 +5,10 @@ tells about it: with probabilities estimated over the corpus, the term is a disc
 
     PMI(entity, term) >= alpha * IC(entity),   PMI = log2(n_et * N / (n_e * n_t)),   IC = log2(N / n_e)
 
-where N counts documents, n_t documents with the term anywhere, n_e documents with the entity, and n_et the distinct
-neighbourhoods in which both stand.  Neighbourhoods count once however often they are copied, and at least
-``support`` of them are asked for, since a single one would make every rare word a disclosure.  Disclosing terms are
+where all numbers count documents, that is rows: N all, n_t those with the term anywhere, n_e those with the entity, and
+n_et those where the term stands near it.  Copies thus weigh alike on both sides.  Apart from that, a term has to stand
+in ``support`` distinct neighbourhoods of the entity, which count once however often they are copied, since a single
+one would make every rare word a disclosure.  Disclosing terms are
 generalised or, at ``removal`` * IC, removed.
 
 The counts cover all documents.  Terms to count are found first; a fixed-size bitmap of their hashes goes to the
@@ -109,6 +110,8 @@ def neighbourhoods(text: str, found: list[tuple[str, int, int]]) -> list[dict]:
         near = [m for m in near if not any(m.start() < y and x < m.end() for _, x, y in found)]
         entity = f"{kind}:{text[a:b]}"
         place = hashlib.sha1("\0".join(m.group() for m in near).encode()).hexdigest()[:16]
+        if not near:  # the entity counts all the same
+            out.append({"entity": entity, "place": place, "term": None, "slot": None, "start": a, "end": b})
         for m in near:
             term = m.group().translate(_AZ)
             out.append({"entity": entity, "place": place, "term": term, "slot": _term_slot(term), "start": m.start(), "end": m.end()})
@@ -166,8 +169,8 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
 
 def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.9, removal: float = 0.99, support: int = 2, text: str = "text") -> DataFrame:
     """(entity, term, level) for the terms that disclose an entity; level is ``remove`` or ``generalise``."""
-    near = scanned.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    entities = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     total = F.lit(float(max(1, docs.count())))
     content = F.log2(total / F.col("n_e"))
 
@@ -176,8 +179,9 @@ def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.9, removal
 
     # A term is in as many documents as it is near any entity in, at least.  Terms that fail on that number already,
     # such as the common words, fail on the true one, and needn't be counted.
-    least = near.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    pairs = near.groupBy("entity", "term", "slot").agg(F.countDistinct("place").alias("n_et")).where(F.col("n_et") >= support)
+    near = near.where("term IS NOT NULL")
+    least = near.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = near.groupBy("entity", "term", "slot").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("place").alias("n_places")).where(F.col("n_places") >= support)
     pairs = pairs.join(entities, "entity").join(least, "term").where((content > 0) & (pmi("n_near") >= alpha * content))
     pairs = written(pairs.select("entity", "term", "slot", "n_et", "n_e"), "pii-pairs")
     pairs = pairs.join(term_counts(docs, pairs, text), "term")
@@ -192,7 +196,7 @@ def report(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     empty: no spans and the digest of the empty string.  Rows with one doc_id share their terms' spans; a row with
     a null doc_id gets none.  Empty tables give empty results.
     """
-    scanned = written(scan(docs, text), "pii-scan")
+    scanned = written(scan(docs, text).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
     near = scanned.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.entity", "x.term", "x.start", "x.end")
     told = near.join(disclosures(docs, scanned, text=text, **how), ["entity", "term"])
     told = told.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "level"))).alias("terms"))

@@ -376,6 +376,14 @@ def test_pii_disclosing_terms(spark):
     assert clean[60].text == "contact  at [EMAIL] today" and clean[63].text == "see only [EMAIL] there" and clean[0].text == texts[0] and clean[64].text is None
 
 
+@pytest.mark.parametrize("copies", [1, 3, 40])
+def test_pii_disclosing_terms_of_copies(spark, copies):
+    own = ["contact Quillfeather at q@example.com today", "please write Quillfeather via q@example.com now"]
+    texts = [f"word{k} filler here about nothing much" for k in range(300)] + own * copies
+    got = _by_id(pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [r.n_terms for k, r in sorted(got.items())] == [0] * 300 + [1] * (2 * copies)
+
+
 SECRETS = [
     'password = "abcdefghijkl" and PASSWD:short token=secret: "abcdefghijklmn"', "AKIA1234567890ABCD AKIA12 xAKIAAKIA0000000000", "0123456789abcdef 0123456789abcde deadbeefdeadbeefdeadbeef",
     "api_key: ABCDEFGHIJKLMNOP apikey='x=y=z=/+.-_12345'", "ſecret = abcdefghijklmnop toKen = abcdefghijklmnop", "", None,
