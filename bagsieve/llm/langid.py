@@ -78,6 +78,8 @@ class Model:
                 self.zero = full.astype(np.float32)
             else:
                 below_codes, below = codes, table
+        #: By language, bits per byte beyond which a text isn't in it: (of a long text, more by the root of the bytes).
+        self.limits = np.array([np.full(n, np.inf), np.zeros(n)])
         self._tries()
 
     @staticmethod
@@ -153,6 +155,44 @@ class Model:
         return out
 
 
+PART = 16
+
+
+def limits(texts: dict[str, list[str]]) -> np.ndarray:
+    """(2, languages): what texts of a language cost at most, from texts that the model of their other half codes.
+
+    The first is the median of bits per byte and five times the way from there to the 90th percentile (a bit at
+    least), far beyond an exponential tail.  The second is four deviations of the mean over ``PART`` bytes, which
+    divided by the root of the number of bytes is what chance adds in a short text.  Both are from percentiles, which
+    some texts with a wrong label don't move.  A language of one text is
+    halved inside it.
+    """
+    halves = {k: (v[::2], v[1::2]) if len(v) > 1 else (v[:1], v[:1]) if len(v[0]) < 2 else ([v[0][: len(v[0]) // 2]], [v[0][len(v[0]) // 2 :]]) for k, v in texts.items()}
+    found: dict[str, tuple[list, list]] = {k: ([], []) for k in texts}
+    for h in (0, 1):
+        model = Model({k: v[h] for k, v in halves.items()})
+        for j, k in enumerate(model.languages):
+            for t in halves[k][1 - h]:
+                data = np.frombuffer(t.encode(), np.uint8)
+                found[k][0].append(model.lengths(data, np.array([0, len(data)]))[0, j] / len(data))
+                off = np.arange(0, min(len(data), 2_000) + 1, PART)
+                if len(off) > 1:
+                    found[k][1].append(model.lengths(data[: off[-1]], off)[:, j] / PART)
+    out = np.zeros((2, len(texts)))
+    for j, k in enumerate(sorted(texts)):
+        middle, high = np.quantile(found[k][0], [0.5, 0.9])
+        spread = np.diff(np.quantile(np.concatenate(found[k][1]), [0.16, 0.84]))[0] / 2 if found[k][1] else 0.0
+        out[:, j] = middle + 5 * max(high - middle, 1.0), 4 * max(spread, 1.0) * PART**0.5
+    return out
+
+
+def known(model: Model, bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each text is in some language: the likeliest isn't ``und``, and its cost is within a language's limit."""
+    size = np.maximum(sizes, 1)[:, None]
+    named = np.array([x != UNKNOWN for x in model.languages])
+    return named[bits.argmin(1)] & ((bits / size <= model.limits[0] + model.limits[1] / np.sqrt(size)) & named).any(1)
+
+
 def training_sample(labelled: DataFrame, per_language: int, max_chars: int) -> dict[str, list[str]]:
     """A bounded sample of texts by language; ``labelled`` has doc_id, text and lang."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").where(F.length("text") <= max_chars)
@@ -174,7 +214,11 @@ def training_sample(labelled: DataFrame, per_language: int, max_chars: int) -> d
 def train(labelled: DataFrame, per_language: int = 400, max_chars: int = 20_000) -> Model | None:
     """A model of every language in ``labelled``; None if it has no labelled text."""
     texts = training_sample(labelled, per_language, max_chars)
-    return Model(texts) if texts else None
+    if not texts:
+        return None
+    model = Model(texts)
+    model.limits = limits(texts)
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -214,10 +258,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     return rows.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without texts that are no language: null, without a letter, or below ``least``.
+def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs``, all columns, without texts that are no language: null, without a letter, or not ``known``.
 
-    Rows are judged where they lie; nothing is joined or moved.  Without a model nothing is kept.
+    What counts is the cost for each byte, not the posterior, which compares the languages with each other only: a
+    text in none of them can have almost 1, and a short text that suits two has half.  Rows are judged where they lie; nothing is joined or moved.  Without a model nothing is kept.
     """
     if model is None:
         return docs.limit(0)
@@ -227,8 +272,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            bits = shipped.value.lengths(*flat(batch.column(text)))
-            score = 1.0 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000.0)).sum(1)
-            yield batch.filter(pa.array(score >= least))
+            data, off = flat(batch.column(text))
+            yield batch.filter(pa.array(known(shipped.value, shipped.value.lengths(data, off), off[1:] - off[:-1])))
 
     return rows.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from bagsieve.llm.scratch import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts, texts without letters, and texts that no language explains best."""
+    """Drops documents in no language: null texts, texts without letters, and texts that cost more than any language's do."""
     return langid.keep_identified(docs, langid.train(docs))
 
 

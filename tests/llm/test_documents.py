@@ -335,6 +335,18 @@ def test_language_held_out_accuracy(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_language_unknown_is_dropped(spark):
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = learned.unionByName(learned.limit(9).select("doc_id", F.lit("lorem 77 ipsum 88 " * 9).alias("text"), F.lit("und").alias("lang"), "source", "n_chars"))
+    model = langid.train(learned)
+    bad = ["aGVsbG8gd29ybGQ4J3k1", "我们今天去公园散步吧", "Привет, как дела сегодня?", "0f3a9c zxqj ###", "lorem 77 ipsum 88 lorem", None, "", "12"]
+    good = ["A.", "De.", "the of and", "the"]
+    docs = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    assert sorted(r.text for r in langid.keep_identified(docs, model).collect()) == sorted(good)
+    clean = learned.where(r"lang <> 'und' AND text RLIKE '\\p{L}'")
+    assert langid.keep_identified(clean, model).count() >= 0.995 * clean.count()
+
+
 PII = [
     "mail a.b+c@d-e.fr.uk, x@y and @@ u@v.w@z.q plus a@b.c.",
     "ip 1.2.3.4 999.1.1.1 1.2.3.4.5 01.02.03.004 12345678901234567890.1.1.1",
