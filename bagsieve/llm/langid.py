@@ -10,7 +10,7 @@ text under a language is the exact sum of its bytes' code lengths, and a byte's
 for each byte, vectorised over whole batches.
 
 Training reads a bounded sample of the labelled rows: for each language the ``per_language`` documents of the
-lowest hash of doc_id among those of at most ``max_chars`` characters.  Everything else covers all rows.
+lowest hash of doc_id, and of a text of over ``max_chars`` characters a slice of so many.  Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -195,8 +195,10 @@ def known(model: Model, bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def training_sample(labelled: DataFrame, per_language: int, max_chars: int) -> dict[str, list[str]]:
     """A bounded sample of texts by language; ``labelled`` has doc_id, text and lang."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").where(F.length("text") <= max_chars)
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     place = F.xxhash64(F.col("doc_id").cast("string"))
+    # A long text gives a slice from a place by hash.
+    start = F.pmod(place, F.greatest(F.length("text") - max_chars + 1, F.lit(1))).cast("int") + 1
     ids = rows.select("doc_id", "lang", place.alias("_place"))
     # Ranking sees about four times the sample for each language: the hash is even, so a threshold leaves that much.
     part = F.lit(float(4 * per_language)) / F.col("_n")
@@ -206,7 +208,7 @@ def training_sample(labelled: DataFrame, per_language: int, max_chars: int) -> d
     ids = ids.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language)
     ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
     found: dict[str, list[str]] = {}
-    for lang, text in rows.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text").collect():
+    for lang, text in rows.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", F.substring("text", start, F.lit(max_chars)).alias("text")).collect():
         found.setdefault(lang, []).append(text)
     return {k: sorted(v) for k, v in found.items()}
 

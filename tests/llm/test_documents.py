@@ -328,6 +328,18 @@ def test_language_edges(spark, docs):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_language_of_long_texts_is_learned(spark):
+    rng = random.Random(1)
+    vocabulary = {"en": "the dog and cat with house".split(), "xx": "zork blimp quazz vrem ytt".split()}
+    rows = [(k, " ".join(rng.choice(vocabulary[x]) for _ in range(n)), x) for k, (x, n) in enumerate([("en", 50)] * 5 + [("xx", 9000)] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, 400, 20_000)
+    assert {k: {len(t) for t in v} for k, v in sample.items() if k == "xx"} == {"xx": {20_000}} and len(sample["en"]) == 5
+    assert all(any(t in r[1] for r in rows) for t in sample["xx"]) and len({t[:99] for t in sample["xx"]}) == 3
+    found = langid.identify(spark.createDataFrame([(1, "blimp zork vrem"), (2, "the cat and dog")], "doc_id long, text string"), langid.train(docs))
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "xx", 2: "en"}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
