@@ -68,7 +68,7 @@ def _join_scan(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFra
     keys = windows.select(F.col("hash").alias("_h"), F.col("len").alias("_l")).distinct()
     hits = union.join(keys, (F.col("hash") == F.col("_h")) & (F.col("len") == F.col("_l")), "left_semi")
     hits = hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct((F.col("at") + 1).alias("at"), "len")).alias("cand"))
-    return rows.join(hits, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("cand", F.coalesce("cand", F.expr("cast(array() AS array<struct<at:int,len:int>>)")))
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("cand", F.coalesce("cand", F.expr("cast(array() AS array<struct<at:int,len:int>>)")))
 
 
 def hits(docs: DataFrame, items: DataFrame, gram: int = GRAM, text: str = "text", set_bound: int = SET_BOUND) -> DataFrame:

@@ -185,6 +185,14 @@ def test_decontam(spark, bound):
     assert cut[1].text == "a and a" and cut[0].text == "zero then" and cut[4].text is None
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_decontam_null_id(spark, bound):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = spark.createDataFrame([(None, "nothing of the kind"), (None, "now a short item here"), (1, "short"), (2, "short item here")], "doc_id long, text string")
+    got = decontam.report(docs, items, set_bound=bound).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got} == {None: (5, 3, 1, True), 1: (1, 0, 0, False), 2: (3, 3, 1, True)}
+
+
 def test_decontam_empty(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = items.where("false")
