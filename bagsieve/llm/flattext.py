@@ -6,6 +6,7 @@ words give equal hashes on every executor and in every run.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,6 +112,25 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, end), made in blocks so that temporaries don't grow with the longest text.
+
+    A word of over ``SLICE_BYTES`` bytes has a digest of its bytes; all others have that of ``span_hashes``.
+    """
+    out = np.zeros(len(starts), _U)
+    at = 0
+    while at < len(starts):
+        end = int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right"))
+        if end == at:
+            digest = hashlib.blake2b(data[starts[at] : ends[at]].tobytes(), digest_size=8).digest()
+            out[at], at = int.from_bytes(digest, "little"), at + 1
+            continue
+        low = int(starts[at])
+        out[at:end] = span_hashes(prefix_sums(data[low : ends[end - 1]]), starts[at:end] - low, ends[at:end] - low)
+        at = end
+    return out
+
+
 def gram_hashes(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of ``n`` consecutive word hashes from every position where they fit, whatever text they are in."""
     if len(hashes) < n:

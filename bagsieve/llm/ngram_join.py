@@ -1,27 +1,40 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is the set of its word n-grams.  All n-grams stand in one global order, rarest first, by a count over
-the whole corpus; the order is cut into fragments, so that every set falls into segments.  For a candidate pair
-the overlaps of the segments are counted fragment by fragment and summed, which gives the exact intersection.
+A document is the set of its word n-grams.  All n-grams stand in one global order, by hash, which is cut at fixed
+places into ``FRAGMENTS`` fragments, so that every set falls into segments.  Segments of one fragment are joined with
+each other, which counts the partial overlaps of the candidate pairs there; their sum by pair is the intersection.
+The order is the same at any size of the input, and its fragments hold equal shares of any set.
 
 How work stays small:
 
 * Equal sets are joined by their digest and only one of them, of the least doc_id, goes on.
-* Candidates come from prefixes: two sets that are similar enough share one of the first
-  ``n - ceil(t * n) + 1`` n-grams of both in the global order.  As rare n-grams come first, passages that many
-  documents share don't make candidates.
-* Documents that share a prefix n-gram, and are in neighbouring classes of size, form a bucket, but aren't compared
-  all with all, if it has more than ``FEW`` members.  Each bucket has a centre P, the member whose n-grams are the most common, and the others
-  are compared with P only.  Links give components.  Take two members X and Y that aren't in one component then.
+* Let ``spare = n - ceil(t * n)``, the most n-grams that a set of ``n`` may have outside one that it links with.  The
+  head of a set is its first ``2 * spare + 1`` n-grams.  Of two linked sets, take the one whose head ends first: all of
+  its head but ``spare`` is in the other's head, too.  Heads are dealt out by n-gram, which counts the sets that hold
+  each; a document with more than ``spare`` n-grams in its head that nobody else has links with none, and ends here.
+  Most documents do.
+* Two linked sets thus have at least ``least`` n-grams of their heads in common, where ``least`` follows from the
+  smaller size that a partner may have.  With the n-grams of a head in the order rarest first, one of those in
+  common is among the first ``head - least + 1``; those that nobody else has come first and needn't be looked at.
+  The others are the keys of candidates: passages that many documents share come last and rarely are.
+* Documents that share a key, and are in neighbouring classes of size, form a bucket, but aren't compared all with
+  all.  Each bucket has a centre P, the member whose n-grams are the most common, and the others are compared with P
+  only.  Links give components.  Take two members X and Y that aren't in one component then.
   Their overlap is at most min(|X & P|, |Y & P|) plus what they share outside P.  So either that minimum alone is
   enough, which the numbers tell and which is rare (then the two are compared); or they share an n-gram outside P,
-  and one among the first ``n - ceil(t * n) + 1`` of X - P and of Y - P.  Those make the buckets of the next round.
+  and one among the first ``spare + 1`` of X - P and of Y - P.  Those make the buckets of the next round.
   A passage, or the original of many near copies, is inside P and thus makes no candidates any more.
-  What is open after ``ROUNDS`` rounds is compared outright.  Every link between different components is found, and
-  links inside one aren't needed: components are exact.
+  In later rounds, buckets get ``GROWTH`` times as many further centres, which are compared with the members of other
+  components only; a bucket with no more members than centres is done.  Documents that are all like each other, but
+  not enough to link, thus take a few rounds.  Every link between different components is found, and links inside one aren't needed:
+  components are exact.
 
-The order needs no exact counts, only the same order for everyone.  Counts are kept by hash in ``2**24`` counters
-of 8 bits (16 MB whatever the input), summed block by block, and ties go by hash.
+No task holds all rows of a frequent n-gram.  Those of a head that may be in one of ``OFTEN`` documents or more are
+listed by the first scan (at most ``OFTEN`` times the mean size of a head; the list is shipped); they are known to be
+shared, aren't counted, and are dealt out with the document instead.
+
+Hashes have 64 bits.  A collision inside one of the compared pairs would change its overlap by one n-gram; for sets
+of 10,000 that has a chance below 1 in 10**11 for a pair.  Collisions elsewhere only make candidates.
 """
 
 from __future__ import annotations
@@ -36,18 +49,18 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .components import components
-from .flattext import LOWER, flat, gram_hashes, prefix_sums, slices, span_hashes, words
+from .flattext import LOWER, flat, gram_hashes, mix, slices, word_hashes, words
 from .scratch import discard, written
 
-COUNTERS = 1 << 24
-BLOCK = 1 << 16
-TOP = 255
+#: Fragments of the global order: ranges of equal width.
 FRAGMENTS = 4
-ROUNDS = 2
-#: Members of a bucket that are compared all with all.
-FEW = 4
-#: Pairs that are broadcast at most to the scan of their documents (about 64 MB); more are joined by shuffle.
-ROLE_BOUND = 1_000_000
+#: An n-gram in the heads of one of so many documents, or more, isn't dealt out by itself.
+OFTEN = 256
+#: Centres of a bucket, times as many in each round.
+GROWTH = 8
+#: n-grams of heads that are packed at once, and that a bucket gathers, about.
+DEALT = 1 << 19
+_FREQUENT = (1 << 31) - 1
 
 
 def _grams(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +71,7 @@ def _grams(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     data, off = flat(batch.column("text"))
     data = LOWER[data]
     starts, ends, first = words(data, off)
-    hashes = span_hashes(prefix_sums(data), starts, ends)
+    hashes = word_hashes(data, starts, ends)
     grams = gram_hashes(hashes, n)
     count = np.diff(first)
     lo = first[:-1].astype(np.int64)
@@ -70,155 +83,207 @@ def _grams(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
         lo[short] = len(grams) + np.arange(len(short))
         hi[short] = lo[short] + 1
         grams = np.concatenate([grams, extra])
-    return grams, lo, hi
+    return grams.view(np.int64), lo, hi
 
 
-def gram_counters(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all n-grams of the corpus by hash, TOP at most each.
+def _spare(size, percent: int):
+    return size - (percent * size + 99) // 100
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Each slice of the documents with their sets, in the global order."""
+    for batch in slices(batches):
+        grams, lo, hi = _grams(batch, n)
+        yield batch, [np.unique(grams[a:b]) for a, b in zip(lo.tolist(), hi.tolist())]
+
+
+def _head(own: np.ndarray, percent: int) -> np.ndarray:
+    return own[: 2 * _spare(len(own), percent) + 1]
+
+
+def _digest(own: np.ndarray) -> tuple[int, int, int]:
+    """Size, xor and sum of a set's hashes."""
+    return len(own), int(np.bitwise_xor.reduce(own)) if len(own) else 0, int(own.sum(dtype=np.int64))
+
+
+def _list(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
-    A task sends each block as a bitmap of the counters in use and a list of those over 1.
-    """
-    ship(docs.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint8)
-        for batch in slices(batches):
-            grams, lo, hi = _grams(batch, n)
-            inside = np.zeros(len(grams) + 1, np.int32)
-            np.add.at(inside, lo, 1)
-            np.add.at(inside, hi, -1)
-            at, times = np.unique((grams[np.cumsum(inside[:-1]) > 0] % np.uint64(COUNTERS)).astype(np.int64), return_counts=True)
-            total[at] = np.minimum(total[at] + times, TOP)
-        for k, block in enumerate(total.reshape(-1, BLOCK)):
-            (more,) = np.nonzero(block > 1)
-            if block.any():
-                body = [np.packbits(block > 0).tobytes(), more.astype(np.uint16).tobytes(), block[more].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in body]], names=["block", "used", "more", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, used, more, counts in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                into = sums.setdefault(k, np.zeros(BLOCK, np.uint32))
-                into += np.unpackbits(np.frombuffer(used, np.uint8))
-                into[np.frombuffer(more, np.uint16)] += np.frombuffer(counts, np.uint8) - np.uint32(1)
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, TOP).astype(np.uint8).tobytes()], pa.binary())], names=["block", "body"])
-
-    parts = docs.select("text").mapInArrow(count, "block int, used binary, more binary, counts binary")
-    out = np.zeros(COUNTERS, np.uint8)
-    for k, body in parts.repartition(16, "block").mapInArrow(merge, "block int, body binary").collect():
-        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(body, np.uint8)
-    return out
-
-
-def _ordered(grams: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of one set in the global order, and their counts."""
-    own = np.unique(grams)
-    counts = counters[(own % np.uint64(COUNTERS)).astype(np.int64)]
-    order = np.argsort(counts, kind="stable")
-    return own[order], counts[order]
-
-
-def sets(docs: DataFrame, n: int, percent: int, counters) -> DataFrame:
-    """(doc_id, size, low, high, weight, prefix): set size, digest, mean count and prefix of each document."""
+def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, size, low, high, head, often): set size, digest and size of the head; often lists n-grams that many
+    heads of a slice of the documents hold, with how many do, and stands with one document of each slice."""
     ship(docs.sparkSession)
-    names = ["doc_id", "size", "low", "high", "weight", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counters.value
-        for batch in slices(batches):
-            grams, lo, hi = _grams(batch, n)
-            size, low, high, weight, prefix, lengths = [], [], [], [], [], [0]
-            for a, b in zip(lo.tolist(), hi.tolist()):
-                own, counts = _ordered(grams[a:b], table)
-                k = len(own)
-                size.append(k)
-                low.append(np.bitwise_xor.reduce(own) if k else np.uint64(0))
-                high.append(own.sum(dtype=np.uint64))
-                weight.append(float(counts.mean()) if k else 0.0)
-                keep = k - (percent * k + 99) // 100 + 1 if k else 0
-                prefix.append(own[:keep])
-                lengths.append(lengths[-1] + keep)
-            flat_prefix = np.concatenate(prefix).view(np.int64)
+        for batch, found in _sets(batches, n):
+            size, low, high = zip(*map(_digest, found))
+            heads = [_head(own, percent) for own in found]
+            gram, count = np.unique(np.concatenate(heads), return_counts=True)
+            many = count >= max(4, len(found) // (OFTEN // 4))
+            often = pa.StructArray.from_arrays([pa.array(gram[many]), pa.array(count[many].astype(np.int64))], names=["gram", "n"])
+            ends = np.full(len(found) + 1, len(often))
+            ends[0] = 0
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(size, pa.int64()),
-                    pa.array(np.array(low, np.uint64).view(np.int64)),
-                    pa.array(np.array(high, np.uint64).view(np.int64)),
-                    pa.array(weight, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat_prefix)),
+                    *(pa.array(x, pa.int64()) for x in (size, low, high)),
+                    pa.array([len(x) for x in heads], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), often),
                 ],
-                names=names,
+                names=["doc_id", "size", "low", "high", "head", "often"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, size long, low long, high long, weight double, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, size long, low long, high long, head long, often array<struct<gram:long,n:long>>")
 
 
-def segments(docs: DataFrame, n: int, counters) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with segments instead of text: the set cut at fixed places of the global order."""
+def _deal(buckets: int, to: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Arrays as one row of binaries for each bucket that ``to`` names."""
+    order = np.argsort(to.astype(np.uint16) if buckets < 1 << 16 else to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    parts = [np.split(c[order], cuts) for c in columns]
+    keys = to[order][np.concatenate([[0], cuts])] if len(order) else to
+    if len(keys):
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], names=["bucket", *(f"c{k}" for k in range(len(columns)))])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[np.ndarray]]:
+    """The arrays of each bucket, for rows sorted by bucket."""
+    now, held = None, [[] for _ in kinds]
+    for batch in batches:
+        for bucket, *own in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))):
+            if bucket != now and held[0]:
+                yield [np.frombuffer(b"".join(x), kind) for x, kind in zip(held, kinds)]
+                held = [[] for _ in kinds]
+            now = bucket
+            for to, x in zip(held, own):
+                to.append(x)
+    if held[0]:
+        yield [np.frombuffer(b"".join(x), kind) for x, kind in zip(held, kinds)]
+
+
+def _by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def heads(docs: DataFrame, n: int, percent: int, frequent, buckets: int) -> DataFrame:
+    """The heads' (n-gram, doc_id, set size), packed by bucket of the n-gram; of equal sets in one task, only one."""
     ship(docs.sparkSession)
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Fragments hold equal shares of what the counters count; n-grams of one count are in one fragment.
-        sizes = np.bincount(counters.value, minlength=TOP + 1) * np.arange(TOP + 1)
-        cuts = np.searchsorted(np.cumsum(sizes), sizes.sum() * np.arange(1, FRAGMENTS) // FRAGMENTS)
-        for batch in slices(batches):
-            grams, lo, hi = _grams(batch, n)
-            parts, ends = [np.zeros(0, np.uint64)], [0]
-            for a, b in zip(lo.tolist(), hi.tolist()):
-                own, counts = _ordered(grams[a:b], counters.value)
-                parts.append(own)
-                before = ends[-1]
-                ends += [before + int(k) for k in (*np.searchsorted(counts, cuts, "right"), len(own))]
-            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-            outer = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * FRAGMENTS, pa.int32()), inner)
-            at = batch.schema.get_field_index("text")
-            rest = [batch.column(k) for k in range(batch.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*rest, outer], names=[*[x for x in batch.schema.names if x != "text"], "segments"])
-
-    columns = [f.name for f in docs.schema if f.name != "text"]
-    return docs.select(*columns, "text").mapInArrow(run, ", ".join([*kinds, "segments array<array<bigint>>"]))
-
-
-def compare(pairs: DataFrame, docs: DataFrame, n: int, percent: int, counters) -> DataFrame:
-    """(a, b, size_a, size_b, weight, common, rest) for pairs (a, b, size_a, size_b, weight).
-
-    Overlaps are counted fragment by fragment and summed by pair; rest is the prefix of what b has outside a.  A
-    document leaves the scan with its segments once for each pair that it is b of, and once more if it is a of any.
-    """
-    roles = pairs.select(F.col("b").alias("doc_id"), F.struct("a", "size_a", "size_b", "weight").alias("role"))
-    roles = roles.unionByName(pairs.select(F.col("a").alias("doc_id"), F.lit(None).cast(roles.schema["role"].dataType).alias("role")).distinct())
-    roles = written(roles.groupBy("doc_id").agg(F.collect_list("role").alias("roles"), F.max(F.col("role").isNull()).alias("is_a")), "gram-roles")
-    few = roles.agg(F.sum(F.size("roles") + 1)).first()[0] <= ROLE_BOUND
-    cut = written(segments(docs.join(F.broadcast(roles) if few else roles, "doc_id").select("doc_id", "text", "roles", "is_a"), n, counters), "gram-segments")
-    left = cut.where("is_a").select(F.col("doc_id").alias("a"), F.col("segments").alias("sa"))
-    right = cut.select(F.col("doc_id").alias("b"), F.explode("roles").alias("r"), F.col("segments").alias("sb")).select("b", "r.*", "sb")
-    keep = (F.col("size_b") - F.floor((percent * F.col("size_b") + 99) / 100) + 1).cast("int")
-    common = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.size(F.array_intersect(x, y))), F.lit(0).cast("long"), lambda s, x: s + x)
-    rest = F.slice(F.flatten(F.zip_with("sb", "sa", lambda y, x: F.array_except(y, x))), F.lit(1), keep)
-    done = written(right.join(left, "a").select("a", "b", "size_a", "size_b", "weight", common.alias("common"), rest.alias("rest")), "gram-compared")
-    discard(cut)
-    discard(roles)
-    return done
+        often, seen = frequent.value, set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            grams, ids, sizes = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            to = grams.view(np.uint64) + np.where(_among(grams, often), mix(ids.view(np.uint64)), np.uint64(0))
+            yield from _deal(buckets, (to % np.uint64(buckets)).astype(np.int32), [grams, ids, sizes.astype(np.int32)])
+
+        for batch, found in _sets(batches, n):
+            for i, own in zip(batch.column("doc_id").to_pylist(), found):
+                key = _digest(own)
+                if len(own) and key not in seen:
+                    seen.add(key)
+                    head = _head(own, percent)
+                    held.append((head, np.full(len(head), i, np.int64), np.full(len(head), len(own))))
+            if sum(len(x[0]) for x in held) >= DEALT:
+                yield from out()
+        if held:
+            yield from out()
+
+    return docs.mapInArrow(run, "bucket int, c0 binary, c1 binary, c2 binary")
+
+
+def shared(dealt: DataFrame, frequent, buckets: int) -> DataFrame:
+    """(n-gram, doc_id, set size, number of sets) of the n-grams that several sets have, packed by bucket of the doc_id."""
+    kinds = [np.int64, np.int64, np.int32]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
+        for grams, ids, sizes in _gathered(batches, kinds):
+            order = np.argsort(grams, kind="stable")
+            grams, ids, sizes = grams[order], ids[order], sizes[order]
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            count = np.diff(np.append(first, len(grams)))
+            count[_among(grams[first], often)] = _FREQUENT
+            count = np.repeat(count, np.diff(np.append(first, len(grams))))
+            keep = count > 1
+            own = ids[keep]
+            to = (mix(own.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield from _deal(buckets, to, [grams[keep], own, sizes[keep], count[keep].astype(np.int32)])
+
+    return dealt.mapInArrow(run, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
+
+
+def open_documents(dealt: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, size, weight, keys) of documents that may link: their keys, rarest first, and how common their n-grams are."""
+    kinds = [np.int64, np.int64, np.int32, np.int32]
 
-def _crowded(buckets: DataFrame) -> DataFrame:
-    """(key, doc_id, ...) of the keys that more than one row has, with ``k``, their number."""
-    return buckets.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("k > 1")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grams, ids, sizes, counts in _gathered(batches, kinds):
+            order = np.lexsort((grams, counts, ids))
+            grams, ids, sizes, counts = (x[order] for x in (grams, ids, sizes, counts))
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            found = np.diff(np.append(first, len(ids)))
+            size = sizes[first].astype(np.int64)
+            spare = _spare(size, percent)
+            head, need = np.minimum(2 * spare + 1, size), size - spare
+            least = np.minimum(_spare(need, percent) + 1, need - _spare(need, percent))
+            alone = head - found
+            keep = np.where(alone <= spare, head - least + 1 - alone, 0)
+            weight = np.add.reduceat(np.log2(counts.astype(np.float64)), first) / found
+            some = np.flatnonzero(keep > 0)
+            keys = [grams[a : a + k] for a, k in zip(first[some].tolist(), keep[some].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first][some]), pa.array(size[some]), pa.array(weight[some]), _list(keys)], names=["doc_id", "size", "weight", "keys"])
+
+    return dealt.mapInArrow(run, "doc_id long, size long, weight double, keys array<long>")
+
+
+def segments(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, fragment, grams): the set of each document cut at the fixed places of the global order."""
+    ship(docs.sparkSession)
+    cuts = np.array([(k << 64) // FRAGMENTS - (1 << 63) for k in range(1, FRAGMENTS)], np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _sets(batches, n):
+            parts = [np.split(own, np.searchsorted(own, cuts)) for own in found]
+            ids = np.repeat(batch.column("doc_id").to_numpy(), FRAGMENTS)
+            which = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(which), _list([x for p in parts for x in p])], names=["doc_id", "fragment", "grams"])
 
-def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, size_a, size_b, weight) of all pairs of (key, doc_id, size, doc_id_c) by key that sizes and components allow."""
-    members = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size", "doc_id_c"))).alias("m"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fragment int, grams array<long>").where(F.size("grams") > 0)
 
-    def pairs(x, i):
-        others = F.filter("m", lambda y, j: (j > i) & (y["doc_id"] > x["doc_id"]) & (y["doc_id_c"] != x["doc_id_c"]) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])))
-        return F.transform(others, lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b"), x["size"].alias("size_a"), y["size"].alias("size_b"), F.lit(None).cast("double").alias("weight")))
 
-    return members.select(F.explode(F.flatten(F.transform("m", pairs))).alias("p")).select("p.*")
+def _met(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) by fragment, with the segments ``sb`` of b and ``sa`` of a (null where a has none)."""
+    right = pairs.join(cut.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("sb")), "b")
+    return right.join(cut.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("sa")), ["a", "fragment"], "left")
+
+
+def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """Pairs (a, b, size_a, size_b, more) with ``common``: segments are joined by fragment, partial overlaps summed by pair."""
+    key = ["a", "b", "size_a", "size_b", "more"]
+    partial = _met(pairs, cut).select(*key, F.when(F.col("sa").isNotNull(), F.size(F.array_intersect("sa", "sb"))).otherwise(0).alias("part"))
+    return partial.groupBy(*key).agg(F.sum("part").alias("common"))
+
+
+def outside(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, size) for pairs (a, b, size_b): keys of the first n-grams, in the global order, of b outside a."""
+    rest = F.when(F.col("sa").isNull(), F.col("sb")).otherwise(F.array_except("sb", "sa"))
+    keep = (F.col("size_b") - F.floor((percent * F.col("size_b") + 99) / 100) + 1).cast("int")
+    parts = _met(pairs, cut).select("a", "b", "size_b", F.struct("fragment", F.slice(rest, F.lit(1), keep).alias("rest")).alias("p"))
+    found = parts.groupBy("a", "b", "size_b").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    first = F.slice(F.flatten(F.transform("p", lambda x: x["rest"])), F.lit(1), keep)
+    return found.select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), F.explode(first).alias("gram")).select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size")
 
 
 def _with_components(rows: DataFrame, found: DataFrame | None, *ids: str) -> DataFrame:
@@ -231,92 +296,135 @@ def _with_components(rows: DataFrame, found: DataFrame | None, *ids: str) -> Dat
     return rows
 
 
+def _candidates(state: DataFrame, centres: int) -> DataFrame:
+    """(a, b, size_a, size_b, more) for buckets (key, doc_id, size, weight, doc_id_c) that hold two components.
+
+    a is the first centre of a bucket of b, and more tells whether such a bucket has more members than are centres.
+    For the pairs of further centres with members in other components, more is null.
+    """
+    typical = F.struct("weight", (-F.col("doc_id")).alias("minus"), "size")
+    groups = state.groupBy("key").agg(F.max(typical).alias("c"), F.min("doc_id_c").alias("lo"), F.max("doc_id_c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    groups = groups.select("key", (-F.col("c.minus")).alias("a"), F.col("c.size").alias("size_a"), (F.col("n") > centres + 1).alias("more"))
+    rows = state.join(groups, "key").where("doc_id <> a")
+    pairs = rows.select("a", F.col("doc_id").alias("b"), "size_a", F.col("size").alias("size_b"), "more")
+    if centres > 1:
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc_id"))
+        others = rows.select("key", "weight", F.col("doc_id").alias("doc_id"), F.col("size").alias("size_a"), F.col("doc_id_c").alias("a_c")).withColumn("place", place).where(F.col("place") < centres)
+        others = others.select("key", F.col("doc_id").alias("x"), F.col("size_a").alias("size_x"), "a_c")
+        more = rows.join(others, "key").where("doc_id_c <> a_c")
+        one, two = F.struct("doc_id", "size"), F.struct(F.col("x").alias("doc_id"), F.col("size_x").alias("size"))
+        more = more.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+        pairs = pairs.unionByName(more.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b"), F.lit(None).cast("boolean").alias("more")))
+    return pairs.groupBy("a", "b", "size_a", "size_b").agg(F.max("more").alias("more"))
+
+
+def _inside(told: DataFrame, percent: int, found: DataFrame | None) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) of members of one centre for which the overlaps with the centre alone could do.
+
+    Only members that are mostly inside the centre matter, and only where they are in several components; then those
+    outside the component that most are in are paired with all.
+    """
+    inner = _with_components(told.where(100 * F.col("common") >= percent * F.col("size_b")).select("a", "b", "size_b", "common"), found, "b")
+    groups = inner.groupBy("a", "b_c").agg(F.count(F.lit(1)).alias("n"))
+    most = groups.groupBy("a").agg(F.max(F.struct("n", "b_c"))["b_c"].alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    some = inner.join(most, "a")
+    other = some.where("b_c <> most").select("a", F.col("b").alias("d"), F.col("size_b").alias("size_d"), F.col("common").alias("common_d"), F.col("b_c").alias("d_c"))
+    enough = (100 + percent) * F.least("common", "common_d") >= percent * (F.col("size_b") + F.col("size_d"))
+    both = some.join(other, "a").where((F.col("b_c") != F.col("d_c")) & enough)
+    low, high = F.least(F.struct("b", "size_b"), F.struct(F.col("d").alias("b"), F.col("size_d").alias("size_b"))), F.greatest(F.struct("b", "size_b"), F.struct(F.col("d").alias("b"), F.col("size_d").alias("size_b")))
+    return both.select(low.alias("x"), high.alias("y")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.col("x.size_b").alias("size_a"), F.col("y.size_b").alias("size_b")).distinct()
+
+
 def _linked(percent: int):
     return 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def _frequent(table: DataFrame) -> tuple[np.ndarray, int]:
+    """The n-grams that may be in the heads of many documents, and the number of n-grams in all heads.
+
+    Slices of the documents name those that many of their own documents hold.  As these are true holders, the list
+    has at most ``OFTEN`` times the mean head.  An n-gram that no slice names is counted as any other: whether it is
+    listed changes which task sees it, not the result.
+    """
+    n, total = table.where("size > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("head"), F.lit(0))).first()
+    named = table.select(F.explode("often").alias("x")).groupBy("x.gram").agg(F.sum("x.n").alias("n")).where(F.col("n") >= max(64, n // OFTEN))
+    return np.sort(np.array([r[0] for r in named.select("gram").collect()], np.int64)), total
+
+
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): components of links of Jaccard similarity >= percent / 100.
 
-    Null texts and texts without words have empty sets and link with nothing.  A null doc_id is left out, as a
-    component couldn't name it.  Rows that repeat a doc_id repeat its text; they are one node and give a row each.
+    Null texts and texts without words have empty sets and link with nothing.  A row with a null doc_id links with
+    nothing, as a component couldn't name it, and its component is null.  Rows that repeat a doc_id repeat its text;
+    they are one node and give a row each.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    counters = spark.sparkContext.broadcast(gram_counters(rows, n))
-    table = written(sets(rows, n, percent, counters), "gram-sets")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = every.where("doc_id IS NOT NULL")
+    table = written(sets(every, n, percent), "gram-sets")
     digest = ["size", "low", "high"]
-    first = table.where("size > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    equal = written(table.select("doc_id", *digest).join(first, digest, "left").select("doc_id", "size", "rep"), "gram-equal")
-    links = equal.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    # One of each set of equal ones goes on. Most prefix n-grams are in one set only and end here; sizes join after.
-    alone = equal.where("doc_id = rep").select("doc_id").distinct()
-    reps = table.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = _crowded(reps.select(F.explode("prefix").alias("key"), "doc_id")).drop("k").join(table.select("doc_id", "size", "weight").dropDuplicates(["doc_id"]), "doc_id")
+    first = table.where("size > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    equal = written(table.select("doc_id", *digest).join(first, digest, "left").select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "gram-equal")
+
+    often, total = _frequent(table)
+    discard(table)
+    frequent = spark.sparkContext.broadcast(often)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / DEALT))
+    counted = shared(_by_bucket(heads(rows, n, percent, frequent, buckets), buckets), frequent, buckets)
+    alive = open_documents(_by_bucket(counted, buckets), percent)
+    reps = equal.where("rep IS NOT NULL").select("doc_id", "rep").distinct()
+    alive = alive.join(reps, "doc_id").drop("doc_id").withColumnRenamed("rep", "doc_id").dropDuplicates(["doc_id"])
+    alive = written(alive, "gram-open")
+    cut = segments(rows.join(alive.select("doc_id"), "doc_id", "left_semi"), n)
+    if not equal.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        cut = cut.dropDuplicates(["doc_id", "fragment"])
+    cut = written(cut, "gram-segments")
+
     # Sizes in a ratio of t at least are in one class or in neighbouring ones; a key holds a class and the one below.
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.001 * math.log(100.0 / percent)))
-    buckets = buckets.select("key", F.explode(F.array(size_class, size_class + 1)).alias("class"), "doc_id", "size", "weight")
-    buckets = buckets.select(F.xxhash64("key", "class").alias("key"), "doc_id", "size", "weight")
-    buckets = written(_crowded(buckets), "gram-buckets")
-    discard(table)
-    found = None
-    typical = F.struct("weight", (-F.col("doc_id")).alias("minus"), "size")
+    state = alive.select("doc_id", "size", F.explode("keys").alias("gram"), F.array(size_class, size_class + 1).alias("classes"))
+    state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size")
+    links = found = None
+    weights = alive.select("doc_id", "weight")
 
-    def learn(new: DataFrame) -> None:
+    def learn(compared: DataFrame) -> None:
         nonlocal links, found
-        new = _with_components(new.select("a", "b"), found, "a", "b").where("a_c <> b_c")  # others tell nothing
-        new = written(new.select("a", "b"), "gram-links")
+        new = written(compared.where(_linked(percent)).select("a", "b"), "gram-links")
         if not new.isEmpty():
-            links = links.unionByName(new)
+            links = new if links is None else links.unionByName(new)
             found = written(components(links), "gram-components")
 
-    for k in range(rounds + 1):
-        if buckets.isEmpty():
-            break
-        state = _with_components(buckets, found, "doc_id")
-        open_ = state.groupBy("key").agg(F.max(typical).alias("c"), F.min("doc_id_c").alias("lo"), F.max("doc_id_c").alias("hi")).where("lo < hi")
-        if k == rounds:
-            left = state.join(open_.select("key"), "key").select("key", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), "doc_id_c")
-            right = left.select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("doc_id_c").alias("other_c"))
-            near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-            pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("doc_id_c") != F.col("other_c")) & near)
-            pairs = written(pairs.select("a", "b", "size_a", "size_b", F.lit(0.0).alias("weight")).distinct(), "gram-pairs")
-            if not pairs.isEmpty():
-                learn(compare(pairs, rows, n, percent, counters).where(_linked(percent)))
-            break
-        centre = open_.select("key", (-F.col("c.minus")).alias("a"), F.col("c.size").alias("size_a"))
-        pairs = state.where(F.col("k") > FEW).join(centre, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "size_a", F.col("size").alias("size_b"), "weight").distinct()
-        pairs = written(pairs.unionByName(_all_pairs(state.where(F.col("k") <= FEW), percent).distinct()), "gram-pairs")
+    centres = 1
+    while True:
+        state = written(_with_components(state, found, "doc_id").join(weights, "doc_id"), "gram-buckets")
+        pairs = written(_candidates(state, centres), "gram-pairs")
+        discard(state)
         if pairs.isEmpty():
             break
-        compared = compare(pairs, rows, n, percent, counters)
-        learn(compared.where(_linked(percent)))
-        told = compared.where("weight IS NOT NULL")  # those with a centre
-        # Pairs for which the overlaps with the centre alone could do.
-        inner = _with_components(told.where(100 * F.col("common") >= percent * F.col("size_b")).select("a", "b", "size_b", "common"), found, "b")
-        other = inner.select("a", F.col("b").alias("d"), F.col("size_b").alias("size_d"), F.col("common").alias("common_d"), F.col("b_c").alias("d_c"))
-        enough = (100 + percent) * F.least("common", "common_d") >= percent * (F.col("size_b") + F.col("size_d"))
-        direct = inner.join(other, "a").where((F.col("b") < F.col("d")) & (F.col("b_c") != F.col("d_c")) & enough)
-        direct = written(direct.select(F.col("b").alias("a"), F.col("d").alias("b"), F.col("size_b").alias("size_a"), F.col("size_d").alias("size_b"), F.lit(0.0).alias("weight")).distinct(), "gram-direct")
+        told = written(overlaps(pairs, cut), "gram-overlaps")
+        learn(told)
+        told = told.where("more IS NOT NULL")  # those with the first centre
+        direct = written(_inside(told, percent, found), "gram-inside")
         if not direct.isEmpty():
-            learn(compare(direct, rows, n, percent, counters).where(_linked(percent)))
+            learn(overlaps(direct.withColumn("more", F.lit(None).cast("boolean")), cut))
         # Around a centre whose members are in one component, or that has one member, nothing is open.
-        apart = _with_components(told.select("a", "b"), found, "b").groupBy("a").agg(F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi")
-        rest = told.join(apart.select("a"), "a", "left_semi").select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "weight", F.explode("rest").alias("gram"))
-        following = written(_crowded(rest.select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size", "weight")), "gram-buckets")
-        for done in (buckets, compared, pairs):
-            discard(done)
-        buckets = following
+        members = _with_components(told.where("more").select("a", "b", "size_b"), found, "b")
+        apart = members.groupBy("a").agg(F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi").select("a")
+        state = outside(members.select("a", "b", "size_b").join(apart, "a", "left_semi"), cut, percent)
+        centres *= GROWTH
     if found is None:
-        found = written(components(links), "gram-components")
-    return equal.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        return equal.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+    done = equal.join(found, F.col("rep") == F.col("node"), "left")
+    return done.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """``docs`` with one document, of the least doc_id, for every component; a null doc_id is kept."""
-    others = similar_components(docs, n, percent, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    """``docs`` with one document, of the least doc_id, for every component; a null doc_id is kept.
+
+    Rows that repeat the kept doc_id all stay.
+    """
+    others = similar_components(docs, n, percent, text).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, docs["doc_id"].cast("long") == others["doc_id"], "left_anti")
 
 
 #: DuckDB's form of the query, for tables small enough for a join of all shingles.

@@ -108,9 +108,9 @@ def _sets(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n,percent,rounds,few", [(4, 85, 2, 4), (5, 80, 2, 1), (2, 50, 2, 1), (2, 50, 1, 1), (2, 50, 0, 1), (2, 60, 2, 3)])
-def test_ngram_join(spark, docs, rows, n, percent, rounds, few, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+@pytest.mark.parametrize("n,percent,fragments", [(4, 85, 4), (5, 80, 1), (2, 50, 4), (2, 60, 7), (1, 90, 3)])
+def test_ngram_join(spark, docs, rows, n, percent, fragments, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FRAGMENTS", fragments)
     sets = _sets(rows, n)
     up = {i: i for i in sets}
 
@@ -124,7 +124,7 @@ def test_ngram_join(spark, docs, rows, n, percent, rounds, few, monkeypatch):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 up[y] = x
-    got = _by_id(ngram_join.similar_components(docs, n, percent, rounds=rounds))
+    got = _by_id(ngram_join.similar_components(docs, n, percent))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), find(i)) for i in sets}
     kept = ngram_join.keep_one(docs, n, percent)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if find(i) == i) and kept.columns == docs.columns
@@ -133,7 +133,8 @@ def test_ngram_join(spark, docs, rows, n, percent, rounds, few, monkeypatch):
 def test_ngram_join_edges(spark):
     assert ngram_join.similar_components(_empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in ngram_join.similar_components(twice).collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.similar_components(twice).collect() if r.doc_id) == [(1, 1), (1, 1), (2, 1)]
+    assert [(r.n_shingles, r.component_id) for r in ngram_join.similar_components(twice).collect() if r.doc_id is None] == [(2, None)]
 
 
 def test_components_of_a_chain_and_a_star(spark):
