@@ -57,7 +57,7 @@ FRAGMENTS = 4
 #: An n-gram in the heads of one of so many documents, or more, isn't dealt out by itself.
 OFTEN = 256
 #: Centres of a bucket, times as many in each round.
-GROWTH = 8
+GROWTH = 32
 #: n-grams of heads that are packed at once, and that a bucket gathers, about.
 DEALT = 1 << 19
 _FREQUENT = (1 << 31) - 1
@@ -296,6 +296,19 @@ def _with_components(rows: DataFrame, found: DataFrame | None, *ids: str) -> Dat
     return rows
 
 
+def _learned(links: DataFrame, found: DataFrame | None) -> DataFrame | None:
+    """(node, component) after links (a, b); those between components so far are solved as a graph of components."""
+    new = _with_components(links.select("a", "b"), found, "a", "b").where("a_c <> b_c")
+    new = written(new.select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct(), "gram-links")
+    if new.isEmpty():
+        return found
+    joined = written(components(new), "gram-components")
+    if found is None:
+        return joined
+    moved = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(joined.join(found, "node", "left_anti")), "gram-components")
+
+
 def _candidates(state: DataFrame, centres: int) -> DataFrame:
     """(a, b, size_a, size_b, more) for buckets (key, doc_id, size, weight, doc_id_c) that hold two components.
 
@@ -384,29 +397,23 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.001 * math.log(100.0 / percent)))
     state = alive.select("doc_id", "size", F.explode("keys").alias("gram"), F.array(size_class, size_class + 1).alias("classes"))
     state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size")
-    links = found = None
+    found = direct = None
     weights = alive.select("doc_id", "weight")
-
-    def learn(compared: DataFrame) -> None:
-        nonlocal links, found
-        new = written(compared.where(_linked(percent)).select("a", "b"), "gram-links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            found = written(components(links), "gram-components")
-
     centres = 1
     while True:
         state = written(_with_components(state, found, "doc_id").join(weights, "doc_id"), "gram-buckets")
-        pairs = written(_candidates(state, centres), "gram-pairs")
+        pairs = _candidates(state, centres)
+        if direct is not None:
+            pairs = pairs.unionByName(direct.withColumn("more", F.lit(None).cast("boolean")))
+            pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.max("more").alias("more"))
+        pairs = written(pairs, "gram-pairs")
         discard(state)
         if pairs.isEmpty():
             break
         told = written(overlaps(pairs, cut), "gram-overlaps")
-        learn(told)
+        found = _learned(told.where(_linked(percent)), found)
         told = told.where("more IS NOT NULL")  # those with the first centre
-        direct = written(_inside(told, percent, found), "gram-inside")
-        if not direct.isEmpty():
-            learn(overlaps(direct.withColumn("more", F.lit(None).cast("boolean")), cut))
+        direct = _inside(told, percent, found)
         # Around a centre whose members are in one component, or that has one member, nothing is open.
         members = _with_components(told.where("more").select("a", "b", "size_b"), found, "b")
         apart = members.groupBy("a").agg(F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi").select("a")
