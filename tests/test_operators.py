@@ -36,9 +36,18 @@ def test_farthest_points_variants():
     assert kernels.farthest_points(same, same[:0], same.mean(0), 4) == [0, 1, 2, 3]
 
 
-def test_facility_location_blocks_agree():
-    x = _points(2, 40)
-    assert kernels.facility_location(x, x[:0], x.mean(0), 5, block=7) == kernels.facility_location(x, x[:0], x.mean(0), 5)
+def test_facility_location_equals_plain_greedy():
+    for seed in range(6):
+        x = _points(seed, 25)
+        x = np.round(x, 1) if seed % 2 else x  # ties
+        near, want = np.sqrt(np.square(x - x[0]).sum(1)), []
+        far = kernels.pairwise(x, x)
+        for _ in range(9):
+            gain = np.round(np.maximum(near - far, 0.0).sum(1), 9)
+            gain[want] = -np.inf
+            want.append(int(gain.argmax()))
+            near = np.minimum(near, far[want[-1]])
+        assert kernels.facility_location(x, x[:1], None, 9) == want
 
 
 def _objective(x, labels, chosen):
@@ -79,7 +88,7 @@ def test_best_swap_is_the_exact_best():
 def test_sequential_swaps_keep_sizes():
     x, labels = _points(3, 30), np.arange(30) % 3
     chosen = np.arange(30) % 4 == 0
-    for how in ({}, {"chain": True}, {"median": True}, {"candidates": 3}, {"exact": False}):
+    for how in ({}, {"chain": True}, {"median": True}, {"separate": True}):
         new = kernels.sequential_swaps(x, labels, chosen, 2, **how)
         assert [new[labels == c].sum() for c in range(3)] == [chosen[labels == c].sum() for c in range(3)]
 
