@@ -11,9 +11,9 @@ pieces, by length, that doesn't differ.
 ``bounded_digests`` cuts on where no sentence ends for long, by the hash of words (of characters in scripts without
 spaces), so that no piece is longer than the weight can tell, and counts each occurrence of a repeated piece.
 
-The fingerprint is the sketch of ``3 * CELLS`` cells.  Pairs that it can't peel are retried with sketches that grow
-with the number of pieces, then four times as large under other hashes; those few that still fail are compared by
-their digests.  The first try is made inside the row (higher-order functions over at most 24 cells), retries by
+The fingerprint is the sketch of ``3 * CELLS`` cells, which peels about fifteen differing pieces.  Pairs that it can't
+peel (most of two unlike texts, about half of all pairs) are retried with sketches that grow with the number of
+pieces, then four times as large under other hashes, again and again until none is left.  The first try is made inside the row (higher-order functions over at most 24 cells), retries by
 aggregation over cells: a round of peeling is one expansion and two aggregations, all in one partitioning.
 
 The next document by id is found by a window inside ranges of ids.  The ranges are quantiles of the ids, and the
@@ -198,35 +198,35 @@ def fingerprints(docs: DataFrame, text: str = "text", digest=digests) -> DataFra
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter replaced by the start of the next document.  Null text is empty; two empty
-    texts are alike (1).  A single document is its own next.  Rows with a null doc_id are left out, as they have no
-    next.  Rows that repeat a doc_id stand in the order of their texts and share the likeness of the least alike.
+    texts are alike (1).  A single document is its own next, and so is a row with a null doc_id, which has no place
+    in the order.  Rows that repeat a doc_id stand in the order of their texts.
     ``digest`` makes the digests: ``digests`` of whole distinct pieces, or ``bounded_digests``, which op5 uses.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    nameless = rows.where("doc_id IS NULL").withColumn("next", F.col("text"))
     quarter = F.floor(F.length("text") / 4).cast("int")
-    rows = with_next(rows).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next", F.lit(1), quarter)))
+    rows = with_next(rows.where("doc_id IS NOT NULL")).unionByName(nameless).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next", F.lit(1), quarter)))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("text")).alias("a"), digest(F.col("edited")).alias("e"), digest(F.col("next")).alias("x"))
     rows = rows.withColumns({f"s{c}": sketch(c) for c in "aex"})
     rows = rows.withColumn("pe", peeled("sa", "se")).withColumn("px", peeled("sa", "sx"))
     clear = lambda c: F.when(F.forall(c + ".cells", lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)), F.col(c + ".w"))
     table = written(
-        rows.select("doc_id", "n_chars", "edited_sha256", text_form("sa").alias("fingerprint"), text_form("se").alias("edited_fingerprint"), "a", "e", "x", clear("pe").alias("we"), clear("px").alias("wx")),
+        rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "edited_sha256", text_form("sa").alias("fingerprint"), text_form("se").alias("edited_fingerprint"), "a", "e", "x", clear("pe").alias("we"), clear("px").alias("wx")),
         "iblt-rows",
     )
-    failed = table.where("we IS NULL").select("doc_id", F.lit(0).alias("pair"), "a", F.col("e").alias("b")).unionByName(table.where("wx IS NULL").select("doc_id", F.lit(1).alias("pair"), "a", F.col("x").alias("b")))
-    solved = written(decode(failed, 1000, 1, 8), "iblt-solved")
-    for seed, grow in ((2000, 4),):
-        again = solved.where("rest > 0").select("doc_id", "pair")
+    failed = table.where("we IS NULL").select(F.col("row").alias("doc_id"), F.lit(0).alias("pair"), "a", F.col("e").alias("b")).unionByName(table.where("wx IS NULL").select(F.col("row").alias("doc_id"), F.lit(1).alias("pair"), "a", F.col("x").alias("b")))
+    left, solved, seed, grow, rounds = failed, None, 1000, 1, 8
+    while True:
+        tried = written(decode(left, seed, grow, rounds), "iblt-solved")
+        whole = tried.where("rest = 0")
+        solved = whole if solved is None else solved.unionByName(whole)
+        again = tried.where("rest > 0").select("doc_id", "pair")
         if again.isEmpty():
             break
-        retried = decode(failed.join(again, ["doc_id", "pair"], "left_semi"), seed, grow, 12)
-        last = failed.join(retried.where("rest > 0").select("doc_id", "pair"), ["doc_id", "pair"], "left_semi")
-        exact = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
-        last = last.select("doc_id", "pair", F.aggregate(exact, F.lit(0).cast("long"), lambda t, k: t + k.bitwiseAND(_WEIGHT)).alias("w"), F.lit(0).cast("long").alias("rest"))
-        solved = written(solved.where("rest = 0").unionByName(retried.where("rest = 0")).unionByName(last), "iblt-solved")
+        left, seed, grow, rounds = failed.join(again, ["doc_id", "pair"], "left_semi"), seed + 1000, grow * 4, rounds + 4
     solved = solved.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("pair") == 0, F.col("w"))).alias("we1"), F.max(F.when(F.col("pair") == 1, F.col("w"))).alias("wx1"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda t, k: t + k.bitwiseAND(_WEIGHT))
-    slim = table.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "we", "wx", (total("a") + total("e")).alias("te"), (total("a") + total("x")).alias("tx"))
-    rows = slim.join(solved, F.col("doc_id") == F.col("_id"), "left")
+    slim = table.select("row", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "we", "wx", (total("a") + total("e")).alias("te"), (total("a") + total("x")).alias("tx"))
+    rows = slim.join(solved, F.col("row") == F.col("_id"), "left")
     near = lambda w, w1, t: F.when(F.col(t) == 0, 1.0).otherwise(1.0 - F.coalesce(F.col(w), F.col(w1), F.lit(0)) / F.col(t))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("we", "we1", "te").alias("near_edited"), near("wx", "wx1", "tx").alias("near_next"))

@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .flattext import flat, slices
+from .scratch import written
 
 ORDER = 3
+#: Languages of a model at most: with the sample for each, that bounds what is collected and shipped.
+LANGUAGES = 1000
 UNKNOWN = "und"
 
 
@@ -202,7 +205,10 @@ def training_sample(labelled: DataFrame, per_language: int, max_chars: int) -> d
     ids = rows.select("doc_id", "lang", place.alias("_place"))
     # Ranking sees about four times the sample for each language: the hash is even, so a threshold leaves that much.
     part = F.lit(float(4 * per_language)) / F.col("_n")
-    counts = F.broadcast(rows.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")))
+    counts = written(rows.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")), "languages")
+    if (n := counts.count()) > LANGUAGES:
+        raise ValueError(f"{n} values of lang; a model has at most {LANGUAGES} languages")
+    counts = F.broadcast(counts)
     ids = ids.join(counts, F.col("lang") == F.col("_l")).where((F.col("_place") / F.lit(2.0**64) + 0.5) <= part)
     order = Window.partitionBy("lang").orderBy("_place", "doc_id")
     ids = ids.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language)
@@ -264,7 +270,8 @@ def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") ->
     """``docs``, all columns, without texts that are no language: null, without a letter, or not ``known``.
 
     What counts is the cost for each byte, not the posterior, which compares the languages with each other only: a
-    text in none of them can have almost 1, and a short text that suits two has half.  Rows are judged where they lie; nothing is joined or moved.  Without a model nothing is kept.
+    text in none of them can have almost 1, and a short text that suits two has half.  Rows are judged one by one where they lie: repeated rows share
+    their fate, null ids don't matter, and nothing is joined or moved.  Without a model nothing is kept.
     """
     if model is None:
         return docs.limit(0)

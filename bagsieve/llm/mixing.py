@@ -2,12 +2,13 @@
 
 Every document of a source expects ``target / source_size`` copies.  The expectations are summed along the
 source, one offset drawn per source is added, and a document is emitted once for every integer that its step of
-the sum crosses.  The order within a source is (size class, a hash of the id, size, id), which is nearly that of the size:
+the sum crosses.  The order within a source is (size class, three digits of a hash of the id, size, id), which is nearly that of the size:
 documents of every size then get their share evenly, so that the words taken come near the target, not only
 the documents.
 
 The running sum needs no single task per source.  A row's place is its place within its (source, size class,
-hash class) plus the rows of the classes before it, and those classes are at most 1024 * 16 for each source.
+hash class) plus the rows of the classes before it.  There are 4096 hash classes, so that documents of one size spread,
+too; only the classes that have rows are in the table that is summed.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+from .scratch import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -25,10 +29,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def size_class() -> Column:
+def size_class(size: str = "size") -> Column:
     """Sixteen classes for each power of two, ascending with the size."""
-    bits = F.length(F.bin("size"))
-    return (bits * 16 + F.when(bits > 5, F.expr("cast(shiftright(size, length(bin(size)) - 5) & 15 AS int)")).otherwise(0)).cast("int")
+    bits = F.length(F.bin(size))
+    return (bits * 16 + F.when(bits > 5, F.expr(f"cast(shiftright(`{size}`, length(bin(`{size}`)) - 5) & 15 AS int)")).otherwise(0)).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -59,44 +63,47 @@ def mix(docs: DataFrame, text: str = "text", seed: str = "mix", **shares) -> Dat
     """``docs`` with size, source_size, target, copies and taken (size * copies).
 
     Null text has size 0 and is placed like any other; null source is a source, last in order; a null doc_id is
-    placed as the empty string.  Repeated rows are sampled as separate documents.  An empty table gives none.
-    Columns of those names that ``docs`` already has are replaced.
+    placed as the empty string.  Repeated rows are sampled as separate documents; rows of equal size and doc_id stand
+    in the order of a hash of all their columns, so that only rows equal in all could change places.  An empty table
+    gives none.  Columns of those five names that ``docs`` already has are replaced.
     """
     own = ["size", "source_size", "target", "copies", "taken"]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.drop(*own).withColumn("size", word_count(F.col(text)))
-    rows = rows.withColumn("_class", size_class()).withColumn("_hash", F.substring(F.md5(key), 1, 1))
+    docs = docs.drop(*own)
+    key, kind, digits, place, key_, kind_, digits_, before = fresh(docs.withColumns({c: F.lit(0) for c in own}), "key", "kind", "digits", "place", "key_of", "kind_of", "digits_of", "before")
+    rows = docs.withColumn("size", word_count(F.col(text)))
+    rows = rows.withColumn(kind, size_class()).withColumn(digits, F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3))
     # A key without nulls lets the join below use the partitioning of the window: rows move once.
-    rows = rows.withColumn("_key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
-    classes = rows.groupBy("source", "_key", "_class", "_hash").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
-    earlier = Window.partitionBy("source").orderBy("_class", "_hash").rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    targets = source_targets(classes.groupBy("source").agg(F.sum("_words").alias("source_size")), **shares)
+    rows = rows.withColumn(key, F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+    classes = rows.groupBy("source", F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(digits).alias("digits")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    classes = written(classes, "mix-classes")  # words are counted once for it and once for the rows
+    earlier = Window.partitionBy("source").orderBy("kind", "digits").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), **shares)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce("source", F.lit("\u0000")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     plan = (
         classes.alias("c")
         .join(targets.alias("t"), F.expr("c.source <=> t.source"))
-        .select(F.col("c._key").alias("_k"), F.col("c._class").alias("_c"), F.col("c._hash").alias("_h"), "_before", "t.source_size", "t.target")
+        .select(F.col("c.key").alias(key_), F.col("c.kind").alias(kind_), F.col("c.digits").alias(digits_), F.col("before").alias(before), "t.source_size", "t.target")
     )
-    within = Window.partitionBy("_key", "_class", "_hash").orderBy("size", "doc_id")
-    placed = rows.withColumn("_place", F.row_number().over(within))
-    placed = placed.join(plan, F.expr("_key = _k AND _class = _c AND _hash = _h"))
+    within = Window.partitionBy(key, kind, digits).orderBy("size", "doc_id", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    placed = rows.withColumn(place, F.row_number().over(within))
+    placed = placed.join(plan, (F.col(key) == F.col(key_)) & (F.col(kind) == F.col(kind_)) & (F.col(digits) == F.col(digits_)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.col("_place") + F.col("_before")
-    copies = (F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)).cast("long")
+    at = F.col(place) + F.col(before)
+    copies = (F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)).cast("long")
     placed = placed.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return placed.select(*[c for c in docs.columns if c not in own], *own)
+    return placed.select(*docs.columns, *own)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that the mix takes, numbered from 1 in ``copy``."""
+    """One row for each copy that the mix takes, numbered from 1 in ``copy`` (a column of that name is replaced)."""
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
 #: DuckDB's form of the query.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  substr(md5(doc_id::VARCHAR), 1, 1) AS h FROM documents),
+                  substr(md5(doc_id::VARCHAR), 1, 3) AS h FROM documents),
 k AS (SELECT *, b * 16 + CASE WHEN b > 5 THEN (size >> (b - 5)) & 15 ELSE 0 END AS c FROM (SELECT *, (CASE WHEN size = 0 THEN 1 ELSE length(bin(size)) END)::INT AS b FROM d)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),

@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .flattext import LOWER, flat, prefix_sums, separators, slices, span_hashes, words
+from .names import fresh
 from .scratch import written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Slots of the bitmap of terms: its size is the bound on what is shipped to the tasks.
 SLOTS = 1 << 20
-#: Words to each side of an entity, on its line, that are its neighbourhood.
+#: Terms to each side of an entity, on whatever line, that are its neighbourhood.
 REACH = 6
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -95,26 +98,41 @@ def _told(found) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in found)
 
 
+@lru_cache(1 << 16)
 def _term_slot(term: str) -> int:
     data = np.frombuffer(term.encode(), np.uint8)
     return int(span_hashes(prefix_sums(data), np.array([0]), np.array([len(data)]))[0]) % SLOTS
 
 
 def neighbourhoods(text: str, found: list[tuple[str, int, int]]) -> list[dict]:
-    """The terms near each entity, with the digest of their neighbourhood."""
+    """The terms near each entity, with the digest of their neighbourhood.
+
+    Terms are whole words outside all entities; the nearest ``REACH`` on either side count, however far they are.
+    """
+    starts, ends = [], []  # entities as disjoint spans
+    for a, b in sorted((a, b) for _, a, b in found):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    terms, at = [], []
+    for m in _TERM.finditer(text):
+        k = bisect_left(starts, m.end())
+        if not k or ends[k - 1] <= m.start():
+            terms.append((m.group(), m.start(), m.end()))
+            at.append(m.start())
     out = []
     for kind, a, b in found:
-        low, high = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        low, high = max(low, a - 400), min(len(text) if high < 0 else high, b + 400)
-        near = [m for m in _TERM.finditer(text, low, a)][-REACH:] + [m for m in _TERM.finditer(text, b, high)][:REACH]
-        near = [m for m in near if not any(m.start() < y and x < m.end() for _, x, y in found)]
+        low, high = bisect_left(at, a), bisect_right(at, b - 1)
+        near = terms[max(0, low - REACH) : low] + terms[high : high + REACH]
         entity = f"{kind}:{text[a:b]}"
-        place = hashlib.sha1("\0".join(m.group() for m in near).encode()).hexdigest()[:16]
+        place = hashlib.sha1("\0".join(x[0] for x in near).encode()).hexdigest()[:16]
         if not near:  # the entity counts all the same
             out.append({"entity": entity, "place": place, "term": None, "slot": None, "start": a, "end": b})
-        for m in near:
-            term = m.group().translate(_AZ)
-            out.append({"entity": entity, "place": place, "term": term, "slot": _term_slot(term), "start": m.start(), "end": m.end()})
+        for word, x, y in near:
+            term = word.translate(_AZ)
+            out.append({"entity": entity, "place": place, "term": term, "slot": _term_slot(term), "start": x, "end": y})
     return out
 
 
@@ -193,31 +211,37 @@ def report(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_terms.
 
     spans holds the patterns' spans and, after them, ``term:start:end`` of disclosing terms.  Null text counts as
-    empty: no spans and the digest of the empty string.  Rows with one doc_id share their terms' spans; a row with
-    a null doc_id gets none.  Empty tables give empty results.
+    empty: no spans and the digest of the empty string.  Each row has its own spans, whatever its doc_id.  Empty
+    tables give empty results.
     """
     scanned = written(scan(docs, text).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-    near = scanned.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.entity", "x.term", "x.start", "x.end")
+    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
     told = near.join(disclosures(docs, scanned, text=text, **how), ["entity", "term"])
-    told = told.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "level"))).alias("terms"))
-    rows = scanned.drop("near").join(told, F.col("doc_id") == F.col("_id"), "left")
+    told = told.groupBy(F.col("row").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "level"))).alias("terms"))
+    rows = scanned.drop("near").join(told, F.col("row") == F.col("_id"), "left")
     more = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"], F.lit(":"), t["end"])), ",")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), more)
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"), "terms")
 
 
 def sanitise(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``docs`` with entities replaced by their kind and disclosing terms generalised to [TERM] or removed."""
-    found = report(docs, text, **how).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.transform("terms", lambda t: F.concat(t["start"], F.lit(":"), t["level"])).alias("_levels")).dropDuplicates(["_id"])
-    rows = docs.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    """``docs`` with entities replaced by their kind and disclosing terms generalised to [TERM] or removed.
+
+    Null texts stay null; rows are numbered and written first, so that each gets its own spans, whatever its doc_id.
+    """
+    number, number_, spans, levels = fresh(docs, "number", "number_of", "spans", "levels")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "pii-rows")
+    found = report(rows.select(F.col(number).alias("doc_id"), F.col(text).alias("text")), **how)
+    found = found.select(F.col("doc_id").alias(number_), F.col("spans").alias(spans), F.transform("terms", lambda t: F.concat(t["start"], F.lit(":"), t["level"])).alias(levels))
+    rows = rows.join(found, F.col(number) == F.col(number_), "left").drop(number, number_)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             at = batch.schema.get_field_index(text)
             clean = []
-            for t, told, levels in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), batch.column("_levels").to_pylist()):
-                gone = {x.split(":")[0] for x in levels or () if x.endswith("remove")}
+            for t, told, level in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), batch.column(levels).to_pylist()):
+                gone = {x.split(":")[0] for x in level or () if x.endswith("remove")}
                 out, end = [], 0
                 for kind, a, b in sorted((x.split(":") for x in (told or "").split(",") if x), key=lambda x: (int(x[1]), -int(x[2]))):
                     if int(a) >= end:

@@ -16,7 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))  # a null id is learned from
     model = langid.train(docs.where(~held_out))
     found = langid.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")

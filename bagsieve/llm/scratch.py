@@ -2,7 +2,7 @@
 
 A written table survives the loss of any executor: it is read back from the shared file system instead of
 being recomputed from shuffle files.  The folder is the session's ``spark.checkpoint.dir``; only where that is
-unset (tests, a laptop) is a temporary folder made.
+unset and Spark runs in this process (tests, a laptop) is a temporary folder made.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables; sets one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="bagsieve-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

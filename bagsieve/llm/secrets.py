@@ -2,7 +2,7 @@
 
 The lexer reads source and configuration syntax (``name = "literal"``, ``"name": "literal"``, ``name: bare``,
 ``name := 'literal'``, ``a="x" b="y"``) into pairs of a target name and literals.  A right side that is a name stands
-for the literals last assigned to it in the text (constant propagation), and literals joined by ``+`` count
+for the value last assigned to it in the text (constant propagation), and literals joined by ``+`` count
 together.  Each literal is scored by how sensitive its target's name is and by whether the literal looks random;
 a constant that reaches a sensitive name later is thereby found where it is written.
 
@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +33,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_TOKEN = re.compile(
-    r"""(?P<str>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?P<op>:=|=>|==|!=|<=|>=|[:=+])|(?P<stop>[,;(){}\[\]<>])|(?P<name>[A-Za-z_$][\w.$-]*+)|(?P<bare>[^\s"'=:;,(){}\[\]<>+]++)""",
-    re.A,
-)
+_REST = r"""(?P<quote>["'])|(?P<op>:=|=>|==|!=|<=|>=|[:=+])|(?P<stop>[,;(){}\[\]<>])|(?P<name>[A-Za-z_$][\w.$-]*+)|(?P<bare>[^\s"'=:;,(){}\[\]<>+]++)"""
+_STRING = {q: rf"(?P<str{k}>{q}(?:[^{q}\\\n]|\\.)*+{q})" for k, q in enumerate("\"'")}
+#: By the quotes that may still open a string.
+_TOKEN = {quotes: re.compile("|".join([*(_STRING[q] for q in quotes), _REST]), re.A) for quotes in ("\"'", "'", '"', "")}
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: How sensitive a word in a target's name is. Fixed values.
@@ -76,43 +78,91 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 64.0) * (1.0 if kinds >= 2 else 0.5)
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, joined value, spans of its literals) in the order of the text, constants propagated."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+def tokens(line: str, start: int = 0) -> list[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of a line's tokens.
+
+    A quote that no later one closes isn't the start of a string, nor is any after it in its line, as it would meet
+    the same escapes: so a line is read once, whatever is in it.
+    """
+    out, quotes, at = [], "\"'", 0
+    while m := _TOKEN[quotes].search(line, at):
+        at = m.end()
+        if m.lastgroup == "quote":
+            quotes = quotes.replace(m.group(), "")
+        else:
+            out.append(("str" if m.lastgroup.startswith("str") else m.lastgroup, m.group(), start + m.start(), start + at))
+    return out
+
+
+class Value:
+    """The right side of an assignment: spans of its literals, the constants in it, and the most that any scores.
+
+    Constants are referred to, not copied, so that a chain of assignments takes no more room than its text.
+    """
+
+    __slots__ = ("spans", "parts", "score", "told")
+
+    def __init__(self, literals: list[tuple[str, int, int]], parts: list[Value]) -> None:
+        self.spans = [(a, b) for _, a, b in literals]
+        self.parts = list({id(p): p for p in parts}.values())
+        self.score = max([literal_score("".join(t for t, _, _ in literals)) if literals else 0.0, *(p.score for p in parts)])
+        self.told = False
+
+    def tell(self) -> Iterator[tuple[int, int]]:
+        """The spans of this value and of its constants; of one that has told them before, none."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if not value.told:
+                value.told = True
+                yield from value.spans
+                todo += value.parts
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(target name, value) in the order of the text, constants propagated.
+
+    Literals joined by ``+`` are scored together, and a constant by itself, once.
+    """
+    known: dict[str, Value] = {}
     start = 0
     for line in text.split("\n"):
         if "=" in line or ":" in line:
-            tokens = [(m.lastgroup, m.group(), start + m.start(), start + m.end()) for m in _TOKEN.finditer(line)]
+            found = tokens(line, start)
             k = 1
-            while k < len(tokens):
-                kind, sign, _, _ = tokens[k]
-                if kind != "op" or sign not in ("=", ":", ":=", "=>") or tokens[k - 1][0] not in ("name", "str", "bare"):
+            while k < len(found):
+                kind, sign, _, _ = found[k]
+                if kind != "op" or sign not in ("=", ":", ":=", "=>") or found[k - 1][0] not in ("name", "str", "bare"):
                     k += 1
                     continue
-                name = tokens[k - 1][1].strip("\"'")
-                if sign == ":" and k + 2 < len(tokens) and tokens[k + 1][0] == "name" and tokens[k + 2][1] == "=":
+                name = found[k - 1][1].strip("\"'")
+                if sign == ":" and k + 2 < len(found) and found[k + 1][0] == "name" and found[k + 2][1] == "=":
                     k += 2  # a type stands between the name and the sign
-                value, spans, k = "", [], k + 1
-                while k < len(tokens):
-                    kind, part, a, b = tokens[k]
+                literals, parts, k = [], [], k + 1
+                while k < len(found):
+                    kind, part, a, b = found[k]
                     if kind == "str":
-                        value, spans = value + part[1:-1], [*spans, (a + 1, b - 1)]
+                        literals.append((part[1:-1], a + 1, b - 1))
                     elif kind in ("name", "bare"):
-                        while k + 1 < len(tokens) and tokens[k + 1][0] in ("name", "bare") and tokens[k + 1][2] == b:
-                            k, part, b = k + 1, part + tokens[k + 1][1], tokens[k + 1][3]  # a bare value runs on
-                        constant = known.get(part)
-                        literal = (part, [(a, b)]) if constant is None else constant
-                        value, spans = value + literal[0], [*spans, *literal[1]]
+                        run = [part]
+                        while k + 1 < len(found) and found[k + 1][0] in ("name", "bare") and found[k + 1][2] == b:
+                            k, b = k + 1, found[k + 1][3]  # a bare value runs on
+                            run.append(found[k][1])
+                        part = "".join(run)
+                        if part in known:
+                            parts.append(known[part])
+                        else:
+                            literals.append((part, a, b))
                     else:
                         break
                     k += 1
-                    if k < len(tokens) and tokens[k][1] == "+":
+                    if k < len(found) and found[k][1] == "+":
                         k += 1
                     else:
                         break
-                if spans:
-                    known[name] = (value, spans)
-                    yield name, value, spans
+                if literals or parts:
+                    known[name] = Value(literals, parts)
+                    yield name, known[name]
         start += len(line) + 1
 
 
@@ -121,17 +171,20 @@ def named_spans(text: str, threshold: float) -> list[tuple[int, str, int, tuple[
     if "=" not in text and ":" not in text:
         return []
     found = set()
-    for name, value, spans in assignments(text):
+    for name, value in assignments(text):
         target = name_score(name)
-        if target >= threshold and target * literal_score(value) >= threshold:
-            found.update(spans)
+        if target >= threshold and target * value.score >= threshold:
+            found.update(value.tell())
     return [(a, "named", b, (a, b)) for a, b in found if b > a]
 
 
 def spans(text: str, threshold: float = 0.5) -> list[tuple[int, str, int, tuple[int, int]]]:
     """All spans by start, then kind; a named literal inside a pattern's span isn't told again."""
-    base = base_spans(text)
-    more = [x for x in named_spans(text, threshold) if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+    base, more = base_spans(text), named_spans(text, threshold)
+    if base and more:  # a span that starts no later and ends no earlier holds it
+        starts = sorted((x[0], x[2]) for x in base)
+        reach = list(accumulate((b for _, b in starts), max))
+        more = [x for x in more if not (k := bisect_right(starts, (x[0], math.inf))) or reach[k - 1] < x[2]]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
@@ -170,7 +223,7 @@ def redacted(text: str, mark: str = "[SECRET]", threshold: float = 0.5) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with secrets replaced in the text; all columns stay, null stays null."""
+    """``docs`` with secrets replaced in the text; all columns stay, null stays null, rows are treated one by one."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ Extension: with each seed goes a digest of the words around it, as far as window
 each side, less at the ends of the text).  Where that extension is equal in a smaller document, all windows over the
 seed are repeats and no more is compared; that settles the inside of long repeats, whatever the number of
 copies.  The first document of each extension, where others share the seed with another one, is extended window by
-window: those few windows meet by their hash.  Windows that hang together are one maximal repeat.
+window: those few windows meet by two hashes of 64 bits, as do extensions (those of the seed and of the words around
+it).  Windows that hang together are one maximal repeat.
 
 Every step is linear in the number of seeds: no pairs of documents are made.  Documents are read three times and
 their texts shuffled once (both joins use the same exchange).
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .flattext import flat, gram_hashes, mix, prefix_sums, slices, span_hashes, value_sums, window_minima, words
+from .flattext import flat, gram_hashes, mix, slices, span_hashes, value_sums, window_minima, word_hashes, words
 from .scratch import written
 
 WINDOW = 13
@@ -44,7 +45,7 @@ def seeds(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             data, off = flat(batch.column("text"))
             starts, ends, first = words(data, off)
-            hashes = span_hashes(prefix_sums(data), starts, ends)
+            hashes = word_hashes(data, starts, ends)
             grams = gram_hashes(hashes, SEED)
             count = np.diff(first)
             doc = np.repeat(np.arange(len(count)), count)[: len(grams)]
@@ -84,14 +85,15 @@ def joined(found: DataFrame) -> DataFrame:
 
 
 def open_windows(rows: DataFrame) -> DataFrame:
-    """(window, doc_id, start) of every window over an open seed, for rows (doc_id, text, open)."""
+    """(window, check, doc_id, start) of every window over an open seed, for rows (doc_id, text, open)."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, off = flat(batch.column("text"))
             starts, ends, first = words(data, off)
-            windows = gram_hashes(span_hashes(prefix_sums(data), starts, ends), WINDOW)
+            hashes = word_hashes(data, starts, ends)
+            windows, checks = gram_hashes(hashes, WINDOW), gram_hashes(hashes, WINDOW, 0x51ED270B)
             lists = batch.column("open")
             doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             at = lists.flatten().to_numpy().astype(np.int64)
@@ -104,17 +106,17 @@ def open_windows(rows: DataFrame) -> DataFrame:
             doc = np.searchsorted(first, key, "right") - 1
             ids = batch.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(windows[key].view(np.int64)), pa.array(ids[doc]), pa.array((key - first[doc]).astype(np.int32))], names=["window", "doc_id", "start"]
+                [*(pa.array(x[key].view(np.int64)) for x in (windows, checks)), pa.array(ids[doc]), pa.array((key - first[doc]).astype(np.int32))], names=["window", "check", "doc_id", "start"]
             )
 
-    return rows.mapInArrow(run, "window long, doc_id long, start int")
+    return rows.mapInArrow(run, "window long, check long, doc_id long, start int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with settled (seed positions) and starts (of repeated windows); null if none."""
-    shared = written(joined(seeds(docs)), "substring-seeds")
+    shared = written(joined(seeds(docs.where("doc_id IS NOT NULL"))), "substring-seeds")
     opened = open_windows(docs.join(shared.where(F.size("open") > 0).select("doc_id", "open"), "doc_id").select("doc_id", "text", "open"))
-    opened = opened.withColumn("first", F.min("doc_id").over(Window.partitionBy("window"))).where("first < doc_id")
+    opened = opened.withColumn("first", F.min("doc_id").over(Window.partitionBy("window", "check"))).where("first < doc_id")
     starts = opened.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     return docs.join(shared.select("doc_id", "settled"), "doc_id", "left").join(starts, "doc_id", "left").select("doc_id", "text", "settled", "starts")
 
@@ -139,12 +141,12 @@ def removed_words(count: int, settled, starts) -> np.ndarray:
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, kept, n_words, n_removed, n_repeats): the words left, joined by one space.
 
-    Null text has no words; texts of fewer than 13 words lose none.  Rows with a null doc_id are left out, as they
-    have no place in the order.  Rows that repeat a doc_id repeat its text and give a row each; they aren't repeats
+    Null text has no words; texts of fewer than 13 words lose none.  A row with a null doc_id loses none and is not
+    looked at for others, as it has no place in the order.  Rows that repeat a doc_id repeat its text and give a row each; they aren't repeats
     of one another.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

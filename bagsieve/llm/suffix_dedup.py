@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .flattext import flat, mix, prefix_sums, slices, span_hashes, window_minima
+from .flattext import SLICE_BYTES, flat, mix, prefix_sums, slices, span_hashes, window_minima
 from .scratch import written
 from .suffix_sort import repeated_starts
 
@@ -47,8 +47,7 @@ def samples(docs: DataFrame, length: int) -> DataFrame:
     near_left, near_right = _near(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, off = flat(batch.column("text"))
+        for ids, data, off, shift, low_core, high_core in (part for batch in slices(batches) for part in _parts(batch, 2 * length)):
             if len(data) < length:
                 continue
             sums = prefix_sums(data)
@@ -58,6 +57,7 @@ def samples(docs: DataFrame, length: int) -> DataFrame:
             doc = np.repeat(np.arange(len(size)), size)[: len(at)]
             fits = (at + SAMPLE <= off[doc + 1]) & (size[doc] >= length)
             chosen = np.flatnonzero(window_minima(np.where(fits, hashes, np.uint64(0xFFFFFFFFFFFFFFFF)), places) & fits)
+            chosen = chosen[(chosen >= low_core) & (chosen < high_core)]
             if not len(chosen):
                 continue
             own = doc[chosen]
@@ -65,7 +65,6 @@ def samples(docs: DataFrame, length: int) -> DataFrame:
             around = span_hashes(sums, low, high)
             with np.errstate(over="ignore"):
                 around = mix(around + (chosen - low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-            ids = batch.column("doc_id").to_numpy()
             right = span_hashes(sums, chosen, np.minimum(chosen + near_right, high))
             left = span_hashes(sums, np.maximum(chosen - near_left, low), chosen)
             yield pa.RecordBatch.from_arrays(
@@ -75,7 +74,7 @@ def samples(docs: DataFrame, length: int) -> DataFrame:
                     pa.array(right.view(np.int64), mask=chosen + near_right > high),
                     pa.array(left.view(np.int64), mask=chosen - near_left < low),
                     pa.array(ids[own]),
-                    pa.array((chosen - off[own]).astype(np.int32)),
+                    pa.array((chosen + shift - off[own]).astype(np.int32)),
                 ],
                 names=["seed", "around", "right", "left", "doc_id", "at"],
             )
@@ -83,6 +82,22 @@ def samples(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "seed long, around long, right long, left long, doc_id long, at int")
 
 
+def _parts(batch: pa.RecordBatch, margin: int) -> Iterator[tuple]:
+    """(doc_ids, bytes, offsets, shift, core's start and end) of a slice; long texts come in parts that overlap.
+
+    Places of the core have ``margin`` bytes around them, or the end of the text.
+    """
+    data, off = flat(batch.column("text"))
+    ids = batch.column("doc_id").to_numpy()
+    if len(data) <= 4 * SLICE_BYTES:
+        yield ids, data, off, 0, 0, len(data)
+        return
+    for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        for at in range(a, b, SLICE_BYTES):
+            low, high = max(a, at - margin), min(b, at + SLICE_BYTES + margin)
+            yield ids[k : k + 1], data[low:high], np.array([0, high - low]), low - a, at - low, min(b, at + SLICE_BYTES) - low
+
+
 def _near(length: int) -> tuple[int, int]:
     """Bytes to the left and to the right of a sample of which strings over it have all of one or the other."""
     left = (length - SAMPLE) // 2
@@ -190,7 +205,7 @@ def hashed_starts(found: DataFrame, length: int) -> DataFrame:
 
 def removed_bytes(count: int, settled, low, high, length: int) -> np.ndarray:
     """Which of ``count`` bytes lie in a repeated string."""
-    edge = np.zeros(count + 1, np.int64)
+    edge = np.zeros(count + 1, np.int32)
     at = np.asarray(settled, np.int64)
     low = np.concatenate([np.maximum(at - (length - SAMPLE), 0), np.asarray(low, np.int64)])
     high = np.concatenate([np.minimum(at, count - length), np.asarray(high, np.int64)])
@@ -203,13 +218,14 @@ def removed_bytes(count: int, settled, low, high, length: int) -> np.ndarray:
 def deduplicate(docs: DataFrame, text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans): the bytes left (binary: a cut may split a character).
 
-    Null text is empty; texts of fewer than ``length`` bytes lose nothing.  Rows with a null doc_id are left out.
+    Null text is empty; texts of fewer than ``length`` bytes lose nothing.  A row with a null doc_id loses nothing and
+    isn't another place for other texts.
     Rows that repeat a doc_id repeat its text, and so are repeats of one another.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    shared = written(joined(samples(rows, length), group), "suffix-samples")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shared = written(joined(samples(rows.where("doc_id IS NOT NULL"), length), group), "suffix-samples")
     near = snippets(rows.join(shared.where(F.size("open") > 0).select("doc_id", "open"), "doc_id").select("doc_id", "text", "open"), length)
     starts = sorted_starts(near.where("NOT wide"), length)
     if not shared.where(F.exists("open", lambda x: x["wide"])).isEmpty():

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -48,7 +49,8 @@ def rows():
 def docs(spark, rows):
     """Documents with columns whose names the operators use inside."""
     frame = spark.createDataFrame(rows, SCHEMA)
-    for name in ("size", "seed", "hits", "window", "text_", "component", "open", "kept", "_id", "node", "score"):
+    inside = "size seed hits window text_ component open kept _id node score key bad at pieces kind digits place before rep other number spans levels row _row _key _hash _before _k _other _bad _hits"
+    for name in inside.split():
         frame = frame.withColumn(name, F.lit("own"))
     return frame.repartition(3)
 
@@ -143,7 +145,7 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(50)}}
 
 
-ITEMS = [(1, "One two three four five six seven eight nine ten eleven"), (2, "Short ITEM here"), (3, None), (4, "..."), (10, "één twee"), (11, "one two three four five six seven eight nine TEN eleven twelve")]
+ITEMS = [(1, "One two three four five six seven eight nine ten eleven"), (2, "Short ITEM here"), (3, None), (4, "..."), (10, "één twee"), (12, "ΑΣ.ΒΓ ΔΕ"), (11, "one two three four five six seven eight nine TEN eleven twelve")]
 CASES = [
     (0, "zero one, two three-four five six seven eight nine ten then"),
     (1, "a short item here and a SHORT item here"),
@@ -154,6 +156,8 @@ CASES = [
     (6, "one two three four five six seven eight nine"),
     (7, "Kelvin short item here"),
     (8, "one two three four five six seven eight nine ten eleven twelve"),
+    (9, "xx ΑΣ.ΒΓ ΔΕ yy"),
+    (10, "ας.βγ δε ΑΣ ΒΓ ΔΕ"),
 ]
 
 
@@ -191,7 +195,9 @@ def test_decontam_null_id(spark, bound):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(None, "nothing of the kind"), (None, "now a short item here"), (1, "short"), (2, "short item here")], "doc_id long, text string")
     got = decontam.report(docs, items, set_bound=bound).collect()
-    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got} == {None: (5, 3, 1, True), 1: (1, 0, 0, False), 2: (3, 3, 1, True)}
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [(0, 4, 0, 0, False), (0, 5, 3, 1, True), (1, 1, 0, 0, False), (2, 3, 3, 1, True)]
+    assert sorted(r.text for r in decontam.remove_documents(docs, items, set_bound=bound).collect()) == ["nothing of the kind", "short"]
+    assert "now a" in {r.text for r in decontam.remove_spans(docs, items, set_bound=bound).collect()}
 
 
 def test_decontam_empty(spark):
@@ -246,6 +252,33 @@ def test_fingerprints_of_unpunctuated_and_repeated_texts(spark, docs):
     assert all(got[1000 + k].near_edited > 0.6 for k in range(6))
 
 
+def test_null_ids_stand_alone(spark):
+    text = " ".join(f"word{k}" for k in range(90))
+    rows = spark.createDataFrame([(None, text), (None, text), (3, text), (None, None), (5, text)], "doc_id long, text string")
+    got = substring.deduplicate(rows).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 0, 0), (0, 90, 0), (0, 90, 0), (3, 90, 0), (5, 90, 90)]
+    got, size = suffix_dedup.deduplicate(rows).collect(), len(text)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 0, 0), (0, size, 0), (0, size, 0), (3, size, size), (5, size, size)]
+    got = iblt.fingerprints(rows, digest=iblt.bounded_digests).collect()
+    assert sorted((r.doc_id or 0, r.near_next) for r in got) == [(0, 1.0)] * 3 + [(3, 1.0), (5, 1.0)]
+    assert len({r.fingerprint for r in got if r.n_chars}) == 1
+
+
+def test_long_texts(spark):
+    """Two texts of over 2 MB with a common end, one of a single word."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    one, two, end = (" ".join(rng.choice(words) for _ in range(n)) for n in (330_000, 330_000, 200))
+    texts = [one + " " + end, two + " " + end, "x" * 2_500_000, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = _by_id(substring.deduplicate(rows))
+    assert [(got[k].n_words, got[k].n_removed) for k in range(4)] == [(330_200, 0), (330_200, 200), (1, 0), (0, 0)]
+    got = _by_id(suffix_dedup.deduplicate(rows))
+    assert [(got[k].n_removed, got[k].n_spans) for k in range(4)] == [(len(end) + 1, 1), (len(end) + 1, 1), (2_500_000, 1), (0, 0)]
+    got = _by_id(ngram_join.similar_components(rows))
+    assert [got[k].component_id for k in range(4)] == [0, 1, 2, 3] and got[2].n_shingles == 1
+
+
 def test_iblt_retries(spark):
     rng = random.Random(3)
     pairs = [(k, 0, [rng.getrandbits(62) for _ in range(n)], [rng.getrandbits(62) for _ in range(m)]) for k, (n, m) in enumerate([(0, 1), (1, 0), (40, 3), (500, 700), (3000, 10)])]
@@ -406,6 +439,7 @@ def test_pii_disclosing_terms(spark):
         assert f"term:{at}:{at + 12}" in got[k].spans and got[k].n_terms == 1
     assert sum(r.n_terms for r in got.values()) == 3
     clean = _by_id(pii.sanitise(docs))
+    assert pii.sanitise(docs.withColumns({c: F.lit(1) for c in ("_id", "_spans", "spans", "number", "levels")})).columns == ["doc_id", "text", "_id", "_spans", "spans", "number", "levels"]
     assert clean[60].text == "contact  at [EMAIL] today" and clean[63].text == "see only [EMAIL] there" and clean[0].text == texts[0] and clean[64].text is None
 
 
@@ -455,6 +489,35 @@ def test_secret_clean(text):
     assert secrets.redacted(text) == text
 
 
+def test_secret_constants_are_told_once():
+    text = 'a = "Zx9_qwerty77Plm"\n' + "a = a + a\n" * 50_000 + "password = a\n"
+    assert [x[:3] for x in secrets.spans(text)] == [(5, "named", 20)]
+    chain = 'a = "Zx9_qwerty77Plm"\n' + "".join(f'a = a + "q{k}"\n' for k in range(2000)) + "password = a\nsecret = a"
+    assert len(secrets.spans(chain)) == 2001
+
+
+@pytest.mark.parametrize("text", ["key = " + '\\"' * 200_000, "key = '" + "\\'" * 200_000, "a='" * 100_000, "password" * 50_000, "a = b + " * 50_000])
+def test_secret_time_is_linear(text):
+    began = time.perf_counter()
+    secrets.spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_neighbourhoods_equal_brute_force_and_are_linear():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", "Éa b", "ab ", "\n", " x@y.zz ", "1.2.3.4", "+1 234 567 89", " ", "cd" * rng.randint(1, 5)]) for _ in range(rng.randint(0, 30)))
+        found = pii.base_spans(text)
+        terms = [m for m in re.finditer("[A-Za-z\x80-\U0010ffff]{3,}", text) if not any(m.start() < b and a < m.end() for _, a, b in found)]
+        want = []
+        for kind, a, b in found:
+            near = [m for m in terms if m.end() <= a][-6:] + [m for m in terms if m.start() >= b][:6]
+            want += [(f"{kind}:{text[a:b]}", *m.span()) for m in near] or [(f"{kind}:{text[a:b]}", a, b)]
+        assert [(x["entity"], x["start"], x["end"]) for x in pii.neighbourhoods(text, found)] == want
+    began, text = time.perf_counter(), " ".join(f"hello there user{k}@example.com my friend" for k in range(20_000))
+    assert len(pii.neighbourhoods(text, pii.base_spans(text))) > 200_000 and time.perf_counter() - began < 20
+
+
 def test_redact_keeps_columns(spark, docs):
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns and clean.where("text IS NULL").count() == 1
