@@ -24,7 +24,9 @@ How work stays small:
   enough, which the numbers tell and which is rare (then the two are compared); or they share an n-gram outside P,
   and one among the first ``spare + 1`` of X - P and of Y - P.  Those make the buckets of the next round.
   A passage, or the original of many near copies, is inside P and thus makes no candidates any more.
-  In later rounds, buckets get ``GROWTH`` times as many further centres, which are compared with the members of other
+  There, the centre is the member most like the centre before: of near copies of one original, that is the original
+  or what differs least from it, so that what two copies share outside it is theirs alone, and few go on.
+  In rounds after the second, buckets get ``GROWTH`` times as many further centres, which are compared with the members of other
   components only; a bucket with no more members than centres is done.  Documents that are all like each other, but
   not enough to link, thus take a few rounds.  Every link between different components is found, and links inside one aren't needed:
   components are exact.
@@ -39,6 +41,7 @@ of 10,000 that has a chance below 1 in 10**11 for a pair.  Collisions elsewhere
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -56,7 +59,7 @@ from .scratch import discard, written
 FRAGMENTS = 4
 #: An n-gram in the heads of one of so many documents, or more, isn't dealt out by itself.
 OFTEN = 256
-#: Centres of a bucket, times as many in each round.
+#: Centres of a bucket, times as many in each round after the second.
 GROWTH = 32
 #: n-grams of heads that are packed at once, and that a bucket gathers, about.
 DEALT = 1 << 19
@@ -277,13 +280,13 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def outside(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, size) for pairs (a, b, size_b): keys of the first n-grams, in the global order, of b outside a."""
+    """(key, doc_id, size, weight) for pairs (a, b, size_b, weight): keys of the first n-grams, in the global order, of b outside a."""
     rest = F.when(F.col("sa").isNull(), F.col("sb")).otherwise(F.array_except("sb", "sa"))
     keep = (F.col("size_b") - F.floor((percent * F.col("size_b") + 99) / 100) + 1).cast("int")
-    parts = _met(pairs, cut).select("a", "b", "size_b", F.struct("fragment", F.slice(rest, F.lit(1), keep).alias("rest")).alias("p"))
-    found = parts.groupBy("a", "b", "size_b").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    parts = _met(pairs, cut).select("a", "b", "size_b", "weight", F.struct("fragment", F.slice(rest, F.lit(1), keep).alias("rest")).alias("p"))
+    found = parts.groupBy("a", "b", "size_b", "weight").agg(F.array_sort(F.collect_list("p")).alias("p"))
     first = F.slice(F.flatten(F.transform("p", lambda x: x["rest"])), F.lit(1), keep)
-    return found.select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), F.explode(first).alias("gram")).select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size")
+    return found.select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "weight", F.explode(first).alias("gram")).select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size", "weight")
 
 
 def _with_components(rows: DataFrame, found: DataFrame | None, *ids: str) -> DataFrame:
@@ -395,13 +398,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
 
     # Sizes in a ratio of t at least are in one class or in neighbouring ones; a key holds a class and the one below.
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.001 * math.log(100.0 / percent)))
-    state = alive.select("doc_id", "size", F.explode("keys").alias("gram"), F.array(size_class, size_class + 1).alias("classes"))
-    state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size")
+    state = alive.select("doc_id", "size", "weight", F.explode("keys").alias("gram"), F.array(size_class, size_class + 1).alias("classes"))
+    state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size", "weight").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size", "weight")
     found = direct = None
-    weights = alive.select("doc_id", "weight")
-    centres = 1
-    while True:
-        state = written(_with_components(state, found, "doc_id").join(weights, "doc_id"), "gram-buckets")
+    for step in itertools.count():
+        centres = GROWTH ** max(0, step - 1)
+        state = written(_with_components(state, found, "doc_id"), "gram-buckets")
         pairs = _candidates(state, centres)
         if direct is not None:
             pairs = pairs.unionByName(direct.withColumn("more", F.lit(None).cast("boolean")))
@@ -415,10 +417,10 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
         told = told.where("more IS NOT NULL")  # those with the first centre
         direct = _inside(told, percent, found)
         # Around a centre whose members are in one component, or that has one member, nothing is open.
-        members = _with_components(told.where("more").select("a", "b", "size_b"), found, "b")
+        alike = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
+        members = _with_components(told.where("more").select("a", "b", "size_b", alike.alias("weight")), found, "b")
         apart = members.groupBy("a").agg(F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi").select("a")
-        state = outside(members.select("a", "b", "size_b").join(apart, "a", "left_semi"), cut, percent)
-        centres *= GROWTH
+        state = outside(members.select("a", "b", "size_b", "weight").join(apart, "a", "left_semi"), cut, percent)
     if found is None:
         return equal.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     done = equal.join(found, F.col("rep") == F.col("node"), "left")
