@@ -26,7 +26,7 @@ How work stays small:
   A passage, or the original of many near copies, is inside P and thus makes no candidates any more.
   There, the centre is the member most like the centre before: of near copies of one original, that is the original
   or what differs least from it, so that what two copies share outside it is theirs alone, and few go on.
-  In rounds after the second, buckets get ``GROWTH`` times as many further centres, which are compared with the members of other
+  In rounds after the third, buckets get ``GROWTH`` times as many further centres, which are compared with the members of other
   components only; a bucket with no more members than centres is done.  Documents that are all like each other, but
   not enough to link, thus take a few rounds.  Every link between different components is found, and links inside one aren't needed:
   components are exact.
@@ -59,7 +59,7 @@ from .scratch import discard, written
 FRAGMENTS = 4
 #: An n-gram in the heads of one of so many documents, or more, isn't dealt out by itself.
 OFTEN = 256
-#: Centres of a bucket, times as many in each round after the second.
+#: Centres of a bucket, times as many in each round after the third.
 GROWTH = 32
 #: n-grams of heads that are packed at once, and that a bucket gathers, about.
 DEALT = 1 << 19
@@ -280,13 +280,13 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def outside(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, size, weight) for pairs (a, b, size_b, weight): keys of the first n-grams, in the global order, of b outside a."""
+    """(key, doc_id, size, weight, inner) for pairs (a, b, size_b, weight, inner): keys of b's first n-grams, in the global order, outside a."""
     rest = F.when(F.col("sa").isNull(), F.col("sb")).otherwise(F.array_except("sb", "sa"))
     keep = (F.col("size_b") - F.floor((percent * F.col("size_b") + 99) / 100) + 1).cast("int")
-    parts = _met(pairs, cut).select("a", "b", "size_b", "weight", F.struct("fragment", F.slice(rest, F.lit(1), keep).alias("rest")).alias("p"))
-    found = parts.groupBy("a", "b", "size_b", "weight").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    parts = _met(pairs, cut).select("a", "b", "size_b", "weight", "inner", F.struct("fragment", F.slice(rest, F.lit(1), keep).alias("rest")).alias("p"))
+    found = parts.groupBy("a", "b", "size_b", "weight", "inner").agg(F.array_sort(F.collect_list("p")).alias("p"))
     first = F.slice(F.flatten(F.transform("p", lambda x: x["rest"])), F.lit(1), keep)
-    return found.select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "weight", F.explode(first).alias("gram")).select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size", "weight")
+    return found.select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "weight", "inner", F.explode(first).alias("gram")).select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size", "weight", "inner")
 
 
 def _with_components(rows: DataFrame, found: DataFrame | None, *ids: str) -> DataFrame:
@@ -312,8 +312,11 @@ def _learned(links: DataFrame, found: DataFrame | None) -> DataFrame | None:
     return written(moved.unionByName(joined.join(found, "node", "left_anti")), "gram-components")
 
 
-def _candidates(state: DataFrame, centres: int) -> DataFrame:
-    """(a, b, size_a, size_b, more) for buckets (key, doc_id, size, weight, doc_id_c) that hold two components.
+def _candidates(state: DataFrame, centres: int, percent: int) -> DataFrame:
+    """(a, b, size_a, size_b, more) for buckets (key, doc_id, size, weight, inner, doc_id_c) that hold two components.
+
+    inner is the overlap with the centre before.  What two members share is at most the lesser of their overlaps with
+    it and the lesser of what they have outside; pairs for which that is too little aren't made.
 
     a is the first centre of a bucket of b, and more tells whether such a bucket has more members than are centres.
     For the pairs of further centres with members in other components, more is null.
@@ -325,9 +328,10 @@ def _candidates(state: DataFrame, centres: int) -> DataFrame:
     pairs = rows.select("a", F.col("doc_id").alias("b"), "size_a", F.col("size").alias("size_b"), "more")
     if centres > 1:
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc_id"))
-        others = rows.select("key", "weight", F.col("doc_id").alias("doc_id"), F.col("size").alias("size_a"), F.col("doc_id_c").alias("a_c")).withColumn("place", place).where(F.col("place") < centres)
-        others = others.select("key", F.col("doc_id").alias("x"), F.col("size_a").alias("size_x"), "a_c")
-        more = rows.join(others, "key").where("doc_id_c <> a_c")
+        others = rows.select("key", "weight", F.col("doc_id").alias("doc_id"), F.col("size").alias("size_a"), F.col("doc_id_c").alias("a_c"), "inner").withColumn("place", place).where(F.col("place") < centres)
+        others = others.select("key", F.col("doc_id").alias("x"), F.col("size_a").alias("size_x"), "a_c", F.col("inner").alias("inner_x"))
+        most = F.least("inner", "inner_x") + F.least(F.col("size") - F.col("inner"), F.col("size_x") - F.col("inner_x"))
+        more = rows.join(others, "key").where((F.col("doc_id_c") != F.col("a_c")) & ((100 + percent) * most >= percent * (F.col("size") + F.col("size_x"))))
         one, two = F.struct("doc_id", "size"), F.struct(F.col("x").alias("doc_id"), F.col("size_x").alias("size"))
         more = more.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
         pairs = pairs.unionByName(more.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b"), F.lit(None).cast("boolean").alias("more")))
@@ -399,12 +403,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     # Sizes in a ratio of t at least are in one class or in neighbouring ones; a key holds a class and the one below.
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.001 * math.log(100.0 / percent)))
     state = alive.select("doc_id", "size", "weight", F.explode("keys").alias("gram"), F.array(size_class, size_class + 1).alias("classes"))
-    state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size", "weight").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size", "weight")
+    state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size", "weight").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size", "weight", F.lit(0).cast("long").alias("inner"))
     found = direct = None
     for step in itertools.count():
-        centres = GROWTH ** max(0, step - 1)
+        centres = GROWTH ** max(0, step - 2)
         state = written(_with_components(state, found, "doc_id"), "gram-buckets")
-        pairs = _candidates(state, centres)
+        pairs = _candidates(state, centres, percent)
         if direct is not None:
             pairs = pairs.unionByName(direct.withColumn("more", F.lit(None).cast("boolean")))
             pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.max("more").alias("more"))
@@ -418,9 +422,9 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
         direct = _inside(told, percent, found)
         # Around a centre whose members are in one component, or that has one member, nothing is open.
         alike = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-        members = _with_components(told.where("more").select("a", "b", "size_b", alike.alias("weight")), found, "b")
+        members = _with_components(told.where("more").select("a", "b", "size_b", alike.alias("weight"), F.col("common").alias("inner")), found, "b")
         apart = members.groupBy("a").agg(F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi").select("a")
-        state = outside(members.select("a", "b", "size_b", "weight").join(apart, "a", "left_semi"), cut, percent)
+        state = outside(members.select("a", "b", "size_b", "weight", "inner").join(apart, "a", "left_semi"), cut, percent)
     if found is None:
         return equal.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     done = equal.join(found, F.col("rep") == F.col("node"), "left")
