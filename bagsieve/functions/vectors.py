@@ -76,6 +76,11 @@ def argmax(x) -> Column:
     return (F.array_position(_c(x), F.array_max(_c(x))) - 1).cast("int")
 
 
+def tokens(x, width: int, drop: int = 0) -> Column:
+    """A vector as a sequence of tokens of ``width`` entries, without the first ``drop``."""
+    return F.transform(F.sequence(F.lit(drop), (F.size(_c(x)) / width).cast("int") - 1), lambda k: F.slice(_c(x), k * width + 1, width))
+
+
 def picture_normalise(x, mean: float, deviation: float) -> Column:
     """(v / 255 - mean) / deviation."""
     return F.transform(_c(x), lambda v: (v / 255.0 - mean) / deviation)

@@ -69,7 +69,8 @@ def shortlist(rows: DataFrame, strategy: str, size, multiple: float = 2.0, weigh
     """Rows that ``margins`` has scored, cut to the ``size`` candidates of each cluster.
 
     mean: nearest the mean.  mean_margin: least d_mean / d_other.  margin_max: most d_other - d_mean.
-    knn_mean_margin: of the nearest ``multiple * size``, the least d_mean - weight * d_other.
+    knn_mean_margin: of the nearest ``multiple * size``, the least d_mean - weight * d_other; knn_mean_ratio: of these,
+    the least d_mean / d_other.
     """
     size = F.lit(size) if isinstance(size, int) else size
     by = {
@@ -77,9 +78,10 @@ def shortlist(rows: DataFrame, strategy: str, size, multiple: float = 2.0, weigh
         "mean_margin": F.col("d_mean") / F.greatest(F.col("d_other"), F.lit(1e-12)),
         "margin_max": F.col("d_mean") - F.col("d_other"),
         "knn_mean_margin": F.col("d_mean") - F.lit(weight) * F.col("d_other"),
+        "knn_mean_ratio": F.col("d_mean") / F.greatest(F.col("d_other"), F.lit(1e-12)),
     }[strategy]
     cluster = Window.partitionBy("cluster")
-    if strategy == "knn_mean_margin":
+    if strategy.startswith("knn"):
         most = F.greatest(size, F.least(F.bround(size * F.lit(multiple), 0).cast("int"), F.col("n").cast("int")))
         rows = rows.withColumn("_pre", F.row_number().over(cluster.orderBy("d_mean", "vec_id"))).where(F.col("_pre") <= most).drop("_pre")
     rows = rows.withColumn("_score", by)
@@ -124,6 +126,44 @@ def separation_weight(sizes: DataFrame, weight: float = 0.22, low: float = 0.5,
     return sizes.withColumn("weight", F.lit(weight) * F.least(F.greatest(F.sqrt(F.col("n") / mean), F.lit(low)), F.lit(high)))
 
 
+def shortlist_size(n: Column, least: int, most: int) -> Column:
+    """Candidates of a cluster of ``n`` rows: the root of its size, to the even neighbour, within bounds."""
+    return F.least(F.greatest(F.bround(F.sqrt(n), 0), F.lit(float(least))), F.lit(float(most))).cast("long")
+
+
+def strategy(step: Column, n: Column, usual: str, two_stage: bool = False, large: str | None = None, threshold: float = 0) -> Column:
+    """The shortlist of a round: ``large`` for clusters of ``threshold`` rows, else mean_margin in a two-stage run's first."""
+    chosen = F.when((step == 0) & F.lit(two_stage), F.lit("mean_margin")).otherwise(F.lit(usual))
+    return F.when(n >= threshold, F.lit(large)).otherwise(chosen) if large and threshold > 0 else chosen
+
+
+def density_weight(rows: DataFrame, centres: DataFrame, low: float, high: float) -> DataFrame:
+    """(cluster, weight): the separation weight from ``low`` for the loosest cluster to ``high`` for the densest, by rank."""
+    spread = rows.join(centres.select("cluster", "centre"), "cluster").groupBy("cluster").agg(F.round(F.avg(l2("x", "centre")), 9).alias("spread"))
+    place = F.row_number().over(Window.orderBy(F.desc("spread"), "cluster")) - 1
+    return spread.select("cluster", (F.lit(low) + F.lit(high - low) * place / F.greatest(F.count(F.lit(1)).over(Window.partitionBy()) - 1, F.lit(1))).alias("weight"))
+
+
+def contested(rows: DataFrame, medoids: DataFrame, by: str, most: int) -> DataFrame:
+    """(cluster, score) of the ``most`` clusters whose medoid (cluster, vec_id) is most worth another look.
+
+    cluster_size: the largest.  centroid_dist: medoids farthest from the mean.
+    """
+    if by == "cluster_size":
+        scored = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("score"))
+    elif by == "centroid_dist":
+        own = rows.join(medoids.select("cluster", "vec_id"), ["cluster", "vec_id"]).join(centroids(rows), "cluster")
+        scored = own.select("cluster", F.round(squared_l2("x", "centre"), 9).alias("score"))
+    else:
+        raise ValueError(f"no criterion {by!r}")
+    return scored.orderBy(F.desc("score"), "cluster").limit(most)
+
+
+def least_separation(centres: DataFrame) -> DataFrame:
+    """One row closest: the least squared distance between two centres."""
+    return closest_centres(centres).agg(F.min("d2").alias("closest"))
+
+
 def silhouettes(rows: DataFrame, centres: DataFrame) -> DataFrame:
     """(cluster, silhouette): mean of (b - a) / max(a, b) with a and b the distances to the own and the next centre."""
     found = rows.join(centres.select("cluster", F.col("centre").alias("own")), "cluster").crossJoin(packed(centres))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +45,11 @@ def _areas(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(float("nan"))).alias("auroc"))
 
 
+def auroc_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, auroc) of each group of (keys, positive, score); NaN for a group of one class."""
+    return _areas(rows, keys)
+
+
 def auroc(rows: DataFrame) -> DataFrame:
     """One AUROC for (positive, score)."""
     return _areas(rows.withColumn("_all", F.lit("all")), ["_all"]).select("auroc")
@@ -73,6 +82,17 @@ def two_level_aggregate(rows: DataFrame, keys: list[str], fold: str, value: str
     return run_aggregate(folds, keys)
 
 
+def costs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kept, latency, latency_each): mean of rows kept, and the seconds in all and for each row of (kept, seconds)."""
+    return rows.groupBy(*keys).agg(F.avg("kept").alias("kept"), F.sum("seconds").alias("latency"), F.avg("seconds").alias("latency_each"))
+
+
+def evaluation(rows: DataFrame, scores: str = "scores") -> DataFrame:
+    """One row (loss, accuracy, n) of (y, p, scores): mean cross-entropy of the softmax, and the share of right ones."""
+    loss = -F.log(F.get(softmax(scores), F.col("y")))
+    return rows.agg(F.avg(loss).alias("loss"), F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 def told(mean, std, digits: int = 4):
     """mean +- std with fixed digits."""
     return F.format_string(f"%.{digits}f +- %.{digits}f", mean, std)
@@ -124,22 +144,33 @@ def best_epoch(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def linear_cka(pairs: DataFrame, a: str = "xa", b: str = "xb") -> DataFrame:
-    """One row cka of centred linear kernels, from the sums of products of entries alone.
+    """One row cka of centred linear kernels, from sums of products of entries.
 
-    A row's products are a list of width squared; they are summed by place before they are shuffled.
+    Each task sums the products of its rows in numpy and gives one row for each entry, whatever the number of rows;
+    these are summed by place.
     """
-    def products(x: str, y: str, which: int):
-        return F.flatten(F.transform(x, lambda v, i: F.transform(y, lambda w, j: F.struct(F.lit(which).alias("m"), i.alias("i"), j.alias("j"), (v * w).alias("v")))))
-
-    all_ = pairs.select(F.explode(F.concat(products(a, b, 0), products(a, a, 1), products(b, b, 2))).alias("e")).groupBy("e.m", "e.i", "e.j").agg(F.sum("e.v").alias("s"))
-    means = pairs.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), a, b).select("side", F.posexplode(F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b))).alias("i", "v")).groupBy("side", "i").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    left = means.select(F.col("side").alias("sl"), F.col("i").alias("il"), F.col("mean").alias("ml"), "n")
-    right = means.select(F.col("side").alias("sr"), F.col("i").alias("ir"), F.col("mean").alias("mr"))
-    rows = all_.join(left, (F.col("il") == F.col("i")) & (F.col("sl") == F.when(F.col("m") == 2, 1).otherwise(0)))
-    rows = rows.join(right, (F.col("ir") == F.col("j")) & (F.col("sr") == F.when(F.col("m") == 1, 0).otherwise(1)))
-    rows = rows.groupBy("m").agg(F.sum(F.pow(F.col("s") - F.col("n") * F.col("ml") * F.col("mr"), 2)).alias("q"))
-    part = lambda m: F.max(F.when(F.col("m") == m, F.col("q")))
-    return rows.agg((part(0) / (F.sqrt(part(1)) * F.sqrt(part(2)))).alias("cka"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = cross = None
+        n = 0
+        for batch in batches:
+            if batch.num_rows:
+                both = np.hstack([batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in range(2)])
+                sums, cross = (both.sum(0), both.T @ both) if cross is None else (sums + both.sum(0), cross + both.T @ both)
+                n += batch.num_rows
+        if n:
+            for i in range(len(sums)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([sums[i]]), pa.array([cross[i]], pa.list_(pa.float64()))], names=["i", "n", "s", "products"])
+
+    parts = pairs.select(F.col(a).cast("array<double>").alias("a"), F.col(b).cast("array<double>").alias("b")).mapInArrow(products, "i int, n long, s double, products array<double>")
+    means = parts.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    width = pairs.select(F.size(a).alias("width")).limit(1)
+    cross = parts.select("i", F.posexplode("products").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    rows = cross.join(means, "i").join(means.select(F.col("i").alias("j"), F.col("mean").alias("other")), "j").crossJoin(F.broadcast(width))  # one row
+    square = F.pow(F.col("v") - F.col("n") * F.col("mean") * F.col("other"), 2)
+    left, right = F.col("i") < F.col("width"), F.col("j") < F.col("width")
+    part = lambda where: F.sum(F.when(where, square))
+    return rows.agg((part(left & ~right) / (F.sqrt(part(left & right)) * F.sqrt(part(~left & ~right)))).alias("cka"))
 
 
 def _pairs(rows: DataFrame, key: str) -> DataFrame:

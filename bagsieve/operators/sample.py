@@ -107,6 +107,34 @@ def joined_bags(rows: DataFrame, members: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("sub", "vec_id")) - 1)
 
 
+def random_members(rows: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """Rows (sample, sub, vec_id) drawn from each bag of a sample, with a seed of the sample's and the bag's number."""
+    own = F.lit(seed) + F.col("sample") * 100003 + F.col("sub")
+    bag = ["sample", "sub"]
+    place = F.row_number().over(Window.partitionBy(*bag).orderBy(shuffle_key(seed, own, F.col("vec_id")), "vec_id"))
+    sizes = rows.groupBy(*bag).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("k", place).join(sizes, bag).where(F.col("k") <= drawn(ratio, F.col("n"))).drop("k", "n")
+
+
+def one_encoder(rows: DataFrame, mode: str, ratio: float = 1.0, seed=0, selection: DataFrame | None = None) -> DataFrame:
+    """(bag, vec_id) by a custom selection, each row once, or by a random draw; no other mode."""
+    if mode == "custom":
+        return custom(rows, selection).select("bag", "vec_id").distinct()
+    if mode == "random":
+        return random_k(rows, ratio, seed)
+    raise ValueError(f"one encoder samples by custom or random, not {mode!r}")
+
+
+#: Other names of sampling modes.
+ALIASES = {"grid": "geometric"}
+
+
+def mode_name(mode: str) -> str:
+    """The name of a sampling mode: dashes as underscores, other names resolved."""
+    plain = mode.strip().replace("-", "_")
+    return ALIASES.get(plain, plain)
+
+
 def ranked_clusters(rows: DataFrame, k: int) -> DataFrame:
     """(cluster, vec_id): the most certain row of each cluster but noise (-1), largest clusters first, ``k`` of them."""
     best = rows.where("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("confidence", (-F.col("vec_id")).alias("minus"))).alias("m"))

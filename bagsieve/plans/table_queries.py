@@ -43,19 +43,19 @@ def catalog_union(spark, sf_dir):
     return orders.where("id % 2 = 0").withColumn("split", F.lit("train")).unionByName(orders.where("id % 2 = 1").withColumn("split", F.lit("test")))
 
 
-def _label_sides(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source")
-    return catalogue.join_labels(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+def _label_sides(spark, sf_dir, files):
+    return catalogue.join_labels(files, table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query("SELECT d.doc_id, source, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'en'")
+@query("SELECT d.doc_id, source, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 def label_join(spark, sf_dir):
-    return _label_sides(spark, sf_dir)[0]
+    return _label_sides(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "source"))[0]
 
 
-@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)")
 def missing_files(spark, sf_dir):
-    return _label_sides(spark, sf_dir)[1]
+    """Pages stand for the files, of which there are fewer than labels."""
+    return _label_sides(spark, sf_dir, table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")))[1]
 
 
 @query("SELECT doc_id, source, (dense_rank() OVER (ORDER BY source) - 1)::INT AS label FROM documents")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.portable import shuffle_key
 from ..functions.vectors import doubles
 
 
@@ -44,8 +45,31 @@ def pick_file(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def with_coordinates(rows: DataFrame, coordinates: DataFrame, on: str) -> DataFrame:
-    """Rows that have coordinates, one each; rows without are dropped."""
-    return rows.join(coordinates.dropDuplicates([on]), on)
+    """Rows that have coordinates, the least of several; rows without are dropped."""
+    others = [c for c in coordinates.columns if c != on]
+    least = coordinates.groupBy(on).agg(F.min(F.struct(*others)).alias("_least")).select(on, *[F.col("_least")[c].alias(c) for c in others])
+    return rows.join(least, on)
+
+
+def resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(bag, path, candidates) for (bag, relative): the file of that path, else the only one of the bag's stem.
+
+    ``candidates`` counts files of the stem; path is null where none is, or several without the named one.
+    """
+    named = files.select("path", stem(F.col("path")).alias("bag"))
+    rows = wanted.join(named, "bag", "left").groupBy("bag").agg(F.max(F.when(F.col("path") == F.col("relative"), F.col("path"))).alias("exact"), F.min("path").alias("one"), F.count("path").alias("candidates"))
+    return rows.select("bag", F.coalesce("exact", F.when(F.col("candidates") == 1, F.col("one"))).alias("path"), "candidates")
+
+
+def resolved(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(bag, path), where a bag without one certain file is an error when it is read."""
+    wrong = F.raise_error(F.concat("bag", F.lit(" has "), F.col("candidates").cast("string"), F.lit(" files and none by its path")))
+    return resolve(wanted, files).select("bag", F.coalesce("path", wrong.cast("string")).alias("path"))
+
+
+def labelled_head(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows in a shuffled order that is the same anywhere."""
+    return rows.orderBy(shuffle_key(seed, key), key).limit(n)
 
 
 def bounded(selection: DataFrame, sizes: DataFrame) -> DataFrame:
