@@ -182,7 +182,8 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "term string, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms.select("term").distinct(), "term", "left_semi")
+    # Not a semi join: that would be pushed below the sum, to the counts of single batches.
+    return counted.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms.select("term").distinct(), "term")
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.9, removal: float = 0.99, support: int = 2, text: str = "text") -> DataFrame:
