@@ -37,6 +37,8 @@ from .scratch import written
 KINDS = ("email", "ip", "card", "phone")
 #: Slots of the bitmap of terms: its size is the bound on what is shipped to the tasks.
 SLOTS = 1 << 20
+#: Distinct terms that a task counts before it hands its counts on and starts anew: bounds its memory, not the terms.
+HELD = 1 << 17
 #: Terms to each side of an entity, on whatever line, that are its neighbourhood.
 REACH = 6
 
@@ -158,8 +160,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, _SCAN)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_docs) over all documents for a table of (term, slot)."""
+def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text", held: int = HELD) -> DataFrame:
+    """(term, n_docs) over all documents for a table of (term, slot); the counts don't depend on ``held``."""
     ship(docs.sparkSession)
     slots = np.zeros(SLOTS, bool)
     slots[[r[0] for r in terms.select("slot").distinct().collect()]] = True  # at most SLOTS numbers
@@ -169,6 +171,11 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
         wanted = np.unpackbits(shipped.value).astype(bool)
         if not wanted.any():
             return
+        counts: Counter[bytes] = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x.decode() for x in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+
         for batch in slices(batches):
             data, off = flat(batch.column("text"))
             data = LOWER[data]
@@ -177,9 +184,12 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
             starts, ends = starts[hit], ends[hit]
             doc = np.searchsorted(off, starts, "right")
             raw = data.tobytes()
-            counts = Counter(term for _, term in {(d, raw[a:b]) for d, a, b in zip(doc.tolist(), starts.tolist(), ends.tolist())})
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+            counts.update(term for _, term in {(d, raw[a:b]) for d, a, b in zip(doc.tolist(), starts.tolist(), ends.tolist())})
+            if len(counts) >= held:
+                yield told()
+                counts.clear()
+        if counts:
+            yield told()
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "term string, n long")
     # Not a semi join: that would be pushed below the sum, to the counts of single batches.

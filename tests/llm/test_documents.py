@@ -451,6 +451,21 @@ def test_pii_disclosing_terms_of_copies(spark, copies):
     assert [r.n_terms for k, r in sorted(got.items())] == [0] * 300 + [1] * (2 * copies)
 
 
+@pytest.mark.parametrize("held", [1, pii.HELD])
+def test_pii_term_counts(spark, held):
+    texts = [f"alpha Beta{'x' * (k % 7)} beta, ALPHA gamma{'y' * (k % 11)} été" for k in range(400)] + [None, "", "1 2 3"]
+    wanted = ["alpha", "beta", "betaxxx", "gammay", "été", "absent"]
+    terms = spark.createDataFrame([(t, pii._term_slot(t)) for t in wanted] * 2, "term string, slot long")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r.term: r.n_docs for r in pii.term_counts(docs, terms, held=held).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    words = [set(re.findall("[a-zé]{3,}", (t or "").lower())) for t in texts]
+    assert got == {w: n for w in wanted if (n := sum(w in x for x in words))}
+
+
 SECRETS = [
     'password = "abcdefghijkl" and PASSWD:short token=secret: "abcdefghijklmn"', "AKIA1234567890ABCD AKIA12 xAKIAAKIA0000000000", "0123456789abcdef 0123456789abcde deadbeefdeadbeefdeadbeef",
     "api_key: ABCDEFGHIJKLMNOP apikey='x=y=z=/+.-_12345'", "ſecret = abcdefghijklmnop toKen = abcdefghijklmnop", "", None,
