@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, iblt, langid, mixing, ngram_join, pii, secrets, substring, suffix_dedup, urlfilter
+from . import bpe, decontam, filter_audit, iblt, langid, mixing, ngram_join, periodic, pii, secrets, substring, suffix_dedup, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -64,7 +64,26 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("captured").cast("string").alias("captured"), "n_lists", "lists", "entry", "blocked")
 
 
-QUERIES = [op5_fingerprints, op8_suffix_dedup, op3_substring_dedup, op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate, op4_url_filter]
+def op11_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataFrame:
+    """``tokenizer`` is the path of a tokenizer file; unless given, that of the public file byte_bpe_50k.json."""
+    if not tokenizer:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(_documents(spark, sf_dir, "doc_id", "text"), tokenizer), tokenizer)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir, "doc_id", "text", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.repeat_some(_documents(spark, sf_dir, "doc_id", "text")))
+
+
+QUERIES = [op5_fingerprints, op8_suffix_dedup, op3_substring_dedup, op2_ngram_join, op9_pii, op10_secrets, op1_language_id, op6_mix_sources, op7_decontaminate, op4_url_filter, op11_bpe, op12_filter_audit, op13_periodic_runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op4_url_filter": urlfilter.ORACLE}
+    return {"op3_substring_dedup": substring.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op6_mix_sources": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op4_url_filter": urlfilter.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
