@@ -17,7 +17,9 @@ from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,9 +59,11 @@ class Tables:
             self.bytes[k] = token.encode()
         self.single = [vocabulary[c] for c, _ in sorted(signs.items(), key=lambda x: x[1])]
         self.merged = [vocabulary[a + b] for a, b in merges]
-        self.rank = {}
+        #: Ranks by the right part's id, for every left part.
+        self.rank: list[dict[int, int]] = [{} for _ in range(self.width)]
         for k, (a, b) in enumerate(merges):
-            self.rank[vocabulary[a] * self.width + vocabulary[b]] = k
+            self.rank[vocabulary[a]][vocabulary[b]] = k
+        self.first = [[self.rank[a].get(b, _NONE) for b in self.single] for a in self.single]
 
     @classmethod
     def read(cls, path: str) -> Tables:
@@ -77,41 +81,41 @@ class Tables:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a short word: the least rank is merged, leftmost first, until no pair has one."""
-        ids = [self.single[b] for b in word]
-        rank, width = self.rank, self.width
-        ranks = [rank.get(a * width + b, _NONE) for a, b in zip(ids, ids[1:])]
+        ids = [*map(self.single.__getitem__, word)]
+        ranks = [self.first[a][b] for a, b in zip(word, word[1:])]
+        rank, merged = self.rank, self.merged
         while ranks:
             least = min(ranks)
             if least == _NONE:
                 break
             k = ranks.index(least)
-            ids[k] = self.merged[least]
+            ids[k] = new = merged[least]
             del ids[k + 1], ranks[k]
             if k:
-                ranks[k - 1] = rank.get(ids[k - 1] * width + ids[k], _NONE)
+                ranks[k - 1] = rank[ids[k - 1]].get(new, _NONE)
             if k < len(ranks):
-                ranks[k] = rank.get(ids[k] * width + ids[k + 1], _NONE)
+                ranks[k] = rank[new].get(ids[k + 1], _NONE)
         return ids
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same for a word of any length, by a heap; an entry whose parts have changed since is passed over."""
         ids = [self.single[b] for b in word]
-        n, rank, width = len(ids), self.rank, self.width
+        n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k) for k in range(n - 1) if (r := rank.get(ids[k] * width + ids[k + 1])) is not None]
+        heap = [(r, k) for k in range(n - 1) if (r := rank[ids[k]].get(ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, k = heapq.heappop(heap)
             right = after[k]
-            if ids[k] < 0 or right >= n or rank.get(ids[k] * width + ids[right]) != r:
+            if ids[k] < 0 or right >= n or rank[ids[k]].get(ids[right]) != r:
                 continue
             ids[k], ids[right] = self.merged[r], -1
             after[k] = right = after[right]
             if right < n:
                 before[right] = k
-                if (r := rank.get(ids[k] * width + ids[right])) is not None:
+                if (r := rank[ids[k]].get(ids[right])) is not None:
                     heapq.heappush(heap, (r, k))
-            if (left := before[k]) >= 0 and (r := rank.get(ids[left] * width + ids[k])) is not None:
+            if (left := before[k]) >= 0 and (r := rank[ids[left]].get(ids[k])) is not None:
                 heapq.heappush(heap, (r, left))
         return [k for k in ids if k >= 0]
 
@@ -147,17 +151,24 @@ _FIND = regex.compile(PATTERN).findall
 
 
 class _Words(dict):
-    """Ids by word, found where they are missing."""
+    """Ids by word, found where they are missing.
+
+    When half of the room is full, what it holds becomes the older half, and words move back from there as they come, so that
+    common words stay.
+    """
 
     def __init__(self, tables: Tables) -> None:
         super().__init__()
-        self.tables = tables
+        self.tables, self.older = tables, {}
 
     def __missing__(self, word: str) -> list[int]:
-        raw = word.encode()
-        ids = self.tables.merge(raw) if len(raw) <= LONG else self.tables.merge_long(raw)
+        ids = self.older.get(word)
+        if ids is None:
+            raw = word.encode()
+            ids = self.tables.merge(raw) if len(raw) <= LONG else self.tables.merge_long(raw)
         if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -175,7 +186,14 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
 def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
     """Per row of (doc_id, ids): doc_id, ids, decoded. Null ids count as none; an id outside the vocabulary is an IndexError."""
-    return _mapped(tokens.select("doc_id", "ids"), tokenizer, "ids array<int>, decoded string", lambda tables, batch: [batch.column("ids"), pa.array([tables.decode(x or ()) for x in batch.column("ids").to_pylist()], pa.string())])
+    return _mapped(tokens.select("doc_id", "ids"), tokenizer, "ids array<int>, decoded string", lambda tables, batch: [batch.column("ids"), pa.array(map(tables.decode, _lists(batch.column("ids"))), pa.string())])
+
+
+def _lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a column as Python lists, nulls as empty ones; by way of one flat array."""
+    flat, sizes = column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return (flat[b - n : b].tolist() for n, b in zip(sizes.tolist(), ends.tolist()))
 
 
 def _mapped(rows: DataFrame, tokenizer: str, schema: str, made) -> DataFrame:
