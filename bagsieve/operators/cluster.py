@@ -120,9 +120,9 @@ def refill_empty(assigned: DataFrame, taken: DataFrame, n: int) -> DataFrame:
     return assigned.join(taken.select("vec_id"), "vec_id", "left_anti").orderBy(F.desc("d2"), "vec_id").limit(n).select("vec_id", "d2")
 
 
-def separation_weight(sizes: DataFrame, weight: float = 0.22, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """(cluster, n, weight): the separation weight scaled by the root of the relative size, clamped."""
-    mean = F.avg("n").over(Window.partitionBy())
+def separation_weight(sizes: DataFrame, weight: float = 0.22, low: float = 0.5, high: float = 2.0, by=()) -> DataFrame:
+    """(cluster, n, weight): the separation weight scaled by the root of the relative size, clamped; relative within ``by``."""
+    mean = F.avg("n").over(Window.partitionBy(*by))
     return sizes.withColumn("weight", F.lit(weight) * F.least(F.greatest(F.sqrt(F.col("n") / mean), F.lit(low)), F.lit(high)))
 
 
@@ -140,8 +140,14 @@ def strategy(step: Column, n: Column, usual: str, two_stage: bool = False, large
 def density_weight(rows: DataFrame, centres: DataFrame, low: float, high: float) -> DataFrame:
     """(cluster, weight): the separation weight from ``low`` for the loosest cluster to ``high`` for the densest, by rank."""
     spread = rows.join(centres.select("cluster", "centre"), "cluster").groupBy("cluster").agg(F.round(F.avg(l2("x", "centre")), 9).alias("spread"))
-    place = F.row_number().over(Window.orderBy(F.desc("spread"), "cluster")) - 1
-    return spread.select("cluster", (F.lit(low) + F.lit(high - low) * place / F.greatest(F.count(F.lit(1)).over(Window.partitionBy()) - 1, F.lit(1))).alias("weight"))
+    return density_rank(spread, low, high).select("cluster", "weight")
+
+
+def density_rank(spread: DataFrame, low: float, high: float, by=()) -> DataFrame:
+    """``spread`` (cluster, spread) with the weight from ``low`` for the largest spread to ``high`` for the least, by rank within ``by``."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("spread"), "cluster")) - 1
+    last = F.greatest(F.count(F.lit(1)).over(Window.partitionBy(*by)) - 1, F.lit(1))
+    return spread.withColumn("weight", F.lit(low) + F.lit(high - low) * place / last)
 
 
 def contested(rows: DataFrame, medoids: DataFrame, by: str, most: int) -> DataFrame:
