@@ -127,9 +127,14 @@ def swaps(rows: DataFrame, sign: int = -1, least: int = 2, weight: str = "unifor
 
 
 def apply_swaps(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows with ``selected`` after the swaps."""
-    flip = found.select("bag", F.explode(F.array("out_id", "in_id")).alias("vec_id")).withColumn("_flip", F.lit(True))
-    flipped = rows.join(flip, ["bag", "vec_id"], "left").withColumn("selected", F.col("selected") != F.coalesce("_flip", F.lit(False)))
+    """Rows with ``selected`` after the swaps; with ``is_seed``, too, the row that comes in stands where the other stood."""
+    flip = found.select("bag", F.explode(F.array(F.struct(F.col("out_id").alias("vec_id"), F.col("in_id").alias("_other")), F.struct(F.col("in_id").alias("vec_id"), F.col("out_id").alias("_other")))).alias("m"))
+    flip = flip.select("bag", "m.vec_id", "m._other")
+    flipped = rows.join(flip, ["bag", "vec_id"], "left").withColumn("selected", F.col("selected") != F.col("_other").isNotNull())
+    if "is_seed" in rows.columns:
+        moved = rows.where("is_seed").select("bag", F.col("vec_id").alias("_other"), F.lit(True).alias("_was"))
+        flipped = flipped.join(moved, ["bag", "_other"], "left")
+        flipped = flipped.withColumn("is_seed", F.when(F.col("_other").isNull(), F.col("is_seed")).otherwise(F.coalesce("_was", F.lit(False))))
     return flipped.select(rows.columns)
 
 
@@ -143,13 +148,34 @@ def parallel_refine(rows: DataFrame, passes: int = 2, keep=lambda df: df, **how)
     return rows
 
 
-def sequential_refine(rows: DataFrame, passes: int = 1, **how) -> DataFrame:
-    """Rows with ``selected`` after the sequential swaps of each bag (a group that has to fit one task)."""
+def sequential_refine(rows: DataFrame, passes: int = 1, only: DataFrame | None = None, **how) -> DataFrame:
+    """Rows with ``selected`` after the sequential swaps of each bag (a group that has to fit one task).
+
+    ``only`` has the (bag, cluster) that may swap; bags without any aren't grouped at all.
+    """
+    if only is not None:
+        open_ = rows.join(only.select("bag", "cluster").distinct().withColumn("_open", F.lit(True)), ["bag", "cluster"], "left")
+        touched = only.select("bag").distinct()
+        resting = rows.join(touched, "bag", "left_anti")
+        return resting.unionByName(_swapped(open_.join(touched, "bag").select(*rows.columns, F.coalesce("_open", F.lit(False)).alias("_open")), passes, **how).select(rows.columns))
+    return _swapped(rows.withColumn("_open", F.lit(True)), passes, **how).select(rows.columns)
+
+
+def _swapped(rows: DataFrame, passes: int, **how) -> DataFrame:
     ship(rows.sparkSession)
+    seeds = "is_seed" in rows.columns
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
-        group["selected"] = kernels.sequential_swaps(_matrix(group["x"]), group["cluster"].to_numpy(), group["selected"].to_numpy(bool), passes, **how)
+        only = np.unique(group["cluster"].to_numpy()[group["_open"].to_numpy(bool)])
+        before = group["selected"].to_numpy(bool)
+        after, moves = kernels.sequential_swaps(_matrix(group["x"]), group["cluster"].to_numpy(), before, passes, only=only, moves=True, **how)
+        group["selected"] = after
+        if seeds:  # the row that comes in stands where the one that leaves stood
+            seed = group["is_seed"].to_numpy(bool).copy()
+            for gone, new in moves:
+                seed[gone], seed[new] = False, bool(seed[gone])
+            group["is_seed"] = seed
         return group
 
     return checked(rows, ["bag"]).groupBy("bag").applyInPandas(run, rows.schema)
