@@ -6,7 +6,7 @@ import importlib
 
 from .plans import registry
 
-MODULES = ("vector_queries", "selection_queries", "table_queries", "metric_queries", "pool_queries")
+MODULES = ("vector_queries", "selection_queries", "table_queries", "metric_queries", "pool_queries", "bag_queries")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.plans.{_name}")

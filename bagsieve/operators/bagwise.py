@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import shuffle_key
 from ..session import ship
-from ..sources.tables import discard, written
+from ..sources.tables import written
 from . import cluster as formulas
 
 #: Bytes of vectors in a block.
@@ -83,21 +83,29 @@ SCORES = {
 # Blocks
 
 
-def block(rows: DataFrame, bytes_: int = BLOCK_BYTES) -> DataFrame:
-    """A written table (bag, block, blocks, own: array of (vec_id, x) by id) of rows (bag, vec_id, x)."""
-    sizes = rows.groupBy("bag").agg(F.ceil(F.sum(F.size("x") * 8.0) / bytes_).cast("int").alias("blocks"))
-    dealt = rows.select("bag", "vec_id", "x").join(sizes, "bag").withColumn("block", F.expr("int(pmod(xxhash64(vec_id), blocks))"))
-    packed = dealt.groupBy("bag", "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("own"))
-    return written(packed, "blocks")
+@dataclass(frozen=True)
+class Blocks:
+    """Written tables: packed (bag, block, own: array of (vec_id, x) by id) and counts (bag, n) of blocks."""
+
+    packed: DataFrame
+    counts: DataFrame
+
 
+def block(rows: DataFrame, bytes_: int = BLOCK_BYTES) -> Blocks:
+    """Rows (bag, vec_id, x) in blocks."""
+    sizes = rows.groupBy("bag").agg(F.ceil(F.sum(F.size("x") * 8.0) / bytes_).cast("int").alias("n"))
+    counts = written(sizes, "block-counts")
+    dealt = rows.select("bag", "vec_id", "x").join(counts, "bag").withColumn("block", F.expr("int(pmod(xxhash64(vec_id), n))"))
+    packed = dealt.groupBy("bag", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("own"))
+    return Blocks(written(packed, "blocks"), counts)
 
-def _sent(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+
+def _sent(blocks: Blocks, centres: DataFrame) -> DataFrame:
     """Blocks with the packed centres (all columns of ``centres`` but the keys) of each start of their bag."""
     told = [c for c in centres.columns if c not in GROUP and c != "cluster"]
     packed = centres.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("cluster", *told))).alias("centres"))
-    counts = blocks.groupBy("bag").agg(F.max("blocks").alias("n"))
-    packed = packed.join(counts, "bag").select(*GROUP, "centres", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    return blocks.join(packed, ["bag", "block"]).select("bag", "start", "own", "centres")
+    packed = packed.join(blocks.counts, "bag").select(*GROUP, "centres", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    return blocks.packed.join(packed, ["bag", "block"]).select("bag", "start", "own", "centres")
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
@@ -140,7 +148,7 @@ def _over(sent: DataFrame, schema: str, kernel: Callable) -> DataFrame:
                 at, columns = kernel(own.field("vec_id").to_numpy(), _matrix(own.field("x")), centres)
                 if len(at):
                     group = [batch.column(c).take(pa.array(np.full(len(at), r))) for c in GROUP]
-                    yield pa.RecordBatch.from_arrays([*group, centres.field("cluster").take(pa.array(at)), *columns], names=names)
+                    yield pa.RecordBatch.from_arrays([*group, centres.field("cluster").take(at if isinstance(at, pa.Array) else pa.array(at)), *columns], names=names)
 
     return sent.mapInArrow(run, f"bag {kinds['bag']}, start {kinds['start']}, cluster int, {schema}")
 
@@ -148,7 +156,7 @@ def _over(sent: DataFrame, schema: str, kernel: Callable) -> DataFrame:
 # Stages of a round
 
 
-def statistics(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+def statistics(blocks: Blocks, centres: DataFrame) -> DataFrame:
     """``centres`` with n, mean, d (sum of distances) and d2 (sum of squares) of the rows nearest each; n 0 and mean null without any."""
 
     def kernel(ids, x, own):
@@ -167,7 +175,7 @@ def statistics(blocks: DataFrame, centres: DataFrame) -> DataFrame:
     return centres.join(sums, [*GROUP, "cluster"], "left").fillna(0, ["n", "d", "d2"])
 
 
-def assigned(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+def assigned(blocks: Blocks, centres: DataFrame) -> DataFrame:
     """(bag, start, cluster, vec_id, d2): every row with its nearest centre."""
 
     def kernel(ids, x, own):
@@ -181,10 +189,10 @@ def _ranked(values: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return np.lexsort((ids, np.round(values, _DIGITS)))[:most]
 
 
-def candidates(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(bag, start, cluster, vec_id, m, o): of each cluster with take > 0, the first ``take`` rows by its rule.
+def candidates(blocks: Blocks, wanted: DataFrame) -> DataFrame:
+    """(bag, start, cluster, vec_id, m, o, take, pull, push, rule, size, strategy): of each cluster with take > 0, the first ``take`` rows of each block by its rule.
 
-    ``wanted`` has (bag, start, cluster, centre, anchor, take, pull, push, rule) for all clusters of a bag.  m and o are the squared
+    ``wanted`` has (bag, start, cluster, centre, anchor, take, pull, push, rule, size, strategy) for all clusters of a bag.  m and o are the squared
     distances to the anchor and to the next other centre.  rule: mean (least m), mean_margin (m / o), margin_max (m - o), objective
     ((1 + pull) m - push o), or any: least m among all rows of the bag, for clusters without rows.
     """
@@ -208,9 +216,18 @@ def candidates(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
             m_.append(m[best])
             o_.append(o[best])
         joined = [np.concatenate(v) if v else np.zeros(0) for v in (at, found, m_, o_)]
-        return joined[0].astype(np.int64), [pa.array(joined[1].astype(np.int64)), pa.array(joined[2]), pa.array(joined[3])]
+        at = pa.array(joined[0].astype(np.int64))
+        told = [own.field(c).take(at) for c in ("take", "pull", "push", "rule", "size", "strategy")]
+        return at, [pa.array(joined[1].astype(np.int64)), pa.array(joined[2]), pa.array(joined[3]), *told]
+
+    wanted = wanted.select(*GROUP, "cluster", "centre", "anchor", F.col("take").cast("int"), F.col("pull").cast("double"), F.col("push").cast("double"), "rule", F.col("size").cast("long"), "strategy")
+    return _over(_sent(blocks, wanted), "vec_id long, m double, o double, take int, pull double, push double, rule string, size long, strategy string", kernel)
+
 
-    return _over(_sent(blocks, wanted), "vec_id long, m double, o double", kernel)
+def _nearest(clusters: DataFrame, take, rule="mean") -> DataFrame:
+    """What ``candidates`` wants of (bag, start, cluster, centre, anchor), for the ``take`` rows nearest each anchor."""
+    plain = {"pull": F.lit(0.0), "push": F.lit(0.0), "rule": rule if not isinstance(rule, str) else F.lit(rule), "size": F.lit(0), "strategy": F.lit("mean")}
+    return clusters.select(*GROUP, "cluster", "centre", "anchor", take.alias("take"), *(c.alias(n) for n, c in plain.items()))
 
 
 def _vectors(rows: DataFrame, picks: DataFrame) -> DataFrame:
@@ -224,8 +241,8 @@ def _best(found: DataFrame, value, *more) -> DataFrame:
     return found.groupBy(*GROUP, "cluster").agg(low).select(*GROUP, "cluster", "low.vec_id")
 
 
-def _chosen(blocks: DataFrame, state: DataFrame, how: Medoids, step: int) -> DataFrame:
-    """(bag, start, cluster, vec_id): the refined medoid of every cluster of ``state`` (as ``statistics`` gives it) with rows."""
+def _chosen(blocks: Blocks, centres: DataFrame, state: DataFrame, how: Medoids, step: int) -> DataFrame:
+    """(bag, start, cluster, vec_id): the refined medoid of every cluster with rows; ``state`` is ``statistics`` of ``centres``."""
     sized = state.where("n > 0")
     if how.push_mode == "adaptive":
         sized = formulas.separation_weight(sized, how.push, *how.scale, by=GROUP).withColumnRenamed("weight", "push")
@@ -242,16 +259,15 @@ def _chosen(blocks: DataFrame, state: DataFrame, how: Medoids, step: int) -> Dat
     wide = F.greatest(F.col("size"), F.least(F.bround(F.col("size") * F.lit(how.multiple), 0).cast("long"), F.col("n")))
     knn = F.col("strategy").startswith("knn")
     sized = sized.select(
-        *GROUP, "cluster", "centre", F.col("mean").alias("anchor"), "size", "strategy",
+        *GROUP, "cluster", F.col("mean").alias("anchor"), "size", "strategy",
         F.when(plain, 1).when(whole, 1).when(knn, wide).otherwise(F.col("size")).cast("int").alias("take"),
         F.when(plain, F.lit(0.0)).otherwise(F.lit(float(how.pull))).alias("pull"),
         F.when(plain | ~F.col("several"), F.lit(0.0)).otherwise(F.col("push")).alias("push"),
         F.when(plain, "mean").when(whole, "objective").when(knn, "mean").otherwise(F.col("strategy")).alias("rule"),
     )
     # Centres without rows still stand between the others' rows and their next centre.
-    every = state.select(*GROUP, "cluster", "centre").join(sized.drop("centre"), [*GROUP, "cluster"], "left")
-    every = every.fillna(0, ["take", "pull", "push"]).fillna("mean", ["rule"])
-    found = candidates(blocks, every.drop("size", "strategy")).join(sized.drop("centre", "anchor"), [*GROUP, "cluster"])
+    every = centres.select(*GROUP, "cluster", "centre").join(sized, [*GROUP, "cluster"], "left")
+    found = candidates(blocks, every.fillna(0, ["take", "pull", "push", "size"]).fillna("mean", ["rule", "strategy"]))
     m, o = F.col("m"), F.col("o")
     first = F.when(F.col("rule") == "mean_margin", m / F.greatest(o, F.lit(1e-12))).when(F.col("rule") == "margin_max", m - o).when(F.col("rule") == "objective", (1.0 + F.col("pull")) * m - F.col("push") * o).otherwise(m)
     own = Window.partitionBy(*GROUP, "cluster")
@@ -261,7 +277,7 @@ def _chosen(blocks: DataFrame, state: DataFrame, how: Medoids, step: int) -> Dat
     return _best(found, (1.0 + F.col("pull")) * m - F.col("push") * o)
 
 
-def refill(blocks: DataFrame, medoids: DataFrame, picks: DataFrame) -> DataFrame:
+def refill(blocks: Blocks, medoids: DataFrame, picks: DataFrame) -> DataFrame:
     """``picks`` with the clusters of ``medoids`` that they lack: of each bag, the untaken rows farthest from their centres.
 
     Which clusters lack rows, and how many, is known from small tables; only blocks of such bags are read.
@@ -287,26 +303,31 @@ def refill(blocks: DataFrame, medoids: DataFrame, picks: DataFrame) -> DataFrame
 # Loops
 
 
-def _rounds(first: DataFrame, rounds: int, step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def _rounds(first: DataFrame, rounds: int, step: Callable[[DataFrame, int], DataFrame], mend: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Takes ``step`` until the centres of every (bag, start) stay; those that stay rest. All centres at the end.
 
-    ``step(centres, k)`` gives the next centres with the column ``stays``; of a (bag, start), all rows have to.
+    ``step(centres, k)`` gives the next centres with the column ``stays``; of a (bag, start), all rows have to.  Where it gives
+    fewer centres than there were, ``mend(centres, next)`` adds the rest.
     """
+    group = Window.partitionBy(*GROUP)
     resting, moving = [], written(first, "centres")
+    n = moving.count()
     for k in range(rounds):
-        after = step(moving, k).withColumn("stays", F.min("stays").over(Window.partitionBy(*GROUP)))
-        after = written(after, "centres")
-        discard(moving)
+        after = written(step(moving, k).withColumn("stays", F.min("stays").over(group)), "centres")
+        found, on = after.agg(F.count(F.lit(1)), F.coalesce(F.sum((~F.col("stays")).cast("long")), F.lit(0))).first()
+        if mend and found < n:
+            after = written(mend(moving, after.drop("stays")).withColumn("stays", F.min("stays").over(group)), "centres")
+            on = after.where("NOT stays").count()
         resting.append(after.where("stays").drop("stays"))
-        moving = written(after.where("NOT stays").drop("stays"), "moving")
-        if moving.isEmpty():
+        moving, n = after.where("NOT stays").drop("stays"), on
+        if not on:
             break
     for rest in resting:
         moving = moving.unionByName(rest)
     return written(moving, "centres")
 
 
-def kmeans(blocks: DataFrame, first: DataFrame, rounds: int = 10, tolerance: float = 1e-4) -> DataFrame:
+def kmeans(blocks: Blocks, first: DataFrame, rounds: int = 10, tolerance: float = 1e-4) -> DataFrame:
     """(bag, start, cluster, centre) after Lloyd's rounds from ``first``; a centre without rows stays where it is."""
 
     def step(centres: DataFrame, k: int) -> DataFrame:
@@ -318,7 +339,7 @@ def kmeans(blocks: DataFrame, first: DataFrame, rounds: int = 10, tolerance: flo
     return _rounds(first.select(*GROUP, "cluster", "centre"), rounds, step)
 
 
-def seeded_starts(rows: DataFrame, blocks: DataFrame, counts: DataFrame, seed: int = 42, starts: int = 1, rounds: int = 2) -> DataFrame:
+def seeded_starts(rows: DataFrame, blocks: Blocks, counts: DataFrame, seed: int = 42, starts: int = 1, rounds: int = 2) -> DataFrame:
     """(bag, start, cluster, vec_id, centre): k rows of each bag by oversampled k-means++, for ``counts`` (bag, k).
 
     The first is the row of the least hash.  In each round a row is drawn with the probability 2 k d2 / (sum of d2), by its hash;
@@ -356,30 +377,30 @@ def seeded_starts(rows: DataFrame, blocks: DataFrame, counts: DataFrame, seed: i
     return written(weighed.select(*GROUP, "vec_id", "centre", "n", "k").groupBy(*GROUP).applyInPandas(keep, schema), "starts")
 
 
-def representatives(rows: DataFrame, blocks: DataFrame, centres: DataFrame) -> DataFrame:
+def representatives(rows: DataFrame, blocks: Blocks, centres: DataFrame) -> DataFrame:
     """(bag, start, cluster, vec_id, centre): of each centre the nearest of its own rows, or of all rows where it has none."""
     found = statistics(blocks, centres.select(*GROUP, "cluster", "centre"))
     rule = F.when(F.col("n") > 0, "mean").otherwise("any")
-    wanted = found.select(*GROUP, "cluster", "centre", F.col("centre").alias("anchor"), F.lit(1).alias("take"), F.lit(0.0).alias("pull"), F.lit(0.0).alias("push"), rule.alias("rule"))
-    return _vectors(rows, _best(candidates(blocks, wanted), F.col("m")))
+    return _vectors(rows, _best(candidates(blocks, _nearest(found.withColumn("anchor", F.col("centre")), F.lit(1), rule)), F.col("m")))
 
 
-def kmedoids(rows: DataFrame, blocks: DataFrame, first: DataFrame, how: Medoids = Medoids()) -> DataFrame:
+def kmedoids(rows: DataFrame, blocks: Blocks, first: DataFrame, how: Medoids = Medoids()) -> DataFrame:
     """(bag, start, cluster, vec_id, centre): medoids of every bag and start from ``first``, until they repeat."""
 
-    def step(medoids: DataFrame, k: int) -> DataFrame:
-        state = written(statistics(blocks, medoids), "state")
-        picks = _chosen(blocks, state, how, k)
-        if not state.where("n = 0").isEmpty():
-            picks = refill(blocks, medoids, written(picks, "picks"))
-        after = _vectors(rows, picks)
+    def seen(picks: DataFrame, medoids: DataFrame) -> DataFrame:
         before = medoids.select(*GROUP, "cluster", F.col("vec_id").alias("was"))
-        return after.join(before, [*GROUP, "cluster"]).withColumn("stays", F.col("vec_id") == F.col("was")).drop("was")
+        return _vectors(rows, picks).join(before, [*GROUP, "cluster"]).withColumn("stays", F.col("vec_id") == F.col("was")).drop("was")
+
+    def step(medoids: DataFrame, k: int) -> DataFrame:
+        return seen(_chosen(blocks, medoids, statistics(blocks, medoids), how, k), medoids)
+
+    def mend(medoids: DataFrame, after: DataFrame) -> DataFrame:
+        return seen(refill(blocks, medoids, after.select(*GROUP, "cluster", "vec_id")), medoids)
 
-    return _rounds(first.select(*GROUP, "cluster", "vec_id", "centre"), how.rounds, step)
+    return _rounds(first.select(*GROUP, "cluster", "vec_id", "centre"), how.rounds, step, mend)
 
 
-def best_start(blocks: DataFrame, medoids: DataFrame, by: str = "inertia") -> DataFrame:
+def best_start(blocks: Blocks, medoids: DataFrame, by: str = "inertia") -> DataFrame:
     """``medoids`` of the best start of each bag: the least sum of squared distances (inertia) or the largest least distance
     of two medoids (dispersion). Of equal ones the first."""
     if by == "inertia":
@@ -434,7 +455,7 @@ def contested(state: DataFrame, by: str) -> DataFrame:
     return packed.mapInArrow(run, f"bag {kinds['bag']}, start {kinds['start']}, cluster int, score double")
 
 
-def polish(rows: DataFrame, blocks: DataFrame, medoids: DataFrame, how: Medoids, most: int, by: str = "closest_pair", passes: int = 1, forward: int = 1) -> DataFrame:
+def polish(rows: DataFrame, blocks: Blocks, medoids: DataFrame, how: Medoids, most: int, by: str = "closest_pair", passes: int = 1, forward: int = 1) -> DataFrame:
     """``medoids`` after looking again, in each pass, at the ``most`` most contested of each bag and start.
 
     A contested medoid is chosen anew by the fixed shortlist of ``how``; with ``forward`` over 1, of the ``forward`` rows nearest its
@@ -451,12 +472,11 @@ def polish(rows: DataFrame, blocks: DataFrame, medoids: DataFrame, how: Medoids,
         top = ranked.where((F.col("place") <= most) & F.col("wide")).select(*GROUP, "cluster").join(state.where("n > 1").select(*GROUP, "cluster"), [*GROUP, "cluster"])
         if forward > 1 and how.size > 0:
             wanted = state.join(top.withColumn("take", F.lit(forward)), [*GROUP, "cluster"], "left").fillna(0, ["take"])
-            wanted = wanted.select(*GROUP, "cluster", "centre", F.coalesce("mean", "centre").alias("anchor"), "take", F.lit(0.0).alias("pull"), F.lit(0.0).alias("push"), F.lit("mean").alias("rule"))
-            found = candidates(blocks, wanted)
+            found = candidates(blocks, _nearest(wanted.withColumn("anchor", F.coalesce("mean", "centre")), F.col("take")))
             found = found.withColumn("place", F.row_number().over(Window.partitionBy(*GROUP, "cluster").orderBy(F.round("m", _DIGITS), "vec_id"))).where(F.col("place") <= forward)
             picks = found.groupBy(*GROUP, "cluster").agg(F.min(F.struct((-F.round(F.sqrt("o"), _DIGITS)).alias("v"), "place", "vec_id")).alias("low")).select(*GROUP, "cluster", "low.vec_id")
         else:
-            picks = _chosen(blocks, state, plain, 1).join(top, [*GROUP, "cluster"], "left_semi")
+            picks = _chosen(blocks, medoids, state, plain, 1).join(top, [*GROUP, "cluster"], "left_semi")
         new = picks.select(*GROUP, "cluster", F.col("vec_id").alias("new"))
         ids = medoids.join(new, [*GROUP, "cluster"], "left").select(*GROUP, "cluster", F.coalesce("new", "vec_id").alias("vec_id"), (F.col("new") != F.col("vec_id")).alias("moved"))
         ids = written(ids, "polished")

@@ -144,8 +144,8 @@ def test_medoids(spark, bags, rows, blocks, how):
 
 
 def test_blocks_are_many_and_whole(rows, blocks):
-    assert blocks.where("bag = 1").count() > 3
-    assert blocks.select("bag", F.explode("own.vec_id")).count() == rows.count()
+    assert blocks.packed.where("bag = 1").count() > 3
+    assert blocks.packed.select("bag", F.explode("own.vec_id")).count() == rows.count()
 
 
 def test_kmeans(spark, bags, rows, blocks):
