@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .names import fresh
+from .names import fresh, other_columns_apart
 
 GRAM = 10
 #: Windows of the benchmark that are shipped to the tasks at most (about 8 MB of longs as a set).
@@ -148,10 +148,12 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumn(key, F.when(F.col("doc_id").isNull(), own).otherwise(F.concat(F.lit("i"), F.col("doc_id").cast("string"))))
 
 
+@other_columns_apart("doc_id")
 def remove_documents(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that contain a window of the benchmark.
 
     Rows that repeat a doc_id go or stay together; rows with a null doc_id are judged by their own texts.
+    Empty tables give empty results, names of other columns don't matter, very long texts are scanned whole in their row.
     """
     key, bad = fresh(docs, "key", "bad")
     rows = _keyed(docs, key, text)
@@ -159,6 +161,7 @@ def remove_documents(docs: DataFrame, items: DataFrame, text: str = "text", **ho
     return rows.join(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(bad)), F.col(key) == F.col(bad), "left_anti").drop(key)
 
 
+@other_columns_apart("doc_id")
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` with the hit words, and the gap before each, cut out of the text.
 

@@ -9,8 +9,8 @@ text under a language is the exact sum of its bytes' code lengths, and a byte's
 (context, byte) that any language has seen, reached through small dense tries.  Scoring is a few table look-ups
 for each byte, vectorised over whole batches.
 
-Training reads a bounded sample of the labelled rows: for each language the ``per_language`` documents of the
-lowest hash of doc_id, and of a text of over ``max_chars`` characters a slice of so many.  Everything else covers all rows.
+Training reads a bounded sample of the labelled rows: for each language the ``per_language`` rows of the
+lowest hash of doc_id and text, and of a text of over ``max_chars`` characters a slice of so many.  Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .flattext import flat, slices
+from .names import other_columns_apart
 from .scratch import written
 
 ORDER = 3
-#: Languages of a model at most: with the sample for each, that bounds what is collected and shipped.
-LANGUAGES = 1000
 UNKNOWN = "und"
 
 
@@ -197,24 +196,23 @@ def known(model: Model, bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def training_sample(labelled: DataFrame, per_language: int, max_chars: int) -> dict[str, list[str]]:
-    """A bounded sample of texts by language; ``labelled`` has doc_id, text and lang."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
-    place = F.xxhash64(F.col("doc_id").cast("string"))
+    """A bounded sample of texts by language; ``labelled`` has doc_id, text and lang.
+
+    Of each language the ``per_language`` rows of the least hash of doc_id and text, whatever repeats: rows aren't joined by
+    their ids, so repeated and null ids are rows like others.  The first pass ranks hashes only and keeps the last one of each language;
+    the second reads the texts up to it.
+    """
+    rows = labelled.select(F.col("doc_id").cast("string").alias("id"), "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    rows = rows.withColumn("place", F.xxhash64("id", "text"))
+    first = Window.partitionBy("lang").orderBy("place")
+    last = rows.select("lang", "place").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
+    last = written(last.groupBy("lang").agg(F.max("place").alias("last")), "languages")
     # A long text gives a slice from a place by hash.
-    start = F.pmod(place, F.greatest(F.length("text") - max_chars + 1, F.lit(1))).cast("int") + 1
-    ids = rows.select("doc_id", "lang", place.alias("_place"))
-    # Ranking sees about four times the sample for each language: the hash is even, so a threshold leaves that much.
-    part = F.lit(float(4 * per_language)) / F.col("_n")
-    counts = written(rows.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")), "languages")
-    if (n := counts.count()) > LANGUAGES:
-        raise ValueError(f"{n} values of lang; a model has at most {LANGUAGES} languages")
-    counts = F.broadcast(counts)
-    ids = ids.join(counts, F.col("lang") == F.col("_l")).where((F.col("_place") / F.lit(2.0**64) + 0.5) <= part)
-    order = Window.partitionBy("lang").orderBy("_place", "doc_id")
-    ids = ids.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language)
-    ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
+    start = F.pmod("place", F.greatest(F.length("text") - max_chars + 1, F.lit(1))).cast("int") + 1
+    few = rows.join(last, "lang").where(F.col("place") <= F.col("last")).select("lang", "place", F.substring("text", start, F.lit(max_chars)).alias("text"))
+    few = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)  # rows that are equal throughout
     found: dict[str, list[str]] = {}
-    for lang, text in rows.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", F.substring("text", start, F.lit(max_chars)).alias("text")).collect():
+    for lang, text in few.select("lang", "text").collect():
         found.setdefault(lang, []).append(text)
     return {k: sorted(v) for k, v in found.items()}
 
@@ -266,12 +264,14 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     return rows.mapInArrow(run, schema)
 
 
+@other_columns_apart()
 def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs``, all columns, without texts that are no language: null, without a letter, or not ``known``.
 
     What counts is the cost for each byte, not the posterior, which compares the languages with each other only: a
     text in none of them can have almost 1, and a short text that suits two has half.  Rows are judged one by one where they lie: repeated rows share
-    their fate, null ids don't matter, and nothing is joined or moved.  Without a model nothing is kept.
+    their fate, null ids don't matter, and nothing is joined or moved.  Without a model nothing is kept; an empty table stays empty.
+    Very long texts are judged one at a time; names of other columns don't matter.
     """
     if model is None:
         return docs.limit(0)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .names import fresh
+from .names import fresh, other_columns_apart
 from .scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     return rows.select("source", "source_size", target.alias("target"))
 
 
+@other_columns_apart("doc_id", "source", made=("size", "source_size", "target", "copies", "taken"))
 def mix(docs: DataFrame, text: str = "text", seed: str = "mix", **shares) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (size * copies).
 
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, text: str = "text", seed: str = "mix", **shares) -> Dat
         .join(targets.alias("t"), F.expr("c.source <=> t.source"))
         .select(F.col("c.key").alias(key_), F.col("c.kind").alias(kind_), F.col("c.digits").alias(digits_), F.col("before").alias(before), "t.source_size", "t.target")
     )
-    within = Window.partitionBy(key, kind, digits).orderBy("size", "doc_id", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    within = Window.partitionBy(key, kind, digits).orderBy("size", "doc_id", F.xxhash64(*(F.col(c).cast("string") if "map<" in kind_of else F.col(c) for c, kind_of in docs.dtypes)))
     placed = rows.withColumn(place, F.row_number().over(within))
     placed = placed.join(plan, (F.col(key) == F.col(key_)) & (F.col(kind) == F.col(kind_)) & (F.col(digits) == F.col(digits_)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .flattext import LOWER, flat, prefix_sums, separators, slices, span_hashes, words
-from .names import fresh
+from .names import fresh, other_columns_apart
 from .scratch import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -235,10 +235,11 @@ def report(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"), "terms")
 
 
+@other_columns_apart()
 def sanitise(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` with entities replaced by their kind and disclosing terms generalised to [TERM] or removed.
 
-    Null texts stay null; rows are numbered and written first, so that each gets its own spans, whatever its doc_id.
+    Null texts stay null; an empty table stays empty; names of other columns don't matter; rows are numbered and written first, so that each gets its own spans, whatever its doc_id.
     """
     number, number_, spans, levels = fresh(docs, "number", "number_of", "spans", "levels")
     rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "pii-rows")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .flattext import slices
+from .names import other_columns_apart
 
 KINDS = ("assign", "access", "hex", "named")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -222,8 +223,12 @@ def redacted(text: str, mark: str = "[SECRET]", threshold: float = 0.5) -> str:
     return "".join(out) + text[end:]
 
 
+@other_columns_apart()
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with secrets replaced in the text; all columns stay, null stays null, rows are treated one by one."""
+    """``docs`` with secrets replaced in the text; all columns stay, null stays null, rows are treated one by one, repeated ones alike.
+
+    An empty table stays empty; very long texts are lexed one at a time; names of other columns don't matter.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .names import other_columns_apart
 
 #: Entries that are sent to every task at most; beyond, the join is by shuffle.
 BROADCAST_BOUND = 100_000
@@ -111,12 +112,14 @@ def candidates(captures: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
     return rows.mapInArrow(run, "url string, captured date, keys array<string>").select("url", "captured", F.explode("keys").alias("key"))
 
 
+@other_columns_apart("url", "captured", made=("n_lists", "lists", "entry", "blocked"))
 def judge(captures: DataFrame, log: DataFrame, bound: int = BROADCAST_BOUND) -> DataFrame:
     """``captures`` (with url and captured) and n_lists, lists, entry and blocked.
 
     lists are the names of the lists that cover the URL at its time, sorted and joined by commas; entry is the valid
     entry of most segments, then labels, that does (the first by name of several).  A null URL or time is covered by
-    nothing, and every row is kept.
+    nothing, and every row is kept, repeated ones too.  Columns of the four names are replaced, names of others don't matter; empty
+    captures give none, an empty log blocks nothing.
     """
     valid = intervals(log)
     table = valid.groupBy("key", "n_labels", "n_segments").agg(F.collect_list(F.struct("list", "valid_from", "valid_to")).alias("_spans"))

@@ -49,11 +49,11 @@ def faulty(spark):
     text = "the and of to a in is it that was for on are as with his they at be this ".split()
     prose = " ".join(rng.choice(text) + rng.choice("abcde") for _ in range(300))
     rows = [tuple(r) for r in own] + [tuple(own[3]), (None, own[4].text, None, None, None), (None, None, None, None, None), (9001, "", "en", "s", 0), (9002, None, "en", "s", None)]
-    rows += [(9003, own[5].text + " " + item, "en", None, 5), (9004, own[6].text + '\npassword = "hunter2hunter2!"\n', "en", "s", 9), (9005, prose * 300, "en", "s", 9), (9006, own[7].text + " oneword", "en", "s", 9)]
+    rows += [(9003, own[5].text + " " + item, "en", None, 5), (9004, " ".join(rng.sample(own[6].text.split(), len(own[6].text.split()))) + '\npassword = "hunter2hunter2!"\n', "en", "s", 9), (9005, prose * 300, "en", "s", 9), (9006, own[7].text + " oneword", "en", "s", 9)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    for name in ("key", "size", "copy", "rep", "_other", "_bad", "hits", "taken_", "row"):
+    for name in ("key", "size", "copy", "rep", "_other", "_bad", "hits", "taken_", "row", "_lang", "_id", "_url", "entry", "meta.url"):
         frame = frame.withColumn(name, F.lit("own"))
-    return frame.repartition(3)
+    return frame.withColumn("tags", F.create_map(F.lit("k"), F.lit("v"))).repartition(3)
 
 
 def test_stages(spark, faulty):
