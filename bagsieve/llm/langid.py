@@ -163,7 +163,7 @@ PART = 16
 def limits(texts: dict[str, list[str]]) -> np.ndarray:
     """(2, languages): what texts of a language cost at most, from texts that the model of their other half codes.
 
-    The first is the median of bits per byte and five times the way from there to the 90th percentile (a bit at
+    The first is the median of bits per byte and five times the way from there to the 90th percentile (half a bit at
     least), far beyond an exponential tail.  The second is four deviations of the mean over ``PART`` bytes, which
     divided by the root of the number of bytes is what chance adds in a short text.  Both are from percentiles, which
     some texts with a wrong label don't move.  A language of one text is
@@ -184,7 +184,7 @@ def limits(texts: dict[str, list[str]]) -> np.ndarray:
     for j, k in enumerate(sorted(texts)):
         middle, high = np.quantile(found[k][0], [0.5, 0.9])
         spread = np.diff(np.quantile(np.concatenate(found[k][1]), [0.16, 0.84]))[0] / 2 if found[k][1] else 0.0
-        out[:, j] = middle + 5 * max(high - middle, 1.0), 4 * max(spread, 1.0) * PART**0.5
+        out[:, j] = middle + 5 * max(high - middle, 0.5), 4 * max(spread, 1.0) * PART**0.5
     return out
 
 
