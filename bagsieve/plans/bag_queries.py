@@ -110,3 +110,24 @@ def canonical_bags(spark, sf_dir):
     from .sampler import SamplerSpec
 
     return SamplerSpec.canonical().run(bag_rows(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_V}, p AS (SELECT a.bag, a.vec_id, list_distance(a.x, b.x) AS d FROM v a JOIN v b USING (bag))
+SELECT bag, vec_id, round(list_sort(list(d))[5], 6) AS core FROM p GROUP BY 1, 2"""
+)
+def core_distance(spark, sf_dir):
+    """The distance of every row of a bag to its fifth nearest, itself the first."""
+    from ..operators import density
+
+    rows = bag_rows(spark, sf_dir)
+    found = density.core_distances(bagwise.block(rows), rows.select("bag").distinct().withColumn("k", F.lit(5)))
+    return found.select("bag", "vec_id", F.round("core", 6).alias("core"))
+
+
+@query()
+def density_sample(spark, sf_dir):
+    """(bag, vec_id, how): a tenth of each bag, one row of each dense cluster first."""
+    from ..operators import density
+
+    return density.density_sample(bag_rows(spark, sf_dir), 0.1)
