@@ -91,12 +91,12 @@ class Blocks:
     counts: DataFrame
 
 
-def block(rows: DataFrame, bytes_: int = BLOCK_BYTES) -> Blocks:
-    """Rows (bag, vec_id, x) in blocks."""
+def block(rows: DataFrame, bytes_: int = BLOCK_BYTES, more: tuple[str, ...] = ()) -> Blocks:
+    """Rows (bag, vec_id, x, *more) in blocks."""
     sizes = rows.groupBy("bag").agg(F.ceil(F.sum(F.size("x") * 8.0) / bytes_).cast("int").alias("n"))
     counts = written(sizes, "block-counts")
-    dealt = rows.select("bag", "vec_id", "x").join(counts, "bag").withColumn("block", F.expr("int(pmod(xxhash64(vec_id), n))"))
-    packed = dealt.groupBy("bag", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("own"))
+    dealt = rows.select("bag", "vec_id", "x", *more).join(counts, "bag").withColumn("block", F.expr("int(pmod(xxhash64(vec_id), n))"))
+    packed = dealt.groupBy("bag", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", *more))).alias("own"))
     return Blocks(written(packed, "blocks"), counts)
 
 

@@ -131,3 +131,83 @@ def density_sample(spark, sf_dir):
     from ..operators import density
 
     return density.density_sample(bag_rows(spark, sf_dir), 0.1)
+
+
+def _linked(spark, sf_dir):
+    from ..operators import attention
+
+    rows = attention.mean_shifted(bag_rows(spark, sf_dir))
+    return rows.select("bag", "vec_id", F.col("x").alias("head"), F.reverse("x").alias("tail"))
+
+
+_GRAPH = f"""{_V}, u AS (SELECT bag, vec_id, unnest(x) AS value, unnest(range(1, len(x) + 1)) AS d FROM v),
+h AS (SELECT bag, vec_id, list(y ORDER BY d) AS head, list(y ORDER BY -d) AS tail FROM (SELECT bag, vec_id, d, (value + avg(value) OVER (PARTITION BY bag, d)) * 0.5 AS y FROM u) GROUP BY 1, 2),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag, vec_id ORDER BY logit DESC, other) AS place FROM
+      (SELECT a.bag, a.vec_id, b.vec_id AS other, a.head, b.tail, round(list_inner_product(a.head, b.tail) * 0.125, 9) AS logit FROM h a JOIN h b USING (bag))) WHERE place <= 6)"""
+
+
+@query(f"WITH {_GRAPH} SELECT bag, vec_id, other, round(logit, 6) AS logit, place::INT AS place FROM e")
+def neighbour_edges(spark, sf_dir):
+    """The six rows of a bag that each row attends to, heads being half way to the mean and tails their reverse."""
+    from ..operators import attention
+
+    return attention.neighbours(_linked(spark, sf_dir), 6, 0.125).select("bag", "vec_id", "other", F.round("logit", 6).alias("logit"), "place")
+
+
+@query(
+    f"""WITH {_GRAPH}, p AS (SELECT *, exp(logit - max(logit) OVER w) / sum(exp(logit)) OVER w * exp(max(logit) OVER w) AS p FROM e WINDOW w AS (PARTITION BY bag, vec_id)),
+g AS (SELECT *, list_sum(list_transform(list_zip(head, tail), lambda t: (1 - 2 / (exp(2 * (t[1] + p * t[2])) + 1)) * t[2])) AS gate FROM p),
+k AS (SELECT *, exp(gate - max(gate) OVER (PARTITION BY bag, vec_id)) AS s FROM g)
+SELECT bag, vec_id, round(sum(s * list_sum(tail)) / sum(s), 5) AS total, round(sum(s * list_inner_product(head, tail)) / sum(s), 5) AS product FROM k GROUP BY 1, 2"""
+)
+def neighbour_messages(spark, sf_dir):
+    """What each row's neighbours tell it: the sum of the message and its product with the head."""
+    from ..functions import vectors as vec
+    from ..operators import attention
+
+    rows = _linked(spark, sf_dir)
+    found = attention.messages(rows, attention.neighbours(rows, 6, 0.125))
+    return found.select("bag", "vec_id", F.round(vec.total("message"), 5).alias("total"), F.round(vec.dot("head", "message"), 5).alias("product"))
+
+
+@query(
+    f"""WITH {_V}, n AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY vec_id) - 1 AS spot, count(*) OVER (PARTITION BY bag) AS n FROM v),
+g AS (SELECT bag, x, ((8 - n % 8) % 8)::BIGINT AS padding, spot, n FROM n), s AS (SELECT bag, x, padding, ((spot + padding) // ((n + padding) // 8))::INT AS segment, (n + padding) // 8 AS length FROM g)
+SELECT bag, segment, padding, round(sum(list_sum(x)) / any_value(length), 6) AS total FROM s GROUP BY 1, 2, 3"""
+)
+def landmark_means(spark, sf_dir):
+    """Means of eight segments of each bag, in the order of ids, padded in front."""
+    from ..functions import vectors as vec
+    from ..operators import attention
+
+    rows = bag_rows(spark, sf_dir)
+    found = attention.landmarks(rows.select("bag", "vec_id", F.col("x").alias("q"), F.col("x").alias("k")), 8)
+    return found.select("bag", "segment", "padding", F.round(vec.total("q"), 6).alias("total"))
+
+
+@query()
+def nystrom_attention(spark, sf_dir):
+    """(bag, vec_id, total): attention of every row to its bag through 16 landmarks."""
+    from ..functions import vectors as vec
+    from ..operators import attention
+
+    rows = bag_rows(spark, sf_dir).select("bag", "vec_id", F.transform("x", lambda v: v * 0.125).alias("q"), F.col("x").alias("k"), F.col("x").alias("v"))
+    return attention.nystrom_attention(rows, 16).select("bag", "vec_id", F.round(vec.total("out"), 6).alias("total"))
+
+
+@query(
+    f"""WITH {_V}, d AS (SELECT *, (row_number() OVER (PARTITION BY bag ORDER BY md5('42|' || bag || '|' || vec_id), vec_id) - 1) % 4 AS part, list_sum(x) / 64 AS score FROM v),
+y AS (SELECT *, exp(score - max(score) OVER g) AS e FROM d WINDOW g AS (PARTITION BY bag, part)),
+c AS (SELECT *, round(e / sum(e) OVER (PARTITION BY bag, part) * list_sum(x[1:32]), 9) AS c FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY bag, part ORDER BY c DESC, vec_id) AS top, row_number() OVER (PARTITION BY bag, part ORDER BY c, vec_id) AS bottom FROM c),
+f AS (SELECT bag, x FROM r WHERE top <= 2 UNION ALL SELECT bag, x FROM r WHERE bottom <= 2)
+SELECT bag, round(sum(exp(list_sum(x[1:32])) * list_sum(x)) / sum(exp(list_sum(x[1:32]))), 5) AS total, count(*) AS n FROM f GROUP BY 1"""
+)
+def two_level_pool(spark, sf_dir):
+    """Four pseudo-groups of each bag, the two rows of most and of least part of each, pooled again; the class looks at the first half."""
+    from ..functions import vectors as vec
+    from ..operators import attention
+
+    rows = attention.pseudo_groups(bag_rows(spark, sf_dir), 4).withColumn("score", vec.total("x") / 64)
+    found = attention.two_level_pool(rows, "score", [1.0] * 32 + [0.0] * 32, 2)
+    return found.select("bag", F.round(vec.total("pooled"), 5).alias("total"), "n")
