@@ -377,6 +377,53 @@ def seeded_starts(rows: DataFrame, blocks: Blocks, counts: DataFrame, seed: int
     return written(weighed.select(*GROUP, "vec_id", "centre", "n", "k").groupBy(*GROUP).applyInPandas(keep, schema), "starts")
 
 
+def farthest_starts(rows: DataFrame, blocks: Blocks, first: DataFrame, counts: DataFrame, batch: int = 16) -> DataFrame:
+    """(bag, start, cluster, vec_id, centre): ``first`` (one row for each bag and start) and after it, up to k of ``counts`` (bag, k), always
+    the row farthest from all before it; ties go to the least id. It ends early where all rows are taken or equal ones that are.
+
+    A round reads the blocks once.  Each gives the ``batch`` rows that are farthest, and the distance of the next one as a bound: no
+    other row of it can be farther, now or later.  So of all batches together rows can be taken, in the exact order, for as long as
+    the farthest of them is beyond the largest bound; a round takes one row at least.
+    """
+
+    def kernel(ids, x, own):
+        label, d2, _ = nearest_two(x, _matrix(own.field("centre")))
+        order = _ranked(-d2, ids, batch + 1)
+        bound = d2[order[batch]] if len(order) > batch else -1.0
+        order = order[:batch]
+        return label[order], [pa.array(ids[order]), pa.array(d2[order]), pa.array(np.full(len(order), bound)), pa.array(list(x[order]), pa.list_(pa.float64()))]
+
+    def taken(group):
+        import pandas as pd
+
+        group = group.sort_values("vec_id")
+        x, far, bound = np.stack(group["x"].to_numpy()), group["d2"].to_numpy(float), round(float(group["bound"].max()), _DIGITS)
+        picks, left = [], int(group["k"].iloc[0] - group["n"].iloc[0])
+        while len(picks) < min(left, len(x)):
+            best = int(np.round(far, _DIGITS).argmax())
+            if round(float(far[best]), _DIGITS) <= (bound if picks else 0.0) or round(float(far[best]), _DIGITS) <= 0.0:
+                break
+            picks.append(best)
+            far = np.minimum(far, np.square(x - x[best]).sum(1))
+        found = group.iloc[picks]
+        at = int(group["n"].iloc[0])
+        return pd.DataFrame({"bag": found["bag"], "start": found["start"], "cluster": np.arange(at, at + len(picks)), "vec_id": found["vec_id"], "centre": found["x"]})
+
+    chosen = written(first.select(*GROUP, "cluster", "vec_id", "centre"), "farthest")
+    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema}
+    schema = f"bag {kinds['bag']}, start {kinds['start']}, cluster int, vec_id long, centre array<double>"
+    moving = chosen.select(*GROUP).distinct()
+    while True:
+        now = chosen.join(moving, GROUP)
+        size = now.groupBy(*GROUP).agg(F.count(F.lit(1)).cast("int").alias("n")).join(counts.select("bag", "k"), "bag").where("n < k")
+        far = _over(_sent(blocks, now.join(size.select(*GROUP), GROUP)), "vec_id long, d2 double, bound double, x array<double>", kernel)
+        more = written(far.drop("cluster").join(size, GROUP).groupBy(*GROUP).applyInPandas(taken, schema), "farthest")
+        moving = written(more.select(*GROUP).distinct(), "moving")
+        if moving.isEmpty():
+            return chosen
+        chosen = written(chosen.unionByName(more), "farthest")
+
+
 def representatives(rows: DataFrame, blocks: Blocks, centres: DataFrame) -> DataFrame:
     """(bag, start, cluster, vec_id, centre): of each centre the nearest of its own rows, or of all rows where it has none."""
     found = statistics(blocks, centres.select(*GROUP, "cluster", "centre"))

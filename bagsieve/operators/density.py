@@ -195,6 +195,7 @@ def density_clusters(rows: DataFrame, blocks: bagwise.Blocks, params: DataFrame)
 
     Noise has cluster -1 and confidence 0. A bag of one row is noise.
     """
+    blocks = bagwise.Blocks(blocks.packed.join(F.broadcast(params.select("bag")), "bag", "left_semi"), blocks.counts)
     forest = written(spanning_forest(blocks, written(core_distances(blocks, params.select("bag", "k")), "core")), "forest")
     worst = forest.groupBy("bag").count().agg(F.max("count")).first()[0] or 0
     if worst > EDGES:
@@ -210,13 +211,15 @@ def density_clusters(rows: DataFrame, blocks: bagwise.Blocks, params: DataFrame)
     return every.select("bag", "vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def density_sample(rows: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
+def density_sample(rows: DataFrame, ratio: float, seed: int = 42, by: str = "density") -> DataFrame:
     """(bag, vec_id, how): ``ratio`` of the rows of each bag, one of each dense cluster first.
 
     The clusters' least size is that which gives about as many as are wanted.  The row nearest a cluster's mean stands for it; the largest clusters, then
     the most certain, come first.  A bag without clusters takes the representatives of k-means; what is short is filled in the order of a
-    hash.  ``how`` is cluster, kmeans or filled, or all where the share is the whole bag.
+    hash.  ``by`` kmeans takes that way for all bags.  ``how`` is cluster, kmeans or filled, or all where the share is the whole bag.
     """
+    if by not in ("density", "kmeans"):
+        raise ValueError(f"no way {by!r} to sample")
     rows = written(rows.select("bag", "vec_id", "x"), "bags")
     plan = rows.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).withColumn("want", F.greatest(F.lit(1), half_even(F.col("n") * F.lit(float(ratio)))))
     plan = plan.withColumn("least", F.greatest(F.lit(2), F.least("n", F.ceil(F.col("n") / F.col("want")))).cast("int"))
@@ -224,7 +227,8 @@ def density_sample(rows: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     whole = rows.join(plan.where("want >= n"), "bag").select("bag", "vec_id", F.lit("all").alias("how"))
     some = written(rows.join(plan.where("want < n").select("bag"), "bag", "left_semi"), "bags")
     blocks = bagwise.block(some)
-    dense = written(density_clusters(some, blocks, plan.where("want < n")).where("cluster >= 0").join(some, ["bag", "vec_id"]), "dense")
+    clusters = density_clusters(some, blocks, plan.where("want < n" if by == "density" else "false"))
+    dense = written(clusters.where("cluster >= 0").join(some, ["bag", "vec_id"]), "dense")
     means = dense.groupBy("bag", "cluster").agg(mean_vector("x").alias("mean"), F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), _DIGITS).alias("sure"))
     best = dense.join(means, ["bag", "cluster"]).groupBy("bag", "cluster", "size", "sure").agg(F.min(F.struct(F.round(squared_l2("x", "mean"), _DIGITS).alias("d"), "vec_id")).alias("m"))
     place = F.row_number().over(Window.partitionBy("bag").orderBy(F.desc("size"), F.desc("sure"), "cluster"))

@@ -104,6 +104,22 @@ def bag_polish(spark, sf_dir):
     return found.select("bag", "cluster", "vec_id")
 
 
+def _farthest_sql(k: int) -> str:
+    """The k-th pick f{k} after f0 .. f{k - 1}."""
+    before = " UNION ALL ".join(f"SELECT * FROM f{j}" for j in range(k))
+    return f"""t{k} AS ({before}), g{k} AS (SELECT v.bag, v.vec_id, any_value(v.x) AS x, round(min({sq('v.x', 't.x')}), 9) AS d2 FROM v JOIN t{k} t USING (bag) GROUP BY 1, 2),
+f{k} AS (SELECT bag, {k} AS cluster, arg_max(vec_id, (d2, -vec_id)) AS vec_id, arg_max(x, (d2, -vec_id)) AS x FROM g{k} GROUP BY 1)"""
+
+
+@query(f"WITH {_V}, f0 AS (SELECT bag, 0 AS cluster, vec_id, x FROM w WHERE place = 0), {', '.join(_farthest_sql(k) for k in range(1, 6))} SELECT bag, cluster, vec_id FROM ({' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(6))})")
+def farthest_start(spark, sf_dir):
+    """Six rows of every bag, each the farthest from those before it."""
+    rows = bag_rows(spark, sf_dir)
+    first = _starts(rows, 1).where("cluster = 0")
+    found = bagwise.farthest_starts(rows, bagwise.block(rows), first, rows.select("bag").distinct().withColumn("k", F.lit(6)), 4)
+    return found.select("bag", "cluster", "vec_id")
+
+
 @query()
 def canonical_bags(spark, sf_dir):
     """(bag, vec_id, role): the whole recipe on four bags at once."""

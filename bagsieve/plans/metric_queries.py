@@ -229,11 +229,26 @@ def pixel_normalize(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(vec.total(vec.picture_normalise("x", 0.5, 0.25)), 6).alias("total"))
 
 
-@query("SELECT range::BIGINT AS epoch, round(CASE WHEN range < 5 THEN 0.001 * range / 5 ELSE 1e-6 + (0.001 - 1e-6) * 0.5 * (1 + cos(pi() * (range - 5) / 45)) END::DOUBLE, 9) AS rate FROM range(50)")
+_STEPS = "e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step FROM events)"
+
+
+def _steps(spark, sf_dir):
+    """(user_id, step): users stand for runs, their events for steps."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return table(spark, sf_dir, "events").select("user_id", place.alias("step"))
+
+
+@query(f"WITH {_STEPS} SELECT user_id, count(*) AS n, round(sum(CASE WHEN step < 5 THEN 0.001 * step / 5 ELSE 1e-6 + (0.001 - 1e-6) * 0.5 * (1 + cos(pi() * (step - 5) / 45)) END::DOUBLE), 8) AS rate FROM e WHERE step < 50 GROUP BY 1")
 def half_cosine_lr(spark, sf_dir):
-    return spark.range(50).select(F.col("id").alias("epoch"), F.round(metrics.half_cosine(F.col("id"), 0.001, 1e-6, 5.0, 50.0), 9).alias("rate"))
+    """The learning rates of each run's first fifty epochs, summed."""
+    rate = metrics.half_cosine(F.col("step"), 0.001, 1e-6, 5.0, 50.0)
+    return _steps(spark, sf_dir).where("step < 50").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(rate), 8).alias("rate"))
 
 
-@query("SELECT range::BIGINT AS step, round(CASE WHEN range < 10 THEN range / 10.0 ELSE greatest(0.1, 0.5 * (1 + cos(pi() * (range - 10) / 90.0))) END::DOUBLE, 9) AS factor FROM range(100)")
+@query(f"WITH {_STEPS} SELECT user_id, max(step) AS last, round(sum(CASE WHEN step < 10 THEN step / 10.0 ELSE greatest(0.1, 0.5 * (1 + cos(pi() * least((step - 10) / 90.0, 1)))) END::DOUBLE), 6) AS factor FROM e GROUP BY 1")
 def cosine_schedule(spark, sf_dir):
-    return spark.range(100).select(F.col("id").alias("step"), F.round(metrics.cosine_schedule(F.col("id"), 100, 10, 0.1), 9).alias("factor"))
+    """The factors of all steps of each run, summed; after the hundredth they stay at the least."""
+    factor = metrics.cosine_schedule(F.col("step"), 100, 10, 0.1)
+    return _steps(spark, sf_dir).groupBy("user_id").agg(F.max("step").cast("long").alias("last"), F.round(F.sum(factor), 6).alias("factor"))

@@ -16,7 +16,7 @@ class SamplerSpec:
     """What to select from each bag of (bag, vec_id, x), and how.
 
     ratio: share of a bag's rows.  cluster_ratio: clusters as a share of its rows.  rounds, shortlist, shortlist_size and
-    separation describe the medoids, or ``medoids`` in full; starts: so many, the best by start_by (inertia or dispersion).
+    separation describe the medoids, or ``medoids`` in full; start: kmeans, or farthest points from a row by hash; starts: so many, the best by start_by (inertia or dispersion).
     polish: most contested medoids looked at again, in polish_passes by polish_by, out of forward rows.  allocation: how the
     budget is shared (budget.MODES).  fill: fps (with metric l2, l2_unit, cosine or hybrid, alpha, beta for the norms' weight, median, and seed_cap seeds),
     facility_location or random.  swaps: parallel passes, ``sign`` -1 towards other clusters' picks.  residual: share of
@@ -43,6 +43,7 @@ class SamplerSpec:
     medoids: bagwise.Medoids | None = None
     starts: int = 1
     start_by: str = "inertia"
+    start: str = "kmeans"
     polish: int = 0
     polish_passes: int = 1
     polish_by: str = "closest_pair"
@@ -69,6 +70,7 @@ class SamplerSpec:
         if self.sign not in (-1, 1):
             raise ValueError("sign must be -1 or 1")
         for name, allowed in (
+            ("start", ("kmeans", "farthest")),
             ("start_by", ("inertia", "dispersion")),
             ("polish_by", tuple(bagwise.CRITERIA)),
             ("metric", ("l2", "l2_unit", "cosine", "hybrid")),
@@ -121,9 +123,13 @@ class SamplerSpec:
 
     def _medoids(self, rows: DataFrame, blocks: DataFrame, plan: DataFrame) -> DataFrame:
         how = self._how()
-        first = bagwise.seeded_starts(rows, blocks, plan.select("bag", "k"), self.seed, self.starts)
-        centres = bagwise.kmeans(blocks, first, min(how.rounds, 10))
-        medoids = bagwise.kmedoids(rows, blocks, bagwise.representatives(rows, blocks, centres), how)
+        if self.start == "farthest":
+            one = bagwise.seeded_starts(rows, blocks, plan.select("bag", F.lit(1).alias("k")), self.seed, self.starts, 0)
+            first = bagwise.farthest_starts(rows, blocks, one, plan.select("bag", "k"))
+        else:
+            drawn = bagwise.seeded_starts(rows, blocks, plan.select("bag", "k"), self.seed, self.starts)
+            first = bagwise.representatives(rows, blocks, bagwise.kmeans(blocks, drawn, min(how.rounds, 10)))
+        medoids = bagwise.kmedoids(rows, blocks, first, how)
         if self.starts > 1:
             medoids = written(bagwise.best_start(blocks, medoids, self.start_by), "centres")
         return bagwise.polish(rows, blocks, medoids, how, self.polish, self.polish_by, self.polish_passes, self.forward)

@@ -181,6 +181,21 @@ def test_starts_and_representatives(spark, bags, rows, blocks):
             assert v == own_ids[some][_pick(own_ids[some], _d2(x[some], mine[c : c + 1])[:, 0])]
 
 
+@pytest.mark.parametrize("batch", [1, 5])
+def test_farthest_starts_keep_the_exact_order(spark, bags, rows, blocks, batch):
+    from bagsieve.operators import kernels
+
+    first = _first(bags, 1, 4)
+    counts = spark.createDataFrame([(1, 14), (2, 40), (3, 7), (4, 2)], "bag int, k int")
+    got = _told(bagwise.farthest_starts(rows, blocks, _frame(spark, bags, [first]), counts, batch))
+    for b, k in ((1, 14), (2, 31), (3, 5), (4, 1)):  # bag 3 has five different rows
+        ids, x = bags[b]
+        at = list(ids).index(first[b][0])
+        rest = [j for j in range(len(ids)) if j != at]
+        order = [rest[j] for j in kernels.farthest_points(x[rest], x[[at]], x.mean(0), k - 1)]
+        assert got[b, 0] == [int(ids[j]) for j in [at, *order]]
+
+
 @pytest.mark.parametrize("by", ["inertia", "dispersion"])
 def test_best_start(spark, bags, blocks, by):
     starts = [_first(bags, 4), _first(bags, 4, 3), _first(bags, 4)]  # the last equals the first: the first wins

@@ -183,3 +183,8 @@ def test_sample(rows, bags):
     assert all(len({v for v, _ in rows_}) == len(rows_) for rows_ in got.values())
     assert {how for _, how in got["a"]} <= {"cluster", "filled"} and {how for _, how in got["d"]} == {"all"}
     assert {how for _, how in got["c"]} & {"kmeans", "cluster"}
+    by_means = density.density_sample(rows, 0.1, by="kmeans").collect()
+    assert len(by_means) == sum(map(len, got.values())) == len({(r.bag, r.vec_id) for r in by_means})
+    assert {r.how for r in by_means} <= {"kmeans", "filled", "all"}
+    with pytest.raises(ValueError):
+        density.density_sample(rows, 0.1, by="luck")

@@ -196,3 +196,10 @@ def test_stream_selects_each_bag_once(spark, tmp_path):
         query = select_arrivals(spark, str(tmp_path / "in"), "bag int, vec_id long", str(tmp_path / "out"), str(tmp_path / "check"), lambda d: sample.random_k(d, 0.25), once=True)
         query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+@pytest.mark.parametrize("total,weights", [(9, [1.0, 1.0]), (3, [0.0, 0.0])])
+def test_budgets_that_cannot_be_met_are_errors(spark, total, weights):
+    rows = spark.createDataFrame([(1, k, 4, w, total) for k, w in enumerate(weights)], "bag int, cluster int, available long, weight double, total long")
+    with pytest.raises(Exception, match="available|positive weight"):
+        budget.largest_remainder(rows).collect()

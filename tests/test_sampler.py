@@ -20,7 +20,7 @@ SPECS = [
     SamplerSpec(ratio=0.25, cluster_ratio=0.06, rounds=2, swaps=2, residual=0.5),
     SamplerSpec(ratio=0.3, cluster_ratio=0.1, rounds=2, starts=2, start_by="dispersion", polish=2, forward=3, swaps=1, residual=0.4, residual_by="proximity", second=0.3, late_polish=2, fill="facility_location", allocation="within_var"),
     SamplerSpec(ratio=0.5, cluster_ratio=0.08, medoids=Medoids(rounds=2, strategy="knn_mean_margin", adaptive_size=True, push_mode="density"), metric="hybrid", alpha=0.3, seed_cap=4, swaps=1, residual=0.2, second=0.2, second_mode="recomputed", extras_polish=True),
-    SamplerSpec(ratio=0.25, cluster_ratio=0.06, rounds=2, beta=1.0, median=True, swaps=1, residual=0.0, reseed=True),
+    SamplerSpec(ratio=0.25, cluster_ratio=0.06, rounds=2, start="farthest", beta=1.0, median=True, swaps=1, residual=0.0, reseed=True),
 ]
 
 
@@ -43,7 +43,7 @@ def test_one_bag_without_a_name(rows):
     assert one.columns == ["vec_id", "role"] and one.count() == 2
 
 
-@pytest.mark.parametrize("bad", [dict(metric="l3"), dict(start_by="luck"), dict(residual_by="luck"), dict(second_mode="luck"), dict(polish_by="luck"), dict(rounds=0), dict(starts=0)])
+@pytest.mark.parametrize("bad", [dict(metric="l3"), dict(start_by="luck"), dict(residual_by="luck"), dict(second_mode="luck"), dict(polish_by="luck"), dict(rounds=0), dict(start="luck"), dict(starts=0)])
 def test_refuses(bad):
     with pytest.raises(ValueError):
         SamplerSpec(**bad)
