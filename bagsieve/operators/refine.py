@@ -46,20 +46,26 @@ def _parts(lists: pa.ListArray, k: int) -> tuple:
     return pick("vec_id"), pick("cluster"), matrix, pick("w") if "w" in names else np.ones(b - a)
 
 
-def distance_sums(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(bag, vec_id, os, ow, ss, sw, near) for rows (bag, vec_id, cluster, x, selected).
+#: Blocks of rows that one block of others meets in a task, about.
+SLOT = 16
 
-    Sums of weighted distances and of weights over the selected rows of other clusters (os, ow) and of the own one
-    (ss, sw), the row itself left out, and the distance to the nearest one of another cluster.
+
+def meet(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(bag, rows, members): every block of rows of a bag with every block of its members.
+
+    The blocks of rows of a bag are dealt into slots and its members are copied to each slot, so that the pairs of a
+    large bag spread over (bag, slot) instead of one key.
     """
-    ship(rows.sparkSession)
-    base = rows.select("bag", "vec_id", "cluster", "x", "selected")
-    if weights is None:
-        members = selected_blocks(base)
-    else:
-        members = selected_blocks(base.join(weights.select("bag", "vec_id", "w"), ["bag", "vec_id"]), "w")
-    met = _blocks(base, "rows").join(members, "bag").select("bag", "rows", "members")
-    kind = rows.schema["bag"].dataType.simpleString()
+    slots = rows.groupBy("bag").agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("_slots"))
+    dealt = rows.join(slots, "bag").withColumn("_slot", F.pmod(F.xxhash64(F.col("rows")[0]["vec_id"]), "_slots").cast("int")).drop("_slots")
+    copied = members.join(slots, "bag").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))).drop("_slots")
+    return dealt.join(copied, ["bag", "_slot"]).select("bag", "rows", "members")
+
+
+def block_sums(met: DataFrame) -> DataFrame:
+    """(bag, vec_id, os, ow, ss, sw, near) from pairs of blocks (bag, rows, members); members may carry a weight ``w``."""
+    ship(met.sparkSession)
+    kind = met.schema["bag"].dataType.simpleString()
     names = ["vec_id", "os", "ow", "ss", "sw", "near"]
 
     def run(batches):
@@ -79,6 +85,20 @@ def distance_sums(rows: DataFrame, weights: DataFrame | None = None) -> DataFram
     return sums.groupBy("bag", "vec_id").agg(*[(F.min if c == "near" else F.sum)(c).alias(c) for c in names[1:]])
 
 
+def distance_sums(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(bag, vec_id, os, ow, ss, sw, near) for rows (bag, vec_id, cluster, x, selected).
+
+    Sums of weighted distances and of weights over the selected rows of other clusters (os, ow) and of the own one
+    (ss, sw), the row itself left out, and the distance to the nearest one of another cluster.
+    """
+    base = rows.select("bag", "vec_id", "cluster", "x", "selected")
+    if weights is None:
+        members = selected_blocks(base)
+    else:
+        members = selected_blocks(base.join(weights.select("bag", "vec_id", "w"), ["bag", "vec_id"]), "w")
+    return block_sums(meet(_blocks(base, "rows"), members))
+
+
 def margins(rows: DataFrame, spread: float = 0.0, weights: DataFrame | None = None) -> DataFrame:
     """Rows (bag, vec_id, cluster, x, selected) with margin: weighted mean distance to the selected rows of other
     clusters minus that to those of the own cluster (itself left out); an empty side is 0.
@@ -115,7 +135,11 @@ def swaps(rows: DataFrame, sign: int = -1, least: int = 2, weight: str = "unifor
     """(bag, cluster, out_id, in_id, delta): for each cluster its worst selected and best unselected row, if better."""
     found = margins(rows, spread, swap_weights(rows, weight))
     score = F.lit(float(sign)) * F.col("margin") + (F.col("reward") if spread > 0 else F.lit(0.0))
-    found = found.withColumn("score", F.round(score, 9))
+    return best_pairs(found.withColumn("score", F.round(score, 9)), least)
+
+
+def best_pairs(found: DataFrame, least: int) -> DataFrame:
+    """(bag, cluster, out_id, in_id, delta) from rows with selected and score, for clusters of ``least`` rows or more."""
     by = found.groupBy("bag", "cluster").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("selected"), F.struct("score", "vec_id"))).alias("worst"),

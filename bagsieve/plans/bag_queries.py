@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bagwise
+from ..operators import bagwise, upkeep
 from .registry import query, sq, table
 
 K, SIZE, PUSH = 4, 8, 0.22
@@ -227,3 +227,36 @@ def two_level_pool(spark, sf_dir):
     rows = attention.pseudo_groups(bag_rows(spark, sf_dir), 4).withColumn("score", vec.total("x") / 64)
     found = attention.two_level_pool(rows, "score", [1.0] * 32 + [0.0] * 32, 2)
     return found.select("bag", F.round(vec.total("pooled"), 5).alias("total"), "n")
+
+
+def _selected_rows(spark, sf_dir):
+    """Bags with the label as cluster, every fourth row selected."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("cluster"))
+    return bag_rows(spark, sf_dir).join(rows, "vec_id").withColumn("selected", F.col("vec_id") % 4 == 0)
+
+
+def _swap_sql(k: int, only: str = "") -> str:
+    """The selection s{k + 1} after a step from s{k} in the clusters ``only``, and its swaps w{k}."""
+    return f"""q{k} AS (SELECT a.bag, a.vec_id, a.cluster, a.vec_id IN (SELECT vec_id FROM s{k}) AS selected, b.cluster = a.cluster AS same, list_distance(a.x, b.x) AS d FROM r a JOIN (SELECT r.* FROM r JOIN s{k} USING (vec_id)) b ON a.bag = b.bag AND a.vec_id <> b.vec_id),
+m{k} AS (SELECT bag, vec_id, cluster, selected, round(coalesce(avg(d) FILTER (WHERE same), 0) - coalesce(avg(d) FILTER (WHERE NOT same), 0), 9) AS score FROM q{k} GROUP BY ALL),
+w{k} AS (SELECT * FROM (SELECT bag, cluster, arg_min(vec_id, (score, vec_id)) FILTER (WHERE selected) AS out_id, min(score) FILTER (WHERE selected) AS lo, arg_max(vec_id, (score, -vec_id)) FILTER (WHERE NOT selected) AS in_id, max(score) FILTER (WHERE NOT selected) AS hi FROM m{k} GROUP BY 1, 2) WHERE hi - lo > 1e-9 {only}),
+s{k + 1} AS (SELECT vec_id FROM s{k} WHERE vec_id NOT IN (SELECT out_id FROM w{k}) UNION ALL SELECT in_id FROM w{k})"""
+
+
+_R = "r AS (SELECT floor(sqrt(label))::INT AS bag, label::INT AS cluster, vec_id, embedding::DOUBLE[] AS x FROM embeddings), s0 AS (SELECT vec_id FROM r WHERE vec_id % 4 = 0)"
+_CHUNKS = "h AS (SELECT *, floor((row_number() OVER (PARTITION BY bag ORDER BY md5('42|0|' || cluster), cluster) - 1) / ceil(count(*) OVER (PARTITION BY bag) / 2)) AS chunk FROM (SELECT DISTINCT bag, cluster FROM r))"
+
+
+@query(f"WITH {_R}, {_swap_sql(0)}, {_swap_sql(1, 'AND cluster IN (SELECT cluster FROM w0)')} SELECT bag, vec_id FROM s2 JOIN r USING (vec_id)")
+def bag_swaps(spark, sf_dir):
+    """The selection of every bag after two parallel passes, the second on the clusters that swapped in the first."""
+    after, _ = upkeep.refined(_selected_rows(spark, sf_dir), upkeep.Passes(active=True))
+    return after.where("selected").select("bag", "vec_id")
+
+
+@query(f"""WITH {_R}, {_CHUNKS}, {_swap_sql(0, 'AND cluster IN (SELECT cluster FROM h WHERE chunk = 0)')}, {_swap_sql(1, 'AND cluster IN (SELECT cluster FROM h WHERE chunk = 1)')}, z AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1)
+SELECT bag, cluster, out_id, in_id, round(hi - lo, 6) AS delta FROM z""")
+def bag_swap_chunks(spark, sf_dir):
+    """The swaps of a pass over the clusters of every bag in two chunks, the second on what the first left."""
+    _, swaps = upkeep.refined(_selected_rows(spark, sf_dir), upkeep.Passes(passes=1, chunks=2))
+    return swaps.withColumn("delta", F.round("delta", 6))

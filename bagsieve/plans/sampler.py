@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector, squared_l2
-from ..operators import bagwise, budget, fill, refine
+from ..operators import bagwise, budget, fill, refine, upkeep
 from ..sources.tables import written
 
 @dataclass(frozen=True)
@@ -19,7 +19,8 @@ class SamplerSpec:
     separation describe the medoids, or ``medoids`` in full; start: kmeans, or farthest points from a row by hash; starts: so many, the best by start_by (inertia or dispersion).
     polish: most contested medoids looked at again, in polish_passes by polish_by, out of forward rows.  allocation: how the
     budget is shared (budget.MODES).  fill: fps (with metric l2, l2_unit, cosine or hybrid, alpha, beta for the norms' weight, median, and seed_cap seeds),
-    facility_location or random.  swaps: parallel passes, ``sign`` -1 towards other clusters' picks.  residual: share of
+    facility_location or random.  swaps: parallel passes, ``sign`` -1 towards other clusters' picks, with ``passes`` for all that
+    they can do besides (its own passes and sign don't count).  residual: share of
     clusters that get a sequential pass after them, by residual_by (delta: those that gained most; proximity: those whose selected rows'
     mean is nearest another's).  second: share that gets another, stale (the next by delta) or recomputed (by the deltas of one
     more parallel step).  late_polish: medoids looked at again after the swaps, without taking an extra row.
@@ -38,6 +39,7 @@ class SamplerSpec:
     fill: str = "fps"
     swaps: int = 2
     sign: int = -1
+    passes: upkeep.Passes = upkeep.Passes()
     residual: float = 0.5
     seed: int = 42
     medoids: bagwise.Medoids | None = None
@@ -160,14 +162,9 @@ class SamplerSpec:
 
     def _swapped(self, state: DataFrame) -> DataFrame:
         """The parallel passes, then the sequential ones on some of the clusters of bags that the former changed."""
-        deltas = None
-        for _ in range(self.swaps):
-            found = written(refine.swaps(state, self.sign), "swaps")
-            if found.isEmpty():
-                break
-            deltas = found if deltas is None else deltas.unionByName(found)
-            state = written(refine.apply_swaps(state, found), "selection")
-        if deltas is None or self.residual <= 0:
+        state, deltas = upkeep.refined(state, replace(self.passes, passes=self.swaps, sign=self.sign))
+        state = written(state, "selection")
+        if self.residual <= 0 or deltas.isEmpty():
             return state
         ranked = written(self._ranked(state, deltas, self.residual_by), "ranked")
         state = self._sequential(state, ranked.where(F.col("place") <= _share(self.residual)))
@@ -177,7 +174,7 @@ class SamplerSpec:
             first, last = _share(self.residual), _share(self.residual) + _share(self.second)
             state = self._sequential(state, ranked.where((F.col("place") > first) & (F.col("place") <= last)))
         elif self.second > 0:
-            found = written(refine.swaps(state, self.sign), "swaps")
+            found = written(refine.swaps(state, self.sign, self.passes.least, self.passes.weight, self.passes.spread), "swaps")
             state = written(refine.apply_swaps(state, found), "selection")
             ranked = self._ranked(state, found, "delta")
             state = self._sequential(state, ranked.where(F.col("place") <= _share(self.second)))
