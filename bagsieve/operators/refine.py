@@ -175,7 +175,8 @@ def parallel_refine(rows: DataFrame, passes: int = 2, keep=lambda df: df, **how)
 def sequential_refine(rows: DataFrame, passes: int = 1, only: DataFrame | None = None, **how) -> DataFrame:
     """Rows with ``selected`` after the sequential swaps of each bag (a group that has to fit one task).
 
-    ``only`` has the (bag, cluster) that may swap; bags without any aren't grouped at all.
+    ``only`` has the (bag, cluster) that may swap; bags without any aren't grouped at all.  ``how`` is that of
+    ``kernels.sequential_swaps``.  A row that comes in from another cluster keeps its cluster, but where it takes a seed's place.
     """
     if only is not None:
         open_ = rows.join(only.select("bag", "cluster").distinct().withColumn("_open", F.lit(True)), ["bag", "cluster"], "left")
@@ -196,10 +197,12 @@ def _swapped(rows: DataFrame, passes: int, **how) -> DataFrame:
         after, moves = kernels.sequential_swaps(_matrix(group["x"]), group["cluster"].to_numpy(), before, passes, only=only, moves=True, **how)
         group["selected"] = after
         if seeds:  # the row that comes in stands where the one that leaves stood
-            seed = group["is_seed"].to_numpy(bool).copy()
+            seed, cluster = group["is_seed"].to_numpy(bool).copy(), group["cluster"].to_numpy().copy()
             for gone, new in moves:
+                if seed[gone]:
+                    cluster[new] = cluster[gone]
                 seed[gone], seed[new] = False, bool(seed[gone])
-            group["is_seed"] = seed
+            group["is_seed"], group["cluster"] = seed, cluster
         return group
 
     return checked(rows, ["bag"]).groupBy("bag").applyInPandas(run, rows.schema)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bagwise, upkeep
+from ..operators import bagwise, refine, upkeep
 from .registry import query, sq, table
 
 K, SIZE, PUSH = 4, 8, 0.22
@@ -260,3 +260,36 @@ def bag_swap_chunks(spark, sf_dir):
     """The swaps of a pass over the clusters of every bag in two chunks, the second on what the first left."""
     _, swaps = upkeep.refined(_selected_rows(spark, sf_dir), upkeep.Passes(passes=1, chunks=2))
     return swaps.withColumn("delta", F.round("delta", 6))
+
+
+_PAIRS = "SELECT a.bag, a.vec_id, sum(list_distance(a.x, b.x)) AS total, avg(list_distance(a.x, b.x)) AS mean FROM {0} a JOIN {1} b ON a.bag = b.bag GROUP BY 1, 2"
+
+
+@query(
+    f"""WITH {_R}, f AS (SELECT bag, min(cluster) AS first FROM r GROUP BY 1),
+n AS (SELECT bag, list(m ORDER BY d) AS mean FROM (SELECT bag, d, avg(value) AS m FROM (SELECT r.bag, unnest(x) AS value, unnest(range(1, len(x) + 1)) AS d FROM r JOIN f USING (bag) WHERE cluster = first) GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT r.*, vec_id IN (SELECT vec_id FROM s0) AS selected, cluster = first AS own, round({sq('x', 'mean')}, 9) AS far FROM r JOIN f USING (bag) JOIN n USING (bag)),
+i AS (SELECT * FROM t WHERE selected AND own), o AS (SELECT * FROM t WHERE selected AND NOT own),
+c AS (SELECT *, row_number() OVER (PARTITION BY bag, own ORDER BY far, vec_id) AS near FROM t WHERE NOT selected),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY far, vec_id) AS place FROM c WHERE own OR near <= 5) WHERE place <= 20),
+io AS ({_PAIRS.format('i', 'o')}), iu AS ({_PAIRS.format('i', 'u')}), ii AS ({_PAIRS.format('i', 'i')}),
+uo AS ({_PAIRS.format('u', 'o')}), uu AS ({_PAIRS.format('u', 'u')}), ui AS ({_PAIRS.format('u', 'i')}), m AS (SELECT bag, count(*) AS m FROM u GROUP BY 1),
+l AS (SELECT bag, vec_id, x, io.mean + (ii.total - iu.total) / m AS leaving FROM i JOIN io USING (bag, vec_id) JOIN iu USING (bag, vec_id) JOIN ii USING (bag, vec_id) JOIN m USING (bag)),
+e AS (SELECT bag, vec_id, x, m, uo.mean - (uu.total - ui.total) / m AS entering FROM u JOIN uo USING (bag, vec_id) JOIN uu USING (bag, vec_id) JOIN ui USING (bag, vec_id) JOIN m USING (bag)),
+p AS (SELECT l.bag, l.vec_id AS out_id, e.vec_id AS in_id, round(entering - leaving - 2 * list_distance(l.x, e.x) / m, 9) AS delta FROM l JOIN e ON l.bag = e.bag)
+SELECT bag, out_id, in_id FROM (SELECT bag, arg_min(out_id, (delta, out_id, in_id)) AS out_id, arg_min(in_id, (delta, out_id, in_id)) AS in_id, min(delta) AS delta FROM p GROUP BY 1) WHERE delta < -1e-9"""
+)
+def bag_swap_nearest(spark, sf_dir):
+    """The sequential swap in the first cluster of every bag, from the 20 rows nearest to its mean, 5 of other clusters among them."""
+    rows = _selected_rows(spark, sf_dir)
+    first = rows.groupBy("bag").agg(F.min("cluster").alias("cluster"))
+    after = refine.sequential_refine(rows, 1, only=first, cross=5, nearest=20).select("bag", "vec_id", F.col("selected").alias("now"))
+    changed = rows.join(after, ["bag", "vec_id"]).where("selected <> now").groupBy("bag")
+    return changed.agg(F.max(F.when(F.col("selected"), F.col("vec_id"))).alias("out_id"), F.max(F.when(F.col("now"), F.col("vec_id"))).alias("in_id"))
+
+
+@query()
+def bag_swap_sampled(spark, sf_dir):
+    """The selection of every bag after two sequential passes against samples of 40 selected rows, tight clusters left out."""
+    after = refine.sequential_refine(_selected_rows(spark, sf_dir), 2, sample=40, skip=0.5, active=True)
+    return after.where("selected").select("bag", "vec_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ class SamplerSpec:
     polish: most contested medoids looked at again, in polish_passes by polish_by, out of forward rows.  allocation: how the
     budget is shared (budget.MODES).  fill: fps (with metric l2, l2_unit, cosine or hybrid, alpha, beta for the norms' weight, median, and seed_cap seeds),
     facility_location or random.  swaps: parallel passes, ``sign`` -1 towards other clusters' picks, with ``passes`` for all that
-    they can do besides (its own passes and sign don't count).  residual: share of
+    they can do besides (its own passes and sign don't count).  sequential: options of kernels.sequential_swaps.  residual: share of
     clusters that get a sequential pass after them, by residual_by (delta: those that gained most; proximity: those whose selected rows'
     mean is nearest another's).  second: share that gets another, stale (the next by delta) or recomputed (by the deltas of one
     more parallel step).  late_polish: medoids looked at again after the swaps, without taking an extra row.
@@ -40,6 +40,7 @@ class SamplerSpec:
     swaps: int = 2
     sign: int = -1
     passes: upkeep.Passes = upkeep.Passes()
+    sequential: dict = field(default_factory=lambda: {"chain": True})
     residual: float = 0.5
     seed: int = 42
     medoids: bagwise.Medoids | None = None
@@ -193,7 +194,7 @@ class SamplerSpec:
         return scored.select("bag", "cluster", F.row_number().over(own.orderBy("score", "cluster")).alias("place"), F.count(F.lit(1)).over(own).alias("clusters"))
 
     def _sequential(self, state: DataFrame, only: DataFrame) -> DataFrame:
-        return written(refine.sequential_refine(state, 1, only=only.select("bag", "cluster"), sign=self.sign, chain=True), "selection")
+        return written(refine.sequential_refine(state, 1, only=only.select("bag", "cluster"), sign=self.sign, **self.sequential), "selection")
 
     def _core(self, state: DataFrame) -> DataFrame:
         return state.where("is_seed").select("bag", F.lit(0).alias("start"), "cluster", "vec_id", F.col("x").alias("centre"))

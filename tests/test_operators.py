@@ -93,6 +93,78 @@ def test_sequential_swaps_keep_sizes():
         assert [new[labels == c].sum() for c in range(3)] == [chosen[labels == c].sum() for c in range(3)]
 
 
+def _exhaustive(x, labels, chosen, passes, sign, cross=0, nearest=0, sample=0, centres=False, skip=0.0, active=False):
+    """Sequential swaps with every objective made in full for every pair."""
+    chosen, asked = chosen.copy(), sorted(set(labels))
+    d = np.sqrt(np.square(x[:, None] - x[None]).sum(-1))
+    to = {c: np.linalg.norm(x - x[labels == c].mean(0), axis=1) for c in asked}
+    if skip:
+        intra = {c: to[c][labels == c].mean() for c in asked}
+        middle = sorted(intra.values())[(len(intra) - 1) // 2]
+        asked = [c for c in asked if intra[c] >= skip * middle]
+    for p in range(passes):
+        changed = set()
+        drawn = np.flatnonzero(chosen)
+        if sample and len(drawn) > sample:
+            drawn = np.random.default_rng([42, p]).permutation(drawn)[:sample]
+        before = chosen.copy()
+        for c in asked:
+            inside, outside = [list(np.flatnonzero((labels == c) & side)) for side in (chosen, ~chosen)]
+            if not inside or not outside:
+                continue
+            outside += sorted(np.flatnonzero((labels != c) & ~chosen), key=lambda k: (round(to[c][k] ** 2, 9), k))[:cross]
+            if nearest:
+                outside = sorted(outside, key=lambda k: (round(to[c][k] ** 2, 9), k))[:nearest]
+            if centres:
+                means = [(x[before & (labels == k)].mean(0), (before & (labels == k)).sum()) for k in sorted(set(labels)) if k != c and (before & (labels == k)).any()]
+                far = sum(n * np.linalg.norm(x - y, axis=1) for y, n in means) / sum(n for _, n in means)
+            else:
+                others = [k for k in (drawn if sample else np.flatnonzero(chosen)) if labels[k] != c]
+                if not others:
+                    continue
+                far = d[:, others].mean(1)
+
+            def worth(s, u):
+                return sign * sum(far[k] - d[k, u].mean() for k in s)
+
+            best = None
+            for i in inside:
+                for u in sorted(outside):
+                    gain = round(worth([k for k in inside if k != i] + [u], [k for k in outside if k != u] + [i]) - worth(inside, outside), 9)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                        best = gain, i, u
+            if best:
+                chosen[best[1]], chosen[best[2]] = False, True
+                changed.add(c)
+        if not changed:
+            break
+        if active:
+            asked = [c for c in asked if c in changed]
+    return chosen
+
+
+@pytest.mark.parametrize("how", [{}, {"cross": 3}, {"nearest": 4}, {"cross": 4, "nearest": 5}, {"sample": 4}, {"centres": True}, {"skip": 1.1}, {"active": True}, {"cross": 2, "sample": 3, "active": True}])
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_sequential_swaps_against_exhaustive_search(how, sign):
+    for seed in range(3):
+        x, labels = _points(seed, 26) + 0.0, np.arange(26) % 3
+        chosen = np.arange(26) % 4 == 0
+        got = kernels.sequential_swaps(x, labels, chosen, 3, sign, **how)
+        assert (got == _exhaustive(x, labels, chosen, 3, sign, **how)).all()
+        assert got.sum() == chosen.sum()
+
+
+def test_best_swap_in_blocks(monkeypatch):
+    x, labels = _points(8, 60), np.arange(60) % 2
+    chosen = np.arange(60) % 3 == 0
+    args = [x[(labels == 0) & chosen], x[(labels == 0) & ~chosen], x[(labels == 1) & chosen]]
+    for how in ({}, {"sign": 1}, {"median": True}, {"separate": True}, {"weights": np.arange(1.0, 11.0)}):
+        whole = kernels.best_swap(*args, **how)
+        monkeypatch.setattr(kernels, "_BLOCK", 3)
+        assert kernels.best_swap(*args, **how) == whole
+        monkeypatch.undo()
+
+
 def test_polish_extras_keeps_size():
     x, labels = _points(4, 12), np.arange(12) % 2
     new = kernels.polish_extras(x, labels, [0, 1], [2, 3])

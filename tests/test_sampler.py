@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from bagsieve.operators.bagwise import Medoids
+from bagsieve.operators.upkeep import Passes
 from bagsieve.plans.sampler import SamplerSpec
 
 SIZES = {"a": 120, "b": 37, "c": 8}
@@ -18,7 +19,7 @@ def rows(spark):
 
 SPECS = [
     SamplerSpec(ratio=0.25, cluster_ratio=0.06, rounds=2, swaps=2, residual=0.5),
-    SamplerSpec(ratio=0.3, cluster_ratio=0.1, rounds=2, starts=2, start_by="dispersion", polish=2, forward=3, swaps=1, residual=0.4, residual_by="proximity", second=0.3, late_polish=2, fill="facility_location", allocation="within_var"),
+    SamplerSpec(ratio=0.3, cluster_ratio=0.1, rounds=2, starts=2, start_by="dispersion", polish=2, forward=3, swaps=1, residual=0.4, residual_by="proximity", second=0.3, passes=Passes(chunks=2, second=True), sequential={"cross": 3, "nearest": 12, "sample": 20}, late_polish=2, fill="facility_location", allocation="within_var"),
     SamplerSpec(ratio=0.5, cluster_ratio=0.08, medoids=Medoids(rounds=2, strategy="knn_mean_margin", adaptive_size=True, push_mode="density"), metric="hybrid", alpha=0.3, seed_cap=4, swaps=1, residual=0.2, second=0.2, second_mode="recomputed", extras_polish=True),
     SamplerSpec(ratio=0.25, cluster_ratio=0.06, rounds=2, start="farthest", beta=1.0, median=True, swaps=1, residual=0.0, reseed=True),
 ]
