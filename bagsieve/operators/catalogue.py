@@ -104,7 +104,7 @@ def resolve_folds(folds: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """Saved folds (fold, split, name) with the rows of their names; an unknown name is an error when it is read."""
     both = folds.join(rows.withColumn("_known", F.lit(True)), name, "left")
     unknown = F.raise_error(F.concat(F.lit("a fold names the unknown "), F.col(name)))
-    return both.withColumn(name, F.when(F.col("_known"), F.col(name)).otherwise(unknown.cast("string"))).drop("_known")
+    return both.withColumn(name, F.when(F.col("_known"), F.col(name)).otherwise(unknown.cast(rows.schema[name].dataType))).drop("_known")
 
 
 def group_column(name: Column) -> Column:

@@ -105,14 +105,15 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.select(label, (F.sum("n").over(all_) / (F.count(F.lit(1)).over(all_) * F.col("n"))).alias("weight"))
 
 
-def linear_probe(train: DataFrame, test: DataFrame, label: str = "label", cost: float = 1.0) -> DataFrame:
-    """``test`` with probs and p: a balanced logistic regression on scaled vectors ``x``.
+def fit_probe(train: DataFrame, label: str = "label", cost: float = 1.0):
+    """A balanced logistic regression on scaled vectors ``x``, as a model that can be saved.
 
     Scaling uses the population's deviation, and the penalty is that of ``cost`` for a sum over rows.
     """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     n = train.count()
     weights = class_weights(train, label)
@@ -121,10 +122,22 @@ def linear_probe(train: DataFrame, test: DataFrame, label: str = "label", cost:
     # The scaler divides by the sample's deviation; as all entries shrink alike, the penalty takes the difference.
     factor = n / max(n - 1, 1)
     model = LogisticRegression(labelCol=label, weightCol="weight", standardization=False, regParam=1.0 / (cost * n) / factor, maxIter=200, probabilityCol="_probs", predictionCol="_p").fit(scaler.transform(data))
-    found = model.transform(scaler.transform(test.withColumn("raw", array_to_vector("x"))))
+    return PipelineModel([scaler, model])
+
+
+def apply_probe(model, test: DataFrame) -> DataFrame:
+    """``test`` with probs and p of a fitted probe."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    found = model.transform(test.withColumn("raw", array_to_vector("x")))
     return found.withColumn("probs", vector_to_array("_probs")).withColumn("p", F.col("_p").cast("int")).select(*test.columns, "probs", "p")
 
 
+def linear_probe(train: DataFrame, test: DataFrame, label: str = "label", cost: float = 1.0) -> DataFrame:
+    """``test`` with probs and p: fitted on ``train`` and applied."""
+    return apply_probe(fit_probe(train, label, cost), test)
+
+
 def smoothed(rows: DataFrame, order: str, value: str, count: str, window: int = 20) -> DataFrame:
     """Rows with average (running, weighted by count) and median of the last ``window`` values."""
     by = Window.partitionBy("series").orderBy(order)

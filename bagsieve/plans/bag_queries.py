@@ -5,6 +5,8 @@ The ten labels of the embeddings make four bags of one, three, five and one labe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import bagwise, refine, upkeep
@@ -293,3 +295,21 @@ def bag_swap_sampled(spark, sf_dir):
     """The selection of every bag after two sequential passes against samples of 40 selected rows, tight clusters left out."""
     after = refine.sequential_refine(_selected_rows(spark, sf_dir), 2, sample=40, skip=0.5, active=True)
     return after.where("selected").select("bag", "vec_id")
+
+
+@query(
+    """WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS value, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings), m AS (SELECT label, d, avg(value) AS m FROM e GROUP BY 1, 2)
+SELECT label::INT AS bag, round(sum(m * m), 6) AS energy FROM m GROUP BY 1"""
+)
+def cached_means(spark, sf_dir):
+    """The energy of each bag's mean, of which every other bag's was kept by an earlier run."""
+    from ..functions.vectors import mean_vector
+    from ..sources.results import BagResults
+    from ..sources.tables import shared_dir
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("bag"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    energy = F.aggregate("mean", F.lit(0.0), lambda a, v: a + v * v)
+    kept = BagResults(spark, f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}", "means", {})
+    compute = lambda some: some.groupBy("bag").agg(mean_vector("x").alias("mean")).select("bag", F.round(energy, 6).alias("energy"))
+    kept.of(rows.where("bag % 2 = 0"), compute)
+    return kept.of(rows, compute)

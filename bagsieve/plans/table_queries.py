@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalogue
@@ -134,6 +136,17 @@ def stratified_shuffle(spark, sf_dir):
     return catalogue.stratified_shuffles(_labelled(spark, sf_dir), "doc_id", "label").select("doc_id", "label", "fold", "split")
 
 
+@query(f"WITH {_D}, {_SHUFFLE} SELECT doc_id, label, fold::INT AS fold, CASE WHEN k <= test THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (label)")
+def saved_splits(spark, sf_dir):
+    """Repeated splits, made and written by a first call and read by a second."""
+    from ..sources.results import splits_once
+    from ..sources.tables import shared_dir
+
+    root = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    first, again = (splits_once(_labelled(spark, sf_dir), root, "documents", "stratified_shuffle", "doc_id", "label") for _ in range(2))
+    return again.select("doc_id", "label", "fold", "split")
+
+
 def _members(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("label"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id")).join(people, "doc_id")
