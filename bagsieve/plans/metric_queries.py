@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import cluster, metrics
+from ..operators import cluster, metrics, relations
 from .registry import C, V, query, table, vectors
 
 
@@ -183,6 +183,25 @@ def relation_kl(spark, sf_dir):
     return metrics.relation_kl(_twins(spark, sf_dir), "cluster").select("cluster", _r("kl"))
 
 
+def _relation_sql(name: str, t: str, s: str) -> str:
+    """Divergences {name} of the softmaxes of t and s, at temperatures 1 and 4."""
+    return f"""{name}p AS (SELECT cluster, i, h, {t} / h AS t, {s} / h AS s FROM g, (VALUES (1.0::DOUBLE), (4.0::DOUBLE)) q(h)),
+{name}l AS (SELECT cluster, i, h, t - ln(sum(exp(t)) OVER (PARTITION BY i, h)) AS t, s - ln(sum(exp(s)) OVER (PARTITION BY i, h)) AS s FROM {name}p),
+{name} AS (SELECT cluster, avg(kl) AS kl FROM (SELECT cluster, i, h, sum(exp(t) * (t - s)) * h * h AS kl FROM {name}l GROUP BY 1, 2, 3) GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_TWIN}, n AS (SELECT cluster, avg(sqrt(list_inner_product(xa, xa))) AS ma, avg(sqrt(list_inner_product(xb, xb))) AS mb FROM w GROUP BY 1),
+g AS (SELECT i.cluster, i.vec_id AS i, list_inner_product(i.xa, j.xa) / (ma * ma) AS ta, list_inner_product(i.xb, j.xb) / (mb * mb) AS sa, -sqrt(pow(list_distance(i.xa, j.xa) / ma, 2) + 1e-12) AS td, -sqrt(pow(list_distance(i.xb, j.xb) / mb, 2) + 1e-12) AS sd FROM w i JOIN w j ON i.cluster = j.cluster AND i.vec_id <> j.vec_id JOIN n ON n.cluster = i.cluster),
+{_relation_sql('a', 'ta', 'sa')}, {_relation_sql('d', 'td', 'sd')}
+SELECT cluster, round(a.kl, 6) AS affinity, round(d.kl, 6) AS distance, round(a.kl + d.kl, 6) AS structure, round(0.5 * a.kl + 2 * d.kl, 6) AS total FROM a JOIN d USING (cluster)"""
+)
+def structure_loss(spark, sf_dir):
+    """Relations of batches at two temperatures, and a weighted sum of losses."""
+    found = relations.structure_loss(_twins(spark, sf_dir), "cluster", (1.0, 4.0))
+    return relations.composite_loss(found, {"affinity": 0.5, "distance": 2.0, "structure": 0.0}).select("cluster", *[_r(c) for c in ("affinity", "distance", "structure", "total")])
+
+
 @query(
     f"""WITH {V}, n AS (SELECT cluster, avg(sqrt(list_inner_product(x, x))) AS m FROM v GROUP BY 1)
 SELECT i.cluster, i.vec_id AS a, j.vec_id AS b, round(sqrt(greatest(list_inner_product(i.x, i.x) + list_inner_product(j.x, j.x) - 2 * list_inner_product(i.x, j.x), 0) / (m * m) + 1e-12), 6) AS d FROM v i JOIN v j ON i.cluster = j.cluster AND i.vec_id < j.vec_id JOIN n ON n.cluster = i.cluster"""

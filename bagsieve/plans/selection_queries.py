@@ -198,7 +198,15 @@ def swap_step_weighted(spark, sf_dir):
     return refine.swaps(bags(spark, sf_dir), weight="cluster_size", spread=0.5).select("cluster", "out_id", "in_id", _r("delta"))
 
 
-@query()
+def _pass_sql(k: int) -> str:
+    """The selection s{k + 1} after a parallel step from s{k}."""
+    return f"""q{k} AS (SELECT a.vec_id, a.cluster, a.vec_id IN (SELECT vec_id FROM s{k}) AS selected, b.cluster = a.cluster AS same, list_distance(a.x, b.x) AS d FROM v a JOIN (SELECT v.* FROM v JOIN s{k} USING (vec_id)) b ON a.vec_id <> b.vec_id),
+m{k} AS (SELECT vec_id, cluster, selected, round(coalesce(avg(d) FILTER (WHERE same), 0) - coalesce(avg(d) FILTER (WHERE NOT same), 0), 9) AS score FROM q{k} GROUP BY ALL),
+w{k} AS (SELECT * FROM (SELECT cluster, arg_min(vec_id, (score, vec_id)) FILTER (WHERE selected) AS out_id, min(score) FILTER (WHERE selected) AS lo, arg_max(vec_id, (score, -vec_id)) FILTER (WHERE NOT selected) AS in_id, max(score) FILTER (WHERE NOT selected) AS hi FROM m{k} GROUP BY 1) WHERE hi - lo > 1e-9),
+s{k + 1} AS (SELECT vec_id FROM s{k} WHERE vec_id NOT IN (SELECT out_id FROM w{k}) UNION ALL SELECT in_id FROM w{k})"""
+
+
+@query(f"WITH {V}, s0 AS (SELECT vec_id FROM v WHERE vec_id % 4 = 0), {_pass_sql(0)}, {_pass_sql(1)} SELECT vec_id FROM s2")
 def swap_refine(spark, sf_dir):
     """(vec_id): the selection after two parallel passes."""
     return refine.parallel_refine(bags(spark, sf_dir), 2, keep=keep).where("selected").select("vec_id")
