@@ -78,11 +78,13 @@ def _rounds(key, rows):
     rows = rows.sort_values("cluster").reset_index(drop=True)
     available, weight = rows["available"].to_numpy(np.int64), rows["weight"].to_numpy(float)
     goal = int(rows["total"].iloc[0])
+    if goal <= 0 or available.sum() <= 0:
+        return rows.assign(quota=np.zeros(len(rows), np.int64))[["bag", "cluster", "quota"]]
     if goal > available.sum():
         raise ValueError(f"{goal} rows to give, {available.sum()} available")
-    if goal > 0 and weight.sum() <= 0:
+    if weight.sum() <= 0:
         raise ValueError("no cluster has a positive weight")
-    ideal = np.round(weight / weight.sum() * goal, 9) if weight.sum() else weight
+    ideal = np.round(weight / weight.sum() * goal, 9)
     quota = np.minimum(np.floor(ideal).astype(np.int64), available)
     fraction = np.round(ideal - np.floor(ideal), 9)
     while quota.sum() < goal:
@@ -96,7 +98,8 @@ def _rounds(key, rows):
 def largest_remainder(clusters: DataFrame) -> DataFrame:
     """(bag, cluster, quota) for (bag, cluster, available, weight, total), exact also where caps bind.
 
-    A bag with more to give than there is, or without a positive weight, is an error.
+    A bag with more to give than there is, or without a positive weight, is an error; one with nothing to give or nothing
+    available gets nothing.
 
     A group is the clusters of one bag, a few thousand rows at most.
     """

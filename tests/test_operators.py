@@ -173,7 +173,8 @@ def test_polish_extras_keeps_size():
 
 def test_quotas(spark):
     rng = np.random.default_rng(5)
-    rows = [(b, c, int(rng.integers(0, 9)), float(rng.random()), 20) for b in range(6) for c in range(5)]
+    drawn = [(b, c, int(rng.integers(0, 9)), float(rng.random())) for b in range(6) for c in range(5)]
+    rows = [(*r, min(20, sum(a for b, _, a, _ in drawn if b == r[0]))) for r in drawn]
     got = budget.largest_remainder(spark.createDataFrame(rows, "bag int, cluster int, available long, weight double, total int")).toPandas()
     for b, part in got.groupby("bag"):
         room = {r[1]: r[2] for r in rows if r[0] == b}
@@ -275,3 +276,9 @@ def test_budgets_that_cannot_be_met_are_errors(spark, total, weights):
     rows = spark.createDataFrame([(1, k, 4, w, total) for k, w in enumerate(weights)], "bag int, cluster int, available long, weight double, total long")
     with pytest.raises(Exception, match="available|positive weight"):
         budget.largest_remainder(rows).collect()
+
+
+@pytest.mark.parametrize("total,available", [(0, 4), (5, 0), (-1, 4)])
+def test_nothing_to_give_or_nowhere_to(spark, total, available):
+    rows = spark.createDataFrame([(1, k, available, 1.0, total) for k in range(2)], "bag int, cluster int, available long, weight double, total long")
+    assert [r.quota for r in budget.largest_remainder(rows).collect()] == [0, 0]
