@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2, mean_vector, squared_l2, unit
+from ..functions.vectors import l2, mean_vector, squared_l2, total, unit
+from . import pairs
 
 #: Centres that are broadcast at most: 8192 of 2560 doubles are 168 MB.
 CENTRE_BOUND = 8192
@@ -101,18 +102,15 @@ def bounded_medoids(rows: DataFrame, candidates: DataFrame, pull: float = 0.0, p
 
 
 def exact_medoids(rows: DataFrame) -> DataFrame:
-    """(cluster, vec_id, cost): the member of least sum of distances (not squared) to its cluster, by pairs."""
-    pairs = rows.select("cluster", F.col("vec_id").alias("a"), F.col("x").alias("xa")).join(rows.select("cluster", F.col("x").alias("xb")), "cluster")
-    sums = pairs.groupBy("cluster", "a").agg(F.sum(l2("xa", "xb")).alias("cost"))
-    return sums.groupBy("cluster").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), F.col("a").alias("vec_id"))).alias("m")).select("cluster", "m.vec_id", "m.cost")
+    """(cluster, vec_id, cost): the member of least sum of distances (not squared) to its cluster, by pairs of blocks."""
+    best = F.min(F.struct(F.round("cost", 9).alias("cost"), "vec_id"))
+    return pairs.sums(rows, "cluster").groupBy("cluster").agg(best.alias("m")).select("cluster", "m.vec_id", "m.cost")
 
 
 def local_density(rows: DataFrame, k: int = 5) -> DataFrame:
     """(cluster, vec_id, density): mean distance to the ``k`` nearest other members."""
-    pairs = rows.select("cluster", F.col("vec_id").alias("a"), F.col("x").alias("xa")).join(rows.select("cluster", F.col("vec_id").alias("b"), F.col("x").alias("xb")), "cluster").where("a <> b")
-    pairs = pairs.select("cluster", "a", "b", l2("xa", "xb").alias("d"))
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("cluster", "a").orderBy("d", "b"))).where(F.col("rank") <= k)
-    return pairs.groupBy("cluster", F.col("a").alias("vec_id")).agg(F.avg("d").alias("density"))
+    near = pairs.nearest(rows, "cluster", k)
+    return near.select("cluster", "vec_id", (total("near") / F.size("near")).alias("density"))
 
 
 def refill_empty(assigned: DataFrame, taken: DataFrame, n: int) -> DataFrame:
