@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2, softmax
+from ..functions.vectors import softmax
+from . import pairs, relations
 
 
 def confusion(rows: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
@@ -186,28 +187,14 @@ def linear_cka(pairs: DataFrame, a: str = "xa", b: str = "xb") -> DataFrame:
     return rows.agg((part(left & ~right) / (F.sqrt(part(left & right)) * F.sqrt(part(~left & ~right)))).alias("cka"))
 
 
-def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    one = rows.select(key, F.col("vec_id").alias("i"), F.col("xa").alias("ai"), F.col("xb").alias("bi"))
-    return one.join(rows.select(key, F.col("vec_id").alias("j"), F.col("xa").alias("aj"), F.col("xb").alias("bj")), key)
-
-
 def pairwise_mse(rows: DataFrame, key: str) -> DataFrame:
     """(key, mse) of the distances of two sets of vectors over the pairs of each batch."""
-    both = _pairs(rows, key).where("i <> j")
-    return both.groupBy(key).agg(F.avg(F.pow(l2("ai", "aj") - l2("bi", "bj"), 2)).alias("mse"))
+    return pairs.mean_squared_gap(rows, key)
 
 
 def relation_kl(rows: DataFrame, key: str, temperature: float = 4.0) -> DataFrame:
     """(key, kl): mean over rows of KL(teacher || student) of tempered softmaxes of the products, times T squared."""
-    from ..functions.vectors import dot
-
-    own = Window.partitionBy(key, "i")
-    both = _pairs(rows, key).where("i <> j").select(key, "i", "j", (dot("ai", "aj") / temperature).alias("t"), (dot("bi", "bj") / temperature).alias("s"))
-    for c in "ts":
-        both = both.withColumn(c, F.col(c) - F.max(c).over(own))
-        both = both.withColumn("l" + c, F.col(c) - F.log(F.sum(F.exp(c)).over(own)))
-    rows_ = both.groupBy(key, "i").agg(F.sum(F.exp("lt") * (F.col("lt") - F.col("ls"))).alias("kl"))
-    return rows_.groupBy(key).agg((F.avg("kl") * temperature * temperature).alias("kl"))
+    return relations.structure_loss(rows, key, (temperature,), distance=False, scaled=False).select(key, F.col("affinity").alias("kl"))
 
 
 def softmax_pool(rows: DataFrame, key: str, score: str) -> DataFrame:
