@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, mean_vector, softmax, total
 from ..session import ship
 from ..sources.tables import written
-from . import bagwise
+from . import bagwise, pairs
 from .density import _met
 
 _DIGITS = 9
@@ -35,6 +35,22 @@ def mean_shifted(rows: DataFrame) -> DataFrame:
     return rows.join(means, "bag").withColumn("x", F.zip_with("x", "_mean", lambda a, b: (a + b) * 0.5)).drop("_mean")
 
 
+def largest(heads: np.ndarray, tails: np.ndarray, k: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest scaled products (to 9 digits) of each head with the tails, and their places; ties go to the first."""
+    logit = heads @ tails.T * scale
+    k = min(k, logit.shape[1])
+    bound = np.partition(logit, logit.shape[1] - k, axis=1)[:, -k:].min(1, keepdims=True)
+    i, j = np.nonzero(logit >= bound - 1e-8)
+    if not np.isfinite(bound).all() or np.isnan(logit).any():
+        logit = np.round(logit, _DIGITS)
+        first = np.argsort(-logit, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(logit, first, 1), first
+    found = np.round(logit[i, j], _DIGITS)
+    order = np.lexsort((j, -found, i))
+    at = order[np.searchsorted(i, np.arange(len(logit)))[:, None] + np.arange(k)]
+    return found[at], j[at]
+
+
 def neighbours(rows: DataFrame, k: int = 6, scale: float = 1.0, bytes_: int = bagwise.BLOCK_BYTES) -> DataFrame:
     """(bag, vec_id, other, logit, place): the ``k`` rows of the largest product of each row's head with their tails.
 
@@ -49,11 +65,11 @@ def neighbours(rows: DataFrame, k: int = 6, scale: float = 1.0, bytes_: int = ba
         for batch in batches:
             for r in range(batch.num_rows):
                 own, other = batch.column("own")[r].values, batch.column("other")[r].values
-                logit = np.round(_matrix(own.field("x")) @ _matrix(other.field("tail")).T * scale, _DIGITS)
-                first = np.argsort(-logit, axis=1, kind="stable")[:, :k]  # ids ascend in a block
-                ids = np.repeat(own.field("vec_id").to_numpy(), first.shape[1])
-                found = [pa.array(ids), pa.array(other.field("vec_id").to_numpy()[first].ravel()), pa.array(np.take_along_axis(logit, first, 1).ravel())]
-                yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(ids), r))), *found], names=["bag", "vec_id", "other", "logit"])
+                heads, tails, ids, ids_ = _matrix(own.field("x")), _matrix(other.field("tail")), own.field("vec_id").to_numpy(), other.field("vec_id").to_numpy()
+                for part in pairs.tiles(len(heads), len(tails)):
+                    logit, first = largest(heads[part], tails, k, scale)  # ids ascend in a block
+                    found = [pa.array(np.repeat(ids[part], first.shape[1])), pa.array(ids_[first].ravel()), pa.array(logit.ravel())]
+                    yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(first.size, r))), *found], names=["bag", "vec_id", "other", "logit"])
 
     near = met.mapInArrow(run, f"bag {kind}, vec_id long, other long, logit double")
     place = F.row_number().over(Window.partitionBy("bag", "vec_id").orderBy(F.desc("logit"), "other"))

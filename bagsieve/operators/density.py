@@ -23,7 +23,7 @@ from ..functions.portable import half_even, shuffle_key
 from ..functions.vectors import mean_vector, squared_l2
 from ..session import ship
 from ..sources.tables import written
-from . import bagwise
+from . import bagwise, pairs
 
 _DIGITS = 9
 #: Rows of a bag whose hierarchy fits a task: their edges are 24 bytes each.
@@ -31,13 +31,10 @@ EDGES = 20_000_000
 
 
 def _met(left: DataFrame, right: DataFrame, counts: DataFrame) -> DataFrame:
-    """Every block of ``left`` (bag, block, own) with every block of ``right`` of its bag, dealt by the left one."""
-    sent = right.select("bag", F.col("own").alias("other")).join(counts, "bag").select("bag", "other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    return left.join(sent, ["bag", "block"])
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(np.square(y - row).sum(1)) for row in x])
+    """Every block of ``left`` (bag, block, own) with every block of ``right`` of its bag, each two under a key of their own."""
+    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    sent = right.select("bag", F.col("block").alias("to"), F.col("own").alias("other")).join(counts, "bag").select("bag", "to", "other", each.alias("block"))
+    return left.join(counts, "bag").withColumn("to", each).drop("n").join(sent, ["bag", "block", "to"]).drop("to")
 
 
 def core_distances(blocks: bagwise.Blocks, neighbours: DataFrame) -> DataFrame:
@@ -50,14 +47,37 @@ def core_distances(blocks: bagwise.Blocks, neighbours: DataFrame) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 own, other, k = batch.column("own")[r].values, batch.column("other")[r].values, batch.column("k")[r].as_py()
-                d = np.sort(_distances(bagwise._matrix(own.field("x")), bagwise._matrix(other.field("x"))), 1)[:, :k]
-                near = pa.FixedSizeListArray.from_arrays(pa.array(d.ravel()), d.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(d), r))), own.field("vec_id"), near], names=["bag", "vec_id", "near"])
+                x, y = bagwise._matrix(own.field("x")), bagwise._matrix(other.field("x"))
+                d = np.sqrt(np.vstack([pairs.least(pairs.squared(x[part], y), k) for part in pairs.tiles(len(x), len(y))]))
+                yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(d), r))), own.field("vec_id"), pairs.lists(d)], names=["bag", "vec_id", "near"])
 
     near = met.mapInArrow(run, f"bag {kind}, vec_id long, near array<double>").groupBy("bag", "vec_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     return near.join(F.broadcast(neighbours), "bag").select("bag", "vec_id", F.element_at("near", F.least("k", F.size("near")).cast("int")).alias("core"))
 
 
+def lightest_of(x: np.ndarray, y: np.ndarray, core: np.ndarray, core_: np.ndarray, part: np.ndarray, part_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least reachability (to 9 digits, infinite if none) of each row of x to a row of y of another component, and the first such row.
+
+    Products rule out all but what may be least; that is made from differences, so that it is the same from either side.
+    """
+    far = np.sqrt(pairs.squared(x, y))
+    w = np.maximum(far, core_)
+    w[part[:, None] == part_] = np.inf
+    w = np.maximum(w, core[:, None], out=w)
+    low = w.min(1)
+    some = np.isfinite(low)
+    i, j = np.nonzero((w <= (low + np.maximum(1e-8, low * 1e-9))[:, None]) & some[:, None])
+    open_ = far[i, j] > np.maximum(core[i], core_[j]) - 1e-8  # elsewhere the core distances decide
+    exact = np.maximum(core[i], core_[j])
+    exact[open_] = np.maximum(exact[open_], np.sqrt(pairs.direct(x, y, i[open_], j[open_])))
+    w = np.full(len(i), np.inf) if not len(i) else np.round(exact, _DIGITS)
+    order = np.lexsort((j, w, i))  # ids ascend, so that the first of equal ones has the least id
+    rows, first = np.unique(i[order], return_index=True)
+    low, best = np.full(len(x), np.inf), np.zeros(len(x), int)
+    low[rows], best[rows] = w[order][first], j[order][first]
+    return low, best
+
+
 def spanning_forest(blocks: bagwise.Blocks, core: DataFrame) -> DataFrame:
     """(bag, w, a, b): the lightest edges that join all rows of each bag, by the mutual reachability; a < b.
 
@@ -73,11 +93,9 @@ def spanning_forest(blocks: bagwise.Blocks, core: DataFrame) -> DataFrame:
             for r in range(batch.num_rows):
                 own, other = batch.column("own")[r].values, batch.column("other")[r].values
                 ids, ids_, part, part_ = (v.to_numpy() for v in (own.field("vec_id"), other.field("vec_id"), own.field("part"), other.field("part")))
-                w = _distances(bagwise._matrix(own.field("x")), bagwise._matrix(other.field("x")))
-                w = np.round(np.maximum(np.maximum(w, own.field("core").to_numpy()[:, None]), other.field("core").to_numpy()[None]), _DIGITS)
-                w[part[:, None] == part_[None]] = np.inf
-                j = w.argmin(1)  # ids ascend, so that the first of equal ones has the least id
-                low = w[np.arange(len(w)), j]
+                x, y, core, core_ = (f(v) for f, c in ((bagwise._matrix, "x"), (pa.Array.to_numpy, "core")) for v in (own.field(c), other.field(c)))
+                at = [lightest_of(x[k], y, core[k], core_, part[k], part_) for k in pairs.tiles(len(x), len(y))]
+                low, j = (np.concatenate(v) for v in zip(*at))
                 a, b = np.minimum(ids, ids_[j]), np.maximum(ids, ids_[j])
                 order = np.lexsort((b, a, low, part))
                 order = order[np.isfinite(low[order])]

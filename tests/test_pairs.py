@@ -89,3 +89,25 @@ def test_batches(spark):
     want = (np.exp(t) * np.where(apart, t - np.where(apart, s, 0), 0)).sum(1).mean() * 16
     assert np.isclose(metrics.relation_kl(rows, "k").first().kl, want)
     assert np.isclose(relations.structure_loss(rows, "k", (4.0,), distance=False, scaled=False).first().structure, want)
+
+
+def test_kernels_hold_tiles(monkeypatch):
+    """Neighbours and lightest edges by tiles and products are those of whole matrices, with ties and copies."""
+    from bagsieve.operators import attention, density
+
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 3, (30, 3)) / 7.0, rng.integers(0, 3, (50, 3)) / 7.0
+    logit = np.round(x @ y.T * 0.5, 9)
+    first = np.argsort(-logit, axis=1, kind="stable")[:, :6]
+    got, places = attention.largest(x, y, 6, 0.5)
+    assert (places == first).all() and (got == np.take_along_axis(logit, first, 1)).all()
+    x[4, 0] = np.nan
+    assert (attention.largest(x, y, 6, 0.5)[1] == np.argsort(-np.round(x @ y.T * 0.5, 9), axis=1, kind="stable")[:, :6]).all()
+    x[4, 0] = 0.0
+    core, core_ = rng.integers(0, 3, 30) / 9.0, rng.integers(0, 3, 50) / 9.0
+    part, part_ = rng.integers(0, 3, 30), rng.integers(0, 2, 50)
+    w = np.round(np.maximum(np.maximum(np.sqrt(np.square(x[:, None] - y[None]).sum(2)), core[:, None]), core_), 9)
+    w[part[:, None] == part_] = np.inf
+    low, j = density.lightest_of(x, y, core, core_, part, part_)
+    assert (low == w.min(1)).all() and (j == w.argmin(1)).all()
+    assert max(p.stop - p.start for p in pairs.tiles(8192, 8192)) * 8192 <= pairs.TILE
