@@ -32,6 +32,8 @@ CELLS = 8
 #: A piece of a paragraph ends with the first sentence after so many characters.
 PIECE = 120
 RANGES = 4096
+#: Rounds of peeling in one stage.
+ROUNDS = 8
 #: Documents in a range of ids, about.
 RANGE_ROWS = 1000
 _WEIGHT = 4095  # low bits of a digest: the length of its piece
@@ -153,7 +155,9 @@ def decode(pairs: DataFrame, seed: int, grow: int, rounds: int) -> DataFrame:
     rows = rows.groupBy(*key, "cell").agg(F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k"), F.expr(f"bit_xor({_CHECK.format(k='k')})").alias("c"))
     live = "(n <> 0 OR k <> 0 OR c <> 0)"
     rows = rows.where(live).withColumn("kind", F.lit(0))
-    for _ in range(rounds):
+    for step in range(rounds):
+        if step and step % ROUNDS == 0:  # a task holds the memory of every round of its stage at once
+            rows = written(rows, "iblt-cells").repartition(parts, "doc_id")
         # A pure cell (kind 0) sends its digest to its three cells (kind 1) and to the sum of lengths (kind 2).
         sent = ", ".join(f"named_struct('kind', 1, 'cell', {cell(r)}, 'n', -n, 'k', k, 'c', c, 'mk', k)" for r in range(3))
         own = "named_struct('kind', kind, 'cell', cell, 'n', n, 'k', k, 'c', c, 'mk', 0L)"

@@ -593,3 +593,15 @@ def test_url_filter_equals_sql(spark):
     got, key = [tuple(r) for r in got.collect()], lambda x: tuple(map(str, x))
     assert sorted(got, key=key) == sorted(want.fetchall(), key=key)
     assert len(got) == 250 and 0 < sum(r[-1] for r in got) < 250
+
+
+def test_iblt_stages_hold_few_rounds(spark, monkeypatch):
+    """Retries of many rounds are cut into stages of a few, with the same result."""
+    a, b = [k * 4096 + 7 for k in range(1, 60)], [k * 4096 + 7 for k in range(40, 90)]
+    frame = spark.createDataFrame([(1, 0, a, b), (2, 1, a, [])], "doc_id long, pair int, a array<long>, b array<long>")
+    whole = iblt.decode(frame, 1, 4, 10).collect()
+    monkeypatch.setattr(iblt, "ROUNDS", 3)
+    cut = iblt.decode(frame, 1, 4, 10)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") <= 2 * 3 + 2
+    assert sorted(cut.collect()) == sorted(whole)
+    assert {r.doc_id: (r.w, r.rest) for r in whole} == {1: (7 * 69, 0), 2: (7 * 59, 0)}
