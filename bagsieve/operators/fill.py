@@ -1,6 +1,6 @@
 """Filling clusters with greedily chosen rows, by grouped numpy kernels.
 
-Where clusters are independent a group is a (bag, cluster); where picks repel those of clusters before, it is a bag.
+Where clusters are independent a group is a (bag, cluster); where picks repel those of clusters before, it is a chunk of a bag's clusters.
 A group has to fit a task's memory (100,000 rows of 768 doubles are 0.6 GB): larger ones are an error up front.
 """
 
@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import shuffle_key
 from ..session import ship
-from . import kernels
+from ..sources.tables import written
+from . import kernels, ordered
 
 #: Bytes of vectors that a group may have.
 GROUP_BYTES = 1 << 30
@@ -32,8 +33,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _picker(mode: str, **how):
-    def pick(x, seeds, centre, k):
-        return kernels.facility_location(x, seeds, centre, k) if mode == "facility_location" else kernels.farthest_points(x, seeds, centre, k, **how)
+    def pick(x, seeds, centre, k, start=None):
+        return kernels.facility_location(x, seeds, centre, k, start) if mode == "facility_location" else kernels.farthest_points(x, seeds, centre, k, start=start, **how)
 
     return pick
 
@@ -44,8 +45,6 @@ def fill_clusters(rows: DataFrame, mode: str = "fps", **how) -> DataFrame:
     Seeds are the cluster's rows with is_seed; the others are available.  random takes the hash's order.
     """
     if mode == "random":
-        from pyspark.sql import Window
-
         order = Window.partitionBy("bag", "cluster").orderBy(shuffle_key(how.get("seed", 0), "bag", "vec_id"), "vec_id")
         return rows.where("NOT is_seed").withColumn("step", F.row_number().over(order)).where("step <= quota").select("bag", "cluster", "vec_id", "step")
     pick = _picker(mode, **how)
@@ -68,8 +67,10 @@ def fill_clusters(rows: DataFrame, mode: str = "fps", **how) -> DataFrame:
 def fill_bag(rows: DataFrame, mode: str = "fps", cap: int | None = None, **how) -> DataFrame:
     """The same with all that a bag has selected so far as seeds, clusters in ascending order.
 
-    ``cap`` keeps the seeds of the highest ids.
+    ``cap`` keeps the seeds of the highest ids; with it, or with medians, a bag is one group.
     """
+    if not cap and not how.get("median"):
+        return _fill_chunks(rows, mode, **how)
     pick = _picker(mode, **how)
     ship(rows.sparkSession)
 
@@ -90,3 +91,49 @@ def fill_bag(rows: DataFrame, mode: str = "fps", cap: int | None = None, **how)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"bag {kinds['bag']}, cluster {kinds['cluster']}, vec_id long, step int"
     return checked(rows, ["bag"]).select("bag", "cluster", "vec_id", "x", "is_seed", "quota").groupBy("bag").applyInPandas(run, schema)
+
+
+def _fill_chunks(rows: DataFrame, mode: str, **how) -> DataFrame:
+    """Fills a bag's clusters in chunks: rows know the distance to the nearest seed, and before each chunk that to the picks before."""
+    pick, facility = _picker(mode, **how), mode == "facility_location"
+    measure = ("l2", 1.0) if facility else (how.get("metric", "l2"), how.get("alpha", 1.0))
+    rows = written(rows.select("bag", "cluster", "vec_id", "x", "is_seed", "quota"), "fill")
+    free = F.sum((~F.col("is_seed")).cast("long"))
+    sizes = ordered.chunked(rows.groupBy("bag", "cluster").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.least(free, F.max("quota")), F.lit(0)).alias("picks")))
+    before = F.sum("picks").over(Window.partitionBy("bag").orderBy("cluster")) - F.col("picks")
+    sizes = written(sizes.where("picks > 0").withColumn("before", before).drop("n"), "fill-sizes")
+    last = sizes.agg(F.max("chunk")).first()[0]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    base = rows.drop("quota").join(sizes, ["bag", "cluster"])
+    far = ordered.nearest(base.where("NOT is_seed"), rows.where("is_seed"), *measure)
+    base = written(base.join(far, ["bag", "vec_id"], "left").orderBy("chunk", "bag", "vec_id"), "fill")
+    checked(base, ["bag", "chunk"])
+    ship(rows.sparkSession)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id").reset_index(drop=True)
+        x, seed, far = _matrix(group["x"]), group["is_seed"].to_numpy(bool), group["far"].to_numpy(float)
+        names, at = np.unique(group["cluster"].to_numpy(), return_inverse=True)
+        by, cuts = np.argsort(at, kind="stable"), np.bincount(at).cumsum()[:-1]
+        chosen, out = [], []
+        for own in np.split(by, cuts):
+            free = own[~seed[own]]
+            start = far[free]
+            if chosen:
+                start = np.fmin(start, ordered.to_nearest(x[free], x[chosen], *measure))
+            known = not len(free) or not np.isnan(start[0])
+            found = free[pick(x[free], x[:0], x[own].mean(0), int(group["picks"][own[0]]), start=(np.sqrt(start) if facility else start) if known else None)]
+            chosen += found.tolist()
+            out.append(group.iloc[found][["bag", "cluster", "vec_id", "x"]].assign(step=int(group["before"][own[0]]) + np.arange(1, len(found) + 1)))
+        return pd.concat(out)
+
+    schema = f"bag {kinds['bag']}, cluster {kinds['cluster']}, vec_id long, x array<double>, step int"
+    made = None
+    for c in range(-1 if last is None else last + 1):
+        part = base.where(F.col("chunk") == c)
+        if made is not None:
+            near = ordered.nearest(part.where("NOT is_seed"), made, *measure, name="near")
+            part = part.join(near, ["bag", "vec_id"], "left").withColumn("far", F.least("far", "near")).drop("near")
+        more = written(part.groupBy("bag").applyInPandas(run, schema), "filled")
+        made = more if made is None else made.unionByName(more)
+    return (made if made is not None else rows.sparkSession.createDataFrame([], schema)).drop("x")

@@ -37,6 +37,16 @@ def test_sequential_refine_of_a_bag_beyond_a_task(spark, small, how):
     assert got == want
 
 
+@pytest.mark.parametrize("how", [{}, {"metric": "cosine"}, {"metric": "hybrid", "alpha": 0.4, "beta": 0.6}, {"mode": "facility_location"}])
+@pytest.mark.parametrize("seeded", [True, False])
+def test_fill_of_a_bag_beyond_a_task(spark, small, monkeypatch, how, seeded):
+    rows = _rows(spark)[0].selectExpr("bag", "vec_id", "cluster", "x", f"is_seed AND {str(seeded).lower()} AS is_seed", "cluster % 4 AS quota")
+    got = sorted(map(tuple, fill.fill_bag(rows, **how).collect()))
+    monkeypatch.setattr(fill, "GROUP_BYTES", 1 << 30)
+    assert got == sorted(map(tuple, fill.fill_bag(rows, cap=1 << 30, **how).collect()))
+    assert got
+
+
 def test_best_pair_is_that_of_all_pairs():
     rng = np.random.default_rng(5)
     for sign in (-1, 1):
