@@ -20,6 +20,16 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bag").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of a task that orders whole bags, about; one bag of more rows is one task.
+TASK_ROWS = 1 << 18
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by bag to as many tasks as their number asks for, so that a task's share doesn't grow with the input."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, -(-rows.count() // TASK_ROWS)), "bag")
+
+
 def random_k(rows: DataFrame, ratio: float, seed=0) -> DataFrame:
     """(bag, vec_id): exactly the drawn number of rows of each bag."""
     order = Window.partitionBy("bag").orderBy(shuffle_key(seed, "bag", "vec_id"), "vec_id")
@@ -34,7 +44,7 @@ def grid(rows: DataFrame, ratio: float, seed=0, x: str = "px", y: str = "py") ->
     draws at random.
     """
     box = rows.groupBy("bag").agg(F.count(F.lit(1)).alias("n"), *[f(c).cast("double").alias(a) for c, f, a in ((x, F.min, "x0"), (x, F.max, "x1"), (y, F.min, "y0"), (y, F.max, "y1"))])
-    found = rows.select("bag", "vec_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).join(box, "bag")
+    found = _dealt(rows.select("bag", "vec_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).join(box, "bag")
     found = found.withColumn("k", drawn(ratio, F.col("n"))).withColumn("side", F.ceil(F.sqrt(F.col("k").cast("double"))))
     flat = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
     place = lambda v, a, b: F.least(F.floor((F.col(v) - F.col(a)) / (F.col(b) - F.col(a)) * F.col("side")), F.col("side") - 1)

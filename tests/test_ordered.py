@@ -57,3 +57,13 @@ def test_best_pair_is_that_of_all_pairs():
             leaving = sums(inside, others) / 9 + (sums(inside, inside) - sums(inside, outside)) / n
             entering = sums(outside, others) / 9 - (sums(outside, outside) - sums(outside, inside)) / n
             assert kernels.best_pair(inside, outside, leaving, entering, sign) == (want and want[1:])
+
+
+def test_grid_deals_bags_by_the_number_of_rows(spark, monkeypatch):
+    from bagsieve.operators import sample
+
+    rows = spark.range(900).selectExpr("id % 30 AS bag", "id AS vec_id", "double(id * 37 % 101) AS px", "double(id * 53 % 97) AS py")
+    want = sorted(map(tuple, sample.grid(rows, 0.3).collect()))
+    monkeypatch.setattr(sample, "TASK_ROWS", 90)
+    assert sample._dealt(rows).rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, sample.grid(rows, 0.3).collect())) == want
