@@ -67,3 +67,15 @@ def test_grid_deals_bags_by_the_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(sample, "TASK_ROWS", 90)
     assert sample._dealt(rows).rdd.getNumPartitions() == 10
     assert sorted(map(tuple, sample.grid(rows, 0.3).collect())) == want
+
+
+@pytest.mark.parametrize("seeded", [True, False])
+def test_facility_location_of_large_clusters_by_rounds(spark, small, monkeypatch, seeded):
+    rows = _rows(spark, clusters=2)[0].selectExpr("bag", "vec_id", "cluster", "x", f"is_seed AND {str(seeded).lower()} AS is_seed", "3 - cluster AS quota")
+    monkeypatch.setattr(fill, "WHOLE", 20)
+    monkeypatch.setattr(fill, "BATCH", 4)
+    got = sorted(map(tuple, fill.fill_clusters(rows, "facility_location").collect()))
+    monkeypatch.setattr(fill, "WHOLE", 1 << 30)
+    monkeypatch.setattr(fill, "GROUP_BYTES", 1 << 30)
+    assert got == sorted(map(tuple, fill.fill_clusters(rows, "facility_location").collect()))
+    assert len(got) == 10
