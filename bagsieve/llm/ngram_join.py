@@ -21,8 +21,11 @@ How work stays small:
   all.  Each bucket has a centre P, the member whose n-grams are the most common, and the others are compared with P
   only.  Links give components.  Take two members X and Y that aren't in one component then.
   Their overlap is at most min(|X & P|, |Y & P|) plus what they share outside P.  So either that minimum alone is
-  enough, which the numbers tell and which is rare (then the two are compared); or they share an n-gram outside P,
-  and one among the first ``spare + 1`` of X - P and of Y - P.  Those make the buckets of the next round.
+  enough, which the numbers tell and which is rare (then the two are compared); or they share n-grams outside P.
+  Those that no member of another component has are left out; the others stand rarest first, and with them as many of
+  X's first ones as may hold the first that a linked Y shares make the buckets of the next round.  What X has inside
+  P and from a key on bounds what it shares with those whose first key in common that is: most documents have no such
+  key, and most pairs of a bucket aren't made.
   A passage, or the original of many near copies, is inside P and thus makes no candidates any more.
   There, the centre is the member most like the centre before: of near copies of one original, that is the original
   or what differs least from it, so that what two copies share outside it is theirs alone, and few go on.
@@ -280,13 +283,22 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def outside(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, size, weight, inner) for pairs (a, b, size_b, weight, inner): keys of b's first n-grams, in the global order, outside a."""
-    rest = F.when(F.col("sa").isNull(), F.col("sb")).otherwise(F.array_except("sb", "sa"))
-    keep = (F.col("size_b") - F.floor((percent * F.col("size_b") + 99) / 100) + 1).cast("int")
-    parts = _met(pairs, cut).select("a", "b", "size_b", "weight", "inner", F.struct("fragment", F.slice(rest, F.lit(1), keep).alias("rest")).alias("p"))
-    found = parts.groupBy("a", "b", "size_b", "weight", "inner").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    first = F.slice(F.flatten(F.transform("p", lambda x: x["rest"])), F.lit(1), keep)
-    return found.select("a", F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "weight", "inner", F.explode(first).alias("gram")).select(F.xxhash64("a", "gram").alias("key"), "doc_id", "size", "weight", "inner")
+    """(key, doc_id, size, weight, inner, rest) for pairs (a, b, size_b, weight, inner, b_c): keys of b's n-grams outside a.
+
+    Of those only the ones that members of a in other components have, too, count.  They stand in one order for all
+    members of a, rarest first.  rest is how many of b's come from that key on; keys for which inner and rest don't
+    reach the overlap that b has with anything it links with are left out.
+    """
+    beyond = F.when(F.col("sa").isNull(), F.col("sb")).otherwise(F.array_except("sb", "sa"))
+    parts = written(_met(pairs.select("a", "b", "b_c"), cut).select("a", "b", "b_c", beyond.alias("grams")), "gram-outside")
+    single = parts.select("a", "b", "b_c", F.explode("grams").alias("gram"))
+    held = single.groupBy("a", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi").select("a", "gram", "n")
+    own = single.select("a", "b", "gram").join(held, ["a", "gram"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("own"))
+    need = F.floor((percent * F.col("size_b") + 99) / 100)
+    first = F.greatest(F.col("inner") + F.size("own") - need + 1, F.lit(0)).cast("int")
+    found = own.join(pairs.drop("b_c"), ["a", "b"]).withColumn("total", F.size("own")).select("*", F.posexplode(F.slice("own", F.lit(1), first)).alias("place", "x"))
+    key, rest = F.xxhash64("a", "x.gram"), (F.col("total") - F.col("place")).cast("long")
+    return found.select(key.alias("key"), F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "weight", "inner", rest.alias("rest"))
 
 
 def _with_components(rows: DataFrame, found: DataFrame | None, *ids: str) -> DataFrame:
@@ -313,10 +325,11 @@ def _learned(links: DataFrame, found: DataFrame | None) -> DataFrame | None:
 
 
 def _candidates(state: DataFrame, centres: int, percent: int) -> DataFrame:
-    """(a, b, size_a, size_b, more) for buckets (key, doc_id, size, weight, inner, doc_id_c) that hold two components.
+    """(a, b, size_a, size_b, more) for buckets (key, doc_id, size, weight, inner, rest, doc_id_c) that hold two components.
 
-    inner is the overlap with the centre before.  What two members share is at most the lesser of their overlaps with
-    it and the lesser of what they have outside; pairs for which that is too little aren't made.
+    inner is the overlap with the centre before, rest the number of n-grams outside it from the key on that others have.
+    Two members whose first key in common is this one share at most the lesser inner and the lesser rest; pairs for
+    which that is too little aren't made here.
 
     a is the first centre of a bucket of b, and more tells whether such a bucket has more members than are centres.
     For the pairs of further centres with members in other components, more is null.
@@ -328,9 +341,9 @@ def _candidates(state: DataFrame, centres: int, percent: int) -> DataFrame:
     pairs = rows.select("a", F.col("doc_id").alias("b"), "size_a", F.col("size").alias("size_b"), "more")
     if centres > 1:
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc_id"))
-        others = rows.select("key", "weight", F.col("doc_id").alias("doc_id"), F.col("size").alias("size_a"), F.col("doc_id_c").alias("a_c"), "inner").withColumn("place", place).where(F.col("place") < centres)
-        others = others.select("key", F.col("doc_id").alias("x"), F.col("size_a").alias("size_x"), "a_c", F.col("inner").alias("inner_x"))
-        most = F.least("inner", "inner_x") + F.least(F.col("size") - F.col("inner"), F.col("size_x") - F.col("inner_x"))
+        others = rows.select("key", "weight", F.col("doc_id").alias("doc_id"), F.col("size").alias("size_a"), F.col("doc_id_c").alias("a_c"), "inner", "rest").withColumn("place", place).where(F.col("place") < centres)
+        others = others.select("key", F.col("doc_id").alias("x"), F.col("size_a").alias("size_x"), "a_c", F.col("inner").alias("inner_x"), F.col("rest").alias("rest_x"))
+        most = F.least("inner", "inner_x") + F.least("rest", "rest_x")
         more = rows.join(others, "key").where((F.col("doc_id_c") != F.col("a_c")) & ((100 + percent) * most >= percent * (F.col("size") + F.col("size_x"))))
         one, two = F.struct("doc_id", "size"), F.struct(F.col("x").alias("doc_id"), F.col("size_x").alias("size"))
         more = more.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
@@ -403,7 +416,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     # Sizes in a ratio of t at least are in one class or in neighbouring ones; a key holds a class and the one below.
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.001 * math.log(100.0 / percent)))
     state = alive.select("doc_id", "size", "weight", F.explode("keys").alias("gram"), F.array(size_class, size_class + 1).alias("classes"))
-    state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size", "weight").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size", "weight", F.lit(0).cast("long").alias("inner"))
+    state = state.select("gram", F.explode("classes").alias("class"), "doc_id", "size", "weight").select(F.xxhash64("gram", "class").alias("key"), "doc_id", "size", "weight", F.lit(0).cast("long").alias("inner"), F.col("size").alias("rest"))
     found = direct = None
     for step in itertools.count():
         centres = GROWTH ** max(0, step - 2)
@@ -424,7 +437,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
         alike = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
         members = _with_components(told.where("more").select("a", "b", "size_b", alike.alias("weight"), F.col("common").alias("inner")), found, "b")
         apart = members.groupBy("a").agg(F.min("b_c").alias("lo"), F.max("b_c").alias("hi")).where("lo < hi").select("a")
-        state = outside(members.select("a", "b", "size_b", "weight", "inner").join(apart, "a", "left_semi"), cut, percent)
+        state = outside(members.select("a", "b", "size_b", "weight", "inner", "b_c").join(apart, "a", "left_semi"), cut, percent)
     if found is None:
         return equal.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     done = equal.join(found, F.col("rep") == F.col("node"), "left")

@@ -139,6 +139,19 @@ def test_ngram_join_edges(spark):
     assert [(r.n_shingles, r.component_id) for r in ngram_join.similar_components(twice).collect() if r.doc_id is None] == [(2, None)]
 
 
+def test_ngram_join_keys_outside_a_centre(spark):
+    """Members 1 to 6 share too little outside centre 0 to link with any other; 7 and 8 share enough with each other."""
+    common, both = list(range(1000, 1005)), list(range(2000, 2012))
+    own = {i: list(range(10000 * i, 10000 * i + 25)) for i in range(1, 7)} | {i: both + list(range(10000 * i, 10000 * i + 13)) for i in (7, 8)}
+    cut = spark.createDataFrame([(i, 0, list(range(70)) + common + x) for i, x in own.items()] + [(0, 0, list(range(90)))], "doc_id long, fragment int, grams array<long>")
+    pairs = spark.createDataFrame([(0, i, 100, 0.5, 70, i) for i in own], "a long, b long, size_b long, weight double, inner long, b_c long")
+    state = ngram_join.outside(pairs, cut, 80)
+    assert {r.doc_id for r in state.collect()} == {7, 8}
+    assert {i: sorted((r.rest for r in state.collect() if r.doc_id == i), reverse=True) for i in own} == {i: [] for i in range(1, 7)} | {i: list(range(17, 9, -1)) for i in (7, 8)}
+    found = ngram_join._candidates(state.withColumn("doc_id_c", F.col("doc_id")), 32, 80).collect()
+    assert [(r.a, r.b) for r in found if {r.a, r.b} == {7, 8}] and len(found) == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
