@@ -28,6 +28,8 @@ from . import cluster as formulas
 
 #: Bytes of vectors in a block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of all centres up to which a round ships them to the blocks; beyond, both are joined by (bag, block).
+NARROW_BYTES = 32 << 20
 GROUP = ["bag", "start"]
 _DIGITS = 9
 
@@ -100,10 +102,15 @@ def block(rows: DataFrame, bytes_: int = BLOCK_BYTES, more: tuple[str, ...] = ()
     return Blocks(written(packed, "blocks"), counts)
 
 
-def _sent(blocks: Blocks, centres: DataFrame) -> DataFrame:
-    """Blocks with the packed centres (all columns of ``centres`` but the keys) of each start of their bag."""
+def _sent(blocks: Blocks, centres: DataFrame, narrow: bool = False) -> DataFrame:
+    """Blocks with the packed centres (all columns of ``centres`` but the keys) of each start of their bag.
+
+    ``narrow`` centres (see ``NARROW_BYTES``) are shipped, so that the vectors of the blocks aren't shuffled.
+    """
     told = [c for c in centres.columns if c not in GROUP and c != "cluster"]
     packed = centres.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("cluster", *told))).alias("centres"))
+    if narrow:
+        return blocks.packed.join(F.broadcast(packed), "bag").select("bag", "start", "own", "centres")
     packed = packed.join(blocks.counts, "bag").select(*GROUP, "centres", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
     return blocks.packed.join(packed, ["bag", "block"]).select("bag", "start", "own", "centres")
 
@@ -156,7 +163,7 @@ def _over(sent: DataFrame, schema: str, kernel: Callable) -> DataFrame:
 # Stages of a round
 
 
-def statistics(blocks: Blocks, centres: DataFrame) -> DataFrame:
+def statistics(blocks: Blocks, centres: DataFrame, narrow: bool = False) -> DataFrame:
     """``centres`` with n, mean, d (sum of distances) and d2 (sum of squares) of the rows nearest each; n 0 and mean null without any."""
 
     def kernel(ids, x, own):
@@ -168,7 +175,7 @@ def statistics(blocks: Blocks, centres: DataFrame) -> DataFrame:
         sums = [pa.array(np.add.reduceat(v[order], cuts)) for v in (np.sqrt(d2), d2)]
         return found, [pa.array(n), totals, *sums]
 
-    parts = _over(_sent(blocks, centres.select(*GROUP, "cluster", "centre")), "n long, total array<double>, d double, d2 double", kernel)
+    parts = _over(_sent(blocks, centres.select(*GROUP, "cluster", "centre"), narrow), "n long, total array<double>, d double, d2 double", kernel)
     total = vector_to_array(Summarizer.sum(array_to_vector("total")))
     sums = parts.groupBy(*GROUP, "cluster").agg(F.sum("n").alias("n"), total.alias("total"), F.sum("d").alias("d"), F.sum("d2").alias("d2"))
     sums = sums.select(*GROUP, "cluster", "n", F.transform("total", lambda v: v / F.col("n")).alias("mean"), "d", "d2")
@@ -189,7 +196,7 @@ def _ranked(values: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return np.lexsort((ids, np.round(values, _DIGITS)))[:most]
 
 
-def candidates(blocks: Blocks, wanted: DataFrame) -> DataFrame:
+def candidates(blocks: Blocks, wanted: DataFrame, narrow: bool = False) -> DataFrame:
     """(bag, start, cluster, vec_id, m, o, take, pull, push, rule, size, strategy): of each cluster with take > 0, the first ``take`` rows of each block by its rule.
 
     ``wanted`` has (bag, start, cluster, centre, anchor, take, pull, push, rule, size, strategy) for all clusters of a bag.  m and o are the squared
@@ -221,7 +228,7 @@ def candidates(blocks: Blocks, wanted: DataFrame) -> DataFrame:
         return at, [pa.array(joined[1].astype(np.int64)), pa.array(joined[2]), pa.array(joined[3]), *told]
 
     wanted = wanted.select(*GROUP, "cluster", "centre", "anchor", F.col("take").cast("int"), F.col("pull").cast("double"), F.col("push").cast("double"), "rule", F.col("size").cast("long"), "strategy")
-    return _over(_sent(blocks, wanted), "vec_id long, m double, o double, take int, pull double, push double, rule string, size long, strategy string", kernel)
+    return _over(_sent(blocks, wanted, narrow), "vec_id long, m double, o double, take int, pull double, push double, rule string, size long, strategy string", kernel)
 
 
 def _nearest(clusters: DataFrame, take, rule="mean") -> DataFrame:
@@ -230,9 +237,9 @@ def _nearest(clusters: DataFrame, take, rule="mean") -> DataFrame:
     return clusters.select(*GROUP, "cluster", "centre", "anchor", take.alias("take"), *(c.alias(n) for n, c in plain.items()))
 
 
-def _vectors(rows: DataFrame, picks: DataFrame) -> DataFrame:
-    """``picks`` (bag, start, cluster, vec_id) with their vectors as centre."""
-    return picks.join(rows.select("bag", "vec_id", F.col("x").alias("centre")), ["bag", "vec_id"]).select(*GROUP, "cluster", "vec_id", "centre")
+def _vectors(rows: DataFrame, picks: DataFrame, narrow: bool = False, *more: str) -> DataFrame:
+    """``picks`` (bag, start, cluster, vec_id, *more) with their vectors as centre."""
+    return (F.broadcast(picks) if narrow else picks).join(rows.select("bag", "vec_id", F.col("x").alias("centre")), ["bag", "vec_id"]).select(*GROUP, "cluster", "vec_id", "centre", *more)
 
 
 def _best(found: DataFrame, value, *more) -> DataFrame:
@@ -241,7 +248,7 @@ def _best(found: DataFrame, value, *more) -> DataFrame:
     return found.groupBy(*GROUP, "cluster").agg(low).select(*GROUP, "cluster", "low.vec_id")
 
 
-def _chosen(blocks: Blocks, centres: DataFrame, state: DataFrame, how: Medoids, step: int) -> DataFrame:
+def _chosen(blocks: Blocks, centres: DataFrame, state: DataFrame, how: Medoids, step: int, narrow: bool = False) -> DataFrame:
     """(bag, start, cluster, vec_id): the refined medoid of every cluster with rows; ``state`` is ``statistics`` of ``centres``."""
     sized = state.where("n > 0")
     if how.push_mode == "adaptive":
@@ -267,7 +274,7 @@ def _chosen(blocks: Blocks, centres: DataFrame, state: DataFrame, how: Medoids,
     )
     # Centres without rows still stand between the others' rows and their next centre.
     every = centres.select(*GROUP, "cluster", "centre").join(sized, [*GROUP, "cluster"], "left")
-    found = candidates(blocks, every.fillna(0, ["take", "pull", "push", "size"]).fillna("mean", ["rule", "strategy"]))
+    found = candidates(blocks, every.fillna(0, ["take", "pull", "push", "size"]).fillna("mean", ["rule", "strategy"]), narrow)
     m, o = F.col("m"), F.col("o")
     first = F.when(F.col("rule") == "mean_margin", m / F.greatest(o, F.lit(1e-12))).when(F.col("rule") == "margin_max", m - o).when(F.col("rule") == "objective", (1.0 + F.col("pull")) * m - F.col("push") * o).otherwise(m)
     own = Window.partitionBy(*GROUP, "cluster")
@@ -277,7 +284,7 @@ def _chosen(blocks: Blocks, centres: DataFrame, state: DataFrame, how: Medoids,
     return _best(found, (1.0 + F.col("pull")) * m - F.col("push") * o)
 
 
-def refill(blocks: Blocks, medoids: DataFrame, picks: DataFrame) -> DataFrame:
+def refill(blocks: Blocks, medoids: DataFrame, picks: DataFrame, narrow: bool = False) -> DataFrame:
     """``picks`` with the clusters of ``medoids`` that they lack: of each bag, the untaken rows farthest from their centres.
 
     Which clusters lack rows, and how many, is known from small tables; only blocks of such bags are read.
@@ -295,7 +302,7 @@ def refill(blocks: Blocks, medoids: DataFrame, picks: DataFrame) -> DataFrame:
         best = free[_ranked(-d2[free], ids[free], int(own.field("lack")[0].as_py()))]
         return label[best], [pa.array(ids[best]), pa.array(d2[best])]
 
-    far = _over(_sent(blocks, some), "vec_id long, d2 double", kernel)
+    far = _over(_sent(blocks, some, narrow), "vec_id long, d2 double", kernel)
     far = far.withColumn("place", F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.round("d2", _DIGITS).desc(), "vec_id")))
     return picks.unionByName(lost.join(far.drop("cluster"), [*GROUP, "place"]).select(*GROUP, "cluster", "vec_id"))
 
@@ -303,20 +310,21 @@ def refill(blocks: Blocks, medoids: DataFrame, picks: DataFrame) -> DataFrame:
 # Loops
 
 
-def _rounds(first: DataFrame, rounds: int, step: Callable[[DataFrame, int], DataFrame], mend: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def _rounds(first: DataFrame, rounds: int, step: Callable[[DataFrame, int, bool], DataFrame], mend: Callable[[DataFrame, DataFrame, bool], DataFrame] | None = None) -> DataFrame:
     """Takes ``step`` until the centres of every (bag, start) stay; those that stay rest. All centres at the end.
 
-    ``step(centres, k)`` gives the next centres with the column ``stays``; of a (bag, start), all rows have to.  Where it gives
-    fewer centres than there were, ``mend(centres, next)`` adds the rest.
+    ``step(centres, k, narrow)`` gives the next centres with the column ``stays``; of a (bag, start), all rows have to.  Where it gives
+    fewer centres than there were, ``mend(centres, next, narrow)`` adds the rest.  narrow: all centres have ``NARROW_BYTES`` at most.
     """
     group = Window.partitionBy(*GROUP)
     resting, moving = [], written(first, "centres")
-    n = moving.count()
+    n, bytes_ = moving.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("centre") * 8), F.lit(0))).first()
+    narrow = bytes_ <= NARROW_BYTES
     for k in range(rounds):
-        after = written(step(moving, k).withColumn("stays", F.min("stays").over(group)), "centres")
+        after = written(step(moving, k, narrow).withColumn("stays", F.min("stays").over(group)), "centres")
         found, on = after.agg(F.count(F.lit(1)), F.coalesce(F.sum((~F.col("stays")).cast("long")), F.lit(0))).first()
         if mend and found < n:
-            after = written(mend(moving, after.drop("stays")).withColumn("stays", F.min("stays").over(group)), "centres")
+            after = written(mend(moving, after.drop("stays"), narrow).withColumn("stays", F.min("stays").over(group)), "centres")
             on = after.where("NOT stays").count()
         resting.append(after.where("stays").drop("stays"))
         moving, n = after.where("NOT stays").drop("stays"), on
@@ -330,8 +338,8 @@ def _rounds(first: DataFrame, rounds: int, step: Callable[[DataFrame, int], Data
 def kmeans(blocks: Blocks, first: DataFrame, rounds: int = 10, tolerance: float = 1e-4) -> DataFrame:
     """(bag, start, cluster, centre) after Lloyd's rounds from ``first``; a centre without rows stays where it is."""
 
-    def step(centres: DataFrame, k: int) -> DataFrame:
-        found = statistics(blocks, centres)
+    def step(centres: DataFrame, k: int, narrow: bool) -> DataFrame:
+        found = statistics(blocks, centres, narrow)
         moved = F.when(F.col("n") > 0, F.col("mean")).otherwise(F.col("centre"))
         shift = F.aggregate(F.zip_with("centre", moved, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
         return found.select(*GROUP, "cluster", moved.alias("centre"), (shift <= tolerance * tolerance).alias("stays"))
@@ -434,15 +442,15 @@ def representatives(rows: DataFrame, blocks: Blocks, centres: DataFrame) -> Data
 def kmedoids(rows: DataFrame, blocks: Blocks, first: DataFrame, how: Medoids = Medoids()) -> DataFrame:
     """(bag, start, cluster, vec_id, centre): medoids of every bag and start from ``first``, until they repeat."""
 
-    def seen(picks: DataFrame, medoids: DataFrame) -> DataFrame:
+    def seen(picks: DataFrame, medoids: DataFrame, narrow: bool) -> DataFrame:
         before = medoids.select(*GROUP, "cluster", F.col("vec_id").alias("was"))
-        return _vectors(rows, picks).join(before, [*GROUP, "cluster"]).withColumn("stays", F.col("vec_id") == F.col("was")).drop("was")
+        return _vectors(rows, picks.join(before, [*GROUP, "cluster"]), narrow, "was").withColumn("stays", F.col("vec_id") == F.col("was")).drop("was")
 
-    def step(medoids: DataFrame, k: int) -> DataFrame:
-        return seen(_chosen(blocks, medoids, statistics(blocks, medoids), how, k), medoids)
+    def step(medoids: DataFrame, k: int, narrow: bool) -> DataFrame:
+        return seen(_chosen(blocks, medoids, statistics(blocks, medoids, narrow), how, k, narrow), medoids, narrow)
 
-    def mend(medoids: DataFrame, after: DataFrame) -> DataFrame:
-        return seen(refill(blocks, medoids, after.select(*GROUP, "cluster", "vec_id")), medoids)
+    def mend(medoids: DataFrame, after: DataFrame, narrow: bool) -> DataFrame:
+        return seen(refill(blocks, medoids, after.select(*GROUP, "cluster", "vec_id"), narrow), medoids, narrow)
 
     return _rounds(first.select(*GROUP, "cluster", "vec_id", "centre"), how.rounds, step, mend)
 

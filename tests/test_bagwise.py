@@ -266,3 +266,23 @@ def test_nearest_two_measures_close_calls_exactly():
     centres = np.array([[1e6, 0.0], [1e6 + 1e-4, 0.0], [1e6, 0.0], [5.0, 5.0]])
     label, d2, other = bagwise.nearest_two(x, centres)
     assert label.tolist() == [1, 0, 3] and np.allclose(d2, 0)
+
+
+def test_rounds_ship_narrow_centres(spark, bags, rows, blocks, monkeypatch):
+    """Rounds ship few centres to the blocks, whose vectors aren't shuffled then; many are joined with them. The medoids are the same."""
+    how, first = HOWS[0], _frame(spark, bags, [_first(bags, 5)])
+    plain, narrow, found = bagwise._sent, [], []
+    monkeypatch.setattr(bagwise, "_sent", lambda blocks, centres, ship=False: narrow.append(ship) or plain(blocks, centres, ship))
+    for most in (1 << 20, 0):
+        narrow.clear()
+        monkeypatch.setattr(bagwise, "NARROW_BYTES", most)
+        found.append(_told(bagwise.kmedoids(rows, blocks, first, how)))
+        assert narrow and set(narrow) == {most > 0}
+    assert found[0] == found[1]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [plain(blocks, first.drop("vec_id"), ship)._jdf.queryExecution().executedPlan().toString() for ship in (True, False)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ["SortMergeJoin" in p for p in plans] == [False, True]
