@@ -25,6 +25,7 @@ from ..functions.portable import shuffle_key
 from ..session import ship
 from ..sources.tables import written
 from . import cluster as formulas
+from . import pairs
 
 #: Bytes of vectors in a block.
 BLOCK_BYTES = 4 << 20
@@ -122,21 +123,29 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
 def nearest_two(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index and squared distance of the nearest centre of each row, and the squared distance of the next one (0 if none).
 
-    Products find the candidates; all that come within rounding of the least are measured again, exactly.
+    Products find the candidates, in tiles (``pairs.TILE``), however many centres there are; all that come within rounding of the least
+    are measured again, exactly.
     """
     top, own = np.square(centres).sum(1), np.square(x).sum(1)
-    rough = own[:, None] - 2.0 * (x @ centres.T) + top[None]
     slack = 1e-9 * (own + top.max())
-    near = rough <= rough.min(1)[:, None] + slack[:, None]
-    label = near.argmax(1)
-    for k in np.flatnonzero(near.sum(1) > 1):
-        some = np.flatnonzero(near[k])
-        label[k] = some[np.round(np.square(centres[some] - x[k]).sum(1), _DIGITS).argmin()]
+    label, following = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    for part in pairs.tiles(len(x), len(centres)):
+        rough = x[part] @ centres.T
+        rough *= -2.0
+        rough += top
+        rows, first = np.arange(len(rough)), rough.argmin(1)
+        least = rough[rows, first]
+        rough[rows, first] = np.inf
+        after = rough.argmin(1)
+        for k in np.flatnonzero(rough[rows, after] <= least + slack[part]):
+            rough[k, first[k]] = least[k]
+            some = np.flatnonzero(rough[k] <= least[k] + slack[part][k])
+            first[k] = some[np.round(np.square(centres[some] - x[part][k]).sum(1), _DIGITS).argmin()]
+            rough[k, first[k]] = np.inf
+            after[k] = rough[k].argmin()
+        label[part], following[part] = first, after
     d2 = np.square(x - centres[label]).sum(1)
-    if len(centres) == 1:
-        return label, d2, np.zeros(len(x))
-    rough[np.arange(len(x)), label] = np.inf
-    return label, d2, np.square(x - centres[rough.argmin(1)]).sum(1)
+    return label, d2, np.square(x - centres[following]).sum(1) if len(centres) > 1 else np.zeros(len(x))
 
 
 def _over(sent: DataFrame, schema: str, kernel: Callable) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A swap changes two selected rows, so the sums of every other row change by two terms.  After a step only the rows that
 moved are met with the blocks of rows, one with a weight of minus one and one with plus one, instead of all selected
-rows; and only clusters that may be asked again are met at all.  The vectors are dealt into blocks by cluster once; what
-each step writes is a table of ids and sums.
+rows; and only clusters that may be asked again are met at all, several of them in a block.  The vectors that can be asked
+are written once; what each step writes is a table of ids and sums.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import shuffle_key
 from ..sources.tables import discard, written
-from . import refine
+from . import ordered, refine
 
 #: Weights of selected rows that no swap changes; with the others sums are made anew for each step.
 STEADY = ("uniform", "cluster_size", "uncertainty")
@@ -75,7 +75,7 @@ def refined(rows: DataFrame, how: Passes, trace: list | None = None) -> tuple[Da
 
 
 class _Run:
-    """The state of the passes: blocks of vectors, a table of sums, and the swaps so far."""
+    """The state of the passes: vectors, a table of sums, and the swaps so far."""
 
     def __init__(self, rows: DataFrame, how: Passes, trace: list | None):
         self.rows, self.how, self.trace, self.weights = rows, how, trace, None
@@ -89,9 +89,7 @@ class _Run:
         state = rows.select("bag", "vec_id", "cluster", *self.columns)
         if self.steady:
             state = state.join(self.able.drop("n"), ["bag", "cluster"])
-            whole = rows.select("bag", "vec_id", "cluster", "x").join(self.able.select("bag", "cluster", F.ceil(F.col("n") / refine.BLOCK).alias("_blocks")), ["bag", "cluster"])
-            dealt = whole.groupBy("bag", "cluster", F.pmod(F.xxhash64("vec_id"), "_blocks").alias("_block"))
-            self.blocks = written(dealt.agg(F.collect_list(F.struct("vec_id", "cluster", "x")).alias("rows")).drop("_block"), "blocks")
+            self.vectors = written(rows.select("bag", "vec_id", "cluster", "x").join(self.able.select("bag", "cluster"), ["bag", "cluster"], "left_semi"), "vectors")
             sums = self._sums(self._weighted(rows.where("selected")), self.able.select("bag", "cluster"))
             state = state.join(sums, ["bag", "vec_id"], "left").na.fill(0.0, list(SUMS))
             self._note(0, self.able, 0)
@@ -110,8 +108,8 @@ class _Run:
 
     def _sums(self, members: DataFrame, kept: DataFrame) -> DataFrame:
         """Sums over members (with w) for the rows of the clusters ``kept``."""
-        blocks = self.blocks.join(kept, ["bag", "cluster"], "left_semi").select("bag", "rows")
-        return refine.block_sums(refine.meet(blocks, refine._blocks(members, "members", "w"))).drop("near")
+        rows = self.vectors.join(kept, ["bag", "cluster"], "left_semi")
+        return refine.block_sums(ordered.meet(rows, members, "w")).drop("near")
 
     def _note(self, p: int, kept: DataFrame | None, swaps: int) -> None:
         if self.trace is not None:

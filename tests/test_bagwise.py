@@ -286,3 +286,19 @@ def test_rounds_ship_narrow_centres(spark, bags, rows, blocks, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert ["SortMergeJoin" in p for p in plans] == [False, True]
+
+
+def test_nearest_two_holds_tiles_of_many_centres():
+    """What is held at once is a tile, however many centres there are; labels and distances are those of the whole matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, centres = rng.normal(size=(2048, 8)), rng.normal(size=(6000, 8))
+    tracemalloc.start()
+    label, d2, other = bagwise.nearest_two(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # the whole matrix has 98 MB
+    for k in range(0, 2048, 97):
+        far = np.square(centres - x[k]).sum(1)
+        assert label[k] == far.argmin() and np.isclose(d2[k], far.min()) and np.isclose(other[k], np.sort(far)[1])

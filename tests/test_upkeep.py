@@ -136,3 +136,16 @@ def test_nothing_to_do(rows):
 def test_refuses(bad):
     with pytest.raises(ValueError):
         Passes(**bad)
+
+
+def test_small_clusters_share_blocks(spark, monkeypatch):
+    """Rows of many small clusters meet the selected rows in few blocks, not in one for each cluster."""
+    from bagsieve.operators import refine
+
+    rng = np.random.default_rng(3)
+    data = [(1, i, i // 4, rng.normal(size=3).tolist(), i % 2 == 0) for i in range(400)]
+    rows = spark.createDataFrame(data, "bag int, vec_id long, cluster int, x array<double>, selected boolean")
+    plain, met = refine.block_sums, []
+    monkeypatch.setattr(refine, "block_sums", lambda m: met.append(m.count()) or plain(m))
+    upkeep.refined(rows, upkeep.Passes(passes=1))
+    assert met == [1]  # 100 before, one for each cluster
