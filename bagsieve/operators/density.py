@@ -1,9 +1,9 @@
 """Density clustering of every bag of a table: core distances, spanning forest, condensed tree, stability.
 
-Blocks of a bag's rows (see ``bagwise``) meet in pairs, once for the core distances and once in each round of the
-spanning forest; what leaves a pair of blocks is the few nearest of each row, or the lightest edge of each component that it
-holds, so pairs of rows are never records.  A round at least halves a bag's components.  The hierarchy of a bag's
-forest is made in one task from its edges alone (24 bytes a row, no vectors), checked for their number first.
+Every two blocks of a bag's rows (see ``bagwise``) meet once for the core distances, which join most rows to a denser neighbour, and
+once in each round of the spanning forest that asks many rows; what leaves a pair of blocks is the few nearest of each row, or the
+lightest edge of each component that it holds, so pairs of rows are never records.  A round asks all components but a bag's
+largest, so few rows are left after the first; those are shipped to the blocks.  The hierarchy of a bag's forest is made in one task from its edges alone (24 bytes a row, no vectors), checked for their number first.
 
 Mutual reachability of two rows is the largest of their distance and their core distances; a row's core distance is that to its
 k-th nearest row, itself the first.  Edges of equal weight (to 9 digits) merge at once, so the result doesn't depend on their order.
@@ -30,16 +30,69 @@ _DIGITS = 9
 EDGES = 20_000_000
 
 
+#: Blocks of ``bagwise`` in a slot at most.
+SLOT = 8
+
+
 def _met(left: DataFrame, right: DataFrame, counts: DataFrame) -> DataFrame:
-    """Every block of ``left`` (bag, block, own) with every block of ``right`` of its bag, each two under a key of their own."""
-    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    sent = right.select("bag", F.col("block").alias("to"), F.col("own").alias("other")).join(counts, "bag").select("bag", "to", "other", each.alias("block"))
-    return left.join(counts, "bag").withColumn("to", each).drop("n").join(sent, ["bag", "block", "to"]).drop("to")
+    """Every block of ``left`` (bag, block, own) with every block of ``right`` of its bag; two slots are a key."""
+    each = F.explode(F.sequence(F.lit(0), "_last"))
+    sent = pairs.slotted(right.select("bag", "block", F.col("own").alias("other")).join(counts, "bag"), SLOT).select("bag", "other", each.alias("_s"), F.col("_slot").alias("_t"))
+    own = pairs.slotted(left.join(counts, "bag"), SLOT).withColumn("_s", F.col("_slot")).withColumn("_t", each).drop("n", "_slot", "_last")
+    return own.join(sent, ["bag", "_s", "_t"]).drop("_s", "_t")
+
+
+class _Least:
+    """The ``k`` least values of each row, and the ids of their columns, as parts of the columns come.
+
+    What is below a row's bound waits until about as many columns have come again as before.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.values, self.ids = np.full((n, k), np.inf), np.full((n, k), -1)
+        self.seen, self.settled, self.waiting = 0, 0, []
+
+    def add(self, d: np.ndarray, ids: np.ndarray, axis: int = 1) -> None:
+        """Columns ``ids`` of all rows; with ``axis`` 0, d has the rows as columns."""
+        k, m = self.values.shape[1], d.shape[axis]
+        bound = self.values[:, -1]
+        if not self.settled and m > k:
+            # minima of groups are values, too: the k-th of them is a bound
+            g = m // 16
+            low = d if g < k else d[:, : 16 * g].reshape(len(d), 16, g).min(1) if axis else d[: 16 * g].reshape(16, g, -1).min(0)
+            bound = np.partition(low, k - 1, axis)
+            bound = np.nextafter(bound[:, k - 1] if axis else bound[k - 1], np.inf)
+        one, two = pairs.where(d < (bound[:, None] if axis else bound))
+        self.waiting.append((one if axis else two, d[one, two], ids[two if axis else one]))
+        self.seen += m
+        if self.seen >= 2 * self.settled:
+            self.settle()
+
+    def settle(self) -> None:
+        row, value, found = (np.concatenate(v) for v in zip(*self.waiting))
+        self.waiting, self.settled = [], self.seen
+        if not len(row):
+            return
+        k = self.values.shape[1]
+        some, at = np.unique(row, return_inverse=True)
+        value, found = np.concatenate([self.values[some].ravel(), value]), np.concatenate([self.ids[some].ravel(), found])
+        at = np.concatenate([np.repeat(np.arange(len(some)), k), at])
+        order = np.lexsort((found, value, at))
+        order = order[np.searchsorted(at[order], np.arange(len(some)))[:, None] + np.arange(k)]
+        self.values[some], self.ids[some] = value[order], found[order]
+
+    def lists(self) -> pa.Array:
+        """Arrays of (d, id), d the root of the value."""
+        if self.waiting:
+            self.settle()
+        n, k = self.values.shape
+        told = pa.StructArray.from_arrays([pa.array(np.sqrt(self.values.ravel())), pa.array(self.ids.ravel())], names=["d", "id"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), told)
 
 
 def core_distances(blocks: bagwise.Blocks, neighbours: DataFrame) -> DataFrame:
-    """(bag, vec_id, core): the distance to the k-th nearest row, itself the first, for ``neighbours`` (bag, k)."""
-    met = _met(blocks.packed, blocks.packed, blocks.counts).join(F.broadcast(neighbours), "bag").select("bag", "own", "other", "k")
+    """(bag, vec_id, core, near): the distance to the k-th nearest row, itself the first, for ``neighbours`` (bag, k), and the ids of the k nearest."""
+    met = pairs.twice(blocks.packed.join(blocks.counts, "bag"), SLOT).join(F.broadcast(neighbours), "bag").select("bag", "block", "to", "own", "other", "k")
     kind = met.schema["bag"].dataType.simpleString()
     ship(met.sparkSession)
 
@@ -47,86 +100,173 @@ def core_distances(blocks: bagwise.Blocks, neighbours: DataFrame) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 own, other, k = batch.column("own")[r].values, batch.column("other")[r].values, batch.column("k")[r].as_py()
-                x, y = bagwise._matrix(own.field("x")), bagwise._matrix(other.field("x"))
-                d = np.sqrt(np.vstack([pairs.least(pairs.squared(x[part], y), k) for part in pairs.tiles(len(x), len(y))]))
-                yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(d), r))), own.field("vec_id"), pairs.lists(d)], names=["bag", "vec_id", "near"])
-
-    near = met.mapInArrow(run, f"bag {kind}, vec_id long, near array<double>").groupBy("bag", "vec_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    return near.join(F.broadcast(neighbours), "bag").select("bag", "vec_id", F.element_at("near", F.least("k", F.size("near")).cast("int")).alias("core"))
-
-
-def lightest_of(x: np.ndarray, y: np.ndarray, core: np.ndarray, core_: np.ndarray, part: np.ndarray, part_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least reachability (to 9 digits, infinite if none) of each row of x to a row of y of another component, and the first such row.
-
-    Products rule out all but what may be least; that is made from differences, so that it is the same from either side.
-    """
+                x, y, ids, ids_ = bagwise._matrix(own.field("x")), bagwise._matrix(other.field("x")), own.field("vec_id").to_numpy(), other.field("vec_id").to_numpy()
+                same = batch.column("block")[r].as_py() == batch.column("to")[r].as_py()
+                theirs = _Least(len(y), k)
+                for part in pairs.tiles(len(x), len(y)):
+                    d2 = pairs.squared(x[part], y)
+                    mine = _Least(len(d2), k)
+                    mine.add(d2, ids_)
+                    if not same:
+                        theirs.add(d2, ids[part], 0)
+                    yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(d2), r))), own.field("vec_id")[part], mine.lists()], names=["bag", "vec_id", "near"])
+                if not same:
+                    yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(y), r))), other.field("vec_id"), theirs.lists()], names=["bag", "vec_id", "near"])
+
+    near = met.mapInArrow(run, f"bag {kind}, vec_id long, near array<struct<d:double,id:long>>").groupBy("bag", "vec_id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    near = near.join(F.broadcast(neighbours), "bag").select("bag", "vec_id", F.expr("slice(array_sort(filter(near, v -> v.id >= 0)), 1, k)").alias("near"))
+    return near.select("bag", "vec_id", F.element_at("near", -1)["d"].alias("core"), F.col("near")["id"].alias("near"))
+
+
+def _reach(x: np.ndarray, y: np.ndarray, core: np.ndarray, core_: np.ndarray, part: np.ndarray, part_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the rows of x to those of y, and their reachability, infinite inside a component, both by products."""
     far = np.sqrt(pairs.squared(x, y))
     w = np.maximum(far, core_)
-    w[part[:, None] == part_] = np.inf
-    w = np.maximum(w, core[:, None], out=w)
-    low = w.min(1)
-    some = np.isfinite(low)
-    i, j = np.nonzero((w <= (low + np.maximum(1e-8, low * 1e-9))[:, None]) & some[:, None])
-    open_ = far[i, j] > np.maximum(core[i], core_[j]) - 1e-8  # elsewhere the core distances decide
+    np.maximum(w, core[:, None], out=w)
+    np.copyto(w, np.inf, where=part[:, None] == part_)
+    return far, w
+
+
+def _first(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray, x: np.ndarray, y: np.ndarray, core: np.ndarray, core_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs i, j of rows of x (``n``) and y at the distances ``far``, the least exact reachability of each i and the first such j."""
     exact = np.maximum(core[i], core_[j])
+    open_ = far > exact - 1e-8  # elsewhere the core distances decide
     exact[open_] = np.maximum(exact[open_], np.sqrt(pairs.direct(x, y, i[open_], j[open_])))
-    w = np.full(len(i), np.inf) if not len(i) else np.round(exact, _DIGITS)
+    w = np.round(exact, _DIGITS)
     order = np.lexsort((j, w, i))  # ids ascend, so that the first of equal ones has the least id
     rows, first = np.unique(i[order], return_index=True)
-    low, best = np.full(len(x), np.inf), np.zeros(len(x), int)
+    low, best = np.full(n, np.inf), np.zeros(n, int)
     low[rows], best[rows] = w[order][first], j[order][first]
     return low, best
 
 
+def _close(low: np.ndarray) -> np.ndarray:
+    """Up to where products may be wrong about what is least; nothing where all is infinite."""
+    return np.where(np.isfinite(low), low + np.maximum(1e-8, low * 1e-9), -np.inf)
+
+
+def lightest_of(x: np.ndarray, y: np.ndarray, core: np.ndarray, core_: np.ndarray, part: np.ndarray, part_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least reachability (to 9 digits, infinite if none) of each row of x to a row of y of another component, and the first such row.
+
+    Products rule out all but what may be least; that is made from differences, so that it is the same from either side.
+    """
+    far, w = _reach(x, y, core, core_, part, part_)
+    i, j = pairs.where(w <= _close(w.min(1))[:, None])
+    return _first(len(x), i, j, far[i, j], x, y, core, core_)
+
+
+def lightest_both(x: np.ndarray, y: np.ndarray, core: np.ndarray, core_: np.ndarray, part: np.ndarray, part_: np.ndarray) -> tuple[tuple, tuple]:
+    """``lightest_of`` x to y and of y to x, from the same products, in tiles."""
+    mine, low_, best_ = [], np.full(len(y), np.inf), np.zeros(len(y), int)
+    for k in pairs.tiles(len(x), len(y)):
+        far, w = _reach(x[k], y, core[k], core_, part[k], part_)
+        i, j = pairs.where(w <= _close(w.min(1))[:, None])
+        mine.append(_first(len(far), i, j, far[i, j], x[k], y, core[k], core_))
+        i, j = pairs.where(w <= _close(np.minimum(w.min(0), low_)))
+        low, best = _first(len(y), j, i, far[i, j], y, x[k], core_, core[k])
+        less = low < low_
+        low_[less], best_[less] = low[less], best[less] + k.start
+    low, best = (np.concatenate(v) for v in zip(*mine))
+    return (low, best), (low_, best_)
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    """(bag, part, root, kept, w, a, b): chosen edges (bag, part, w, a, b, next) that join components, and every component's root.
+
+    Of chosen edges of equal weight that make a circle, one is left out, whichever it is.
+    """
+    parts, at = np.unique(np.concatenate([group["part"].to_numpy(), group["next"].to_numpy()]), return_inverse=True)
+    w, n, up = group["w"].to_numpy(), len(group), list(range(len(parts)))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    kept = np.zeros(n, bool)
+    for e in np.argsort(w, kind="stable").tolist():
+        p, q = root(int(at[e])), root(int(at[n + e]))
+        if p != q:
+            kept[e], up[q] = True, p
+    edges = group[kept]
+    roots = pd.DataFrame({"part": parts, "root": parts[[root(k) for k in range(len(parts))]], "kept": False, "w": 0.0, "a": 0, "b": 0})
+    out = pd.concat([roots, pd.DataFrame({"part": edges["part"], "root": edges["part"], "kept": True, "w": np.round(edges["w"], _DIGITS), "a": edges["a"], "b": edges["b"]})])
+    out.insert(0, "bag", group["bag"].iloc[0])
+    return out
+
+
 def spanning_forest(blocks: bagwise.Blocks, core: DataFrame) -> DataFrame:
     """(bag, w, a, b): the lightest edges that join all rows of each bag, by the mutual reachability; a < b.
 
-    Each component takes its lightest edge to another (ties: least ids) until a bag is one component.
+    In a round each component but the largest takes its lightest edge to another, until a bag is one component. Where ``core`` has
+    ``near``, rows start with an edge to one of those that is no less dense: none is lighter, as all of a row's weigh its core distance at least.
     """
-    rows = written(blocks.packed.select("bag", "block", F.explode("own").alias("r")).select("bag", "block", "r.vec_id", "r.x").join(core, ["bag", "vec_id"]), "reach")
+    rows = blocks.packed.select("bag", "block", F.explode("own").alias("r")).select("bag", "block", "r.vec_id", "r.x").join(core.select("bag", "vec_id", "core"), ["bag", "vec_id"])
+    rows = written(rows, "reach")
     state, edges = written(rows.select("bag", "vec_id", F.col("vec_id").alias("part")), "parts"), []
     kind = rows.schema["bag"].dataType.simpleString()
+    chosen = f"bag {kind}, part long, w double, a long, b long, next long"
     ship(rows.sparkSession)
 
+    def told(batch: pa.RecordBatch, r: int, own: list, other: list, found: tuple) -> pa.RecordBatch:
+        """The lightest edge of each component of ``own`` (ids, parts) to ``other``; found: weights and places."""
+        (ids, part), (ids_, part_), (low, j) = own, other, found
+        a, b = np.minimum(ids, ids_[j]), np.maximum(ids, ids_[j])
+        order = np.lexsort((b, a, low, part))
+        order = order[np.isfinite(low[order])]
+        order = order[np.unique(part[order], return_index=True)[1]]
+        columns = [pa.array(v[order]) for v in (part, low, a, b, part_[j])]
+        return pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(order), r))), *columns], names=["bag", "part", "w", "a", "b", "next"])
+
     def lightest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                own, other = batch.column("own")[r].values, batch.column("other")[r].values
-                ids, ids_, part, part_ = (v.to_numpy() for v in (own.field("vec_id"), other.field("vec_id"), own.field("part"), other.field("part")))
-                x, y, core, core_ = (f(v) for f, c in ((bagwise._matrix, "x"), (pa.Array.to_numpy, "core")) for v in (own.field(c), other.field(c)))
-                at = [lightest_of(x[k], y, core[k], core_, part[k], part_) for k in pairs.tiles(len(x), len(y))]
-                low, j = (np.concatenate(v) for v in zip(*at))
-                a, b = np.minimum(ids, ids_[j]), np.maximum(ids, ids_[j])
-                order = np.lexsort((b, a, low, part))
-                order = order[np.isfinite(low[order])]
-                order = order[np.unique(part[order], return_index=True)[1]]
-                columns = [pa.array(v[order]) for v in (part, low, a, b, part_[j])]
-                yield pa.RecordBatch.from_arrays([batch.column("bag").take(pa.array(np.full(len(order), r))), *columns], names=["bag", "part", "w", "a", "b", "next"])
-
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        up = dict(zip(group["part"].tolist(), group["next"].tolist()))
-        out = {}
-        for p in up:
-            path = []
-            while p not in out and not (up[up[p]] == p and p <= up[p]):
-                path.append(p)
-                p = up[p]
-            root = out.get(p, p)
-            out[p] = root
-            out.update(dict.fromkeys(path, root))
-        return pd.DataFrame({"bag": group["bag"].iloc[0], "part": list(out), "root": list(out.values())})
-
+                both = [batch.column(c)[r].values for c in ("own", "other")]
+                own, other = ([v.field(c).to_numpy() for c in ("vec_id", "part")] for v in both)
+                (x, core), (y, core_) = ((bagwise._matrix(v.field("x")), v.field("core").to_numpy()) for v in both)
+                if "to" not in batch.schema.names:  # rows that are asked, and a block
+                    at = [lightest_of(x[k], y, core[k], core_, own[1][k], other[1]) for k in pairs.tiles(len(x), len(y))]
+                    yield told(batch, r, own, other, tuple(np.concatenate(v) for v in zip(*at)))
+                    continue
+                mine, theirs = lightest_both(x, y, core, core_, own[1], other[1])
+                yield told(batch, r, own, other, mine)
+                if batch.column("block")[r].as_py() != batch.column("to")[r].as_py():
+                    yield told(batch, r, other, own, theirs)
+
+    def merge(found: DataFrame) -> DataFrame:
+        """``state`` after the edges ``found``, which are kept if they join components."""
+        roots = written(found.groupBy("bag").applyInPandas(_merged, f"bag {kind}, part long, root long, kept boolean, w double, a long, b long"), "merged")
+        edges.append(roots.where("kept").select("bag", "w", "a", "b"))
+        return written(state.join(roots.where("NOT kept").select("bag", "part", "root"), ["bag", "part"], "left").select("bag", "vec_id", F.coalesce("root", "part").alias("part")), "parts")
+
+    if "near" in core.columns:
+        near = core.select("bag", F.col("vec_id").alias("part"), F.col("core").alias("w"), F.explode("near").alias("next")).where("next <> part")
+        near = near.join(core.select("bag", F.col("vec_id").alias("next"), F.col("core").alias("_core")), ["bag", "next"]).where("_core <= w")
+        near = near.groupBy("bag", "part", "w").agg(F.min("next").alias("next"))
+        state = merge(near.select("bag", "part", "w", F.least("part", "next").alias("a"), F.greatest("part", "next").alias("b"), "next"))
+    width = rows.agg(F.max(F.size("x"))).first()[0] or 0
     while True:
-        packed = rows.join(state, ["bag", "vec_id"]).groupBy("bag", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "core", "part"))).alias("own"))
-        found = _met(packed, packed, blocks.counts).select("bag", "own", "other").mapInArrow(lightest, f"bag {kind}, part long, w double, a long, b long, next long")
+        sizes = state.groupBy("bag", "part").agg(F.count(F.lit(1)).alias("size"))
+        sizes = written(sizes.withColumn("_place", F.row_number().over(Window.partitionBy("bag").orderBy(F.desc("size"), "part"))).where("_place > 1"), "sizes")
+        asked = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        if not asked:
+            break
+        now = rows.join(state, ["bag", "vec_id"]).join(F.broadcast(sizes.select("bag").distinct()), "bag", "left_semi")
+        pack = F.array_sort(F.collect_list(F.struct("vec_id", "x", "core", "part")))
+        packed = now.groupBy("bag", "block").agg(pack.alias("own"))
+        if asked * (width + 3) * 8 <= bagwise.NARROW_BYTES:
+            few = now.join(sizes.select("bag", "part"), ["bag", "part"], "left_semi").groupBy("bag").agg(pack.alias("own"))
+            met = packed.withColumnRenamed("own", "other").join(F.broadcast(few), "bag").select("bag", "own", "other")
+        else:
+            met = pairs.twice(packed.join(blocks.counts, "bag"), SLOT)
         best = F.min(F.struct("w", "a", "b", "next")).alias("m")
+        found = met.mapInArrow(lightest, chosen).join(sizes.select("bag", "part"), ["bag", "part"], "left_semi")
         found = written(found.groupBy("bag", "part").agg(best).select("bag", "part", "m.*"), "lightest")
         if found.isEmpty():
             break
-        edges.append(found.select("bag", "w", "a", "b").distinct())
-        roots = found.select("bag", "part", "next").groupBy("bag").applyInPandas(merged, f"bag {kind}, part long, root long")
-        state = written(state.join(roots, ["bag", "part"], "left").select("bag", "vec_id", F.coalesce("root", "part").alias("part")), "parts")
-    out = found.select("bag", "w", "a", "b")
+        state = merge(found)
+    out = rows.sparkSession.createDataFrame([], f"bag {kind}, w double, a long, b long")
     for more in edges:
         out = out.unionByName(more)
     return out

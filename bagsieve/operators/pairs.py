@@ -1,6 +1,6 @@
 """All pairs of the rows of each group, met by blocks of a bounded size.
 
-Rows are dealt into blocks by a hash of their ids; every two blocks of a group meet once, under a key of their own, and a numpy
+Rows are dealt into blocks by a hash of their ids; every two blocks of a group meet once, under a key of their slots, and a numpy
 kernel takes their distances from products in tiles.  Differences that cancel are made anew from the rows themselves.  A pair of
 rows is a record only where pairs are the result; what else leaves two blocks is one partial result for each row.
 """
@@ -18,6 +18,8 @@ from ..session import ship
 
 #: Bytes of vectors, and rows, in a block.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 2048
+#: Slots of blocks that a bag has, up to so many blocks in one; two slots meet under a key.
+SLOTS, SLOT = 8, 32
 #: Distances that a kernel holds at once.
 TILE = 1 << 19
 #: Squared distances below this share of the squared norms are made from differences.
@@ -37,6 +39,11 @@ def matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray | None]:
     return out, whole
 
 
+def where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true in a matrix; faster than ``np.nonzero`` where that is little."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1]) if mask.size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def direct(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Squared distances of the rows i of x to the rows j of y, from their differences."""
     out = np.empty(len(i))
@@ -54,7 +61,7 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         d2 *= -2.0
         d2 += xx[:, None]
         d2 += yy
-        i, j = np.nonzero(~(d2 > CANCELS * (xx + yy.max(initial=0.0))[:, None]))
+        i, j = where(~(d2 > CANCELS * (xx + yy.max(initial=0.0))[:, None]))
         d2[i, j] = direct(x, y, i, j)
     return d2
 
@@ -96,16 +103,30 @@ def tiles(n: int, m: int, most: int | None = None) -> Iterator[slice]:
     return (slice(a, min(a + step, n)) for a in range(0, n, step))
 
 
+def slotted(packed: DataFrame, most: int = SLOT) -> DataFrame:
+    """Blocks (bag, n, block, ...) with their slot and its bag's last: eight slots, and more where they would have over ``most`` blocks."""
+    size = F.least(F.ceil(F.col("n") / SLOTS), F.lit(most))
+    return packed.withColumn("_slot", F.floor(F.col("block") / size).cast("int")).withColumn("_last", F.floor((F.col("n") - 1) / size).cast("int"))
+
+
+def twice(packed: DataFrame, most: int = SLOT) -> DataFrame:
+    """(bag, block, to, own, other): every two blocks (bag, n, block, own) of each bag once, block <= to.
+
+    Two slots are a key, so a block is copied once for each slot and once more, nine times in all for bags of up to eight slots.
+    """
+    cut = slotted(packed, most)
+    left = cut.select("bag", "block", "own", F.col("_slot").alias("_s"), F.explode(F.sequence("_slot", "_last")).alias("_t"))
+    right = cut.select("bag", F.col("block").alias("to"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), "_slot")).alias("_s"), F.col("_slot").alias("_t"))
+    return left.join(right, ["bag", "_s", "_t"]).where("block <= to").select("bag", "block", "to", "own", "other")
+
+
 def met(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """(bag, block, to, own, other): every two blocks (arrays of vec_id and ``columns``) of each bag once, block <= to."""
     width = sum((F.greatest(F.size(c), F.lit(1)) for c in columns), F.lit(1))
     n = F.ceil(F.greatest(F.sum(width) * 8.0 / BLOCK_BYTES, F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS)))).cast("int")
     base = rows.select(F.col(key).alias("bag"), "vec_id", *columns)
     dealt = base.join(base.groupBy("bag").agg(n.alias("n")), "bag").withColumn("block", F.expr("int(pmod(xxhash64(vec_id), n))"))
-    packed = dealt.groupBy("bag", "n", "block").agg(F.collect_list(F.struct("vec_id", *columns)).alias("own"))
-    left = packed.select("bag", "block", F.explode(F.sequence("block", F.col("n") - 1)).alias("to"), "own")
-    right = packed.select("bag", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), "block")).alias("block"), F.col("own").alias("other"))
-    return left.join(right, ["bag", "block", "to"])
+    return twice(dealt.groupBy("bag", "n", "block").agg(F.collect_list(F.struct("vec_id", *columns)).alias("own")))
 
 
 def over(met_: DataFrame, kernel: Callable, schema: str) -> DataFrame:

@@ -188,3 +188,44 @@ def test_sample(rows, bags):
     assert {r.how for r in by_means} <= {"kmeans", "filled", "all"}
     with pytest.raises(ValueError):
         density.density_sample(rows, 0.1, by="luck")
+
+
+def test_least_of_parts():
+    """The least of each row, from parts of either side, are those of the whole matrix."""
+    rng = np.random.default_rng(2)
+    d, ids = rng.random((70, 900)), rng.permutation(900)
+    for axis in (0, 1):
+        found = density._Least(70, 5)
+        for cut in np.split(np.arange(900), [3, 40, 300, 500, 501]):
+            found.add(d[:, cut] if axis else np.ascontiguousarray(d[:, cut].T), ids[cut], axis)
+        found.lists()
+        first = np.argsort(d, axis=1)[:, :5]
+        assert (found.values == np.take_along_axis(d, first, 1)).all() and (found.ids == ids[first]).all()
+
+
+def test_both_sides_from_one_product(monkeypatch):
+    """The lightest edges of both sides of two blocks are those of either side by itself, with ties and tiles."""
+    monkeypatch.setattr(density.pairs, "TILE", 200)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 3, (40, 3)) / 7.0, rng.integers(0, 3, (50, 3)) / 7.0
+    core, core_, part, part_ = rng.integers(0, 3, 40) / 9.0, rng.integers(0, 3, 50) / 9.0, rng.integers(0, 3, 40), rng.integers(0, 2, 50)
+    for got, want in zip(density.lightest_both(x, y, core, core_, part, part_), (density.lightest_of(x, y, core, core_, part, part_), density.lightest_of(y, x, core_, core, part_, part))):
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_rounds_of_the_forest_ask_few(spark, monkeypatch):
+    """Rows join a denser neighbour without a round, and a round doesn't ask a bag's largest component, so few rounds are left."""
+    x = _blobs(5, (60, 50))
+    rows = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "bag int, vec_id long, x array<double>")
+    params = spark.createDataFrame([(1, 5)], "bag int, k int")
+    plain, names = density.written, []
+    monkeypatch.setattr(density, "written", lambda df, name: names.append(name) or plain(df, name))
+    for narrow in (1 << 20, 0):
+        monkeypatch.setattr(bagwise, "NARROW_BYTES", narrow)
+        names.clear()
+        blocks = bagwise.block(rows, 8 * 3 * 20)
+        core = plain(density.core_distances(blocks, params), "core")
+        edges = density.spanning_forest(blocks, core).toPandas()
+        w, _, _ = _tree(x, 5)
+        assert np.allclose(np.sort(edges["w"]), np.sort(w), atol=1e-9) and len(edges) == len(x) - 1
+        assert names.count("lightest") <= 3

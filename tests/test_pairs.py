@@ -123,3 +123,16 @@ def test_swaps_take_distances_from_products():
     x = _sets()["u"]
     got = np.sqrt(pairs.squared(x, x))
     assert np.allclose(got, kernels.pairwise(x, x), rtol=1e-12, atol=1e-12) and (got[3:12, 3:12] == 0).all()
+
+
+def test_blocks_meet_once_by_slots(spark):
+    """Every two blocks of a bag meet once; a bag of many blocks has eight slots, so that each block is copied nine times, not once for each other."""
+    from pyspark.sql import functions as F
+
+    n = {1: 64, 2: 13, 3: 1}
+    blocks = spark.createDataFrame([(bag, m, b, [b]) for bag, m in n.items() for b in range(m)], "bag int, n int, block int, own array<int>")
+    met = [tuple(r) for r in pairs.twice(blocks).select("bag", "block", "to", F.col("own")[0], F.col("other")[0]).collect()]
+    assert sorted(met) == [(bag, i, j, i, j) for bag, m in n.items() for i in range(m) for j in range(i, m)]
+    last = {r.bag: r.last for r in pairs.slotted(blocks).groupBy("bag").agg(F.max("_last").alias("last")).collect()}
+    assert last == {1: 7, 2: 6, 3: 0}
+    assert pairs.slotted(blocks, 2).agg(F.max("_last")).first()[0] == 31
